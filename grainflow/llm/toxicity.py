@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,11 +31,14 @@ class Fit:
     #: Tokens of one sequence in training; longer documents give several sequences.
     window: int = 50
     #: Sequences at most, with and without a toxic token.
-    max_sequences: int = 6000
-    #: A feature marks tokens as toxic if at least so many toxic documents hold it, so many times more often than clean ones.
-    min_docs: int = 4
+    max_sequences: int = 2500
+    #: A feature marks tokens as toxic if toxic documents hold it so many times more often than clean ones, and if its
+    #: likelihood-ratio statistic is one that about so many of all features would pass by chance.
     lift: float = 12.0
-    rounds: int = 120
+    level: float = 2.0
+    #: Features that fewer training tokens hold aren't given a weight.
+    least: int = 3
+    rounds: int = 60
     l2: float = 0.02
 
 
@@ -111,8 +116,27 @@ def _partition(emit: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> tupl
     return float(z.sum()), node[mask], expected
 
 
-def _train(sequences: list[tuple[list[list[int]], list[int]]], names: list[str], fit: Fit) -> Model:
-    """Maximum likelihood with an L2 penalty by Adam; sequences: (features of each token, labels)."""
+def surprise(t: float, c: float, toxic: int, clean: int) -> float:
+    """The likelihood-ratio statistic of a feature that t of the toxic and c of the clean documents hold."""
+    def part(x: float, n: float) -> float:
+        return x * math.log(x / n) if x else 0.0
+
+    of = lambda x, n, rate: part(x, n) + part(n - x, n) - (x * math.log(rate) + (n - x) * math.log(1 - rate))
+    rate = (t + c) / (toxic + clean)
+    return 2 * (of(t, toxic, rate) + of(c, clean, rate)) if 0 < rate < 1 else 0.0
+
+
+def bar(features_tried: int, level: float) -> float:
+    """The statistic that at most about `level` of so many features pass by chance."""
+    return 2 * math.log(max(1, features_tried) / level)
+
+
+def _train(kept: list[tuple[list[str], list[int]]], fit: Fit) -> Model:
+    """Maximum likelihood with an L2 penalty by Adam; kept: sequences of tokens and their labels."""
+    held = Counter(f for x, _ in kept for w in x for f in features(w))
+    names = sorted(f for f, n in held.items() if n >= fit.least)
+    index = {f: i for i, f in enumerate(names)}
+    sequences = [([[index[f] for f in features(w) if f in index] for w in x], y) for x, y in kept]
     lengths = np.array([len(y) for _, y in sequences])
     y = np.concatenate([np.array(y, float) for _, y in sequences])
     flat = np.fromiter((f for x, _ in sequences for token in x for f in token), np.int64)
@@ -199,13 +223,26 @@ def _pieces(texts: list[str], tokens_at_once: int = 1_500_000) -> Iterator[slice
         yield slice(a, len(texts))
 
 
+def _signature(text: str, shingle: int = 3) -> int:
+    """The smallest hash of a text's shingles of tokens; near copies mostly share it."""
+    words = TOKEN.findall(text.lower())
+    return min(xxhash.xxh64_intdigest(" ".join(words[i : i + shingle])) for i in range(max(1, len(words) - shingle + 1))) >> 1
+
+
 def _labelled(docs: DataFrame, labels: DataFrame, fit: Fit, id_col: str, text_col: str) -> DataFrame:
-    """(text, toxic) of the first labelled rows of each kind by a hash of their ids. A repeated label counts as toxic if one is."""
+    """(text, toxic) of the first labelled rows of each kind by a hash of their ids; of near copies one, or else what they share
+    would look like evidence. A repeated label counts as toxic if one is."""
     marked = labels.where(F.col("toxic").isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("k")).agg(F.max("toxic").alias("toxic"))
     first = lambda want, n: marked.where(F.col("toxic") == want).orderBy(F.xxhash64(F.lit(5), "k"), "k").limit(n)
     chosen = F.broadcast(first(1, fit.max_toxic).unionByName(first(0, fit.max_clean)))  # bounded by the two parameters
     joined = docs.select(F.col(id_col).alias("k"), text_of(text_col).alias("text")).join(chosen, "k")
-    return joined.select("text", "toxic")
+
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(map(_signature, batch.column(0).to_pylist()), pa.int64())], names=["text", "toxic", "sig"])
+
+    rows = joined.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(signed, "text string, toxic int, sig bigint")
+    return rows.groupBy("sig", "toxic").agg(F.min("text").alias("text")).select("text", "toxic")
 
 
 def train(docs: DataFrame, labels: DataFrame, fit: Fit = Fit(), id_col: str = "doc_id", text_col: str = "text") -> Model:
@@ -229,10 +266,13 @@ def train(docs: DataFrame, labels: DataFrame, fit: Fit = Fit(), id_col: str = "d
                 yield pa.RecordBatch.from_arrays([pa.array([f for x in each for f in x], pa.string()), pa.array(y)], names=["feature", "toxic"])
 
     by = rows.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(held, "feature string, toxic int")
-    by = by.groupBy("feature").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
+    by = materialize(by.groupBy("feature").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")), "features")
     rate = lambda n, label: (F.col(n) + 0.5) / (count[label] + 1.0)
-    marks = by.where((F.col("t") >= fit.min_docs) & (rate("t", 1) > fit.lift * rate("c", 0))).select("feature")
-    marks = {r[0] for r in marks.orderBy("feature").limit(200_000).collect() if r[0].startswith(("w:", "p4:", "p5:", "p6:"))}
+    likely = by.where((F.col("t") >= 3) & (rate("t", 1) > fit.lift * rate("c", 0)) & F.substring("feature", 1, 2).isin("w:", "p4", "p5", "p6"))
+    tried = by.count()
+    # bounded: each has three of the sampled toxic documents, and few documents hold very many features that others hold
+    found = likely.orderBy(F.desc("t"), "feature").limit(200_000).collect()
+    marks = {r["feature"] for r in found if surprise(r["t"], r["c"], count[1], count[0]) > bar(tried, fit.level)}
 
     window, most = fit.window, fit.max_sequences
 
@@ -252,9 +292,7 @@ def train(docs: DataFrame, labels: DataFrame, fit: Fit = Fit(), id_col: str = "d
     kept = [(r["words"], r["hot"]) for want in (True, False) for r in cuts.where(F.col("any") == want).orderBy("h", "words").limit(most).collect()]
     if not any(any(y) for _, y in kept):
         return Model()
-    index: dict[str, int] = {}
-    sequences = [([[index.setdefault(f, len(index)) for f in features(w)] for w in x], y) for x, y in kept]
-    model = _train(sequences, list(index), fit)
+    model = _train(kept, fit)
 
     shared = spark.sparkContext.broadcast(model)
 

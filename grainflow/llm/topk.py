@@ -23,7 +23,7 @@ class Search:
     #: Queries and candidates of one task.
     queries: int = 256
     candidates: int = 8192
-    #: Candidates that a query evaluates at a time, in the order of their bounds.
+    #: Candidates that a query evaluates first, in the order of their bounds; then twice as many each time.
     step: int = 256
 
 
@@ -42,30 +42,35 @@ def best(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, piv
     dq, dx = to_pivots(qf, qn), to_pivots(xf, xn).T.copy()
     # float32 rounding of each distance, doubled
     slack = 4e-7 * float(max(dq.max(initial=0), dx.max(initial=0)))
+    exact = max(np.abs(q).max(initial=0), np.abs(x).max(initial=0)) < 1 << 20  # products sum exactly in float64
+    qe, xe = (qf, xf) if exact else (q.astype(np.int64), x.astype(np.int64))
+    low, gap = np.empty(len(x), np.float32), np.empty(len(x), np.float32)
     for i in range(len(q)):
-        low = np.abs(dx[0] - dq[i, 0])
-        for p in range(1, len(pf)):
-            np.maximum(low, np.abs(dx[p] - dq[i, p]), out=low)
-        low = np.maximum(0.0, low.astype(np.float64) - slack)
-        bound = (qn[i] + xn - low * low) / 2 + 1e-6 * (qn[i] + 1)
-        bound[x_ids == q_ids[i]] = -np.inf
-        left = np.arange(len(x))
+        low.fill(0)
+        for p in range(len(pf)):
+            np.subtract(dx[p], dq[i, p], out=gap)
+            np.abs(gap, out=gap)
+            np.maximum(low, gap, out=low)
+        least = np.maximum(0.0, low.astype(np.float64) - slack)
+        bound = (qn[i] + xn - least * least) / 2 + 1e-6 * (qn[i] + 1)
+        left, take = np.flatnonzero(x_ids != q_ids[i]), how.step
         ids, scores = np.empty(0, np.int64), np.empty(0, np.int64)
         while len(left):
-            take = min(len(left), how.step)
-            order = np.argpartition(-bound[left], take - 1) if take < len(left) else np.arange(take)
-            now = left[order[:take]]
-            now = now[bound[now] > -np.inf]
-            got = x[now].astype(np.int64) @ q[i].astype(np.int64)
+            if take < len(left):
+                order = np.argpartition(-bound[left], take - 1)
+                now, left = left[order[:take]], left[order[take:]]
+            else:
+                now, left = left, left[:0]
+            got = (xe[now] @ qe[i]).astype(np.int64)
             ids, scores = np.concatenate([ids, x_ids[now]]), np.concatenate([scores, got])
-            top = np.lexsort((ids, -scores))[: how.k]
-            ids, scores = ids[top], scores[top]
-            left = left[order[take:]]
-            if len(ids) == how.k:
-                left = left[bound[left] >= scores[-1]]
-            elif len(now) < take:
-                break
-        yield ids, scores
+            if len(ids) > how.k:
+                high = scores >= np.partition(scores, -how.k)[-how.k]
+                ids, scores = ids[high], scores[high]
+            if len(ids) >= how.k:
+                left = left[bound[left] >= scores.min()]
+            take *= 2
+        top = np.lexsort((ids, -scores))[: how.k]
+        yield ids[top], scores[top]
 
 
 def top_k(vectors: DataFrame, is_query: Column, how: Search = Search(), id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 64.0) -> DataFrame:

@@ -16,10 +16,10 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & (F.size(vector) > 0) & ~bad, F.lit(False))
 
 
-def matrix(column: pa.ListArray | pa.ChunkedArray, dtype: type = np.float64) -> np.ndarray:
-    """Vectors of one length as the rows of a matrix."""
-    flat = np.asarray(column.flatten().to_numpy(zero_copy_only=False), dtype)
-    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
+def arrays(column: pa.ListArray, dtype: str) -> list[np.ndarray]:
+    """The vectors of a column, of whatever lengths."""
+    values, at = np.asarray(column.values.to_numpy(zero_copy_only=False), dtype), column.offsets.to_numpy()
+    return [values[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
 
 
 def packs(df: DataFrame, keys: list[str], id_col: str, vector_col: str, rows: int, dtype: str = "float32") -> DataFrame:
@@ -38,7 +38,7 @@ def packs(df: DataFrame, keys: list[str], id_col: str, vector_col: str, rows: in
 
         for batch in batches:
             batch_schema = batch.schema
-            ids, vectors = batch.column("__id").to_pylist(), matrix(batch.column("__v"), np.dtype(dtype).type) if batch.num_rows else []
+            ids, vectors = batch.column("__id").to_pylist(), arrays(batch.column("__v"), dtype)
             for *key, i, v in zip(*(batch.column(k).to_pylist() for k in keys), ids, vectors, strict=True):
                 ids_, vs = open_.setdefault(tuple(key), [[], []])
                 ids_.append(i)

@@ -125,21 +125,39 @@ class WordIds:
     Words are split at ASCII white space, which the file's pre-tokenizer drops; each new word is encoded by the library,
     and a word's ids stay in a memo of at most `memo` words."""
 
-    def __init__(self, path: str, memo: int = 500_000):
+    def __init__(self, path: str, memo: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.lib, self.memo, self.most = Tokenizer.from_file(path), {}, memo
         ids = lambda t: self.lib.encode(t, add_special_tokens=False).ids
         probe = ["Ab", "c,", "d's", "É9"]
         self.by_word = ids(" \n".join(probe)) == [i for w in probe for i in ids(w)] and ids(" \t\n\x0b\x0c\r") == []
+        vocabulary, suffix = self.lib.get_vocab(), getattr(self.lib.model, "end_of_word_suffix", None) or ""
+        #: By id, whether a token ends a word.
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
         #: Whether capital ASCII letters count as small ones, and a stop or comma at a word's end is a token of its own.
         self.fold = self.by_word and ids("ABC") == ids("abc") and ids("abc,") == ids("abc") + ids(",") and ids("abc.") == ids("abc") + ids(".")
 
     def _encode(self, words: list[bytes]) -> list[bytes]:
-        found = []
-        for a in range(0, len(words), 20_000):
-            block = self.lib.encode_batch_fast([w.decode() for w in words[a : a + 20_000]], add_special_tokens=False)
-            found += [np.array(e.ids, "<u4").tobytes() for e in block]
+        texts = [w.decode() for w in words]
+        found: list[bytes | None] = [None] * len(texts)
+        plain = [i for i, t in enumerate(texts) if t.isalpha()] if self.by_word else []
+        for a in range(0, len(plain), 1000):
+            # words of letters only: one call for many, cut where a token ends a word
+            part = plain[a : a + 1000]
+            ids = np.array(self.lib.encode_batch_fast([" ".join([texts[i] for i in part])], add_special_tokens=False)[0].ids, "<u4")
+            stops = np.flatnonzero(self.ends[ids]) * 4 + 4
+            if len(stops) == len(part):
+                data, at = ids.tobytes(), 0
+                for i, stop in zip(part, stops.tolist(), strict=True):
+                    found[i] = data[at:stop]
+                    at = stop
+        rest = [i for i, x in enumerate(found) if x is None]
+        for a in range(0, len(rest), 10_000):
+            part = rest[a : a + 10_000]
+            for i, e in zip(part, self.lib.encode_batch_fast([texts[i] for i in part], add_special_tokens=False), strict=True):
+                found[i] = np.array(e.ids, "<u4").tobytes()
         return found
 
     def encode_batch(self, texts: list[str], end: int | None = 1) -> list[bytes]:

@@ -33,8 +33,14 @@ class Fit:
     """The models are fitted on a bounded sample of rows, the first by a hash of their ids; the scan covers all rows."""
 
     max_docs: int = 8000
-    #: Added to the count of each transition, so that unseen ones are even: random strings as such.
+    #: Added to the count of each character.
     smooth: float = 0.5
+    #: Transitions from a character, as many as this, that are taken to go by the characters' shares alone.
+    prior: float = 5.0
+    #: Share of random strings in which all characters are alike, whatever the sample's are made of.
+    even: float = 0.5
+    #: Documents of the sample that hold a run before it counts as an ordinary identifier.
+    common: int = 2
     #: A candidate is a secret if its log-likelihood ratio (nats) and the ratio per character reach these.
     total: float = 15.0
     each: float = 0.6
@@ -78,8 +84,8 @@ def _outside(spans: Column, base: Column) -> Column:
 def train(docs: DataFrame, fit: Fit = Fit(), id_col: str = "doc_id", text_col: str = "text") -> list[float]:
     """The table of log-likelihood ratios "random string : ordinary identifier" of each transition of ALPHABET.
 
-    Labelled samples: characters of base matches' values are random strings; runs like identifiers that touch no base span are
-    ordinary ones. Only the len(ALPHABET) squared counts reach the driver. Without any text the table is all zeros and
+    Labelled samples: base matches' values are random strings; runs like identifiers that touch no base span and that several
+    documents share are ordinary ones, each counted once. Only the len(ALPHABET) squared counts reach the driver. Without any text the table is all zeros and
     nothing is added by it."""
     n = len(ALPHABET)
     chosen = docs.select(F.col(id_col).alias("k")).where("k is not null").distinct().orderBy(F.xxhash64(F.lit(11), "k"), "k").limit(fit.max_docs)
@@ -89,18 +95,19 @@ def train(docs: DataFrame, fit: Fit = Fit(), id_col: str = "doc_id", text_col: s
     value = F.when(F.col("x.k") == 0, F.regexp_extract(cut, HEAD + r"[:=]\x20*[\"']?(.*)$", 1)).otherwise(cut)
     random = sample.select("t", F.explode("base").alias("x")).select(F.lit(1).alias("label"), value.alias("w"))
     rest = masked(F.col("t"), F.col("base"), mark=" ")
-    ordinary = sample.select(F.lit(0).alias("label"), F.explode(F.regexp_extract_all(rest, F.lit(IDENTIFIER), F.lit(0))).alias("w"))
+    runs = sample.select(F.explode(F.array_distinct(F.regexp_extract_all(rest, F.lit(IDENTIFIER), F.lit(0)))).alias("w")).groupBy("w").count()
+    ordinary = runs.where(F.col("count") >= fit.common).select(F.lit(0).alias("label"), "w")
     pairs = random.unionByName(ordinary).where(F.length("w") > 1)
     pairs = pairs.select("label", F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - 1), lambda i: F.substring(F.col("w"), i, F.lit(2)))).alias("ab"))
     counts = {(r["label"], r["ab"]): r["n"] for r in pairs.where(F.col("ab").rlike("^[A-Za-z0-9+/_=-]{2}$")).groupBy("label", "ab").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return [0.0] * (n * n)
-    table = []
-    for a in ALPHABET:
-        of = {label: sum(counts.get((label, a + b), 0) for b in ALPHABET) + fit.smooth * n for label in (0, 1)}
-        p = {(label, b): (counts.get((label, a + b), 0) + fit.smooth) / of[label] for label in (0, 1) for b in ALPHABET}
-        table += [math.log(p[1, b] / p[0, b]) for b in ALPHABET]
-    return table
+    def model(label: int) -> list[float]:
+        to = {b: sum(counts.get((label, a + b), 0) for a in ALPHABET) + fit.smooth for b in ALPHABET}
+        share, of = {b: x / sum(to.values()) for b, x in to.items()}, {a: sum(counts.get((label, a + b), 0) for b in ALPHABET) for a in ALPHABET}
+        return [(counts.get((label, a + b), 0) + fit.prior * share[b]) / (of[a] + fit.prior) for a in ALPHABET for b in ALPHABET]
+
+    return [math.log((fit.even / n + (1 - fit.even) * p) / q) for p, q in zip(model(1), model(0), strict=True)]
 
 
 def _ratio(word: Column, table: list[float]) -> Column:

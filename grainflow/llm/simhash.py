@@ -65,10 +65,10 @@ def links(fps: DataFrame, distance: int = 2, parts: int = 4, most: int = 24) ->
 
     Fingerprints in a block of at most `most` are joined with one another and verified. In a larger block pairs aren't
     made: each fingerprint names the points one bit away from it (outside the bits that the block fixes), and those that
-    name the same point are within two bits of each other, so that a link to the smallest of them loses no class. This
-    exact way for large blocks holds for distance 2, and by linking equal points only for distance 1."""
-    if distance not in (1, 2):
-        raise ValueError("distance is 1 or 2")
+    name the same point are within two bits of each other, so that a link to the smallest of them loses no class. This exact
+    way for large blocks is one for distance 2."""
+    if distance != 2:
+        raise ValueError("the exact way for large blocks is for distance 2")
     masks = block_masks(distance, parts)
     keys = F.explode(F.array(*(F.struct(F.lit(i).alias("block"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(masks))))
     dealt = fps.select("fp", keys.alias("k")).select("fp", "k.block", "k.key")
@@ -81,9 +81,6 @@ def links(fps: DataFrame, distance: int = 2, parts: int = 4, most: int = 24) ->
 
     free = F.element_at(F.array(*(F.array(*(F.lit(_signed(1 << b)) for b in range(BITS) if not m >> b & 1)) for m in masks)), F.col("block") + 1)
     steps = F.concat(F.array(F.lit(0).cast("long")), free)
-    if distance == 1:  # equal points at half the distance: each pair has one end that names the other's point
-        half = F.filter(steps, lambda s: (s == 0) | (F.bit_count(F.col("fp").bitwiseAND(s)) == 1))
-        steps = half
     named = dealt.where(F.col("n") > most).select("block", "key", "fp", F.explode(steps).alias("step"))
     named = named.select("block", "key", F.col("fp").bitwiseXOR(F.col("step")).alias("point"), "fp")
     low = named.groupBy("block", "key", "point").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")

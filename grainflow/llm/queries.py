@@ -95,4 +95,33 @@ QUERIES = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_MIX = mixing.Mix()
+
+#: Water-filling in closed form: by cap per weight, the sources that come first are clamped as long as the level of the rest reaches them.
+_OP2 = f"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size, md5('{_MIX.seed}:' || coalesce(doc_id::VARCHAR, '')) AS k FROM documents),
+s0 AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1 AS r FROM d GROUP BY source),
+s1 AS (SELECT *, {list(_MIX.weights)}[(r % {len(_MIX.weights)} + 1)::INT]::DOUBLE AS w, {_MIX.max_epochs} * source_size::DOUBLE AS cap FROM s0),
+s2 AS (SELECT *, row_number() OVER (ORDER BY cap / w, r) AS o FROM s1),
+s3 AS (SELECT *, ({_MIX.share} * (SELECT sum(source_size) FROM s1) - coalesce(sum(cap) OVER (ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM s2),
+lv AS (SELECT min_by(level, o) AS level FROM s3 WHERE cap > w * level), s AS (SELECT source, source_size, least(cap, coalesce(w * (SELECT level FROM lv), cap)) AS target FROM s3),
+p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM s), q AS (SELECT *, round(target)::BIGINT - whole * source_size AS extra FROM p),
+c AS (SELECT d.doc_id, d.size, q.*, sum(size) OVER (PARTITION BY q.source ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS before FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source)
+SELECT doc_id, size::BIGINT AS size, source_size, target, (whole * size + greatest(0, least(size, extra - before)))::BIGINT AS taken FROM c"""
+
+_BASE32 = "list_aggregate(list_transform(range(32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + (substr(bits, (i * 5 + 1)::BIGINT, 5)::BIT::INT)::INT]), 'string_agg', '')"
+_OP6 = f"""WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), g AS (SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha1(h) AS x, min(page_id) OVER (PARTITION BY h) AS first FROM p),
+b AS (SELECT *, list_aggregate(list_transform(range(40), lambda i: ['0000','0001','0010','0011','0100','0101','0110','0111','1000','1001','1010','1011','1100','1101','1110','1111'][instr('0123456789abcdef', x[(i + 1)::BIGINT])]), 'string_agg', '') AS bits FROM g)
+SELECT page_id, payload_bytes, {_BASE32} AS payload_digest, CASE WHEN first = page_id OR first IS NULL THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to FROM b"""
+
+_GOOD = "len(e) > 0 AND NOT list_bool_or(list_transform(e, lambda x: x IS NULL OR isnan(x) OR isinf(x)))"
+_OP7 = f"""WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), ok AS (SELECT * FROM v WHERE {_GOOD} AND list_bool_or(list_transform(e, lambda x: x <> 0)) AND label IS NOT NULL),
+l AS (SELECT a.vec_id AS u, b.vec_id AS w FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reach(u, root) AS (SELECT vec_id, vec_id FROM v UNION SELECT l.w, r.root FROM reach r JOIN l ON l.u = r.u), c AS (SELECT u AS vec_id, min(root) AS component_id FROM reach GROUP BY u), n AS (SELECT u AS vec_id, count(*) AS n FROM l GROUP BY u)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN c USING (vec_id) LEFT JOIN n USING (vec_id)"""
+
+_OP9 = f"""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), z AS (SELECT vec_id, list_transform(e, lambda x: floor(64 * x)) AS z FROM v WHERE {_GOOD}),
+s AS (SELECT q.vec_id AS query_id, x.vec_id, list_inner_product(q.z, x.z)::BIGINT AS score FROM z q JOIN z x ON q.vec_id <> x.vec_id AND len(q.z) = len(x.z) WHERE q.vec_id % 20 = 0)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20"""
+
+#: The others need a trained model, a tokenizer, a parser of pages or XXH64.
+ORACLE_SQL: dict[str, str] = {"op2_mixing": _OP2, "op6_warc": _OP6, "op7_embedding_near_dedup": _OP7, "op9_exact_top_k": _OP9}

@@ -7,6 +7,7 @@ documents, an Arrow stream of ids and token counts in a zstandard frame); the fo
 from __future__ import annotations
 
 import json
+import struct
 import zlib
 from collections.abc import Callable, Iterator
 from typing import BinaryIO
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 from .common import scratch
 
 MAGIC = b"GFIDS001"
+#: ASCII marks that part from a letter before them (an apostrophe may not).
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def to_planes(ids: np.ndarray, kind: str = "byte") -> list[bytes]:
@@ -43,7 +46,7 @@ def from_planes(planes: list[bytes], n: int, kind: str = "byte") -> np.ndarray:
 class Writer:
     """Writes one file; holds a block of ids and the documents' counts."""
 
-    def __init__(self, out: BinaryIO, kind: str = "byte", block: int = 1 << 16, level: int = 3):
+    def __init__(self, out: BinaryIO, kind: str = "byte", block: int = 1 << 16, level: int = 1):
         self.out, self.kind, self.block, self.zip = out, kind, block, zstandard.ZstdCompressor(level=level)
         self.at, self.chunks, self.rest, self.pending, self.total = 0, [], [], 0, 0
         self.docs: list[pa.RecordBatch] = []
@@ -125,10 +128,10 @@ class WordIds:
     Words are split at ASCII white space, which the file's pre-tokenizer drops; each new word is encoded by the library,
     and a word's ids stay in a memo of at most `memo` words."""
 
-    def __init__(self, path: str, memo: int = 1_000_000):
+    def __init__(self, path: str, memo: int = 700_000):
         from tokenizers import Tokenizer
 
-        self.lib, self.memo, self.most = Tokenizer.from_file(path), {}, memo
+        self.lib, self.memo, self.cores, self.most = Tokenizer.from_file(path), {}, {}, memo
         ids = lambda t: self.lib.encode(t, add_special_tokens=False).ids
         probe = ["Ab", "c,", "d's", "É9"]
         self.by_word = ids(" \n".join(probe)) == [i for w in probe for i in ids(w)] and ids(" \t\n\x0b\x0c\r") == []
@@ -136,50 +139,53 @@ class WordIds:
         #: By id, whether a token ends a word.
         self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
-        #: Whether capital ASCII letters count as small ones, and a stop or comma at a word's end is a token of its own.
-        self.fold = self.by_word and ids("ABC") == ids("abc") and ids("abc,") == ids("abc") + ids(",") and ids("abc.") == ids("abc") + ids(".")
+        #: Whether capital ASCII letters count as small ones, and marks after a letter at a word's end are tokens of their own.
+        self.fold = self.by_word and ids("ABC") == ids("abc") and all(ids(f"é{m}") == ids("é") + ids(m) for m in (*MARKS, MARKS, "$$$"))
 
-    def _encode(self, words: list[bytes]) -> list[bytes]:
-        texts = [w.decode() for w in words]
-        found: list[bytes | None] = [None] * len(texts)
-        plain = [i for i, t in enumerate(texts) if t.isalpha()] if self.by_word else []
+    def _encode(self, words: list[str]) -> None:
+        """Puts the ids of words into the memo of cores."""
+        plain, rest = ([w for w in words if w.isalpha()], [w for w in words if not w.isalpha()]) if self.by_word else ([], words)
         for a in range(0, len(plain), 1000):
             # words of letters only: one call for many, cut where a token ends a word
             part = plain[a : a + 1000]
-            ids = np.array(self.lib.encode_batch_fast([" ".join([texts[i] for i in part])], add_special_tokens=False)[0].ids, "<u4")
-            stops = np.flatnonzero(self.ends[ids]) * 4 + 4
+            ids = np.array(self.lib.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            stops = (np.flatnonzero(self.ends[ids]) * 4 + 4).tolist()
             if len(stops) == len(part):
-                data, at = ids.tobytes(), 0
-                for i, stop in zip(part, stops.tolist(), strict=True):
-                    found[i] = data[at:stop]
-                    at = stop
-        rest = [i for i, x in enumerate(found) if x is None]
+                data = ids.tobytes()
+                self.cores.update((w, data[i:j]) for w, i, j in zip(part, [0, *stops], stops, strict=False))
+            else:
+                rest += part
         for a in range(0, len(rest), 10_000):
             part = rest[a : a + 10_000]
-            for i, e in zip(part, self.lib.encode_batch_fast([texts[i] for i in part], add_special_tokens=False), strict=True):
-                found[i] = np.array(e.ids, "<u4").tobytes()
-        return found
+            self.cores.update((w, struct.pack(f"<{len(e)}I", *e.ids)) for w, e in zip(part, self.lib.encode_batch_fast(part, add_special_tokens=False), strict=True))
+
+    def _learn(self, new: list[bytes]) -> None:
+        """Puts new words into the memo: by their cores, and what ends them, where the pre-tokenizer parts the two."""
+        if len(self.cores) > self.most:
+            self.cores.clear()
+        joined = b"\n".join(new)
+        if self.fold and b"<|" not in joined:
+            texts = joined.lower().decode().split("\n")
+            stems = [t if (t := s.rstrip(MARKS)) and t[-1].isalpha() else s for s in texts]
+        else:
+            texts = stems = joined.decode().split("\n")
+        ends = {s[len(t) :] for s, t in zip(texts, stems, strict=True) if len(t) < len(s)}
+        self._encode([w for w in {*stems, *ends} if w not in self.cores])
+        cores = self.cores
+        self.memo.update((w, cores[t] if len(t) == len(s) else cores[t] + cores[s[len(t) :]]) for w, s, t in zip(new, texts, stems, strict=True))
 
     def encode_batch(self, texts: list[str], end: int | None = 1) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers, with the end id."""
         tail = np.array([] if end is None else [end], "<u4").tobytes()
         if not self.by_word:
-            return [x + tail for x in self._encode([t.encode() for t in texts])]
+            return [struct.pack(f"<{len(e)}I", *e.ids) + tail for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
         words = [t.encode().split() for t in texts]
         new = {w for ws in words for w in ws}.difference(self.memo)
         if len(self.memo) + len(new) > self.most:
             self.memo.clear()
             new = {w for ws in words for w in ws}
-        if self.fold:
-            stem = {}
-            for w in new:
-                s = w if b"<|" in w else w.lower()
-                stem[w] = (s[:-1], s[-1:]) if s[-1:] in (b".", b",") and len(s) > 1 and s[-2:-1].isalpha() else (s, b"")
-            cores = list({x for pair in stem.values() for x in pair if x}.difference(self.memo))
-            self.memo.update(zip(cores, self._encode(cores), strict=True))
-            self.memo.update({w: self.memo[s] + (self.memo[e] if e else b"") for w, (s, e) in stem.items()})
-        else:
-            self.memo.update(zip(new, self._encode(list(new)), strict=True))
+        if new:
+            self._learn(list(new))
         look = self.memo.__getitem__
         return [b"".join(map(look, ws)) + tail for ws in words]
 

@@ -35,7 +35,7 @@ class Fit:
     #: A feature marks tokens as toxic if toxic documents hold it so many times more often than clean ones, and if its
     #: likelihood-ratio statistic is one that about so many of all features would pass by chance.
     lift: float = 12.0
-    level: float = 2.0
+    level: float = 0.2
     #: Features that fewer training tokens hold aren't given a weight.
     least: int = 3
     rounds: int = 60

@@ -128,7 +128,7 @@ class WordIds:
     Words are split at ASCII white space, which the file's pre-tokenizer drops; each new word is encoded by the library,
     and a word's ids stay in a memo of at most `memo` words."""
 
-    def __init__(self, path: str, memo: int = 700_000):
+    def __init__(self, path: str, memo: int = 600_000):
         from tokenizers import Tokenizer
 
         self.lib, self.memo, self.cores, self.most = Tokenizer.from_file(path), {}, {}, memo

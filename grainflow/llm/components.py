@@ -1,42 +1,17 @@
-"""Connected components of an edge table by alternating large-star and small-star rounds."""
+"""Connected components of an edge table."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from grainflow.operators import graph
 
 
-def _stars(edges: DataFrame) -> DataFrame:
-    """Edges (u > v): one large-star and one small-star step. Only minima are gathered by node, so that a hub's
-    neighbours stay spread; the joins that follow are plain equi-joins, whose skewed side AQE can split."""
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))
-    large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
-    low = large.groupBy("u").agg(F.min("v").alias("low"))
-    moved = large.join(low, "u").where("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v"))
-    return moved.unionByName(low.select("u", F.col("low").alias("v"))).distinct()
-
-
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """edges: two columns of longs, in any order, with repeats and loops allowed; rows with a null are ignored.
 
-    Returns (node, component) for every node with an edge to another one; component is the smallest node reachable.
-    An empty table gives an empty one. Raises if `rounds` rounds don't suffice (each about halves the depth)."""
-    a, b = (F.col(f"`{c}`") for c in edges.columns)
-    now = materialize(edges.where((a != b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
-
-    def mark(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
-
-    before = mark(now)
-    for _ in range(rounds):
-        now = materialize(_stars(now), "edges")
-        after = mark(now)
-        if after == before:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
-                now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-            )
-        before = after
-    raise RuntimeError(f"components: not settled after {rounds} rounds")
+    Returns (node, component) for every node with an edge to another one; component is the smallest node reachable. An empty
+    table gives an empty one."""
+    a, b = edges.columns
+    return graph.components(edges.select(F.col(a).alias("u"), F.col(b).alias("v"))).select("node", "component")

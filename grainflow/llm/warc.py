@@ -120,36 +120,64 @@ def _member(view: memoryview, at: int, step: int = 1 << 16) -> tuple[bytes, int]
     return b"".join(out), fed - len(z.unused_data)
 
 
+def _plain(data: bytes) -> Iterator[Record | Gap]:
+    """The valid records of uncompressed content, and the gaps between them."""
+    at, bad, why, n = 0, -1, "", len(data)
+    while at < n:
+        try:
+            found, end = parse(data, at)
+        except ValueError as e:
+            if bad < 0:
+                bad, why = at, str(e)
+            at = data.find(b"WARC/", at + 1)
+            if at < 0:
+                break
+            continue
+        if bad >= 0:
+            yield Gap(bad, at, why)
+            bad = -1
+        yield found
+        at = end
+    if bad >= 0:
+        yield Gap(bad, n, why)
+
+
 def salvage(data: bytes) -> Iterator[Record | Gap]:
     """The valid records of an archive, compressed by member or plain, and the gaps between them.
 
     After a failed check the next place is searched where a member (compressed) or a version line (plain) starts and is
-    valid; what lies between is one gap. A member that is valid but holds no valid record is a gap of its own."""
+    valid; what lies between is one gap. A member may hold any number of records, each given the member's place; what of its
+    content no valid record covers is a gap at that place. A member that is valid but holds no valid record is a gap of its
+    own."""
     zipped = data[:3] == GZIP or (data[:5] != b"WARC/" and GZIP in data and b"WARC/1." not in data)
-    mark = GZIP if zipped else b"WARC/"
+    if not zipped:
+        yield from _plain(data)
+        return
     at, bad, why, n = 0, -1, "", len(data)
     view = memoryview(data)
     while at < n:
         try:
-            if zipped:
-                if data[at : at + 3] != GZIP:
-                    raise ValueError("no gzip member")
-                out, end = _member(view, at)
-                found, _ = parse(out)
-                found = Record(at, end, found.headers, found.block)
-            else:
-                found, end = parse(data, at)
+            if data[at : at + 3] != GZIP:
+                raise ValueError("no gzip member")
+            out, end = _member(view, at)
+            found = list(_plain(out))
+            if not any(isinstance(x, Record) for x in found):
+                raise ValueError(found[0].reason if found else "no version line")
         except ValueError as e:
             if bad < 0:
                 bad, why = at, str(e)
-            at = data.find(mark, at + 1)
+            at = data.find(GZIP, at + 1)
             if at < 0:
                 break
             continue
         if bad >= 0:
             yield Gap(bad, at, why)
             bad = -1
-        yield found
+        for x in found:
+            if isinstance(x, Record):
+                yield Record(at, end, x.headers, x.block)
+            else:
+                yield Gap(at, end, f"{x.reason} (bytes {x.start} to {x.end} of the member's content)")
         at = end
     if bad >= 0:
         yield Gap(bad, n, why)

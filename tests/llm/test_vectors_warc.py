@@ -140,6 +140,19 @@ def test_salvage(zipped):
     assert kinds(whole[: starts[3]] + whole[starts[3] + 20 :])[:3] == ids[:3] and kinds(whole[: starts[3]] + whole[starts[3] + 20 :])[-2:] == ids[4:]
 
 
+def test_salvage_of_members_with_several_records():
+    parts, ids = archive(False), [f"<{warc.ID}{i}>" for i in range(6)]
+    whole = warc.packed(b"".join(parts))
+    assert kinds(whole) == ids
+    broken = bytearray(b"".join(parts[:3]))
+    broken[len(parts[0]) + len(parts[1]) // 2] ^= 0xFF  # damage before compression: the member is valid, its second record isn't
+    first, second = warc.packed(bytes(broken)), warc.packed(b"".join(parts[3:]) + b"rest")
+    both = len(first) + len(second)
+    assert kinds(first + second) == [ids[0], (0, len(first)), ids[2], *ids[3:], (len(first), both)]
+    reasons = [x.reason for x in warc.salvage(first + second) if isinstance(x, warc.Gap)]
+    assert f"bytes {len(parts[0])} to {len(parts[0]) + len(parts[1])} of" in reasons[0]
+
+
 def test_reader_logs_gaps(spark, tmp_path):
     parts = archive(True)
     (tmp_path / "a.warc.gz").write_bytes(parts[0] + b"?" * 10 + parts[1])

@@ -131,6 +131,20 @@ def bar(features_tried: int, level: float) -> float:
     return 2 * math.log(max(1, features_tried) / level)
 
 
+def significant(by: DataFrame, toxic: int, clean: int, tried: int, fit: Fit) -> set[str]:
+    """The features of by (feature, t, c) that mark tokens; only these reach the driver, however many there are."""
+    rate = lambda n, of: (F.col(n) + 0.5) / (of + 1.0)
+    likely = by.where((F.col("t") >= 3) & (rate("t", toxic) > fit.lift * rate("c", clean)) & F.substring("feature", 1, 2).isin("w:", "p4", "p5", "p6"))
+    part = lambda x, n: F.when(x > 0, x * F.log(x / n)).otherwise(0.0)
+    share = (F.col("t") + F.col("c")) / F.lit(float(toxic + clean))
+    of = lambda x, n: part(x, n) + part(n - x, n) - (x * F.log(share) + (n - x) * F.log(1 - share))
+    statistic = 2 * (of(F.col("t"), F.lit(float(toxic))) + of(F.col("c"), F.lit(float(clean))))
+    least = bar(tried, fit.level)
+    # logarithms may differ in their last digits; surprise() decides
+    found = likely.where(statistic > least - 1e-6).collect()
+    return {r["feature"] for r in found if surprise(r["t"], r["c"], toxic, clean) > least}
+
+
 def _train(kept: list[tuple[list[str], list[int]]], fit: Fit) -> Model:
     """Maximum likelihood with an L2 penalty by Adam; kept: sequences of tokens and their labels."""
     held = Counter(f for x, _ in kept for w in x for f in features(w))
@@ -267,12 +281,7 @@ def train(docs: DataFrame, labels: DataFrame, fit: Fit = Fit(), id_col: str = "d
 
     by = rows.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(held, "feature string, toxic int")
     by = materialize(by.groupBy("feature").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")), "features")
-    rate = lambda n, label: (F.col(n) + 0.5) / (count[label] + 1.0)
-    likely = by.where((F.col("t") >= 3) & (rate("t", 1) > fit.lift * rate("c", 0)) & F.substring("feature", 1, 2).isin("w:", "p4", "p5", "p6"))
-    tried = by.count()
-    # bounded: each has three of the sampled toxic documents, and few documents hold very many features that others hold
-    found = likely.orderBy(F.desc("t"), "feature").limit(200_000).collect()
-    marks = {r["feature"] for r in found if surprise(r["t"], r["c"], count[1], count[0]) > bar(tried, fit.level)}
+    marks = significant(by, count[1], count[0], by.count(), fit)
 
     window, most = fit.window, fit.max_sequences
 

@@ -330,6 +330,13 @@ def test_toxic_documents_are_told_apart(spark):
     assert all(r.score < 0.3 for r in toxicity.score(docs, untrained).collect())
 
 
+def test_no_significant_feature_is_dropped(spark):
+    by = spark.range(200_500).select(F.concat(F.lit("w:"), F.col("id").cast("string")).alias("feature"), F.lit(20).cast("long").alias("t"), F.lit(0).cast("long").alias("c"))
+    by = by.unionByName(spark.createDataFrame([("w:few", 3, 0), ("w:clean", 20, 30), ("s3:end", 20, 0)], by.schema))
+    found = toxicity.significant(by, 20, 40, 200_503, toxicity.Fit())
+    assert len(found) == 200_500 and not found & {"w:few", "w:clean", "s3:end"}
+
+
 # ---------------------------------------------------------------- pipeline
 
 

@@ -77,8 +77,22 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(_assigns(text), _runs(text, ACCESS, 1), _runs(text, HEX, 2)))
 
 
-def _outside(spans: Column, base: Column) -> Column:
-    return F.filter(spans, lambda x: ~F.exists(base, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
+def _beyond(spans: Column, base: Column) -> Column:
+    """The spans that no base span covers alone."""
+    return F.filter(spans, lambda x: ~F.exists(base, lambda b: (b["s"] <= x["s"]) & (x["e"] <= b["e"])))
+
+
+def _outside(span: Column, base: Column) -> Column:
+    """The parts of a span that lie in no base span; base is in order of starts."""
+    zero = F.struct(span["s"].alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+    part = lambda s, e: F.array(F.struct(s.alias("s"), span["k"].alias("k"), e.alias("e")))
+
+    def step(acc: Column, b: Column) -> Column:
+        out = F.when(b["s"] > acc["at"], F.concat(acc["out"], part(acc["at"], b["s"]))).otherwise(acc["out"])
+        return F.struct(F.greatest(acc["at"], b["e"]).alias("at"), out.alias("out"))
+
+    end = lambda acc: F.when(acc["at"] < span["e"], F.concat(acc["out"], part(acc["at"], span["e"]))).otherwise(acc["out"])
+    return F.aggregate(F.filter(base, lambda b: (b["s"] < span["e"]) & (span["s"] < b["e"])), zero, step, end)
 
 
 def train(docs: DataFrame, fit: Fit = Fit(), id_col: str = "doc_id", text_col: str = "text") -> list[float]:
@@ -121,19 +135,19 @@ def scan(docs: DataFrame, table: list[float], fit: Fit = Fit(), id_col: str = "d
     """One row per row of docs: id_col, base and spans, arrays of (s, k, e): start and end in code points and the kind's place in
     KINDS; with keep, the columns of docs come first, as the struct doc_row, and then text.
 
-    base: the base patterns' spans, kept as they are. spans: these and the runs that the Markov models take for secrets and
-    that touch no base span, by start and kind. A null or empty text has none; repeated rows are scanned alike; other columns
+    base: the base patterns' spans, kept as they are. spans: these and the runs that the Markov models take for secrets, by
+    start and kind; of a run that reaches beyond base spans the whole is judged and the parts outside of them are added. A null or empty text has none; repeated rows are scanned alike; other columns
     are not read unless kept; an empty table gives an empty one."""
     text = text_of(text_col)
     head = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc_row")] if keep else [F.col(id_col)]
     rows = docs.select(*head, text.alias("t")).withColumn("base", base_spans(F.col("t")))
-    long = rows.withColumn("more", _outside(_runs(F.col("t"), CANDIDATE, 3), F.col("base")))
+    long = rows.withColumn("more", _beyond(_runs(F.col("t"), CANDIDATE, 3), F.col("base")))
 
     def secret(x: Column) -> Column:
         word, n = F.substring(F.col("t"), x["s"] + 1, x["e"] - x["s"]), x["e"] - x["s"]
         return F.exists(F.array(_ratio(word, table)), lambda r: (r >= fit.total) & (r >= n * fit.each))
 
-    added = F.when(F.size("more") > 0, F.filter("more", secret)).otherwise(F.col("more"))
+    added = F.when(F.size("more") > 0, F.flatten(F.transform(F.filter("more", secret), lambda x: _outside(x, F.col("base"))))).otherwise(F.col("more"))
     out = long.withColumn("spans", F.array_sort(F.concat("base", added)))
     return out.select(*(["doc_row", F.col("t").alias("text")] if keep else [id_col]), "base", "spans")
 

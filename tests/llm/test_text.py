@@ -276,6 +276,19 @@ def test_markov_models_add_random_strings_only(spark):
     assert not any(found[:1200]) and sum(found[1200:]) >= 18
 
 
+def test_runs_beyond_base_spans_are_masked_whole(spark):
+    rng = np.random.default_rng(9)
+    letters = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+    random = ["".join(rng.choice(letters, 40)) for _ in range(320)]
+    plain = [f"the {a}{b}{c}Configuration of{a} another{b}Identifier{c}ForTesting" for a, b, c in rng.choice(["Value", "Module", "Reader", "Index", "Table"], (900, 3))]
+    mixed = [f"see {w[:20]}Z0123456789abcdef{'Z0123456789abcdef' * (i % 2)}Z{w[20:]} there" for i, w in enumerate(random[300:])]
+    df = documents(spark, [f"password={w}" for w in random[:300]] + plain + mixed)
+    got = secrets.scan(df, secrets.train(df), keep=True).select("doc_row.doc_id", "spans", "base", secrets.masked(F.col("text"), F.col("spans")).alias("m")).where("doc_id >= 1200").collect()
+    assert sum(re.fullmatch(r"see (\[SECRET\])+ there", r.m) is not None for r in got) >= 18
+    for r in got:
+        assert all(e <= a or b <= s for a, k, b in map(tuple, r.spans) if k == 3 for s, _, e in map(tuple, r.base))
+
+
 def test_masked(spark):
     df = documents(spark, SECRETS + ODD)
     rows = secrets.scan(df, secrets.train(df), keep=True).select("doc_row.doc_id", "text", "base", secrets.masked(F.col("text"), F.col("base")).alias("m")).collect()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -45,36 +45,51 @@ def band_keys(hashes: np.ndarray, how: Bands = Bands()) -> list[int]:
     return [xxhash.xxh64_intdigest(x.tobytes(), i) - (1 << 63) for i, x in enumerate(low.reshape(how.bands, how.rows))]
 
 
+def _sid(hashes: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(hashes.tobytes(), 1) - (1 << 63) if len(hashes) else 0
+
+
 def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int, how: Bands) -> DataFrame:
-    """(id_col, sid, hashes, keys): sid is a digest of the set, 0 for the empty one."""
+    """(id_col, sid, n, keys): sid is a digest of the set, 0 for the empty one, and n its size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t, shingle, how.seed) for t in batch.column(1).to_pylist()]
-            sids = [xxhash.xxh64_intdigest(s.tobytes(), 1) - (1 << 63) if len(s) else 0 for s in sets]
-            columns = [pa.array(sids, pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([band_keys(s, how) for s in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["id", "sid", "hashes", "keys"])
+            rows = [(_sid(s), len(s), band_keys(s, how)) for s in (shingle_set(t, shingle, how.seed) for t in batch.column(1).to_pylist())]
+            columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int32(), pa.list_(pa.int64())))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["id", "sid", "n", "keys"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, sid bigint, hashes array<bigint>, keys array<bigint>")
-    return out.withColumnRenamed("id", id_col)
+    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, sid bigint, n int, keys array<bigint>").withColumnRenamed("id", id_col)
+
+
+def sets_of(texts: DataFrame, shingle: int, how: Bands) -> DataFrame:
+    """(sid, hashes) of a column of texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t, shingle, how.seed) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(map(_sid, sets), pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["sid", "hashes"])
+
+    return texts.mapInArrow(run, "sid bigint, hashes array<bigint>")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, share: float) -> DataFrame:
-    """The distinct pairs (a, b) whose sets have at least this Jaccard similarity."""
-    side = lambda c: sets.select(F.col("sid").alias(c), F.col("hashes").alias(f"{c}_set"))
-    both = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(side("a"), "a").join(side("b"), "b")
+def _verified(pairs: DataFrame, sets: Callable[[DataFrame], DataFrame], share: float) -> DataFrame:
+    """The distinct pairs (a, b) whose sets have at least this Jaccard similarity; only the sets of pairs are made."""
+    pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    made = materialize(sets(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()), "sets")
+    side = lambda c: made.select(F.col("sid").alias(c), F.col("hashes").alias(f"{c}_set"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
     common = F.size(F.array_intersect("a_set", "b_set"))
     return both.where(common / (F.size("a_set") + F.size("b_set") - common) >= share).select("a", "b")
 
 
-def links(sets: DataFrame, share: float = 0.8, how: Bands = Bands()) -> DataFrame:
-    """sets: distinct sets (sid, hashes, keys). Returns edges (a, b), all at least `share` similar, that join the classes of all
+def links(signed: DataFrame, sets: Callable[[DataFrame], DataFrame], share: float = 0.8, how: Bands = Bands()) -> DataFrame:
+    """signed: distinct sets (sid, n, keys); sets: gives (sid, hashes) of a table of sids. Returns edges (a, b), all at least `share` similar, that join the classes of all
     such pairs that meet in a band.
 
     Members of a small block are all compared. Those of a larger one are compared with four of them first; then only pairs of
     the block that aren't in one class yet are, so that a large group of near copies isn't squared and no class is lost."""
-    dealt = sets.select("sid", F.size("hashes").alias("n"), F.explode("keys").alias("key"))
+    dealt = signed.select("sid", "n", F.explode("keys").alias("key"))
     pivots = [F.min("sid"), F.max("sid"), F.min_by("sid", F.xxhash64("sid")), F.max_by("sid", F.xxhash64("sid"))]
     blocks = dealt.groupBy("key").agg(F.count("*").alias("size"), F.array(*pivots).alias("pivots")).where("size > 1")
     dealt = materialize(dealt.join(blocks, "key"), "bands")
@@ -106,8 +121,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members' ids are null; other columns of docs are not read. An empty table gives an empty one."""
     every = materialize(signatures(docs, id_col, text_col, shingle, how), "signatures")
     classes = materialize(every.groupBy("sid").agg(F.min(id_col).alias("first")), "classes")
-    sets = materialize(every.dropDuplicates(["sid"]).select("sid", "hashes", "keys"), "sets")
-    found = connected_components(links(sets, share, how))
+
+    def sets(sids: DataFrame) -> DataFrame:
+        ids = classes.join(sids, "sid", "left_semi").select(F.col("first").alias("_id")).distinct()
+        texts = docs.join(ids, docs[id_col].eqNullSafe(ids["_id"]), "left_semi").select(text_col)
+        return sets_of(texts, shingle, how).join(sids, "sid", "left_semi").dropDuplicates(["sid"])
+
+    found = connected_components(links(every.select("sid", "n", "keys").dropDuplicates(["sid"]), sets, share, how))
     rooted = classes.join(found.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "first", F.coalesce("component", "sid").alias("root"))
     rooted = materialize(rooted, "rooted")
     least = rooted.groupBy("root").agg(F.min("first").alias("component"))

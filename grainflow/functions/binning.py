@@ -19,9 +19,15 @@ def count_edges(low: Column, high: Column, n: int) -> Column:
 
 
 def width_edges(low: Column, high: Column, width: float) -> Column:
-    """Bins of a width from low on, as many as reach high; where low and high are equal one bin around them."""
-    steps = F.greatest(F.lit(1), F.ceil((high - low) / width - 1e-9)).cast("int")
-    run = F.transform(F.sequence(F.lit(0), steps), lambda i: low + i * F.lit(float(width)))
+    """Edges low, low + width, ... as far as high, and one more where the last is below it, so that no value is without a bin; an
+    edge that rounding alone puts off high is high. Where low and high are equal, one bin around them."""
+    w = F.lit(float(width))
+    slack = 2 * 2.220446049250313e-16 * F.greatest(F.abs(low), F.abs(high))
+    near = F.round((high - low) / w)
+    n = F.when(low + near * w - high > slack, near - 1).otherwise(near).cast("int")
+    run = F.transform(F.sequence(F.lit(0), n), lambda i: F.when((i == n) & (F.abs(low + i * w - high) <= slack), high).otherwise(low + i * w))
+    last = F.element_at(run, -1)
+    run = F.when(last < high, F.concat(run, F.array(last + w))).otherwise(run)
     one = F.array(low - width / 2, low + width / 2)
     return F.when(low.isNotNull() & high.isNotNull(), F.when(low == high, one).otherwise(run))
 

@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .errors import require
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; one of our own only where none is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='grainflow-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
+    """The folder named in spark.checkpoint.dir; where none is named, the context's checkpoint folder, or else the warehouse."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir", None)
+    require(bool(found), "NoSharedFolder", "name one in spark.checkpoint.dir")
     return found.rstrip("/")
 
 
@@ -22,8 +21,22 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/grainflow/{what}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, what: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: the lineage is cut and nothing is computed twice."""
+def materialize(df: DataFrame, what: str, *metrics) -> DataFrame:
+    """Writes df to the shared folder and reads it back: the lineage is cut and nothing is computed twice.
+
+    metrics: pairs of an Observation and its aggregates, filled by the write."""
     path = scratch(df.sparkSession, what)
+    for observation, *aggregates in metrics:
+        df = df.observe(observation, *aggregates)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._grainflow_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that materialize wrote, once nothing will read them again. Others are left alone."""
+    for t in tables:
+        if path := getattr(t, "_grainflow_path", None):
+            place = t.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(place, True)

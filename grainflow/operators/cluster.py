@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -10,18 +11,21 @@ from pyspark.sql import Window as W
 
 from ..functions import binning
 from ..functions.errors import positive, require
+from ..functions.ranks import running_sum
 from ..functions.scalars import equivalent_diameter, gamma_pdf, lognormal_pdf, moment_mean, safe_div, sample_std
 
 KEY = "step_index"
 ATTRIBUTES = ("c_x", "c_y", "c_z", "vx", "vy", "vz")
 QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
+#: Ranks of one value that are made in one place.
+PIECE = 4096
 
 
 @dataclass(frozen=True)
 class Options:
     dx: float = 1.0
     dim: int = 2
-    #: Inclusive ranges by column; bounds may be in either order, columns that a table hasn't are ignored.
+    #: Inclusive ranges by column; bounds may be in either order, a column that a table hasn't is ignored with a warning.
     ranges: dict[str, tuple[float, float]] = field(default_factory=dict)
     diameter_range: tuple[float, float] | None = None
     mean_m: float = 1.0
@@ -43,6 +47,8 @@ def diameters(df: DataFrame, o: Options = Options()) -> DataFrame:
     for c, bounds in o.ranges.items():
         if c in df.columns and c in ATTRIBUTES:
             df = df.where(F.col(c).between(min(bounds), max(bounds)))
+        else:
+            warnings.warn(f"the range of {c} is ignored: the table has no such attribute", stacklevel=2)
     d = equivalent_diameter(F.col("Ncount"), o.dx, o.dim)
     df = df.withColumn("diameter", d).where((F.col("diameter") > 0) & (F.col("diameter") < F.lit(float("inf"))))
     return df if o.diameter_range is None else df.where(F.col("diameter").between(min(o.diameter_range), max(o.diameter_range)))
@@ -120,11 +126,14 @@ def binned_mean(d: DataFrame, by: str, bins: int = 20, o: Options = Options()) -
 def cdf(d: DataFrame, keys: list[str], column: str = "diameter") -> DataFrame:
     """The empirical distribution from both ends: each value with the number and share of values up to it and from it on.
 
-    Ties have ranks of their own. Ranks come from counts of distinct values, summed by range: a value that holds a third of
-    the rows is one row of the running sum."""
+    Ties have ranks of their own. Ranks come from counts of distinct values, summed by range; a value that holds a third of the
+    rows is one row of the running sum, and its ranks are dealt out in pieces."""
     n = d.groupBy(*keys, column).agg(F.count("*").alias("copies"))
-    each = W.partitionBy(*keys)
-    upto = n.withColumn("upto", F.sum("copies").over(each.orderBy(column).rowsBetween(W.unboundedPreceding, 0))).withColumn("total", F.sum("copies").over(each))
-    rows = upto.select(*keys, column, "total", F.explode(F.sequence(F.col("upto") - F.col("copies") + 1, F.col("upto"))).alias("rank"))
+    total = n.groupBy(*keys).agg(F.sum("copies").alias("total"))
+    upto = running_sum(n, keys, [F.col(column)], F.col("copies"), "upto").join(total, keys)
+    piece = F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(PIECE).cast("long"))).alias("piece")
+    dealt = upto.select(*keys, column, "total", "copies", "upto", piece).repartition(*keys, column, "piece")
+    first = F.col("upto") - F.col("copies") + 1 + F.col("piece")
+    rows = dealt.select(*keys, column, "total", F.explode(F.sequence(first, F.least(F.col("upto"), first + PIECE - 1))).alias("rank"))
     down = F.col("total") - F.col("rank") + 1
     return rows.select(*keys, F.col(column).alias("x"), "rank", (F.col("rank") / F.col("total")).alias("cdf"), down.alias("rank_down"), (down / F.col("total")).alias("cdf_down"))

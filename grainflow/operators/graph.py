@@ -5,10 +5,10 @@ one of its component, until all point at the smallest; the offsets then place ev
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..functions.tables import materialize
+from ..functions.tables import discard, materialize
 
 
 def _one_each(edges: DataFrame) -> DataFrame:
@@ -31,28 +31,32 @@ def _stars(edges: DataFrame) -> DataFrame:
     return _one_each(moved.unionByName(low.select("u", F.col("low").alias("v"), F.col("lox").alias("ox"), F.col("loy").alias("oy"))))
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """edges: (u, v) or (u, v, ox, oy), in any direction, with repeats and loops allowed; rows with a null node are ignored.
 
     Returns (node, component, ox, oy) for each node with an edge to another one: component is the smallest node reachable, and
-    lies at the node's place moved by the offset, along some path. An empty table gives an empty one. Raises if `rounds` rounds
-    don't suffice; each about halves the depth."""
+    lies at the node's place moved by the offset, along some path. An empty table gives an empty one. Rounds go on until one
+    changes nothing; each about halves the depth. A round is one write, which also takes the edges' fingerprint; its
+    predecessor is deleted then."""
     if "ox" not in edges.columns:
         edges = edges.select(F.col("u"), F.col("v"), F.lit(0).alias("ox"), F.lit(0).alias("oy"))
     up = F.col("u") > F.col("v")
     sign = F.when(up, 1).otherwise(-1)
     now = edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"), (sign * F.col("ox")).cast("int").alias("ox"), (sign * F.col("oy")).cast("int").alias("oy"))
-    now = materialize(_one_each(now), "edges")
 
-    def mark(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
-
-    before = mark(now)
-    for _ in range(rounds):
-        now = materialize(_stars(now), "edges")
-        after = mark(now)
+    def written(e: DataFrame) -> tuple[DataFrame, tuple]:
+        mark = Observation()
+        sums = [F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("s")]
+        out = materialize(e, "edges", (mark, *sums))
+        return out, tuple(mark.get.get(k) for k in "nxs")
+
+    now, before = written(_one_each(now))
+    while before[0]:
+        later, after = written(_stars(now))
+        discard(now)
+        now = later
         if after == before:
-            roots = now.select(F.col("v").alias("node"), F.col("v").alias("component"), F.lit(0).alias("ox"), F.lit(0).alias("oy")).distinct()
-            return now.select(F.col("u").alias("node"), F.col("v").alias("component"), "ox", "oy").unionByName(roots)
+            break
         before = after
-    raise RuntimeError(f"components: not settled after {rounds} rounds")
+    roots = now.select(F.col("v").alias("node"), F.col("v").alias("component"), F.lit(0).alias("ox"), F.lit(0).alias("oy")).distinct()
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component"), "ox", "oy").unionByName(roots)

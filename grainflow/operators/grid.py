@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 
 from ..functions.errors import positive, require
 from ..functions.names import metadata
+from ..functions.ranks import ranked
 from ..functions.scalars import safe_div, safe_div_or_zero
 from ..functions.tables import materialize
 from . import graph
@@ -186,9 +187,8 @@ def label(cells: DataFrame, b: Boundary, tile: int = TILE) -> tuple[DataFrame, D
     found = found.select(STEP, "ix", "iy", "x", "y", "phase", "nx", "ny", F.coalesce("component", "node").alias("component"))
     comps = local.select(STEP, "phase", "node").distinct().join(placed.select("node", "component"), "node", "left")
     comps = comps.select(STEP, "phase", F.coalesce("component", "node").alias("component")).distinct().join(wraps, "component", "left")
-    order = W.partitionBy(STEP, "phase").orderBy("component")
-    comps = comps.select(STEP, "phase", "component", F.coalesce("wrap_x", F.lit(False)).alias("wrap_x"), F.coalesce("wrap_y", F.lit(False)).alias("wrap_y"), F.row_number().over(order).alias("label"))
-    return found, comps
+    comps = comps.select(STEP, "phase", "component", F.coalesce("wrap_x", F.lit(False)).alias("wrap_x"), F.coalesce("wrap_y", F.lit(False)).alias("wrap_y"))
+    return found, ranked(comps, [STEP, "phase"], [F.col("component")], "label")
 
 
 def component_stats(cells: DataFrame, b: Boundary, dx: float, dy: float, tile: int = TILE) -> DataFrame:
@@ -219,8 +219,7 @@ def component_stats(cells: DataFrame, b: Boundary, dx: float, dy: float, tile: i
     out = out.withColumn("perimeter_open", F.col("cell_count") * (2 * dx + 2 * dy) + F.coalesce("open", F.lit(0.0))).withColumn("interface_perimeter", F.coalesce("interface_perimeter", F.lit(0.0)))
     out = out.withColumn("shape_factor", F.when(F.col("perimeter_open") > 0, 4 * F.pi() * F.col("area") / (F.col("perimeter_open") * F.col("perimeter_open"))))
     out = out.withColumn("percolates_x", F.col("touches_left") & F.col("touches_right")).withColumn("percolates_y", F.col("touches_bottom") & F.col("touches_top"))
-    out = out.withColumn("size_rank", F.row_number().over(W.partitionBy(STEP, "phase").orderBy(F.desc("area"), "label")))
-    return out.drop("open")
+    return ranked(out.drop("open"), [STEP, "phase"], [F.desc("area"), F.col("label")], "size_rank")
 
 
 def labelled(cells: DataFrame, b: Boundary, tile: int = TILE) -> DataFrame:
@@ -267,14 +266,14 @@ def connects(axis: str, b: Boundary) -> Column:
 
 
 def connectivity(cells: DataFrame, b: Boundary, components: DataFrame, dx: float, dy: float) -> DataFrame:
-    """Per step, phase and axis: the components that connect along it, their number and areas, whether any does, and the older
-    flags: percolates (null on a periodic axis) and wraps (false on an open one)."""
+    """Per step, phase and axis: the number and areas of the components that connect along it, whether any does, and the older
+    flags: percolates (null on a periodic axis) and wraps (false on an open one). connected() has the components."""
     rows = []
     for axis in "xy":
         hit = connects(axis, b)
         rows.append(
             components.groupBy(STEP, "phase").agg(
-                F.lit(axis).alias("axis"), F.count_if(hit).alias("component_count"), F.sort_array(F.collect_list(F.when(hit, F.col("label")))).alias("component_ids"),
+                F.lit(axis).alias("axis"), F.count_if(hit).alias("component_count"),
                 F.sum(F.when(hit, F.col("area")).otherwise(0.0)).alias("connected_area"), F.max(F.when(hit, F.col("area")).otherwise(0.0)).alias("largest_connected_area"),
                 (F.lit(None).cast("boolean") if getattr(b, axis) else F.bool_or(f"percolates_{axis}")).alias("percolates"),
                 (F.bool_or(f"wrap_{axis}") if getattr(b, axis) else F.lit(False)).alias("wraps"),
@@ -286,12 +285,18 @@ def connectivity(cells: DataFrame, b: Boundary, components: DataFrame, dx: float
     share = safe_div_or_zero(F.col("connected_area"), F.col("n0") * F.lit(dx * dy))
     periodic = (F.lit(b.x) & (F.col("axis") == "x")) | (F.lit(b.y) & (F.col("axis") == "y"))
     return out.select(
-        STEP, "phase", "axis", "component_count", F.coalesce("component_ids", F.array().cast("array<int>")).alias("component_ids"), "connected_area", "largest_connected_area",
+        STEP, "phase", "axis", "component_count", "connected_area", "largest_connected_area",
         share.alias("connected_fraction"), (F.col("component_count") > 0).alias("is_connected"),
         F.when(~periodic, F.coalesce("percolates", F.lit(False))).alias("percolates"), F.coalesce("wraps", F.lit(False)).alias("wraps"),
     )
 
 
+def connected(components: DataFrame, b: Boundary) -> DataFrame:
+    """The components that connect along an axis: a row (step_index, phase, axis, label) each, however many there are."""
+    hits = F.array(*(F.when(connects(a, b), F.lit(a)) for a in "xy"))
+    return components.select(STEP, "phase", F.explode(F.array_compact(hits)).alias("axis"), "label")
+
+
 def size_rank_grid(cells: DataFrame, b: Boundary, components: DataFrame, phase: str = "pore", tile: int = TILE) -> DataFrame:
     """Each cell with the rank of its component by size, 0 in the other phase."""
     lab = labelled(cells, b, tile).join(components.select(STEP, "phase", "label", "size_rank"), [STEP, "phase", "label"])

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import safe_div
-from ..functions.tables import materialize
+from ..functions.tables import discard, materialize
 from .grid import STEP, Boundary
 
 #: The eight neighbours in a ring, starting above and going round.
@@ -36,10 +36,11 @@ def thin(mask: np.ndarray, rounds: int) -> np.ndarray:
     return mask
 
 
-def skeleton(cells: DataFrame, b: Boundary, phase: str, tile: int = 96, rounds: int = 12, most: int = 200) -> DataFrame:
+def skeleton(cells: DataFrame, b: Boundary, phase: str, tile: int = 96, rounds: int = 12) -> DataFrame:
     """The cells (step_index, ix, iy, nx, ny) of a phase that thinning leaves, on the wrapped grid along periodic axes.
 
-    Each pass hands every tile its cells with a rim, and thins it by `rounds`; passes go on until none removes a cell."""
+    Each pass hands every open tile its cells with a rim, and thins it by `rounds`; passes go on until none removes a cell. A tile is
+    open as long as the last pass changed it or one whose cells it sees; settled ones are carried on as they are."""
     rim = 2 * rounds
     now = cells.where(F.col("phase") == phase).select(F.col(STEP).cast("int").alias(STEP), F.col("ix").cast("int").alias("ix"), F.col("iy").cast("int").alias("iy"), "nx", "ny")
     now = materialize(now, "skeleton")
@@ -55,6 +56,12 @@ def skeleton(cells: DataFrame, b: Boundary, phase: str, tile: int = 96, rounds:
     def tiles(x: str):
         return F.sequence(F.floor((F.col(x) - rim) / tile).cast("int"), F.floor((F.col(x) + rim) / tile).cast("int"))
 
+    def seen(df: DataFrame) -> DataFrame:
+        """Cells by each tile that sees them."""
+        placed = df.withColumn("vx", F.explode(copies("ix", "nx", b.x))).withColumn("vy", F.explode(copies("iy", "ny", b.y)))
+        dealt = placed.withColumn("tx", F.explode(tiles("vx"))).withColumn("ty", F.explode(tiles("vy")))
+        return dealt.where((F.col("tx") >= 0) & (F.col("ty") >= 0) & (F.col("tx") * tile < F.col("nx")) & (F.col("ty") * tile < F.col("ny")))
+
     def run(part: pd.DataFrame) -> pd.DataFrame:
         tx, ty, nx, ny = (int(part[c].iloc[0]) for c in ("tx", "ty", "nx", "ny"))
         x0, y0 = tx * tile - rim, ty * tile - rim
@@ -66,16 +73,25 @@ def skeleton(cells: DataFrame, b: Boundary, phase: str, tile: int = 96, rounds:
         own = (i >= 0) & (i < nx) & (j >= 0) & (j < ny)
         return pd.DataFrame({STEP: part[STEP].iloc[0], "ix": i[own], "iy": j[own], "nx": nx, "ny": ny}).astype("int32")
 
-    count = now.count()
-    for _ in range(most):
-        seen = now.withColumn("vx", F.explode(copies("ix", "nx", b.x))).withColumn("vy", F.explode(copies("iy", "ny", b.y)))
-        dealt = seen.withColumn("tx", F.explode(tiles("vx"))).withColumn("ty", F.explode(tiles("vy")))
-        dealt = dealt.where((F.col("tx") >= 0) & (F.col("ty") >= 0) & (F.col("tx") * tile < F.col("nx")) & (F.col("ty") * tile < F.col("ny")))
-        now = materialize(dealt.select(STEP, "vx", "vy", "tx", "ty", "nx", "ny").groupBy(STEP, "tx", "ty").applyInPandas(run, schema), "skeleton")
-        before, count = count, now.count()
-        if before == count:
-            return now
-    raise RuntimeError(f"skeleton: not settled after {most} passes")
+    place = [STEP, "tx", "ty"]
+    own = {"tx": F.floor(F.col("ix") / tile).cast("int"), "ty": F.floor(F.col("iy") / tile).cast("int")}
+    open_ = None  # every tile at first
+    while True:
+        dealt, rest = seen(now), None
+        if open_ is not None:
+            dealt = dealt.join(open_, place, "left_semi")
+            rest = now.withColumns(own).join(open_, place, "left_anti").select(*now.columns)
+        later = dealt.select(STEP, "vx", "vy", "tx", "ty", "nx", "ny").groupBy(*place).applyInPandas(run, schema)
+        later = materialize(later if rest is None else later.unionByName(rest), "skeleton")
+        gone = materialize(now.join(later, [STEP, "ix", "iy"], "left_anti"), "thinned")
+        if open_ is not None:
+            discard(open_)
+        if gone.isEmpty():
+            discard(gone, now)
+            return later
+        open_ = materialize(seen(gone).select(*place).distinct(), "open-tiles")
+        discard(gone, now)
+        now = later
 
 
 def _neighbours(skel: DataFrame, b: Boundary) -> DataFrame:
@@ -109,6 +125,26 @@ def skeleton_stats(cells: DataFrame, skel: DataFrame, b: Boundary, phase: str, d
     return out.select(STEP, "skeleton_length", "branch_points", "end_points", density.alias("branch_density"))
 
 
+def _least_parabola(at: np.ndarray, height: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The least of height + (x - at)^2 at each x, for rising places: the lower envelope of the parabolas, built in one pass."""
+    if not len(at):
+        return np.full(len(x), np.inf)
+    kept, starts = [], []
+    for p, h in zip(at.tolist(), height.tolist(), strict=True):
+        start = -np.inf
+        while kept:
+            q, f = kept[-1]
+            start = (h + p * p - f - q * q) / (2 * (p - q))
+            if start > starts[-1]:
+                break
+            kept.pop(), starts.pop()
+            start = -np.inf
+        kept.append((p, h))
+        starts.append(start)
+    p, h = np.array(kept).T[:, np.maximum(0, np.searchsorted(starts, x, side="right") - 1)]
+    return h + (x - p) ** 2
+
+
 def distances(cells: DataFrame, b: Boundary, phase: str) -> DataFrame:
     """Each cell of the phase with its distance in cells to the nearest place that isn't in the phase: other phase or missing; null if
     there is none. First along each line in x, then the least over the line in y; both are tasks of one grid line."""
@@ -136,11 +172,8 @@ def distances(cells: DataFrame, b: Boundary, phase: str) -> DataFrame:
         y = line["iy"].to_numpy()
         g[y] = line["g"].to_numpy() ** 2
         all_g, at = (np.concatenate([g] * 3), np.arange(-n, 2 * n)) if b.y else (g, np.arange(n))
-        best = np.full(len(y), far)
-        finite = np.flatnonzero(np.isfinite(all_g))
-        for a in range(0, len(y), 256):  # a block of the line's cells against the line
-            best[a : a + 256] = (all_g[finite] + (y[a : a + 256, None] - at[finite]) ** 2).min(1, initial=far)
-        return line.assign(d=np.sqrt(best)).drop(columns="g")
+        there = np.isfinite(all_g)
+        return line.assign(d=np.sqrt(_least_parabola(at[there], all_g[there], y))).drop(columns="g")
 
     first = mine.groupBy(STEP, "iy").applyInPandas(along_x, f"{STEP} int, ix int, iy int, nx int, ny int, g double")
     second = first.groupBy(STEP, "ix").applyInPandas(along_y, f"{STEP} int, ix int, iy int, nx int, ny int, d double")

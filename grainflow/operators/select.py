@@ -15,7 +15,8 @@ def nearest(requests: DataFrame, request: str, table: DataFrame, at: str, order:
     """Each request with the columns `take` of the table's row whose `at` is nearest, of equally near ones the first by `order`.
 
     Both sides are laid on one line, sorted, and each request looks at the next row before and after it: nothing is crossed.
-    The line is cut into ranges of at; the last row before and the first after each range come from a small aggregate."""
+    The line is cut into ranges of at; the last row before and the first after each range come from a small aggregate. The rows
+    after are found in descending order: a frame that grows costs a row each, one that shrinks would cost the rest of the range."""
     spark_rows = table.where(finite(F.col(at)).isNotNull()).select(F.col(at).cast("double").alias("x"), F.struct(F.col(order).alias("o"), *(F.col(c).alias(c) for c in take)).alias("row"))
     # rows at the same place: the first by order stands for all
     spark_rows = spark_rows.groupBy("x").agg(F.min_by("row", F.col("row.o")).alias("row"))
@@ -26,9 +27,9 @@ def nearest(requests: DataFrame, request: str, table: DataFrame, at: str, order:
     known = F.when(F.col("row").isNotNull(), here)
     ends = line.groupBy("part").agg(F.max_by(known, F.when(F.col("row").isNotNull(), F.col("x"))).alias("last"), F.min_by(known, F.when(F.col("row").isNotNull(), F.col("x"))).alias("first"))
     around = W.orderBy("part")  # one row per range: as many as there are partitions
-    ends = ends.select("part", F.last("last", ignorenulls=True).over(around.rowsBetween(W.unboundedPreceding, -1)).alias("before_part"), F.first("first", ignorenulls=True).over(around.rowsBetween(1, W.unboundedFollowing)).alias("after_part"))
+    ends = ends.select("part", F.last("last", ignorenulls=True).over(around.rowsBetween(W.unboundedPreceding, -1)).alias("before_part"), F.last("first", ignorenulls=True).over(W.orderBy(F.desc("part")).rowsBetween(W.unboundedPreceding, -1)).alias("after_part"))
     w = W.partitionBy("part").orderBy("x", F.col("row").isNull())
-    found = line.select("part", "x", "row", F.last(known, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)).alias("b"), F.first(known, ignorenulls=True).over(W.partitionBy("part").orderBy("x", F.col("row").isNotNull()).rowsBetween(0, W.unboundedFollowing)).alias("a"))
+    found = line.select("part", "x", "row", F.last(known, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)).alias("b"), F.last(known, ignorenulls=True).over(W.partitionBy("part").orderBy(F.desc("x"), F.col("row").isNull()).rowsBetween(W.unboundedPreceding, 0)).alias("a"))
     found = found.where("row is null").join(ends, "part", "left").select("x", F.coalesce("b", "before_part").alias("b"), F.coalesce("a", "after_part").alias("a"))
     gap = lambda s: F.abs(F.col(f"{s}.x") - F.col("x"))
     choice = F.when(F.col("a").isNull(), F.col("b.row")).when(F.col("b").isNull(), F.col("a.row")).when(gap("b") < gap("a"), F.col("b.row")).when(gap("a") < gap("b"), F.col("a.row"))

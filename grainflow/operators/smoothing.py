@@ -38,13 +38,15 @@ def smooth_1d(df: DataFrame, key: str, x: str, value: str, sigma: float, keep_nu
 
 
 def smooth_2d(df: DataFrame, key: str, ix: str, iy: str, value: str, sigma: float, keep_null: bool = True) -> DataFrame:
-    """As smooth_1d, on grid indices; absent cells count as null and get no row."""
+    """As smooth_1d, on grid indices; absent cells count as null and get no row. A cell gives 2 (2r + 1) rows, not (2r + 1)^2."""
     if sigma <= 0:
         return df.withColumn("smooth", F.col(value))
-    one = weights(sigma)
-    table = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(v * w).alias("w")) for a, v in one for b, w in one))).alias("t")
-    given = df.where(F.col(value).isNotNull()).select(key, ix, iy, F.col(value).alias("__v"), table)
-    sums = given.groupBy(key, (F.col(ix) + F.col("t.a")).alias(ix), (F.col(iy) + F.col("t.b")).alias(iy)).agg(F.sum(F.col("__v") * F.col("t.w")).alias("__num"), F.sum("t.w").alias("__den"))
+    table = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(w).alias("w")) for k, w in weights(sigma)))).alias("t")
+    sums = df.where(F.col(value).isNotNull()).select(key, ix, iy, F.col(value).alias("__num"), F.lit(1.0).alias("__den"))
+    for axis in (ix, iy):  # the kernel is a product: first along one axis, then along the other
+        spread = sums.select(key, ix, iy, "__num", "__den", table)
+        at = {axis: (F.col(axis) + F.col("t.k")).alias(axis)}
+        sums = spread.groupBy(key, *(at.get(c, F.col(c)) for c in (ix, iy))).agg(F.sum(F.col("__num") * F.col("t.w")).alias("__num"), F.sum(F.col("__den") * F.col("t.w")).alias("__den"))
     mean = F.when(F.col("__den") > TINY, F.col("__num") / F.col("__den"))
     out = df.join(sums, [key, ix, iy], "left").withColumn("smooth", F.when(F.col(value).isNotNull(), mean) if keep_null else mean)
     return out.drop("__num", "__den")
@@ -57,12 +59,12 @@ def fill(df: DataFrame, key: str, x: str, value: str, mode: str = "interp") -> D
     if mode != "interp":
         return df.withColumn("filled", F.col(value))
     p = F.when(F.col(value).isNotNull(), F.struct(F.col(x).alias("x"), F.col(value).alias("v")))
-    line = W.partitionBy(key).orderBy(x)
-    back, ahead = line.rowsBetween(W.unboundedPreceding, -1), line.rowsBetween(1, W.unboundedFollowing)
+    # frames only grow: what comes after is found in descending order
+    back, ahead = (W.partitionBy(key).orderBy(o).rowsBetween(W.unboundedPreceding, -1) for o in (F.asc(x), F.desc(x)))
     # of every row, the known points before and after; then the second ones, found at the first
-    first = df.withColumn("__p", p).withColumn("__b", F.last("__p", ignorenulls=True).over(back)).withColumn("__a", F.first("__p", ignorenulls=True).over(ahead))
+    first = df.withColumn("__p", p).withColumn("__b", F.last("__p", ignorenulls=True).over(back)).withColumn("__a", F.last("__p", ignorenulls=True).over(ahead))
     known = F.when(F.col("__p").isNotNull(), F.struct("__b", "__a"))
-    two = first.withColumn("__bb", F.last(known, ignorenulls=True).over(back)["__b"]).withColumn("__aa", F.first(known, ignorenulls=True).over(ahead)["__a"])
+    two = first.withColumn("__bb", F.last(known, ignorenulls=True).over(back)["__b"]).withColumn("__aa", F.last(known, ignorenulls=True).over(ahead)["__a"])
     through = lambda p, q: F.col(f"{p}.v") + (F.col(x) - F.col(f"{p}.x")) * F.try_divide(F.col(f"{q}.v") - F.col(f"{p}.v"), F.col(f"{q}.x") - F.col(f"{p}.x"))
     filled = F.coalesce(F.col(value), through("__b", "__a"), through("__b", "__bb"), through("__a", "__aa"))
     return two.withColumn("filled", filled).drop("__p", "__b", "__a", "__bb", "__aa")

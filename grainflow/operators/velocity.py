@@ -27,7 +27,7 @@ def cumulative(df: DataFrame, asked: list[str] | None = None, factor: float = 0.
     names = density_columns(df.columns, asked)
     if TOTAL in df.columns and all(p in df.columns for p in PARTS):
         df = df.withColumn(TOTAL, F.col(PARTS[0]) + F.col(PARTS[1]))
-    down = W.partitionBy("step_index").orderBy("v", "row_id").rowsBetween(0, W.unboundedFollowing)
+    down = W.partitionBy("step_index").orderBy(F.desc("v"), F.desc("row_id")).rowsBetween(W.unboundedPreceding, 0)
     df = df.withColumn("v", F.col("Chunk") * F.lit(factor))
     return df.select("step_index", "row_id", "v", *(F.sum(c).over(down).alias(c) for c in names))
 

@@ -80,6 +80,10 @@ class Network:
     def connectivity(self) -> DataFrame:
         return grid.connectivity(self.cells, self.b, self.components, self.o.dx, self.o.dy)
 
+    @cached_property
+    def connected(self) -> DataFrame:
+        return grid.connected(self.components, self.b)
+
     @cached_property
     def sizes(self) -> DataFrame:
         """Per step and phase: components, their largest area and share, and diameters' greatest, generalized and area-weighted mean."""

@@ -192,7 +192,8 @@ def cluster_hist_nbins(spark, d):
     return rounded(cluster.histogram(_clusters(spark, d), ["step_index"], bins=30))
 
 
-_WIDTH = "SELECT i, lo + i * 0.1 AS e FROM (SELECT min(d) AS lo, greatest(1, ceil((max(d) - min(d)) / 0.1 - 1e-9))::INT AS n FROM c), range(n + 1) r(i)"
+#: Edges from the least value on while they don't pass the greatest, and one more if the last stays below it.
+_WIDTH = "SELECT i, e FROM (SELECT i, lo + i * 0.1 AS e, hi, max(CASE WHEN lo + i * 0.1 <= hi THEN i END) OVER () AS n, max(CASE WHEN lo + i * 0.1 <= hi THEN lo + i * 0.1 END) OVER () AS last FROM (SELECT min(d) AS lo, max(d) AS hi FROM c), range(100000) r(i)) WHERE i <= n OR i = n + 1 AND last < hi - 4.5e-16 * hi"
 
 
 @query(f"WITH {_CL}, {_bins_sql(_WIDTH, 'd', 'c', 'count(*) AS k')} {_HIST}")
@@ -357,8 +358,10 @@ def topology_periodic_x(spark, d):
 @query(f"""WITH RECURSIVE {_cells('cells_step')}, {_edges(False, False)}, {_COMP}, {_STATS}, h AS (SELECT step_index, phase, axis, label, area, CASE WHEN axis = 'x' THEN percolates_x ELSE percolates_y END AS hit FROM comps, (VALUES ('x'), ('y')) a(axis))
 SELECT step_index, phase, axis, count(*) FILTER (hit) AS component_count, coalesce(string_agg(label::VARCHAR, ',' ORDER BY label) FILTER (hit), '') AS component_ids, coalesce(sum(area) FILTER (hit), 0)::DOUBLE AS connected_area, coalesce(max(area) FILTER (hit), 0)::DOUBLE AS largest_connected_area, round(coalesce(sum(area) FILTER (hit), 0) / sum(area), 6) AS connected_fraction, bool_or(hit) AS is_connected, bool_or(hit) AS percolates, false AS wraps FROM h GROUP BY ALL""")
 def connectivity_open(spark, d):
-    out = rounded(_net(spark, d, "cells_step").connectivity)
-    return out.withColumn("component_ids", F.concat_ws(",", F.transform("component_ids", lambda x: x.cast("string"))))
+    net = _net(spark, d, "cells_step")
+    ids = net.connected.groupBy("step_index", "phase", "axis").agg(F.array_join(F.transform(F.array_sort(F.collect_list("label")), lambda x: x.cast("string")), ",").alias("component_ids"))
+    out = rounded(net.connectivity).join(ids, ["step_index", "phase", "axis"], "left")
+    return out.withColumn("component_ids", F.coalesce("component_ids", F.lit("")))
 
 
 @query(f"""WITH RECURSIVE {_cells('cells_step')}, {_edges(False, False)}, {_COMP}, {_STATS} SELECT step_index, phase, count(*) AS component_count, sum(area) AS phase_area, max(area) AS largest_area, round(max(equiv_diameter), 6) AS max_diameter, round(avg(equiv_diameter), 6) AS mean_diameter,

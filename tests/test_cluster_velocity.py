@@ -104,3 +104,42 @@ def test_smoothing(spark):
     grid = spark.createDataFrame([(1, 0, 0, 1.0), (1, 1, 0, 5.0)], "key int, ix int, iy int, v double")
     two = [r.smooth for r in smoothing.smooth_2d(grid, "key", "ix", "iy", "v", 1.0).orderBy("ix").collect()]
     assert math.isclose(two[0], (w[0] * 1 + w[1] * 5) / (w[0] + w[1]))
+
+
+def test_fixed_width_bins_hold_every_value(spark):
+    rng = np.random.default_rng(1)
+    triples = [(a / 10, b / 10, w / 10) for a in range(0, 12) for b in range(a + 1, 24, 2) for w in (1, 2, 3, 7)]
+    triples += [(float(x), float(x + y), float(w)) for x, y, w in zip(rng.normal(size=60), rng.uniform(0.1, 3, 60), rng.uniform(0.05, 0.7, 60), strict=True)]
+    for w in sorted({t[2] for t in triples[:-60]}):
+        some = [(i, lo, hi) for i, (lo, hi, x) in enumerate(triples) if x == w]
+        df = spark.createDataFrame(some, "i int, lo double, hi double").withColumn("edges", binning.width_edges(F.col("lo"), F.col("hi"), w))
+        lost = df.where(binning.assign(F.col("hi"), F.col("edges")).isNull() | binning.assign(F.col("lo"), F.col("edges")).isNull())
+        assert lost.count() == 0
+        for r in df.collect():
+            steps = np.diff(r.edges)
+            assert np.allclose(steps, w) and r.edges[0] == r.lo and r.edges[-1] >= r.hi and r.edges[-2] < r.hi
+    for lo, hi, w in triples[-60:]:
+        e = spark.range(1).select(binning.width_edges(F.lit(lo), F.lit(hi), w)).first()[0]
+        assert len(e) == math.ceil((hi - lo) / w - 1e-9) + 1 and e[-1] >= hi > e[-2]
+
+
+def test_a_range_of_a_missing_column_is_told(five):
+    with pytest.warns(UserWarning, match="c_z"):
+        assert cluster.diameters(five, cluster.Options(ranges={"c_z": (9, 9)})).count() == 5
+
+
+def test_cdf_of_many_ties(spark):
+    rows = [(1, float(x)) for x in [3] * 10_000 + [1, 2, 2, 9]]
+    c = cluster.cdf(spark.createDataFrame(rows, "step_index int, diameter double"), ["step_index"])
+    assert [r["rank"] for r in c.orderBy("rank").select("rank").collect()] == list(range(1, len(rows) + 1))
+    assert c.where("x = 3").agg(F.min("rank"), F.max("rank")).first()[:] == (4, 10_003)
+
+
+def test_smoothing_of_a_grid_equals_the_double_sum(spark):
+    rng = np.random.default_rng(4)
+    cells = {(int(x), int(y)): (None if rng.random() < 0.3 else float(rng.normal())) for x in range(9) for y in range(7) if rng.random() < 0.8}
+    df = spark.createDataFrame([(1, x, y, v) for (x, y), v in cells.items()], "key int, ix int, iy int, v double")
+    w = dict(smoothing.weights(0.9))
+    for r in smoothing.smooth_2d(df, "key", "ix", "iy", "v", 0.9, keep_null=False).collect():
+        parts = [(w.get(x - r.ix, 0) * w.get(y - r.iy, 0), v) for (x, y), v in cells.items() if v is not None]
+        assert math.isclose(r.smooth, sum(p * v for p, v in parts) / sum(p for p, _ in parts), rel_tol=1e-9)

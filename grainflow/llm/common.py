@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainflow.functions.tables import materialize, scratch
+from grainflow.functions.tables import discard, materialize, scratch
 
-__all__ = ["WORD", "materialize", "scratch", "table", "text_of"]
+__all__ = ["WORD", "discard", "materialize", "scratch", "slices", "table", "text_of"]
 
 #: A word, as several contracts define it: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -19,3 +24,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def text_of(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
+
+
+def slices(batch: pa.RecordBatch, text: int, size: int = 4 << 20, rows: int = 2000) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of at most `rows` rows whose texts (a column by number) have `size` bytes together, but for single longer ones:
+    what is made of a part in Python is bounded by bytes, not by a number of rows."""
+    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False), np.int64)
+    ends, a = np.cumsum(sizes), 0
+    while a < len(sizes):
+        b = int(np.searchsorted(ends, (ends[a - 1] if a else 0) + size, side="right"))
+        b = min(max(b, a + 1), a + rows)
+        yield batch.slice(a, b - a)
+        a = b

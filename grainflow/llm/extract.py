@@ -4,124 +4,213 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 # Names and words of HTML and of web pages.
-RAW = ("script", "style", "noscript", "template", "iframe", "object", "svg", "math", "textarea", "title", "canvas", "audio", "video", "xmp")
+#: Elements whose content isn't markup, up to their closing tag; none of it is text of the page.
+RAW = frozenset("script style noscript iframe textarea title xmp noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var".split())
-JUNK = frozenset("nav footer aside form button select dialog menu head option fieldset datalist".split())
+#: Elements that stand on lines of their own; all others are parts of a line.
+BLOCK = frozenset(
+    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup html legend li "
+    "main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
+)
+JUNK = frozenset("nav footer aside form search select button dialog menu head option fieldset datalist template object svg canvas audio video annotation annotation-xml".split())
 JUNK_ROLES = frozenset("navigation banner complementary contentinfo search dialog alert alertdialog form menu menubar toolbar".split())
+COMMENT_WORDS = frozenset("comment comments commentlist commentlists commenter disqus".split())
 JUNK_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising adsense banner banners breadcrumb breadcrumbs comment comments commentlist discussion disqus "
-    "consent cookie cookies disclaimer footer gdpr header login masthead menu menus modal nav navbar navigation newsletter notice notices pager "
-    "pagination paywall popup promo promos promotion recommended related replies respond search share sharing sidebar signup social sponsor "
-    "sponsored sponsors subscribe subscription tagcloud toolbar widget widgets".split()
+    "ad ads advert adverts advertisement advertisements advertising adsense banner banners breadcrumb breadcrumbs consent cookie cookies disclaimer "
+    "footer gdpr header login masthead menu menus modal nav navbar navigation newsletter notice notices pager pagination paywall popup promo "
+    "promos promotion recommended related replies respond search share sharing sidebar sidebars signup social sponsor sponsored sponsors subscribe "
+    "subscription tagcloud toolbar widget widgets".split()
 )
-WHOLE = frozenset("html body article main".split())
+#: Of these, the words by which a part of a line is left out.
+LINE_WORDS = JUNK_WORDS - frozenset("disclaimer header login notice notices recommended related replies respond search widget widgets".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var".split())
+#: A class name that starts with one of these says how a page looks, not what an element is.
+STATES = frozenset("with has no show hide is without".split())
+#: Of these a header is the head of the text.
+OWN = frozenset("article entry post story".split())
 PRIOR = {"article": 25.0, "main": 25.0, "section": 3.0, "div": 5.0, "td": 3.0, "pre": 3.0, "blockquote": 3.0, "ul": -3.0, "ol": -3.0, "dl": -3.0, "address": -3.0}
-#: An opening tag ends these open ones, up to a tag of the second set.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements of which text may be a paragraph of its own.
+HOLDERS = frozenset("div section article main body td html center figure".split())
+#: Commas of many scripts.
+COMMAS = re.compile("[,՝،߸፣᠂᠈、꓾꘍︐︑﹐﹑，､]")
+#: Scripts that write a word or syllable with one character.
+DENSE = re.compile("[぀-ヿ㐀-䶿一-鿿가-힯\U00020000-\U0003ffff]")
+#: An opening tag ends the open ones of the first set, up to an element of the second.
 ENDS = {
-    "li": ({"li", "p"}, {"ul", "ol"}),
-    "dt": ({"dt", "dd", "p"}, {"dl"}),
-    "dd": ({"dt", "dd", "p"}, {"dl"}),
-    "tr": ({"tr", "td", "th", "p"}, {"table"}),
-    "td": ({"td", "th", "p"}, {"tr", "table"}),
-    "th": ({"td", "th", "p"}, {"tr", "table"}),
+    "li": ({"li"}, {"ul", "ol", "menu", "dir", "td", "th", "table"}),
+    "dt": ({"dt", "dd"}, {"dl", "td", "th", "table"}),
+    "dd": ({"dt", "dd"}, {"dl", "td", "th", "table"}),
+    "tr": ({"tr"}, {"table"}),
+    "td": ({"td", "th"}, {"tr", "table"}),
+    "th": ({"td", "th"}, {"tr", "table"}),
     "option": ({"option"}, {"select"}),
 }
+#: By element, the open elements that can't be seen from inside it.
+HIDES = {s: frozenset(x for ended, stop in ENDS.values() if s in stop for x in ended) for s in ("ul", "ol", "menu", "dir", "dl", "tr", "td", "th", "table", "select")}
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTRIBUTE = re.compile(r"([^\s=\"'<>/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+#: A tag from its name on. Quotes count after an equals sign only; no part is tried twice.
+TAG = re.compile(r"(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"'=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|[\"'=])*+)>")
+LOOSE = re.compile(r"(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
+NAME = re.compile("/?[a-zA-Z]")
+ATTRIBUTE = re.compile(r"([^\s=\"'<>/]++)(?:\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s\"'>]++))?")
+CLOSING = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*+(?:>|\Z)|</{t}\Z", re.I) for t in RAW}
+
+#: Part of the points of text in an element whose name is one of the junk words.
+DISCOUNT = 0.2
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "junk", "score", "chars", "linked")
+    """An element. junk: never text of the page. named: by its name it may be junk, so that its points are discounted."""
+
+    __slots__ = ("tag", "parent", "parts", "junk", "named", "line", "same", "score", "points", "chars", "linked", "links", "hidden")
 
-    def __init__(self, tag: str, parent: Node | None, junk: bool):
-        self.tag, self.parent, self.junk = tag, parent, junk
+    def __init__(self, tag: str, parent: Node | None, junk: bool = False, named: bool = False, line: bool = False):
+        self.tag, self.parent, self.junk, self.named, self.line = tag, parent, junk, named, line
         self.parts: list[str | Node] = []
-        self.score, self.chars, self.linked = PRIOR.get(tag, 0.0), 0, 0
+        self.same = 0
+        self.score, self.points, self.chars, self.linked, self.links = PRIOR.get(tag, 0.0), 0.0, 0, 0, 0
+        self.hidden: dict[str, int] = {}
 
 
-def _junk(tag: str, attributes: str, inside_article: bool) -> bool:
-    """Whether an element is a menu, footer, advert, form, comment list or the like, by its name and attributes."""
+def _kind(tag: str, attributes: str, inside_article: bool, words_of: frozenset = JUNK_WORDS) -> tuple[bool, bool]:
+    """Whether an element is junk by its tag, role, being hidden or holding readers' comments, and whether its name says that it
+    may be: a menu, footer, advert, notice or the like."""
     if tag in JUNK or (tag == "header" and not inside_article):
-        return True
-    if not attributes or tag in WHOLE:
-        return False
+        return True, False
+    if tag in ("html", "body") or not attributes and "-" not in tag:
+        return False, False
+    named = "-" in tag and not words_of.isdisjoint(tag.split("-"))
     for m in ATTRIBUTE.finditer(attributes):
-        name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
+        name, value = m[1].lower(), (m[2] or "").strip("\"'")
         if name in ("class", "id"):
-            words = set(re.split(r"[^a-z]+", value))
-            if words & JUNK_WORDS:
-                return True
-        elif name == "role" and value in JUNK_ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-        elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-    return False
+            for one in value.split():
+                words = re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", one).lower())
+                if words[0] in STATES:
+                    continue
+                if not COMMENT_WORDS.isdisjoint(words):
+                    return True, False
+                found = words_of.intersection(words)
+                named |= bool(found) and tag not in HEADINGS and not (found == {"header"} and not OWN.isdisjoint(words))
+        elif name == "role" and value.lower() in JUNK_ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
+            return True, False
+        elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value.lower()):
+            return True, False
+    return False, named
 
 
 def parse(page: str) -> Node:
-    """The tree of a page's block elements with their texts; inline tags leave no node, links only their share of characters."""
-    root = node = Node("html", None, False)
-    depth = articles = 0
-    link = -1  # depth at which a link is open
-    at, n = 0, len(page)
+    """The tree of a page's block elements with their texts. Parts of lines leave a node only where they are junk; links leave their
+    share of characters. One pass: a tag costs what it ends, however deep the page and however many tags don't pair."""
+    root = node = Node("html", None)
+    opened: Counter[str] = Counter()  # open elements by tag, as far as can be seen from here
+    every: Counter[str] = Counter()  # and all of them
+    link, depth, articles, loose = -1, 0, 0, False  # link: the depth at which a link is open
+
+    def close() -> None:
+        nonlocal node, depth, articles, link
+        opened[node.tag] -= 1
+        every[node.tag] -= 1
+        opened.update(node.hidden)
+        articles -= node.tag in ("article", "main")
+        node, depth = node.parent, depth - 1
+        if link > depth:
+            link = -1
+
+    def put(child: Node) -> None:
+        nonlocal node, depth, articles
+        node.parts.append(child)
+        node, depth = child, depth + 1
+        opened[child.tag] += 1
+        every[child.tag] += 1
+        articles += child.tag in ("article", "main")
+        for t in HIDES.get(child.tag, ()):
+            if t != child.tag and opened[t]:
+                child.hidden[t] = opened[t]
+                opened[t] = 0
+
+    def text(piece: str) -> None:
+        node.parts.append(piece)
+        if not node.junk and (size := len(piece.strip())):
+            node.chars += size
+            node.linked += size * (link >= 0)
+
+    at, n, last = 0, len(page), page.rfind(">")
     while at < n:
-        m = TAG.search(page, at)
-        if text := page[at : m.start() if m else n]:
-            node.parts.append(text)
-            if not node.junk and (size := len(text.strip())):
-                node.chars += size
-                node.linked += size * (link >= 0)
-        if not m:
+        start = page.find("<", at)
+        remark = start >= 0 and page.startswith("<!--", start)
+        if start < 0 or start > last and not remark:
+            text(page[at:])
             break
-        at = m.end()
-        if not m[2]:
+        if start > at:
+            text(page[at:start])
+        if remark:
+            end = page.find("-->", start + 2)
+            at = end + 3 if end >= 0 else n
             continue
+        if page[start + 1 : start + 2] in ("!", "?"):
+            at = page.find(">", start) + 1
+            continue
+        m = (LOOSE if loose else TAG).match(page, start + 1)
+        if m is None and not loose and NAME.match(page, start + 1):
+            loose = True  # a quote that never ends: from here on a tag ends at the next sign for it
+            m = LOOSE.match(page, start + 1)
+        if m is None:
+            text("<")
+            at = start + 1
+            continue
+        at = m.end()
         tag, closing = m[2].lower(), bool(m[1])
         if tag in RAW:
             if not closing and not m[3].endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
+                end = CLOSING[tag].search(page, at)
                 at = end.end() if end else n
-            node.parts.append(" ")
         elif tag in VOID:
-            node.parts.append(" ")
-        elif tag in INLINE:
+            if tag == "hr":
+                node.parts.append(Node("hr", node))
+            elif tag == "br":
+                node.parts.append(" ")
+        elif tag not in BLOCK and ("-" not in tag or tag in JUNK):
             if tag == "a":
                 link = -1 if closing else depth
+                node.links += not closing
+            if closing:
+                if node.line and node.tag == tag:
+                    if node.same:
+                        node.same -= 1
+                    else:
+                        close()
+            elif not m[3].endswith("/"):
+                if node.line and node.tag == tag:
+                    node.same += 1
+                elif not node.junk and (tag in JUNK or tag in INLINE and m[3] and not every["pre"] and any(_kind(tag, m[3], True, LINE_WORDS))):
+                    put(Node(tag, node, True, False, True))
         elif closing:
-            up, steps = node, 0
-            while up is not root and up.tag != tag:
-                up, steps = up.parent, steps + 1
-            if up is not root:
-                while node is not up.parent:
-                    articles -= node.tag in ("article", "main")
-                    node, depth = node.parent, depth - 1
-                link = link if link <= depth else -1
-        elif tag not in ("html", "body") or node is root and tag == "body":
-            ended, stop = ENDS.get(tag, ({"p"}, ()))
-            up = node
-            while up is not root and up.tag not in stop:
-                if up.tag in ended:
-                    while node is not up.parent:
-                        articles -= node.tag in ("article", "main")
-                        node, depth = node.parent, depth - 1
-                    up = node
-                    continue
-                if tag not in ENDS:
-                    break
-                up = up.parent
-            link = link if link <= depth else -1
-            child = Node(tag, node, node.junk or _junk(tag, m[3], articles > 0))
-            node.parts.append(child)
-            node, depth = child, depth + 1
-            articles += tag in ("article", "main")
+            if tag == "p" and not every["p"]:
+                continue
+            if every[tag] and tag not in ("html", "body"):
+                while node.tag != tag or node.line:
+                    close()
+                close()
+        elif tag not in ("html", "body") or tag == "body" and node is root:
+            if (node.parent if node.line else node).tag == "p":
+                if node.line:
+                    close()
+                close()
+            ended, _ = ENDS.get(tag, ((), ()))
+            if any(opened[t] for t in ended):
+                while node.tag not in ended:
+                    close()
+                close()
+            junk, named = (True, False) if node.junk else _kind(tag, m[3], articles > 0)
+            put(Node(tag, node, junk, named))
     return root
 
 
@@ -135,7 +224,7 @@ def _walk(root: Node) -> list[Node]:
     return found
 
 
-def blocks(nodes: list[Node]) -> list[str]:
+def blocks(nodes: list[Node], left_out: set[int] = frozenset()) -> list[str]:
     """The texts of nodes in page order, a block per run of text between block elements: references decoded, white space as one space."""
     found: list[str] = []
     run: list[str] = []
@@ -152,28 +241,57 @@ def blocks(nodes: list[Node]) -> list[str]:
             run.append(x)
         elif x is None:
             close()
-        elif x.junk:
-            close()
-        else:
+        elif not x.line:
             close()
-            todo.append(None)
-            todo += reversed(x.parts)
+            if not x.junk and id(x) not in left_out:
+                todo.append(None)
+                todo += reversed(x.parts)
     close()
     return found
 
 
+def weight(text: str) -> float:
+    """The points of a paragraph: one, one for each comma (a comma needs fifteen characters around it), and up to three for its length.
+    A character of a script that writes words with one counts as three."""
+    size = len(text) + 2 * len(DENSE.findall(text))
+    return 1.0 + min(len(COMMAS.findall(text)), size / 15.0) + min(size / 100.0, 3.0)
+
+
+def _left_out(kept: list[Node], inner: bool) -> set[int]:
+    """Elements inside the kept ones that stay out: those named like junk, unless a fifth of their points is more than all that would be
+    left; and, outside of an article, menus: lists of links and nothing else."""
+    found: set[int] = set()
+    for top in kept:
+        todo = [(y, top) for y in top.parts if not isinstance(y, str) and not y.junk]
+        left = top.points
+        while todo:
+            x, _ = todo.pop()
+            menu = not inner and x.links > 1 and x.linked == x.chars and x.tag not in ("p", *HEADINGS)
+            if menu or x.named and DISCOUNT * x.points <= left - x.points:
+                found.add(id(x))
+                left -= x.points
+            else:
+                todo += [(y, x) for y in reversed(x.parts) if not isinstance(y, str) and not y.junk]
+    return found
+
+
 def main_text(page: str | None) -> str:
     """The main text of a page. Paragraphs pass points for their length and commas to the element around them, half to the
-    next and less to those further up; an element's points are discounted by its link density. The best container is kept
-    (the article around it, where the page marks one), with its siblings that score well or read like its text."""
+    next and less to those further up, a fifth of them in an element that is named like junk; an element's points are discounted by
+    its link density. The best container is kept (the article around it, where the page marks one), with its siblings that score
+    well or read like its text."""
     if not page:
         return ""
     nodes = _walk(root := parse(page))
+    named: set[int] = set()
     for x in nodes:
+        if x.named or x.parent is not None and id(x.parent) in named:
+            named.add(id(x))
         own = "".join(y for y in x.parts if isinstance(y, str)).strip()
         if own and x.linked * 2 <= x.chars:
-            points = 1.0 + own.count(",") + min(len(own) / 100.0, 3.0)
-            up, level = x if x.tag in ("div", "section", "article", "main", "body", "td", "html") else x.parent, 0
+            x.points = weight(own)
+            points = x.points * (DISCOUNT if id(x) in named else 1.0)
+            up, level = x if x.tag in HOLDERS else x.parent, 0
             while up is not None and level < 5:
                 up.score += points / (1, 2, 6, 9, 12)[level]
                 up, level = up.parent, level + 1
@@ -181,34 +299,37 @@ def main_text(page: str | None) -> str:
         if x.parent is not None:
             x.parent.chars += x.chars
             x.parent.linked += x.linked
+            x.parent.links += x.links
+            x.parent.points += x.points
     density = lambda x: x.linked / x.chars if x.chars else 0.0
     value = {id(x): x.score * (1.0 - density(x)) for x in nodes}
-    boxes = [x for x in nodes if x.chars and x.tag not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "tr")]
+    boxes = [x for x in nodes if x.chars and x.tag not in ("p", "li", "dt", "dd", "tr", *HEADINGS)]
     if not boxes:
         return ""
     best = max(boxes, key=lambda x: value[id(x)])  # the first of equals, so the outer one
-    up = best
+    around, up = {}, best
     while up is not None:
-        if up.tag in ("article", "main"):
-            best = up
+        around[up.tag] = up  # the outermost of each
         up = up.parent
+    best = around.get("article") or around.get("main") or best
     kept = [best]
     if best is not root and best.parent is not None:
         bar, kept = max(10.0, 0.2 * value[id(best)]), []
         for x in best.parent.parts:
-            if isinstance(x, str) or x.junk:
+            if isinstance(x, str) or x.junk or x.tag == "hr" or x.named and x is not best:
                 continue
-            reads = x.tag == "p" and density(x) < 0.25 and (x.chars > 80 or x.chars and density(x) == 0 and re.search(r"[.!?]\s*$", blocks([x])[-1] if blocks([x]) else ""))
+            reads = x.tag == "p" and density(x) < 0.25 and (x.chars > 80 or x.chars and density(x) == 0 and re.search(r"[.!?。！？۔؟।።]\s*$", (blocks([x]) or [""])[-1]))
             if x is best or value[id(x)] >= bar and x.tag not in ("ul", "ol") or reads:
                 kept.append(x)
-    return "\n\n".join(blocks(kept))
+    return "\n\n".join(blocks(kept, _left_out(kept, "article" in around or "main" in around)))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per row of pages: id_col, url_col, text, n_chars.
 
     A null or empty html, and a page without main text, give an empty text; repeated rows stay; other columns are not read;
-    an empty table gives an empty one. Broken markup is read as far as it goes: an unclosed tag ends with its parent."""
+    an empty table gives an empty one. Broken markup is read as far as it goes: an unclosed tag ends with its parent. Time is
+    in proportion to a page's length."""
     kinds = [pages.schema[c].dataType.simpleString() for c in (id_col, url_col)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,7 +11,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from . import minhash
+from .common import materialize, slices
 from .components import connected_components
 
 BITS = 64
@@ -41,7 +42,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id_col, fp): fp is the fingerprint as a signed long. A null text counts as an empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             fps = np.fromiter((fingerprint(t, shingle, seed) for t in batch.column(1).to_pylist()), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["id", "fp"])
 
@@ -88,12 +89,17 @@ def links(fps: DataFrame, distance: int = 2, parts: int = 4, most: int = 24) ->
     return pairs.unionByName(stars)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 2, shingle: int = 3, seed: int = 42) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 2, shingle: int = 3, seed: int = 42, share: float | None = None) -> DataFrame:
     """One row per document: id_col, fp (signed long), component (the smallest id reachable by links).
 
+    With share, texts are linked by the Jaccard similarity of their shingle sets, which fingerprints can't decide: fp is a digest of
+    the set then, and candidates come from minhash.
+
     Null or empty texts have fingerprint 0 and are linked like others; repeated rows stay, each with its class; a null id
     never names a class unless all its members' ids are null; other columns of docs are not read. An empty table gives an
     empty one."""
+    if share is not None:
+        return minhash.near_duplicates(docs, id_col, text_col, share, shingle, minhash.Bands(seed=seed)).withColumnRenamed("sid", "fp")
     every = materialize(fingerprints(docs, id_col, text_col, shingle, seed), "fingerprints")
     classes = materialize(every.groupBy("fp").agg(F.min(id_col).alias("first")), "classes")
     found = connected_components(links(classes.select("fp"), distance))

@@ -1,8 +1,9 @@
-"""What the vector operators share: clean vectors, and blocks of them packed into rows."""
+"""What the vector operators share: clean vectors, blocks of them packed into rows, and the meeting of blocks."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -22,30 +23,44 @@ def arrays(column: pa.ListArray, dtype: str) -> list[np.ndarray]:
     return [values[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
 
 
-def packs(df: DataFrame, keys: list[str], id_col: str, vector_col: str, rows: int, dtype: str = "float32") -> DataFrame:
-    """Packs sorted rows into blocks of at most `rows`: keys, ids and data (both binary), n. df holds the vectors with their keys;
-    each task packs what it has of each key, so that no key meets in one task."""
-    schema = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys) + ", ids binary, data binary, n int, dim int"
+def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows one by one, so that of rows that hold blocks few are Python objects at a time."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
+def packs(df: DataFrame, keys: list[str], cols: list[str], make: Callable[[dict, list[dict]], dict], schema: str) -> DataFrame:
+    """One row per key: what make gives for the rows of a key, which must be few enough for a task. schema: of make's columns."""
+    head = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = None
+
+        def known(source: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+            nonlocal types
+            for batch in source:
+                types = batch.schema
+                yield from batch.to_pylist()
+
+        for key, rows in groupby(known(batches), lambda r: tuple(r[k] for k in keys)):
+            made = make(dict(zip(keys, key, strict=True)), list(rows))
+            heads = {k: pa.array([v], types.field(k).type) for k, v in zip(keys, key, strict=True)}
+            yield pa.RecordBatch.from_pydict(heads | {k: v if isinstance(v, pa.Array) else pa.array([v]) for k, v in made.items()})
+
+    dealt = df.select(*keys, *cols).repartition(*keys).sortWithinPartitions(*keys)
+    return dealt.mapInArrow(run, f"{head}, {schema}")
+
+
+def meet(fixed: DataFrame, moving: DataFrame, keys: list[str], work: Callable[[dict, Iterator[dict]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """For each key the one row of fixed meets the rows of moving, one after another: only the fixed row stays in a task's memory,
+    and it is sent once, however many meet it. A key without a fixed row gives nothing."""
+    both = fixed.withColumn("__kind", F.lit(0)).unionByName(moving.withColumn("__kind", F.lit(1)), allowMissingColumns=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_: dict[tuple, list[list]] = {}
-
-        def out(key: tuple) -> pa.RecordBatch:
-            ids, vectors = open_.pop(key)
-            data = np.array(vectors, dtype)
-            cols = {k: pa.array([v], batch_schema.field(k).type) for k, v in zip(keys, key, strict=True)}
-            return pa.RecordBatch.from_pydict(cols | {"ids": [np.array(ids, "<i8").tobytes()], "data": [data.tobytes()], "n": pa.array([len(ids)], pa.int32()), "dim": pa.array([data.shape[1]], pa.int32())})
-
-        for batch in batches:
-            batch_schema = batch.schema
-            ids, vectors = batch.column("__id").to_pylist(), arrays(batch.column("__v"), dtype)
-            for *key, i, v in zip(*(batch.column(k).to_pylist() for k in keys), ids, vectors, strict=True):
-                ids_, vs = open_.setdefault(tuple(key), [[], []])
-                ids_.append(i)
-                vs.append(v)
-                if len(ids_) == rows:
-                    yield out(tuple(key))
-        for key in list(open_):
-            yield out(key)
-
-    return df.select(*keys, F.col(id_col).alias("__id"), F.col(vector_col).alias("__v")).mapInArrow(run, schema)
+        for _, rows in groupby(rows_of(batches), lambda r: tuple(r[k] for k in keys)):
+            first = next(rows)
+            if first["__kind"] == 0:
+                yield from work(first, rows)
+
+    return both.repartition(*keys).sortWithinPartitions(*keys, "__kind").mapInArrow(run, schema)

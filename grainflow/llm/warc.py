@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import base64
+import contextlib
 import hashlib
+import io
 import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyarrow import fs
@@ -15,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, text_of
+from .common import discard, materialize, scratch, text_of
 
 # Fixed values of the format.
 VERSION = b"WARC/1.1"
@@ -79,14 +82,9 @@ class Record:
     block: bytes
 
 
-def parse(data: bytes, at: int = 0) -> tuple[Record, int]:
-    """The record that starts at `at`, checked as far as its headers allow, and where it ends; ValueError if it fails."""
-    if data[at : at + 5] != b"WARC/":
-        raise ValueError("no version line")
-    stop = data.find(b"\r\n\r\n", at)
-    if stop < 0:
-        raise ValueError("headers are cut off")
-    lines = data[at:stop].decode("utf-8", "replace").split("\r\n")
+def _headers(data: bytes) -> tuple[dict[str, str], int]:
+    """A record's headers from its version line on, without the empty line, and its Content-Length; ValueError if they fail."""
+    lines = data.decode("utf-8", "replace").split("\r\n")
     headers = {}
     for line in lines[1:]:
         k, sep, v = line.partition(":")
@@ -96,89 +94,223 @@ def parse(data: bytes, at: int = 0) -> tuple[Record, int]:
     size = headers.get("content-length", "")
     if not (size.isascii() and size.isdigit()):
         raise ValueError("no Content-Length")
-    start, end = stop + 4, stop + 4 + int(size)
-    if data[end : end + 4] != b"\r\n\r\n":
-        raise ValueError("no end of record where Content-Length puts it")
-    block = data[start:end]
+    return headers, int(size)
+
+
+def _checked(headers: dict[str, str], block: bytes) -> bool:
+    """Whether the headers have a digest of the block; ValueError if it differs."""
     want = headers.get("warc-block-digest", "")
-    if want.startswith("sha1:") and want[5:] != digest_of(block):
+    if not want.startswith("sha1:"):
+        return False
+    if want[5:] != digest_of(block):
         raise ValueError("the block's digest differs")
-    return Record(at, end + 4, headers, block), end + 4
-
-
-def _member(view: memoryview, at: int, step: int = 1 << 16) -> tuple[bytes, int]:
-    """The content of the gzip member that starts at `at`, and where it ends; ValueError if it fails its checks."""
-    z, out, fed = zlib.decompressobj(31), [], at
-    try:
-        while not z.eof and fed < len(view):
-            out.append(z.decompress(view[fed : fed + step]))
-            fed = min(len(view), fed + step)
-    except zlib.error as e:
-        raise ValueError(f"gzip: {e}") from e
-    if not z.eof:
-        raise ValueError("gzip: cut off")
-    return b"".join(out), fed - len(z.unused_data)
-
-
-def _plain(data: bytes) -> Iterator[Record | Gap]:
-    """The valid records of uncompressed content, and the gaps between them."""
-    at, bad, why, n = 0, -1, "", len(data)
-    while at < n:
-        try:
-            found, end = parse(data, at)
-        except ValueError as e:
-            if bad < 0:
-                bad, why = at, str(e)
-            at = data.find(b"WARC/", at + 1)
-            if at < 0:
+    return True
+
+
+#: A version line whose headers go on for longer than this is none.
+HEADER_BYTES = 16 << 20
+#: Where a record or a member may start.
+START = re.compile(rb"WARC/|\x1f\x8b\x08")
+
+
+class Content:
+    """Records of uncompressed content that arrives in parts. Of it no more is kept than a record's stated length; `proven` says
+    whether the last record's block has a digest."""
+
+    def __init__(self, size: int | None = None):
+        self.size, self.data, self.base, self.at = size, bytearray(), 0, 0
+        self.bad, self.why, self.need, self.proven = -1, "", 0, False
+
+    def feed(self, data: bytes, final: bool = False) -> Iterator[Record | Gap]:
+        """The records and gaps that are whole with this part; places are those of the content."""
+        self.data += data
+        stop = self.base + len(self.data)
+        while self.at < stop and (final or stop >= self.need):
+            try:
+                found = self._record(stop, final)
+            except ValueError as e:
+                if self.bad < 0:
+                    self.bad, self.why = self.at, str(e)
+                i = self.data.find(b"WARC/", self.at + 1 - self.base)
+                self.at, self.need = (self.base + i, 0) if i >= 0 else (stop if final else max(self.at + 1, stop - 4), stop + 1)
+                self._drop()
+                continue
+            if found is None:
                 break
-            continue
-        if bad >= 0:
-            yield Gap(bad, at, why)
-            bad = -1
-        yield found
-        at = end
-    if bad >= 0:
-        yield Gap(bad, n, why)
-
-
-def salvage(data: bytes) -> Iterator[Record | Gap]:
-    """The valid records of an archive, compressed by member or plain, and the gaps between them.
-
-    After a failed check the next place is searched where a member (compressed) or a version line (plain) starts and is
-    valid; what lies between is one gap. A member may hold any number of records, each given the member's place; what of its
-    content no valid record covers is a gap at that place. A member that is valid but holds no valid record is a gap of its
-    own."""
-    zipped = data[:3] == GZIP or (data[:5] != b"WARC/" and GZIP in data and b"WARC/1." not in data)
-    if not zipped:
-        yield from _plain(data)
-        return
-    at, bad, why, n = 0, -1, "", len(data)
-    view = memoryview(data)
-    while at < n:
+            if self.bad >= 0:
+                yield Gap(self.bad, found.start, self.why)
+                self.bad = -1
+            self.at, self.need = found.end, 0
+            yield found
+            self._drop()
+        if final and self.bad >= 0:
+            yield Gap(self.bad, stop, self.why)
+
+    def _drop(self) -> None:
+        if self.at - self.base > 1 << 20:
+            del self.data[: self.at - self.base]
+            self.base = self.at
+
+    def _record(self, stop: int, final: bool) -> Record | None:
+        """The record here; None if more is needed to tell."""
+        i = self.at - self.base
+        if not final and stop - self.at < 5 and b"WARC/".startswith(self.data[i:]):
+            self.need = self.at + 5
+            return None
+        if self.data[i : i + 5] != b"WARC/":
+            raise ValueError("no version line")
+        head = self.data.find(b"\r\n\r\n", i)
+        if head < 0:
+            if final or stop - self.at > HEADER_BYTES:
+                raise ValueError("headers are cut off")
+            self.need = stop + 1
+            return None
+        headers, size = _headers(bytes(self.data[i:head]))
+        start = head + 4
+        end = start + size
+        if self.size is not None and self.base + end + 4 > self.size or final and end + 4 > len(self.data):
+            raise ValueError("no end of record where Content-Length puts it")
+        if end + 4 > len(self.data):
+            self.need = self.base + end + 4
+            return None
+        if self.data[end : end + 4] != b"\r\n\r\n":
+            raise ValueError("no end of record where Content-Length puts it")
+        block = bytes(self.data[start:end])
+        self.proven = _checked(headers, block)
+        return Record(self.at, self.base + end + 4, headers, block)
+
+
+class _Failed(ValueError):
+    """A member that fails its checks; end: where the records that were taken from it end."""
+
+    def __init__(self, why: str, end: int):
+        super().__init__(why)
+        self.end = end
+
+
+def _member(source: BinaryIO, at: int, step: int = 1 << 16) -> Iterator[Record | Gap]:
+    """The records of the gzip member at a place of a file, and gaps of its content that no record covers; returns its end.
+
+    A record is given the member's start, and as its end the member's, or the place up to which the member was read when the next
+    record was whole. Records before a damaged place count if their digests hold and another version line follows them;
+    those without a digest wait for the member's own checks."""
+    z, content, fed = zlib.decompressobj(31), Content(), at
+    waiting: list[tuple[Record | Gap, bool]] = []
+    known, some = at, False  # the end of what is surely good
+
+    def placed(x: Record | Gap) -> Record | Gap:
+        if isinstance(x, Gap):
+            return Gap(at, fed, f"{x.reason} (bytes {x.start} to {x.end} of the member's content)")
+        return Record(at, fed, x.headers, x.block)
+
+    def take(found: Iterator[Record | Gap]) -> Iterator[Record | Gap]:
+        nonlocal known, some
+        for x in found:
+            if waiting and all(proven for _, proven in waiting):
+                known = fed
+                yield from [placed(y) for y, _ in waiting] if some else ()
+                if some:
+                    waiting.clear()
+            waiting.append((x, isinstance(x, Gap) or content.proven))
+            some |= isinstance(x, Record)
+
+    source.seek(at)
+    why = ""
+    while not z.eof and not why:
+        data = source.read(step)
+        before = z.copy()
         try:
-            if data[at : at + 3] != GZIP:
-                raise ValueError("no gzip member")
-            out, end = _member(view, at)
-            found = list(_plain(out))
-            if not any(isinstance(x, Record) for x in found):
-                raise ValueError(found[0].reason if found else "no version line")
+            out, why = z.decompress(data), "" if data else "gzip: cut off"
+            fed += len(data) - len(z.unused_data)
+        except zlib.error as e:
+            # what comes before the damage: the same bytes a few at a time
+            out, why = b"", f"gzip: {e}"
+            with contextlib.suppress(zlib.error):
+                for i in range(0, len(data), 64):
+                    out += before.decompress(data[i : i + 64])
+                    fed += len(data[i : i + 64])
+        yield from take(content.feed(out))
+    if why:
+        good = some and waiting and waiting[-1][1] and content.data[content.at - content.base :][:5] == b"WARC/"
+        if good:
+            known = fed
+            yield from [placed(y) for y, proven in waiting if proven]
+        raise _Failed(why, known if some else at)
+    yield from take(content.feed(b"", final=True))
+    if not some:
+        raise _Failed(waiting[0][0].reason if waiting else "no version line", at)
+    yield from [placed(y) for y, _ in waiting]
+    return fed
+
+
+def _plain(source: BinaryIO, at: int, size: int, step: int = 1 << 16) -> Record:
+    """The uncompressed record at a place of a file; ValueError if it fails its checks."""
+    content = Content(size - at)
+    source.seek(at)
+    while data := source.read(max(step, content.need - content.base - len(content.data))):
+        for x in content.feed(data):
+            if isinstance(x, Gap) or x.start:
+                raise ValueError(content.why)
+            return Record(at, at + x.end, x.headers, x.block)
+        if content.bad >= 0:
+            raise ValueError(content.why)
+    for x in content.feed(b"", final=True):
+        if isinstance(x, Record) and not x.start:
+            return Record(at, at + x.end, x.headers, x.block)
+        break
+    raise ValueError(content.why or "no version line")
+
+
+def _next(source: BinaryIO, at: int, step: int = 1 << 20) -> int:
+    """The next place from at on where a record or member may start; -1 if there is none."""
+    source.seek(at)
+    rest = b""
+    while data := source.read(step):
+        rest += data
+        if m := START.search(rest):
+            return at + m.start()
+        at, rest = at + max(0, len(rest) - 4), rest[-4:]
+    return -1
+
+
+def salvage(source: bytes | BinaryIO) -> Iterator[Record | Gap]:
+    """The valid records of an archive, a file that can seek, compressed by member or as a whole or plain, and the gaps between them.
+
+    After a failed check the next place is searched where a member or a version line starts and is valid; what lies between
+    is one gap. A member may hold any number of records; what of its content no valid record covers is a gap at its place,
+    and one that is valid but holds no valid record is a gap of its own. The file is read in parts: a task holds a record, not a file."""
+    source = io.BytesIO(source) if isinstance(source, bytes) else source
+    n = source.seek(0, io.SEEK_END)
+    at, bad, why = 0, -1, ""
+    while 0 <= at < n:
+        source.seek(at)
+        head = source.read(5)
+        try:
+            if head[:3] == GZIP:
+                member = _member(source, at)
+                while True:
+                    try:
+                        x = next(member)
+                    except StopIteration as e:
+                        at = e.value
+                        break
+                    if bad >= 0:
+                        yield Gap(bad, at, why)
+                        bad = -1
+                    yield x
+            elif head == b"WARC/":
+                x = _plain(source, at, n)
+                if bad >= 0:
+                    yield Gap(bad, at, why)
+                    bad = -1
+                yield x
+                at = x.end
+            else:
+                raise ValueError("no version line or gzip member")
         except ValueError as e:
             if bad < 0:
-                bad, why = at, str(e)
-            at = data.find(GZIP, at + 1)
-            if at < 0:
-                break
-            continue
-        if bad >= 0:
-            yield Gap(bad, at, why)
-            bad = -1
-        for x in found:
-            if isinstance(x, Record):
-                yield Record(at, end, x.headers, x.block)
-            else:
-                yield Gap(at, end, f"{x.reason} (bytes {x.start} to {x.end} of the member's content)")
-        at = end
+                bad, why = getattr(e, "end", at), str(e)
+            at = _next(source, max(at + 1, getattr(e, "end", 0)))
     if bad >= 0:
         yield Gap(bad, n, why)
 
@@ -187,88 +319,107 @@ def payload_of(r: Record) -> bytes:
     return r.block.partition(b"\r\n\r\n")[2]
 
 
-def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 0, level: int = 1) -> list[str]:
+#: Repeated digests up to which their table is broadcast; beyond, pages are joined with it by a shuffle.
+BROADCAST_ROWS = 200_000
+
+
+def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 0, level: int = 1) -> DataFrame:
     """Writes a record per row of pages, a gzip member each, into files below folder, a URI in a store that all executors
-    reach; returns the files' paths. The payload is the html in UTF-8 (null: empty).
+    reach; returns the manifest (path, bytes, records), a row per file. The payload is the html in UTF-8 (null: empty).
 
     Of rows with equal payloads of at least `least` bytes those with the smallest id hold the response and the others
     revisit it; smaller payloads are all responses. Repeated rows are all what the first of them is. Only digests and ids
-    are grouped; a frequent payload's rows are joined to its one response, a join whose skewed side AQE can split. A task
-    that is run again, or twice at once, leaves the same files."""
+    are grouped, and pages meet just the digests that repeat: while those are few, no page is moved. A task that is run
+    again, or twice at once, leaves the same files."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, place = fs.FileSystem.from_uri(folder)
         store.create_dir(place, recursive=True)
-        task, names, out, size, aside = TaskContext.get(), [], None, 0, ""
+        task, files, out, size, n, aside = TaskContext.get(), [], None, 0, 0, ""
 
         def end() -> None:
             out.close()
-            names.append(f"part-{task.partitionId():06d}-{len(names):05d}.warc.gz")
-            store.move(aside, f"{place}/{names[-1]}")
+            name = f"part-{task.partitionId():06d}-{len(files):05d}.warc.gz"
+            store.move(aside, f"{place}/{name}")
+            files.append((f"{folder}/{name}", size, n))
 
         for batch in batches:
-            for page_id, url, page, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                payload = (page or "").encode("utf-8", "surrogatepass")
-                revisits = first is not None and first != page_id and len(payload) >= least
-                data = packed(record(page_id, url, payload, digest_of(payload), first if revisits else None), level)
-                if out is not None and size + len(data) > FILE_BYTES:
-                    end()
-                    out = None
-                if out is None:
-                    aside, size = f"{place}/{task.partitionId():06d}-{task.taskAttemptId()}-{len(names):05d}.tmp", 0
-                    out = store.open_output_stream(aside)
-                out.write(data)
-                size += len(data)
+            for i in range(0, batch.num_rows, 64):
+                for page_id, url, page, first in zip(*(c.to_pylist() for c in batch.slice(i, 64).columns), strict=True):
+                    payload = (page or "").encode("utf-8", "surrogatepass")
+                    revisits = first is not None and first != page_id and len(payload) >= least
+                    data = packed(record(page_id, url, payload, digest_of(payload), first if revisits else None), level)
+                    if out is not None and size + len(data) > FILE_BYTES:
+                        end()
+                        out = None
+                    if out is None:
+                        aside, size, n = f"{place}/{task.partitionId():06d}-{task.taskAttemptId()}-{len(files):05d}.tmp", 0, 0
+                        out = store.open_output_stream(aside)
+                    out.write(data)
+                    size, n = size + len(data), n + 1
         if out is not None:
             end()
-        yield pa.RecordBatch.from_pydict({"path": pa.array([f"{folder}/{x}" for x in names], pa.string())})
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in files], k) for i, k in enumerate((pa.string(), pa.int64(), pa.int64()))], names=["path", "bytes", "records"])
 
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html"))
-    rows = rows.withColumn("digest", F.unhex(F.sha1(F.encode(text_of("html"), "UTF-8"))))
-    first = rows.groupBy("digest").agg(F.min("id").alias("first"))
-    dealt = rows.join(first, "digest").select("id", "url", "html", "first")
-    return sorted(r[0] for r in dealt.mapInArrow(run, "path string").collect())  # a row per file
+    digest = F.unhex(F.sha1(F.encode(text_of("html"), "UTF-8")))
+    repeated = rows.select(digest.alias("digest"), "id").groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    repeated = materialize(repeated.where("n > 1").select("digest", "first"), "repeated-digests")
+    few = repeated.count() <= BROADCAST_ROWS
+    dealt = rows.withColumn("digest", digest).join(F.broadcast(repeated) if few else repeated, "digest", "left").select("id", "url", "html", "first")
+    files = materialize(dealt.mapInArrow(run, "path string, bytes bigint, records bigint"), "archives")
+    discard(repeated)
+    return files
 
 
 RECORDS = "path string, start bigint, end bigint, gap string, type string, id string, url string, payload_digest string, payload_bytes bigint, refers_to string, payload binary"
+#: Bytes of archives that one task reads, about; more where a file is larger.
+TASK_BYTES = 1 << 30
 
 
-def read(spark: SparkSession, paths: list[str], payloads: bool = True) -> DataFrame:
-    """The records and quarantined gaps of archive files, one file per task; gap holds the reason and is null for records.
+def read(spark: SparkSession, files: DataFrame | list[str], payloads: bool = True) -> DataFrame:
+    """The records and quarantined gaps of archive files (a table with path and, if known, bytes; or a list of paths); gap holds the
+    reason and is null for records. Files are dealt to a task per gigabyte, or to as many as run at once, and read in parts.
 
     A revisit's payload_bytes is the Content-Length of its HTTP header, a response's the bytes that are there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in RECORDS.split(", ")]
         kinds = [pa.string(), pa.int64(), pa.int64(), *[pa.string()] * 5, pa.int64(), pa.string(), pa.binary()]
+
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+        rows, held = [], 0
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 store, place = fs.FileSystem.from_uri(path)
-                with store.open_input_stream(place, compression=None) as source:
-                    data = source.read()
-                rows, held = [], 0
-                for x in salvage(data):
-                    if isinstance(x, Gap):
-                        rows.append((path, x.start, x.end, x.reason, *[None] * 7))
-                        continue
-                    h, payload = x.headers, payload_of(x)
-                    length = re.search(rb"(?im)^content-length:\s*(\d+)", x.block.partition(b"\r\n\r\n")[0])
-                    digest = h.get("warc-payload-digest", "").removeprefix("sha1:")
-                    full = h.get("warc-type") != "revisit"
-                    if full and digest and digest != digest_of(payload):
-                        rows.append((path, x.start, x.end, "the payload's digest differs", *[None] * 7))
-                        continue
-                    size = len(payload) if full or not length else int(length[1])
-                    rows.append((path, x.start, x.end, None, h.get("warc-type"), h.get("warc-record-id"), h.get("warc-target-uri"), digest, size, h.get("warc-refers-to"), payload if payloads and full else None))
-                    held += len(payload) if payloads else 0
-                    if len(rows) >= 2000 or held > 16 << 20:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-                        rows, held = [], 0
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-
-    files = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths)), "path")
-    return files.mapInArrow(run, RECORDS)
+                with store.open_input_file(place) as raw:
+                    for x in salvage(io.BufferedReader(raw, 1 << 20)):
+                        if isinstance(x, Gap):
+                            rows.append((path, x.start, x.end, x.reason, *[None] * 7))
+                            continue
+                        h, payload = x.headers, payload_of(x)
+                        length = re.search(rb"(?im)^content-length:\s*(\d+)", x.block.partition(b"\r\n\r\n")[0])
+                        digest = h.get("warc-payload-digest", "").removeprefix("sha1:")
+                        full = h.get("warc-type") != "revisit"
+                        if full and digest and digest != digest_of(payload):
+                            rows.append((path, x.start, x.end, "the payload's digest differs", *[None] * 7))
+                            continue
+                        size = len(payload) if full or not length else int(length[1])
+                        rows.append((path, x.start, x.end, None, h.get("warc-type"), h.get("warc-record-id"), h.get("warc-target-uri"), digest, size, h.get("warc-refers-to"), payload if payloads and full else None))
+                        held += len(payload) if payloads else 0
+                        if len(rows) >= 2000 or held > 16 << 20:
+                            yield out(rows)
+                            rows, held = [], 0
+        if rows:
+            yield out(rows)
+
+    if isinstance(files, list):
+        files = spark.createDataFrame([(p,) for p in files], "path string")
+    n, total = files.agg(F.count("*"), F.sum("bytes") if "bytes" in files.columns else F.lit(0)).first()
+    tasks = max(1, min(n, max(4 * spark.sparkContext.defaultParallelism, -(-(total or 0) // TASK_BYTES))))
+    return files.select("path").repartition(tasks).mapInArrow(run, RECORDS)
 
 
 def page_of(urn: str) -> Column:
@@ -279,8 +430,8 @@ def round_trip(pages: DataFrame, least: int = 0, **cols: str) -> DataFrame:
     """Writes pages as archives in the shared folder and reads them back: page_id, payload_bytes, payload_digest, record_type,
     refers_to per record. Null html is an empty payload; an empty table gives an empty one; other columns are not read."""
     spark = pages.sparkSession
-    paths = write(pages, scratch(spark, "warc"), least=least, **cols)
-    found = read(spark, paths, payloads=False).where("gap is null")
+    files = write(pages, scratch(spark, "warc"), least=least, **cols)
+    found = read(spark, files, payloads=False).where("gap is null")
     return found.select(
         page_of("id").alias(cols.get("id_col", "page_id")), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), page_of("refers_to").alias("refers_to")
     )

@@ -43,15 +43,37 @@ def copies(seed=8, bases=12, each=14):
     return texts
 
 
-@pytest.mark.parametrize("most", [2, 1000])
-def test_classes_equal_brute_force(spark, most):
+@pytest.mark.parametrize("most, few", [(2, 1000), (1000, 1000), (2, 3)])
+def test_classes_equal_brute_force(spark, most, few):
     texts = copies()
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").withColumn("sid", F.lit(1)).withColumn("n", F.lit(2))
-    got = {r.doc_id: r.component for r in minhash.near_duplicates(df, how=minhash.Bands(most=most)).collect()}
+    got = {r.doc_id: r.component for r in minhash.near_duplicates(df, how=minhash.Bands(most=most, few=few)).collect()}
     assert [got[i] for i in range(len(texts))] == slow_classes(texts)
     assert minhash.near_duplicates(df.where("false")).count() == 0
 
 
+def test_a_large_group_of_near_copies_is_not_squared(spark, monkeypatch):
+    """Copies of one text with one to six words changed: similarities lie on both sides of 0.8."""
+    rng = np.random.default_rng(3)
+    base, texts = [f"w{i}" for i in range(150)], []
+    for _ in range(400):
+        w = list(base)
+        for i in rng.integers(0, 150, rng.choice([1, 2, 3, 6])):
+            w[i] = f"x{rng.integers(0, 10**6)}"
+        texts.append(" ".join(w))
+    made, verified = [], minhash._verified
+
+    def counted(pairs, sets, share):
+        made.append(pairs.distinct().count())
+        return verified(pairs, sets, share)
+
+    monkeypatch.setattr(minhash, "_verified", counted)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.component for r in minhash.near_duplicates(df).collect()}
+    assert [got[i] for i in range(len(texts))] == slow_classes(texts)
+    assert sum(made) < 0.25 * 400 * 399 / 2
+
+
 def test_pipeline_drops_near_copies(spark):
     base = [f"w{i}" for i in range(200)]
     texts = [" ".join(base), " ".join([*base[:100], "other", *base[101:]]), " ".join([*base[:100], *(f"y{i}" for i in range(100))])]

@@ -69,32 +69,61 @@ def test_estimates_are_unbiased_and_bounded():
     u = rng.normal(size=(2000, 64))
     u /= np.linalg.norm(u, axis=1)[:, None]
     rotated, codes, factor = embdedup.encode(u, embdedup.rotation(64, 1))
-    e, h = embdedup.estimate(codes, factor, rotated[:200], 5.0)
-    true = u @ u[:200].T
-    off = ~np.eye(2000, 200, dtype=bool)
-    assert abs((e - true)[off].mean()) < 2e-3 and (np.abs(e - true) <= h)[off].all()
-
-
-@pytest.mark.parametrize("how", [topk.Search(), topk.Search(k=3, pivots=2, queries=4, candidates=16, step=2)])
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(2000), np.arange(200), indexing="ij"))
+    i, j = i[i != j], j[i != j]
+    e, h = embdedup.estimate(codes[i], factor[i], rotated[j], 5.0)
+    true = (u[i] * u[j]).sum(1)
+    assert abs((e - true).mean()) < 2e-3 and (np.abs(e - true) <= h).all()
+
+
+def test_few_pairs_are_computed_exactly_and_none_is_lost():
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=(300, 64))
+    x = np.concatenate([base, base + rng.normal(size=base.shape) * 0.39])  # cosines round the threshold
+    blocks = [embdedup.Block.of(embdedup.Block.stored(list(range(len(part))), [1] * len(part), part.tolist(), 7)) for part in (x[:300], x[300:])]
+    i, j, exact = embdedup.compare(*blocks, embdedup.Codes())
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    want = np.argwhere(u[:300] @ u[300:].T >= 0.93)
+    assert sorted(zip(i.tolist(), j.tolist(), strict=True)) == sorted(map(tuple, want.tolist())) and 60 < len(want) < 240
+    assert exact < 0.01 * 300 * 300
+    assert embdedup.most_bits(3, 0.93, 1e-7) == 3 and 18 < embdedup.most_bits(64, 0.93, 1e-7) < 28
+
+
+def test_vectors_of_extreme_sizes(spark):
+    rows = [(1, [1e300, 1e300], 0), (2, [1e-300, 1e-300], 0), (3, [1.0, -1.0], 0), (4, [1e-308, 0.0], 0), (5, [1e308, 1e-308], 0)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
+    assert {tuple(r) for r in embdedup.near_duplicates(df).collect()} == {(1, 1, 1), (2, 1, 1), (3, 0, 3), (4, 1, 4), (5, 1, 4)}
+    top = {(r.query_id, r.id): r.score for r in topk.top_k(df, F.col("vec_id") > 0).collect()}
+    assert top == {(a, b): 0 for a in (2, 3, 4) for b in (2, 3, 4) if a != b}
+
+
+@pytest.mark.parametrize("how", [topk.Search(), topk.Search(k=3, pivots=2, queries=4, candidates=16, step=2), topk.Search(k=5, pivots=8, queries=16, spread=40, step=4)])
 def test_top_k_equals_brute_force(spark, how):
     df, rows = some_vectors(spark)
+    rows = rows + [(1, [2.0, 2.0, 2.0], 0), (1, [2.0, 2.0, 2.0], 0), (7, [2.0, -2.0, 2.0], 1), (1, [5.0, 5.0], 0)]  # repeated ids, other vectors
+    df = df.union(spark.createDataFrame(rows[-4:], VECTORS))
     got = {}
     for r in topk.top_k(df.withColumn("d", F.lit(1)).withColumn("q", F.lit(False)), F.col("vec_id") % 20 == 0, how).collect():
         got.setdefault(r.query_id, {})[r["rank"]] = (r.id, r.score)
-    good = {}
-    for i, v, _ in rows:
-        if v and all(x is not None and math.isfinite(x) for x in v):
-            z = [math.floor(64 * x) for x in v]
-            good[i] = min(good.get(i, z), z)
+    good = [(i, [math.floor(64 * x) for x in v]) for i, v, _ in rows if v and all(x is not None and math.isfinite(x) for x in v)]
     want = {}
-    for q in good:
+    for q, z in good:
         if q % 20 == 0:
-            s = sorted((-sum(a * b for a, b in zip(good[q], x, strict=True)), i) for i, x in good.items() if i != q and len(x) == len(good[q]))
+            s = sorted((-sum(a * b for a, b in zip(z, x, strict=True)), i) for i, x in good if i != q and len(x) == len(z))
             want[q] = {k: (i, -v) for k, (v, i) in enumerate(s[: how.k], 1)}
     assert got == {q: r for q, r in want.items() if r}
     assert topk.top_k(df.where("false"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_top_k_of_groups_passes_blocks_over(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(8, 16)) * 20
+    rows = [(i, [float(x) for x in centres[i % 8] + rng.normal(size=16) * 0.1], 0) for i in range(1600)]
+    df = spark.createDataFrame(rows, VECTORS)
+    r = topk.top_k(df, F.col("vec_id") % 20 == 0, topk.Search(k=5, queries=16), report=True).agg(F.sum("evaluated"), F.sum("met"), F.sum("candidates")).first()
+    assert r[1] < 0.6 * r[2] and r[0] < 0.5 * r[2]
+
+
 PAGES = [(3, "http://a/é b", "<p>x</p>"), (1, None, "<p>x</p>"), (2, "u", None), (5, "u", ""), (4, "v", "y" * 100_000), (6, "w", "WARC/1.1\r\n\r\n \x1f\x8b\x08"), (None, "n", "null id"), (7, "z", "<p>x</p>")]
 COLUMNS = "page_id bigint, url string, html string"
 
@@ -153,6 +182,43 @@ def test_salvage_of_members_with_several_records():
     assert f"bytes {len(parts[0])} to {len(parts[0]) + len(parts[1])} of" in reasons[0]
 
 
+def test_salvage_of_a_whole_file_in_one_member():
+    rng = np.random.default_rng(2)
+    bodies = [rng.bytes(40_000 + 100 * i) for i in range(8)]
+    parts = [warc.record(i, "u", b, warc.digest_of(b)) for i, b in enumerate(bodies)]
+    ids = [f"<{warc.ID}{i}>" for i in range(8)]
+    whole = warc.packed(b"".join(parts))
+    assert kinds(whole) == ids
+    broken = bytearray(whole)
+    place = sum(map(len, parts[:4])) + 20_000  # random bodies hardly compress: inside the fifth record
+    broken[place] ^= 0xFF
+    got = kinds(bytes(broken) + warc.packed(parts[0]))
+    # the damaged record is in a gap; those round it, whose digests hold, and the member after it are recovered
+    found, gaps = [x for x in got if isinstance(x, str)], [x for x in got if isinstance(x, tuple)]
+    assert found[:4] == ids[:4] and ids[4] not in found and got[-1] == ids[0] and gaps and max(e for _, e in gaps) == len(whole)
+    cut = kinds(whole[: place])
+    assert [x for x in cut if isinstance(x, str)] == ids[:4] and cut[-1][1] == place
+
+
+def test_salvage_reads_in_parts():
+    class Counting(__import__("io").BytesIO):
+        most = 0
+
+        def read(self, n=-1):
+            data = super().read(n)
+            Counting.most = max(Counting.most, len(data))
+            return data
+
+    body = b"x" * 1000
+    whole = warc.record(1, "u", body, warc.digest_of(body)) * 3000
+    for data in (whole, warc.packed(whole, 0)):
+        assert len([x for x in warc.salvage(Counting(data)) if isinstance(x, warc.Record)]) == 3000
+    assert Counting.most <= 1 << 20 < len(whole)
+    # a length that can't be right is no reason to read on
+    wrong = whole.replace(b"Content-Length: 1", b"Content-Length: 99999999991", 1)
+    assert [type(x).__name__ for x in warc.salvage(wrong)][:2] == ["Gap", "Record"]
+
+
 def test_reader_logs_gaps(spark, tmp_path):
     parts = archive(True)
     (tmp_path / "a.warc.gz").write_bytes(parts[0] + b"?" * 10 + parts[1])

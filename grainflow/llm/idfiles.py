@@ -20,7 +20,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch
+from grainflow.functions.ranks import running_sum
+
+from .common import materialize, scratch, slices
 
 MAGIC = b"GFIDS001"
 #: ASCII marks that part from a letter before them (an apostrophe may not).
@@ -126,12 +128,12 @@ class WordIds:
     """Ids of a tokenizers file whose tokens hold no white space: a text's ids are those of its words, one after another.
 
     Words are split at ASCII white space, which the file's pre-tokenizer drops; each new word is encoded by the library,
-    and a word's ids stay in a memo of at most `memo` words."""
+    and a word's ids stay in a memo of at most `memo` bytes, about."""
 
-    def __init__(self, path: str, memo: int = 600_000):
+    def __init__(self, path: str, memo: int = 96 << 20):
         from tokenizers import Tokenizer
 
-        self.lib, self.memo, self.cores, self.most = Tokenizer.from_file(path), {}, {}, memo
+        self.lib, self.memo, self.cores, self.most, self.held = Tokenizer.from_file(path), {}, {}, memo, 0
         ids = lambda t: self.lib.encode(t, add_special_tokens=False).ids
         probe = ["Ab", "c,", "d's", "É9"]
         self.by_word = ids(" \n".join(probe)) == [i for w in probe for i in ids(w)] and ids(" \t\n\x0b\x0c\r") == []
@@ -161,8 +163,6 @@ class WordIds:
 
     def _learn(self, new: list[bytes]) -> None:
         """Puts new words into the memo: by their cores, and what ends them, where the pre-tokenizer parts the two."""
-        if len(self.cores) > self.most:
-            self.cores.clear()
         joined = b"\n".join(new)
         if self.fold and b"<|" not in joined:
             texts = joined.lower().decode().split("\n")
@@ -181,9 +181,12 @@ class WordIds:
             return [struct.pack(f"<{len(e)}I", *e.ids) + tail for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
         words = [t.encode().split() for t in texts]
         new = {w for ws in words for w in ws}.difference(self.memo)
-        if len(self.memo) + len(new) > self.most:
-            self.memo.clear()
+        # a word, its core and the ids of both
+        self.held += sum(map(len, new)) * 8 + 260 * len(new)
+        if self.held > self.most:
+            self.memo.clear(), self.cores.clear()
             new = {w for ws in words for w in ws}
+            self.held = sum(map(len, new)) * 8 + 260 * len(new)
         if new:
             self._learn(list(new))
         look = self.memo.__getitem__
@@ -200,9 +203,10 @@ def word_ids(path: str) -> WordIds:
     return _open[path]
 
 
-def write(docs: DataFrame, folder: str, tokenizer: str, end: int | None = 1, planes: str = "byte", block: int = 1 << 16, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[str, int, int]]:
+def write(docs: DataFrame, folder: str, tokenizer: str, end: int | None = 1, planes: str = "byte", block: int = 1 << 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes every text and writes the ids in ascending order of id_col (null first; repeated ids by text), a file per range
-    of ids. Returns the manifest, one entry per file in order: path, documents, ids. A null text is an empty one.
+    of ids. Returns the manifest, a row per file: part (its place in the order), path, n_docs, n_ids, base (ids before it). A null
+    text is an empty one.
 
     A file is written under a name of its own attempt and then renamed, so that a task that is run again, or twice at
     once, leaves the same single file. folder: a URI in a store that all executors reach."""
@@ -217,8 +221,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end: int | None = 1, pla
             if writer is None:
                 out = store.open_output_stream(aside)
                 writer = Writer(out, planes, block)
-            for a in range(0, batch.num_rows, 500):
-                part = batch.slice(a, 500)
+            for part in slices(batch, 1, rows=500):
                 writer.add(part.column(0), word_ids(tokenizer).encode_batch([t or "" for t in part.column(1).to_pylist()], end))
                 n += part.num_rows
         if writer is not None:
@@ -229,16 +232,17 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end: int | None = 1, pla
             yield pa.RecordBatch.from_pydict({"part": pa.array([task.partitionId()], pa.int32()), "path": [uri], "n_docs": pa.array([n], pa.int64()), "n_ids": pa.array([writer.total], pa.int64())})
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).repartitionByRange("id").sortWithinPartitions("id", "text")
-    written = rows.mapInArrow(run, "part int, path string, n_docs bigint, n_ids bigint").collect()  # a row per file
-    return [(r["path"], r["n_docs"], r["n_ids"]) for r in sorted(written)]
+    written = materialize(rows.mapInArrow(run, "part int, path string, n_docs bigint, n_ids bigint"), "id-files")
+    return running_sum(written, [], [F.col("part")], F.col("n_ids"), "base").withColumn("base", F.col("base") - F.col("n_ids"))
+
+
+#: Ids that one task reads, about; more where a file holds more.
+TASK_IDS = 1 << 28
 
 
-def read(spark: SparkSession, manifest: list[tuple[str, int, int]], id_type: str = "bigint", digest: Callable[[bytes], int] = zlib.crc32) -> DataFrame:
-    """Documents of the files of a manifest: key, start (ids of all documents before), n_tokens, ids_crc32, one file per task."""
-    before, rows = 0, []
-    for path, _, n in manifest:
-        rows.append((path, before))
-        before += n
+def read(spark: SparkSession, manifest: DataFrame, id_type: str = "bigint", digest: Callable[[bytes], int] = zlib.crc32) -> DataFrame:
+    """Documents of the files of a manifest: key, start (ids of all documents before), n_tokens, ids_crc32. Files are dealt to as many
+    tasks as run at once, or more where they are many."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -255,8 +259,9 @@ def read(spark: SparkSession, manifest: list[tuple[str, int, int]], id_type: str
                         at = int(stops[-1])
                         yield pa.RecordBatch.from_arrays([docs.column(0), pa.array(starts + base, pa.int64()), docs.column(1), pa.array(sums, pa.int64())], names=["key", "start", "n_tokens", "ids_crc32"])
 
-    files = spark.createDataFrame(rows, "path string, base bigint").repartition(max(1, len(rows)), "base")
-    return files.mapInArrow(run, f"key {id_type}, start bigint, n_tokens bigint, ids_crc32 bigint")
+    n, total = manifest.agg(F.count("*"), F.sum("n_ids")).first()
+    tasks = max(1, min(n, max(4 * spark.sparkContext.defaultParallelism, -(-(total or 0) // TASK_IDS))))
+    return manifest.select("path", "base").repartition(tasks).mapInArrow(run, f"key {id_type}, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

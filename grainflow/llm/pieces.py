@@ -6,12 +6,15 @@ import hashlib
 import heapq
 import re
 import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import slices
+
 SPACE = "▁"
 #: The rank of a pair that doesn't join: after all others.
 NONE = 1 << 40
@@ -22,13 +25,13 @@ class Pieces:
 
     A text is encoded unit by unit, a unit being a run of spaces and what follows it: no piece of such a vocabulary holds a
     space after another character (checked when it is read), so that no merge crosses the start of a unit. Ids of units are kept in a
-    memo of at most `memo` entries. Each batch's new units are encoded by the library too, and its ids are taken where they
+    memo of at most `memo` bytes, about. Each batch's new units are encoded by the library too, and its ids are taken where they
     differ; `differing` counts these."""
 
     #: Units of up to so many characters are merged many at a time.
     WIDTH = 32
 
-    def __init__(self, path: str, memo: int = 500_000):
+    def __init__(self, path: str, memo: int = 96 << 20):
         import sentencepiece
 
         self.lib = sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -43,7 +46,7 @@ class Pieces:
             raise ValueError("a piece holds a space after another character; units can't be told apart")
         if sp.encode("  aä \n", out_type=str)[0][:1] != SPACE:
             raise ValueError("the vocabulary doesn't keep white space or has no dummy prefix")
-        self.most, self.memo, self.differing = memo, {}, 0
+        self.most, self.memo, self.held, self.differing = memo, {}, 0, 0
         # symbols: pieces, and characters that pieces hold; 0 is none. Which two join, to which symbol, at which rank
         symbols = sorted({*self.ids, *(c for p in self.ids for c in p)})
         number = {x: k for k, x in enumerate(symbols, 1)}
@@ -183,9 +186,12 @@ class Pieces:
         units = [self.units(t) for t in texts]
         memo = self.memo
         new = list({u for us in units for u in us if u not in memo})
-        if len(memo) + len(new) > self.most:
+        # a unit, its ids and what a dictionary needs for it
+        self.held += sum(map(len, new)) * 6 + 180 * len(new)
+        if self.held > self.most:
             memo.clear()
             new = list({u for us in units for u in us})
+            self.held = sum(map(len, new)) * 6 + 180 * len(new)
         for a in range(0, len(new), 50_000):
             self._learn(new[a : a + 50_000])
         a = np.array([self.lib.bos_id()] * begin, "<u4").tobytes()
@@ -193,6 +199,16 @@ class Pieces:
         look = memo.__getitem__
         return [a + b"".join(map(look, us)) + z for us in units]
 
+    def check(self, texts: list[str], ids: list[bytes], every: int = 64) -> None:
+        """Encodes a seeded share of whole texts by the library and takes its ids where they differ: a unit's ids are checked when
+        it is new, this checks that a text's ids are those of its units."""
+        for i, (t, x) in enumerate(zip(texts, ids, strict=True)):
+            if zlib.crc32(x) % every == 0:
+                want = np.array(self.lib.encode(t, add_bos=True, add_eos=True), "<u4").tobytes()
+                if want != x:
+                    self.differing += 1
+                    ids[i] = want
+
     def decode(self, ids: bytes) -> str:
         return self.lib.decode(np.frombuffer(ids, "<u4").tolist())
 
@@ -211,23 +227,23 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     """One row per row of docs: id_col, n_tokens, ids_sha256, decoded_sha256, differing; with whole, also ids and decoded.
 
     path: the model file's place on every executor. A null text is an empty one, which gives the begin and end ids;
-    repeated rows stay; other columns are not read; an empty table gives an empty one. differing: units of the batch for
-    which the agenda and the library disagreed (the library's ids were taken)."""
+    repeated rows stay; other columns are not read; an empty table gives an empty one. differing: units, and whole
+    texts of a seeded share of one in 64, of the batch for which the agenda and the library disagreed (the library's ids were taken)."""
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string, differing bigint" + ", ids binary, decoded string" * whole
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(path)
-        for batch in batches:
-            for a in range(0, batch.num_rows, 1000):
-                part = batch.slice(a, 1000)
-                before = p.differing
-                ids = p.encode_batch([t or "" for t in part.column(1).to_pylist()])
-                texts = [p.decode(x) for x in ids]
-                digests = [[hashlib.sha256(x).hexdigest() for x in ids], [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in texts]]
-                columns = [part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), *map(pa.array, digests), pa.array([p.differing - before] * len(ids), pa.int64())]
-                if whole:
-                    columns += [pa.array(ids, pa.binary()), pa.array(texts, pa.string())]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "n_tokens", "ids_sha256", "decoded_sha256", "differing", "ids", "decoded"][: len(columns)])
+        for part in (x for batch in batches for x in slices(batch, 1, rows=1000)):
+            before = p.differing
+            texts = [t or "" for t in part.column(1).to_pylist()]
+            ids = p.encode_batch(texts)
+            p.check(texts, ids)
+            decoded = [p.decode(x) for x in ids]
+            digests = [[hashlib.sha256(x).hexdigest() for x in ids], [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in decoded]]
+            columns = [part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), *map(pa.array, digests), pa.array([p.differing - before] * len(ids), pa.int64())]
+            if whole:
+                columns += [pa.array(ids, pa.binary()), pa.array(decoded, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "n_tokens", "ids_sha256", "decoded_sha256", "differing", "ids", "decoded"][: len(columns)])
 
     return docs.select(id_col, text_col).mapInArrow(run, schema).withColumnRenamed("id", id_col)

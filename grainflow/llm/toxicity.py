@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, text_of
+from .common import discard, materialize, slices, text_of
 
 TOKEN = re.compile(r"\w+")
 
@@ -176,16 +176,19 @@ def _train(kept: list[tuple[list[str], list[int]]], fit: Fit) -> Model:
 
 
 class Scorer:
-    """A model in a worker: per batch, the tokens' emissions (kept in a memo by token) and the marginals of whole texts."""
+    """A model in a worker: per batch, the tokens' emissions (kept in a memo by token, of at most `memo` bytes, about) and the marginals
+    of whole texts."""
 
-    def __init__(self, model: Model, memo: int = 500_000):
-        self.model, self.memo, self.most = model, {}, memo
+    def __init__(self, model: Model, memo: int = 64 << 20):
+        self.model, self.memo, self.most, self.held = model, {}, memo, 0
 
     def emission(self, token: str) -> float:
         found = self.memo.get(token)
         if found is None:
-            if len(self.memo) >= self.most:
+            self.held += 160 + 4 * len(token)
+            if self.held > self.most:
                 self.memo.clear()
+                self.held = 160 + 4 * len(token)
             w = self.model.weights
             found = self.memo[token] = self.model.bias + sum(w.get(f, 0.0) for f in features(token))
         return found
@@ -225,16 +228,9 @@ class Scorer:
         return found
 
 
-def _pieces(texts: list[str], tokens_at_once: int = 1_500_000) -> Iterator[slice]:
-    """Slices of texts with a bounded number of characters each, but for single long ones."""
-    a = n = 0
-    for i, t in enumerate(texts):
-        n += len(t)
-        if n > 4 * tokens_at_once:
-            yield slice(a, i + 1)
-            a, n = i + 1, 0
-    if a < len(texts):
-        yield slice(a, len(texts))
+def _parts(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield from slices(batch, text, 2 << 20)
 
 
 def _signature(text: str, shingle: int = 3) -> int:
@@ -252,7 +248,7 @@ def _labelled(docs: DataFrame, labels: DataFrame, fit: Fit, id_col: str, text_co
     joined = docs.select(F.col(id_col).alias("k"), text_of(text_col).alias("text")).join(chosen, "k")
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches, 0):
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(map(_signature, batch.column(0).to_pylist()), pa.int64())], names=["text", "toxic", "sig"])
 
     rows = joined.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(signed, "text string, toxic int, sig bigint")
@@ -273,11 +269,10 @@ def train(docs: DataFrame, labels: DataFrame, fit: Fit = Fit(), id_col: str = "d
         return Model()
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in _pieces(texts := batch.column(0).to_pylist()):
-                each = [sorted({f for w in set(TOKEN.findall(t)) for f in features(w)}) for t in texts[part]]
-                y = np.repeat(np.array(batch.column(1).to_pylist()[part], np.int32), [len(x) for x in each])
-                yield pa.RecordBatch.from_arrays([pa.array([f for x in each for f in x], pa.string()), pa.array(y)], names=["feature", "toxic"])
+        for part in _parts(batches, 0):
+            each = [sorted({f for w in set(TOKEN.findall(t)) for f in features(w)}) for t in part.column(0).to_pylist()]
+            y = np.repeat(np.array(part.column(1).to_pylist(), np.int32), [len(x) for x in each])
+            yield pa.RecordBatch.from_arrays([pa.array([f for x in each for f in x], pa.string()), pa.array(y)], names=["feature", "toxic"])
 
     by = rows.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(held, "feature string, toxic int")
     by = materialize(by.groupBy("feature").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")), "features")
@@ -286,7 +281,7 @@ def train(docs: DataFrame, labels: DataFrame, fit: Fit = Fit(), id_col: str = "d
     window, most = fit.window, fit.max_sequences
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches, 0):
             words, hot = [], []
             for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 tokens = TOKEN.findall(t)
@@ -307,13 +302,13 @@ def train(docs: DataFrame, labels: DataFrame, fit: Fit = Fit(), id_col: str = "d
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for batch in batches:
-            for part in _pieces(texts := batch.column(0).to_pylist()):
-                found = np.array([scorer.summary(x) for x in scorer.logits(texts[part])]).reshape(-1, 2)
-                y = pa.array(batch.column(1).to_pylist()[part], pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1]), y], names=["x", "y", "toxic"])
+        for part in _parts(batches, 0):
+            found = np.array([scorer.summary(x) for x in scorer.logits(part.column(0).to_pylist())]).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1]), part.column(1)], names=["x", "y", "toxic"])
 
+    discard(by, cuts)
     points = rows.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(summed, "x double, y double, toxic int").collect()
+    discard(rows)
     p = np.array(sorted((r["x"], r["y"], r["toxic"]) for r in points))
     model.scale = _logistic(p[:, :2], p[:, 2])
     return model
@@ -343,32 +338,29 @@ def _slope(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
     """One row per row of docs: id_col, score (0 to 1) and spans, the offending offsets as an array of (start, end) in code
-    points; with keep, the columns of docs come first and the two are named toxic_score and toxic_spans.
+    points; with keep, the columns of docs come first, as the struct doc_row, so that none clashes.
 
     Whole texts are scored as one chain each. A null or empty text has no tokens: its score is that of no toxic token.
     Repeated rows are scored alike; an empty table gives an empty one."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    spans = "array<struct<start:int,end:int>>"
     cols = docs.columns if keep else [id_col]
-    kept, n = T.StructType([docs.schema[c] for c in cols]), len(cols)
-    read = [*cols, text_col][: n + (text_col not in cols)]
-    where = read.index(text_col)
-    extra = f"__score double, __spans {spans}"
+    kept = [T.StructField(f"c{i}", docs.schema[c].dataType) for i, c in enumerate(cols)]
+    read = [*cols, text_col][: len(cols) + (text_col not in cols)]
+    where, n = read.index(text_col), len(cols)
+    spans = T.ArrayType(T.StructType().add("start", "integer").add("end", "integer"))
     arrow_spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for batch in batches:
-            texts = [t or "" for t in batch.column(where).to_pylist()]
+        for part in _parts(batches, where):
+            texts = [t or "" for t in part.column(where).to_pylist()]
             scores, found = [], []
-            for part in _pieces(texts):
-                for t, x in zip(texts[part], scorer.logits(texts[part]), strict=True):
-                    scores.append(scorer.score(x))
-                    found.append([{"start": a, "end": b} for a, b in scorer.spans(t, x)])
-            columns = [*batch.columns[:n], pa.array(scores, pa.float64()), pa.array(found, arrow_spans)]
-            yield pa.RecordBatch.from_arrays(columns, names=[*cols, "__score", "__spans"])
-
-    schema = T.StructType([*kept.fields, *T._parse_datatype_string(extra).fields])
-    out = docs.select(*(f"`{c}`" for c in read)).mapInArrow(run, schema)
-    names = ("toxic_score", "toxic_spans") if keep else ("score", "spans")
-    return out.withColumnsRenamed({"__score": names[0], "__spans": names[1]})
+            for t, x in zip(texts, scorer.logits(texts), strict=True):
+                scores.append(scorer.score(x))
+                found.append([{"start": a, "end": b} for a, b in scorer.spans(t, x)])
+            yield pa.RecordBatch.from_arrays([*part.columns[:n], pa.array(scores, pa.float64()), pa.array(found, arrow_spans)], names=[*(f"c{i}" for i in range(n)), "score", "spans"])
+
+    schema = T.StructType([*kept, T.StructField("score", T.DoubleType()), T.StructField("spans", spans)])
+    out = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(read))).mapInArrow(run, schema)
+    rows = F.struct(*(F.col(f"c{i}").alias(c) for i, c in enumerate(cols))).alias("doc_row")
+    return out.select(rows, "score", "spans") if keep else out.select(F.col("c0").alias(id_col), "score", "spans")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -46,20 +47,32 @@ class Fit:
     each: float = 0.6
 
 
+#: Elements that are folded at a time: a running fold costs each element a copy of its piece, not of all before it.
+PIECE = 64
+
+
+def _before(items: Column, value: Callable[[Column], Column], fold: Callable[[Column, Column], Column]) -> Column:
+    """For each item the fold of the values before it, from 0, as an array of ints."""
+    last = F.floor((F.size(items) - 1) / PIECE).cast("int")
+    pieces = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(items, i * PIECE + 1, PIECE))
+
+    def running(part: Column, start: Column, of: Callable[[Column], Column]) -> Column:
+        zero = F.struct(start.alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(part, zero, lambda acc, x: F.struct(fold(acc["at"], of(x)).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+    totals = F.transform(pieces, lambda p: F.aggregate(p, F.lit(0), lambda acc, x: fold(acc, value(x))))
+    each = F.flatten(F.zip_with(pieces, running(totals, F.lit(0), lambda x: x), lambda p, start: running(p, start, value)))
+    return F.when(F.size(items) > 0, each).otherwise(F.array().cast("array<int>"))
+
+
 def _runs(text: Column, pattern: str, kind: int) -> Column:
     """Array of spans of the pattern's leftmost non-overlapping matches; the gaps between matches give their offsets."""
     found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    sizes = F.zip_with(gaps, found, lambda g, f: F.struct(F.length(g).alias("g"), F.length(f).alias("f")))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["g"]
-        one = F.array(F.struct(start.alias("s"), F.lit(kind).alias("k"), (start + F.coalesce(x["f"], F.lit(0))).alias("e")))
-        # the last gap has no match after it
-        out = F.when(x["f"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], one))
-        return F.struct((start + F.coalesce(x["f"], F.lit(0))).alias("at"), out.alias("out"))
-
-    return F.when(text.rlike(pattern), F.aggregate(sizes, zero, step, lambda acc: acc["out"])).otherwise(F.array().cast(f"array<{SPAN}>"))
+    # the last gap has no match after it
+    sizes = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, f: F.struct(F.length(g).alias("g"), F.length(f).alias("f")))
+    spans = lambda x: F.zip_with(x, _before(x, lambda y: y["g"] + y["f"], lambda p, q: p + q), lambda y, at: F.struct((at + y["g"]).alias("s"), F.lit(kind).alias("k"), (at + y["g"] + y["f"]).alias("e")))
+    made = F.element_at(F.transform(F.array(sizes), spans), 1)  # sizes is made once
+    return F.when(text.rlike(pattern), made).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def _assigns(text: Column) -> Column:
@@ -125,10 +138,11 @@ def train(docs: DataFrame, fit: Fit = Fit(), id_col: str = "doc_id", text_col: s
 
 
 def _ratio(word: Column, table: list[float]) -> Column:
-    """The log-likelihood ratio of a word of ALPHABET."""
-    weights, n = F.array(*map(F.lit, table)), len(ALPHABET)
-    at = lambda i: F.instr(F.lit(ALPHABET), F.substring(word, i, F.lit(1)))
-    return F.aggregate(F.sequence(F.lit(1), F.length(word) - 1), F.lit(0.0), lambda acc, i: acc + F.element_at(weights, (at(i) - 1) * n + at(i + 1)))
+    """The log-likelihood ratio of a word of ALPHABET: the sum over its pairs of characters."""
+    weights, n = F.split(F.lit(",".join(map(repr, table))), ",").cast("array<double>"), len(ALPHABET)
+    places = F.transform(F.split(word, ""), lambda c: F.instr(F.lit(ALPHABET), c))
+    pairs = lambda p: F.zip_with(F.slice(p, F.lit(1), F.size(p) - 1), F.slice(p, F.lit(2), F.size(p) - 1), lambda a, b: F.element_at(weights, (a - 1) * n + b))
+    return F.aggregate(F.element_at(F.transform(F.array(places), pairs), 1), F.lit(0.0), lambda acc, w: acc + w)
 
 
 def scan(docs: DataFrame, table: list[float], fit: Fit = Fit(), id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
@@ -159,13 +173,8 @@ def listed(spans: Column) -> Column:
 
 
 def masked(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """The text with each span, or run of overlapping spans, replaced by mark."""
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        new = F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["s"] - acc["at"]), F.lit(mark))
-        out = F.when((x["s"] >= acc["at"]) | (acc["out"] == ""), new).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), out.alias("out"))
-
-    end = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
-    return F.when(F.size(spans) > 0, F.aggregate(spans, zero, step, end)).otherwise(text)
+    """The text with each span, or run of overlapping spans, replaced by mark; spans are in order of starts."""
+    ends = _before(spans, lambda x: x["e"], F.greatest)
+    parts = F.zip_with(spans, ends, lambda x, at: F.when(x["s"] >= at, F.concat(F.substring(text, at + 1, x["s"] - at), F.lit(mark))).otherwise(F.lit("")))
+    rest = F.substring(text, F.array_max(F.transform(spans, lambda x: x["e"])) + 1, F.length(text))
+    return F.when(F.size(spans) > 0, F.concat(F.array_join(parts, ""), rest)).otherwise(text)

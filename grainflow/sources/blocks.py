@@ -1,18 +1,21 @@
 """Block files: three header lines (the third names the columns), then blocks of "timestep rows total" and that many rows.
 
-A file is read in two jobs. The first scans each file once and finds the byte range of each block: a small table, which can
-be filtered by step before anything is parsed and kept as Parquet for later reads. The second parses the ranges that are
-left, a task per few blocks, wherever they are."""
+A file is read in two jobs. The first scans each file once, skipping a block's rows by counting line ends in large buffers, and
+finds the byte range of each block and of the pieces that a large one falls into: a small table, which can be filtered by
+step before anything is parsed and kept as Parquet for later reads. The second parses the pieces that are left column by
+column, a task per few pieces, wherever they are."""
 
 from __future__ import annotations
 
 import hashlib
 import io
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
+import pyarrow.compute as pc
+from pyarrow import csv, fs
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +25,9 @@ from pyspark.sql import Window as W
 from ..functions.errors import AnalysisError, require
 from ..functions.names import header_names
 
-INDEX = "path string, step_index int, timestep double, num_chunks int, total_count double, data_start bigint, data_end bigint"
+INDEX = "path string, step_index int, timestep double, num_chunks int, total_count double, data_start bigint, data_end bigint, pieces array<struct<start:bigint,end:bigint,before:int,n:int>>"
+#: Bytes of a block that one task parses at once, about.
+PIECE = 32 << 20
 META = T.StructType().add("path", "string").add("step_index", "integer").add("timestep", "double").add("num_chunks", "integer").add("total_count", "double").add("row_id", "integer")
 #: Columns that an empty cell keeps.
 KEPT = ("Chunk", "Ncount")
@@ -33,17 +38,59 @@ def _open(path: str) -> pa.NativeFile:
     return store.open_input_file(place)
 
 
+class _Lines:
+    """The lines of a file from a place on, one by one, or skipped by the thousand."""
+
+    def __init__(self, source: pa.NativeFile, at: int = 0, step: int = 8 << 20):
+        source.seek(at)
+        self.source, self.step, self.base, self.data, self.pos = source, step, at, b"", 0
+
+    @property
+    def at(self) -> int:
+        return self.base + self.pos
+
+    def _more(self) -> bool:
+        """Reads on, keeping what isn't used yet; False at the file's end."""
+        new = self.source.read(self.step)
+        self.base, self.data, self.pos = self.at, self.data[self.pos :] + new, 0
+        return bool(new)
+
+    def __iter__(self) -> Iterator[tuple[int, bytes]]:
+        while (found := self.next()) is not None:
+            yield found
+
+    def next(self) -> tuple[int, bytes] | None:
+        """The byte at which the next line starts, and the line."""
+        while (end := self.data.find(b"\n", self.pos)) < 0:
+            if not self._more():
+                if self.pos == len(self.data):
+                    return None
+                end = len(self.data)
+                break
+        at, line = self.at, self.data[self.pos : end]
+        self.pos = min(end + 1, len(self.data))
+        return at, line
+
+    def skip(self, n: int) -> Iterator[tuple[int, int]]:
+        """Skips n lines; gives the place and the lines passed after each buffer, the last time when all are, or at the file's end."""
+        left = n
+        while left:
+            ends = np.flatnonzero(np.frombuffer(self.data, np.uint8, offset=self.pos) == 10) if self.pos < len(self.data) else ()
+            if len(ends):
+                k = min(left, len(ends))
+                self.pos += int(ends[k - 1]) + 1
+                left -= k
+                yield self.at, n - left
+            if left and not self._more():
+                if self.pos < len(self.data):
+                    self.pos, left = len(self.data), left - 1
+                    yield self.at, n - left
+                return
+
+
 def _lines(source: pa.NativeFile, at: int = 0, step: int = 8 << 20) -> Iterator[tuple[int, bytes]]:
     """Lines with the byte at which each starts."""
-    source.seek(at)
-    rest = b""
-    while data := source.read(step):
-        *whole, rest = (rest + data).split(b"\n")
-        for line in whole:
-            yield at, line
-            at += len(line) + 1
-    if rest:
-        yield at, rest
+    return iter(_Lines(source, at, step))
 
 
 def _numbers(line: bytes) -> list[float] | None:
@@ -65,42 +112,47 @@ def columns_of(path: str) -> list[str]:
     return header_names(head[2][1].decode())
 
 
-def scan_blocks(path: str, strict: bool = False) -> Iterator[tuple]:
+def scan_blocks(path: str, strict: bool = False, piece: int = PIECE) -> Iterator[tuple]:
     """Rows of the index of one file. Lenient: lines that don't start a block are skipped and a block takes its rows as raw
     lines. Strict: they are errors, and blank lines inside a block don't count as rows."""
-    number, left, current = 0, 0, None
+
+    def passed(lines: _Lines, n: int) -> Iterator[tuple[int, int]]:
+        if not strict:
+            yield from lines.skip(n)
+            return
+        done = 0
+        while done < n and (found := lines.next()) is not None:
+            done += bool(found[1].strip())
+            yield lines.at, done
+
+    number = 0
     with _open(path) as source:
-        lines = _lines(source)
+        lines = _Lines(source)
         for _ in range(3):
-            require(next(lines, None) is not None, "HeaderTooShort", path)
-        end = 0
-        for at, line in lines:
-            end = at + len(line) + 1
-            if left:
-                if strict and not line.strip():
-                    continue
-                left -= 1
-                if not left:
-                    yield (*current, end)
-                continue
+            require(lines.next() is not None, "HeaderTooShort", path)
+        while (found := lines.next()) is not None:
+            line = found[1]
             head = _numbers(line)
             if not head or len(head) < 3:
                 require(not strict or not line.strip(), "BadBlockHeader", line.decode(errors="replace"))
                 continue
             if strict:
                 require(head[1] >= 0 and head[1] == int(head[1]), "BadChunkCount", line.decode(errors="replace"))
-            number, left = number + 1, int(head[1])
-            current = (path, number, head[0], left, head[2], end)
-            if not left:
-                yield (*current, end)
-        require(not left, "UnexpectedEOF", path)
+            number, n, start = number + 1, int(head[1]), lines.at
+            pieces, begun, before, end, done = [], start, 0, start, 0
+            for end, done in passed(lines, n):
+                if end - begun >= piece or done == n:
+                    pieces.append({"start": begun, "end": end, "before": before, "n": done - before})
+                    begun, before = end, done
+            require(done == n, "UnexpectedEOF", path)
+            yield path, number, head[0], n, head[2], start, end, pieces
 
 
 def block_index(spark: SparkSession, paths: list[str], strict: bool = False) -> DataFrame:
     """One row per block of the files: path, step_index (from 1 in file order), timestep, num_chunks, total_count and its bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("path", pa.string()), ("step_index", pa.int32()), ("timestep", pa.float64()), ("num_chunks", pa.int32()), ("total_count", pa.float64()), ("data_start", pa.int64()), ("data_end", pa.int64())])
+        schema = pa.schema([("path", pa.string()), ("step_index", pa.int32()), ("timestep", pa.float64()), ("num_chunks", pa.int32()), ("total_count", pa.float64()), ("data_start", pa.int64()), ("data_end", pa.int64()), ("pieces", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("before", pa.int32()), ("n", pa.int32())])))])
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 rows = []
@@ -153,28 +205,42 @@ def read_blocks(index: DataFrame, columns: list[str]) -> DataFrame:
     schema = T.StructType([*META.fields, *(T.StructField(c, T.DoubleType()) for c in columns)])
     kinds = pa.schema([("path", pa.string()), ("step_index", pa.int32()), ("timestep", pa.float64()), ("num_chunks", pa.int32()), ("total_count", pa.float64()), ("row_id", pa.int32()), *((c, pa.float64()) for c in columns)])
 
-    def parse(data: bytes, n: int, path: str) -> np.ndarray:
+    def row_by_row(data: bytes, n: int, path: str) -> list[pa.Array]:
         rows = [line.split()[: len(columns)] for line in data.split(b"\n") if line.strip()]
         require(len(rows) >= n, "UnexpectedEOF", path)
         bad = next((r for r in rows[:n] if len(r) < len(columns)), None)
         require(bad is None, "BadDataRow", f"{path}: {bad}")
         try:
-            return np.array(rows[:n], dtype="S").astype(np.float64).reshape(n, len(columns)) if n else np.empty((0, len(columns)))
+            values = np.array(rows[:n], dtype="S").astype(np.float64).reshape(n, len(columns))
         except ValueError:
             raise AnalysisError("BadDataRow", path) from None
+        return [pa.array(values[:, i], mask=np.isnan(values[:, i])) for i in range(len(columns))]
+
+    def parse(data: bytes, n: int, path: str) -> list[pa.Array]:
+        """The columns of a piece; rows of uneven lengths are read one by one."""
+        even = re.sub(rb"(?m)^ +| +$", b"", re.sub(rb"[ \t\r\f\v]+", b" ", data))
+        first = even.lstrip(b"\n").split(b"\n", 1)[0].split(b" ")
+        names = [str(i) for i in range(len(first))]
+        how = csv.ConvertOptions(column_types=dict.fromkeys(names, pa.float64()), include_columns=names[: len(columns)], null_values=["nan", "NaN", "NAN", "-nan", "-NaN"])
+        try:
+            require(len(first) >= len(columns), "BadDataRow")
+            found = csv.read_csv(io.BytesIO(even), csv.ReadOptions(column_names=names, use_threads=False), csv.ParseOptions(delimiter=" ", quote_char=False), how).combine_chunks()
+            require(found.num_rows >= n, "UnexpectedEOF")
+            return [pc.if_else(pc.is_nan(c), None, c) for c in (found.column(i).slice(0, n).combine_chunks() for i in range(len(columns)))]
+        except (pa.ArrowInvalid, AnalysisError):
+            return row_by_row(data, n, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
                 with _open(r["path"]) as source:
-                    source.seek(r["data_start"])
-                    values, n = parse(source.read(r["data_end"] - r["data_start"]), r["num_chunks"], r["path"]), r["num_chunks"]
-                if n:
-                    meta = [[r[k]] * n for k in ("path", "step_index", "timestep", "num_chunks", "total_count")]
-                    cells = [pa.array(values[:, i], mask=np.isnan(values[:, i])) for i in range(len(columns))]
-                    yield pa.RecordBatch.from_arrays([*(pa.array(c, f.type) for c, f in zip(meta, kinds, strict=False)), pa.array(np.arange(1, n + 1), pa.int32()), *cells], schema=kinds)
-
-    return index.repartition("path", "step_index").mapInArrow(run, schema)
+                    source.seek(r["start"])
+                    cells, n = parse(source.read(r["end"] - r["start"]), r["n"], r["path"]), r["n"]
+                meta = [pa.repeat(pa.scalar(r[f.name], f.type), n) for f in list(kinds)[:5]]
+                yield pa.RecordBatch.from_arrays([*meta, pa.array(np.arange(r["before"] + 1, r["before"] + n + 1), pa.int32()), *(c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in cells)], schema=kinds)
+
+    pieces = index.select(*(f.name for f in META.fields if f.name != "row_id"), F.explode("pieces").alias("piece")).select("*", "piece.*").drop("piece").where("n > 0")
+    return pieces.repartition("path", "step_index", "before").mapInArrow(run, schema)
 
 
 def mask_empty(df: DataFrame) -> DataFrame:

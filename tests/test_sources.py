@@ -86,6 +86,24 @@ def test_broken_blocks(tmp_path):
     assert list(blocks.scan_blocks(str(tmp_path / "d"))) == []
 
 
+def test_pieces_of_a_large_block(spark, tmp_path):
+    """A block in many pieces, uneven and blank rows, NaN and text without an end of line."""
+    path = tmp_path / "bin1d_a.txt"
+    body = "".join(f"  {i}\t{i * 0.5}  {'nan' if i % 7 == 0 else i}{' 9 9' if i % 11 == 0 else ''} \n" for i in range(1, 5001))
+    path.write_text("#\n#\n# Chunk Coord1 Ncount\n" + f"5 5000 1\n{body}" + "6 2 1\n1 2 3\n4 5 6")
+    whole = list(blocks.scan_blocks(str(path)))
+    parts = list(blocks.scan_blocks(str(path), piece=1))
+    assert [r[:7] for r in whole] == [r[:7] for r in parts] and [len(r[7]) for r in whole] == [1, 1]
+    strict = list(blocks.scan_blocks(str(path), strict=True, piece=1000))
+    assert [r[:7] for r in strict] == [r[:7] for r in whole] and len(strict[0][7]) > 50
+    assert all(a["end"] == b["start"] and a["before"] + a["n"] == b["before"] for a, b in zip(strict[0][7], strict[0][7][1:], strict=False))
+    rows = blocks.read_blocks(spark.createDataFrame(strict, blocks.INDEX), blocks.columns_of(str(path))).orderBy("step_index", "row_id").collect()
+    assert [(r.step_index, r.row_id, r.Chunk, r.Coord1, r.Ncount) for r in rows] == [(1, i, i, i * 0.5, None if i % 7 == 0 else i) for i in range(1, 5001)] + [(2, 1, 1, 2, 3), (2, 2, 4, 5, 6)]
+    (tmp_path / "bad.txt").write_text("#\n#\n# A B\n1 2 0\n1 2\n1 x\n")
+    with pytest.raises(Exception, match="BadDataRow"):
+        blocks.read(spark, str(tmp_path / "bad.txt")).collect()
+
+
 def test_short_row(spark, tmp_path):
     (tmp_path / "e.txt").write_text("#\n#\n# A B C\n1 1 0\n1 2\n")
     with pytest.raises(Exception, match="BadDataRow"):

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+from collections.abc import Callable, Iterator, Mapping
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.errors import require
-from ..functions.names import metadata
+from ..functions.errors import AnalysisError, require
+from ..functions.names import cell_volume, metadata
 from ..operators import cluster, fields, grid, select, velocity
 from ..sources import blocks, resolve, runlog
 from .network import Network, Options, evolution
@@ -15,9 +18,9 @@ TASKS = ("chunk", "cluster", "vx", "network2d")
 PROGRESS = ("auto", "off", "waitbar", "console")
 
 
-def load(spark: SparkSession, path: str, select_by=None, index=None, timestep=None, time=None, log: str | None = None, log_module: int = 1, strict: bool = False) -> tuple[DataFrame, DataFrame]:
-    """The rows of the picked block, and the record of the choice."""
-    table = blocks.block_index(spark, [path], strict)
+def load(spark: SparkSession, path: str, select_by=None, index=None, timestep=None, time=None, log: str | None = None, log_module: int = 1, strict: bool = False, cache: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The rows of the picked block, and the record of the choice. cache: a folder in which the index is kept for the next read."""
+    table = blocks.cached_index(spark, [path], cache, strict) if cache else blocks.block_index(spark, [path], strict)
     rows = None
     if select.mode_of(select_by, index, timestep, time) == "time":
         require(log is not None, "MissingSlurmPath")
@@ -31,12 +34,38 @@ def load(spark: SparkSession, path: str, select_by=None, index=None, timestep=No
     return blocks.mask_empty(blocks.read_blocks(table.where(F.col("step_index") == one), blocks.columns_of(path))), choice
 
 
-def analyze(spark: SparkSession, task: str, folder: str, file: str | None = None, dim: str = "2d", coord_scale: float = 1.0, progress: str = "auto", log: str | None = None, **options) -> dict:
+class Results(Mapping):
+    """Tables by name, each made when it is first asked for."""
+
+    def __init__(self, **makers: Callable[[], object]):
+        self.makers, self.made = makers, {}
+
+    def __getitem__(self, name: str):
+        if name not in self.made:
+            self.made[name] = self.makers[name]()
+        return self.made[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self.makers)
+
+    def __len__(self) -> int:
+        return len(self.makers)
+
+    def write(self, folder: str, form: str = "parquet") -> None:
+        """Writes every table below the folder, under its name; parquet or json."""
+        require(form in ("parquet", "json"), "BadForm", form)
+        for name, t in self.items():
+            if isinstance(t, DataFrame):
+                t.write.format(form).save(f"{folder.rstrip('/')}/{name}")
+
+
+def analyze(spark: SparkSession, task: str, folder: str, file: str | None = None, dim: str = "2d", coord_scale: float = 1.0, progress: str = "auto", log: str | None = None, cache: str | None = None, **options) -> Results:
     """Runs one analysis on one block of the only file of its kind in the folder, or of the named file.
 
-    task chunk: variable, dv, range_x, range_y. cluster: dx, dim3, ranges, diameter_range, mean_m, mean_n, bins, bin_size, by. vx:
+    task chunk: variable, dv (where it isn't given, the cell volume that the file's name gives, if it does), range_x, range_y. cluster: dx, dim3, ranges, diameter_range, mean_m, mean_n, bins, bin_size, by. vx:
     columns, factor. network2d: threshold and the other fields of network.Options. All: select_by, index, timestep, time.
-    Returns DataFrames by name; nothing is computed before it is asked for, but for the choice of the block."""
+    cache: a folder in which the file's index is kept. Returns DataFrames by name; nothing is computed before it is asked for, but
+    for the choice of the block and the checks of a grid's coordinates."""
     task = task.strip().lower()
     require(task in TASKS, "BadTaskType", task)
     require(progress in PROGRESS, "BadMode", progress)
@@ -45,25 +74,34 @@ def analyze(spark: SparkSession, task: str, folder: str, file: str | None = None
     if log is None and picks.get("time") is not None:
         log = resolve.resolve(folder, "log")
     path = resolve.resolve(folder, dim.lower() if task in ("chunk", "network2d") else task, file)
-    rows, choice = load(spark, path, log=log, **picks)
+    rows, choice = load(spark, path, log=log, cache=cache, **picks)
     if task == "chunk":
-        return {"selection": choice, "field": fields.field(rows, options.pop("variable"), dim, scale=coord_scale, **options)}
+        options.setdefault("dv", None)
+        if options["dv"] is None:
+            with contextlib.suppress(AnalysisError):  # a name without a volume
+                options["dv"] = cell_volume(path)
+        found = fields.field(rows, options.pop("variable"), dim, scale=coord_scale, **options)
+        return Results(selection=lambda: choice, field=lambda: found)
     if task == "cluster":
         by = options.pop("by", None)
         o = cluster.Options(**options)
         d = cluster.diameters(rows, o)
-        out = {
-            "selection": choice, "clusters": d, "stats": cluster.stats(d, o), "fits": cluster.fits(d),
-            "histogram": cluster.histogram(d, ["step_index"], "diameter", o.bins, o.bin_size), "curves": cluster.fit_curves(d), "cdf": cluster.cdf(d, ["step_index"]),
+        makers = {
+            "selection": lambda: choice, "clusters": lambda: d, "stats": lambda: cluster.stats(d, o), "fits": lambda: cluster.fits(d),
+            "histogram": lambda: cluster.histogram(d, ["step_index"], "diameter", o.bins, o.bin_size), "curves": lambda: cluster.fit_curves(d), "cdf": lambda: cluster.cdf(d, ["step_index"]),
         }
-        return out | ({"binned_mean": cluster.binned_mean(d, by, o=o)} if by else {})
+        if by:
+            require(by in d.columns, "BadXVar", by)
+            makers["binned_mean"] = lambda: cluster.binned_mean(d, by, o=o)
+        return Results(**makers)
     if task == "vx":
         names = velocity.density_columns(rows.columns, options.get("columns"))
         curves = velocity.cumulative(rows, options.get("columns"), options.get("factor", 0.001))
-        return {"selection": choice, "curves": curves, "plotted": velocity.plotted(curves, names)}
+        return Results(selection=lambda: choice, curves=lambda: curves, plotted=lambda: velocity.plotted(curves, names))
     cells, o = network_input(rows, path, coord_scale, options)
     net = Network(cells, o)
-    return {"selection": choice, "cells": net.cells, "components": net.components, "global": net.globals, "stats": net.stats, "network": net}
+    tables = {"cells": "cells", "components": "components", "global": "globals", "stats": "stats", "topology": "topology", "connectivity": "connectivity", "sizes": "sizes", "series": "series"}
+    return Results(selection=lambda: choice, network=lambda: net, **{k: (lambda a=a: getattr(net, a)) for k, a in tables.items()})
 
 
 def network_input(rows: DataFrame, path: str, coord_scale: float, options: dict) -> tuple[DataFrame, Options]:
@@ -80,18 +118,18 @@ def network_input(rows: DataFrame, path: str, coord_scale: float, options: dict)
     return cells, Options(**options)
 
 
-def evolve(spark: SparkSession, path: str, axis: str = "index", bounds=None, stride: int = 1, log: str | None = None, coord_scale: float = 1.0, **options) -> DataFrame:
+def evolve(spark: SparkSession, path: str, axis: str = "index", bounds=None, stride: int = 1, log: str | None = None, coord_scale: float = 1.0, cache: str | None = None, **options) -> DataFrame:
     """The network series over the blocks of a file, cut by index, timestep or time, every stride-th. With a log the physical
     time of each block is added; the range on the axis index then holds for timesteps."""
     require(axis in ("index", "timestep", "time"), "BadEvolutionSelectBy", axis)
     require(axis != "time" or log is not None, "MissingEvolutionSlurmPath")
-    table = blocks.block_index(spark, [path])
+    table = blocks.cached_index(spark, [path], cache) if cache else blocks.block_index(spark, [path])
     meta = table.select("step_index", "timestep")
     if log is not None:
         meta = select.times_of(meta, runlog.steps(runlog.read(spark, log)))
     by = "time" if axis == "time" else "timestep" if axis == "timestep" or log is not None else "step_index"
     meta = select.in_range(meta, by, bounds, stride)
-    cells, o = network_input(blocks.read(spark, path, steps=meta), path, coord_scale, options)
+    cells, o = network_input(blocks.read(spark, path, steps=meta, cache=cache), path, coord_scale, options)
     return evolution(cells, o, meta)
 
 

@@ -59,8 +59,11 @@ class Network:
     df: rows with step_index, x, y and ncount."""
 
     def __init__(self, df: DataFrame, o: Options):
-        self.o, self.b = o, Boundary.of(o.boundary)
-        self.cells = materialize(grid.gridify(df, o.threshold), "cells")
+        self.df, self.o, self.b = df, o, Boundary.of(o.boundary)
+
+    @cached_property
+    def cells(self) -> DataFrame:
+        return materialize(grid.gridify(self.df, self.o.threshold), "cells")
 
     @cached_property
     def components(self) -> DataFrame:

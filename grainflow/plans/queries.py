@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import binning, physics
 from ..functions.scalars import moment_mean
-from ..operators import cluster, fields, grid, morphology, profiles, select, smoothing, velocity
+from ..operators import cluster, fields, grid, gridding, morphology, profiles, select, smoothing, velocity
 from ..operators.grid import Boundary
 from ..sources import blocks as block_files
 from . import views
@@ -533,3 +533,24 @@ def bin_edges(spark, d):
     li = views.table(spark, d, "lineitem").groupBy((F.col("l_quantity").cast("int") % 5).alias("key")).agg(F.min("l_extendedprice").alias("lo"), F.max("l_extendedprice").alias("hi"))
     e = li.select("key", binning.count_edges(F.col("lo"), F.col("hi"), 25).alias("edges"))
     return rounded(e.select("key", F.element_at("edges", 1).alias("lo"), F.element_at("edges", -1).alias("hi"), (F.size("edges") - 1).alias("n_bins")))
+
+
+# ---------------------------------------------------------------- scattered points
+
+_POINTS = "pt AS (SELECT s_nationkey % 3 AS key, s_acctbal / 1000 AS x, sqrt(s_suppkey) AS y, CASE WHEN s_suppkey % 9 > 0 THEN s_suppkey::DOUBLE END AS z FROM supplier), p AS (SELECT * FROM pt WHERE z IS NOT NULL)"
+
+
+@query(f"""WITH {_POINTS}, e AS (SELECT key, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM p GROUP BY ALL),
+g AS (SELECT key, i::INT AS ix, j::INT AS iy, CASE WHEN i = 11 THEN x1 ELSE x0 + i * (x1 - x0) / 11 END AS x, CASE WHEN j = 9 THEN y1 ELSE y0 + j * (y1 - y0) / 9 END AS y FROM e, range(12) a(i), range(10) b(j)),
+h AS (SELECT a.key, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by FROM p a JOIN p b ON a.key = b.key AND (a.x, a.y) <> (b.x, b.y) WHERE NOT EXISTS (SELECT 1 FROM p c WHERE c.key = a.key AND (b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) < 0)),
+i AS (SELECT g.key, ix, iy, g.x, g.y, bool_and((bx - ax) * (g.y - ay) - (by - ay) * (g.x - ax) >= -1e-9) AS inside FROM g JOIN h ON g.key = h.key GROUP BY ALL)
+SELECT key::INT AS key, ix, iy, {_r('x')}, {_r('y')}, CASE WHEN inside THEN (SELECT arg_min(p.z, (p.x - i.x) ** 2 + (p.y - i.y) ** 2) FROM p WHERE p.key = i.key) END AS z FROM i""")
+def scattered_nearest(spark, d):
+    s = views.table(spark, d, "supplier")
+    points = s.select((F.col("s_nationkey") % 3).cast("int").alias("key"), (F.col("s_acctbal") / 1000).alias("x"), F.sqrt("s_suppkey").alias("y"), F.when(F.col("s_suppkey") % 9 > 0, F.col("s_suppkey").cast("double")).alias("z"))
+    return rounded(gridding.nearest_grid(gridding.with_coordinates(points, "key", ["x", "y"]), "key", "x", "y", "z", (12, 10)))
+
+
+@query("SELECT key, nx, ny, n, nx * ny = n AS is_rectangular FROM (SELECT l_partkey % 50 AS key, count(DISTINCT l_suppkey) AS nx, count(DISTINCT l_linenumber) AS ny, count(DISTINCT (l_suppkey, l_linenumber)) AS n FROM lineitem GROUP BY ALL)")
+def rectangular_points(spark, d):
+    return gridding.rectangular(views.table(spark, d, "lineitem").withColumn("key", F.col("l_partkey") % 50), "key", "l_suppkey", "l_linenumber")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from grainflow.functions import binning, scalars
 from grainflow.functions.errors import AnalysisError
-from grainflow.operators import cluster, smoothing, velocity
+from grainflow.operators import cluster, gridding, smoothing, velocity
 
 
 @pytest.fixture
@@ -118,8 +118,8 @@ def test_fixed_width_bins_hold_every_value(spark):
         for r in df.collect():
             steps = np.diff(r.edges)
             assert np.allclose(steps, w) and r.edges[0] == r.lo and r.edges[-1] >= r.hi and r.edges[-2] < r.hi
-    for lo, hi, w in triples[-60:]:
-        e = spark.range(1).select(binning.width_edges(F.lit(lo), F.lit(hi), w)).first()[0]
+    made = spark.range(1).select(*(binning.width_edges(F.lit(lo), F.lit(hi), w).alias(f"e{i}") for i, (lo, hi, w) in enumerate(triples[-60:]))).first()
+    for e, (lo, hi, w) in zip(made, triples[-60:], strict=True):
         assert len(e) == math.ceil((hi - lo) / w - 1e-9) + 1 and e[-1] >= hi > e[-2]
 
 
@@ -143,3 +143,33 @@ def test_smoothing_of_a_grid_equals_the_double_sum(spark):
     for r in smoothing.smooth_2d(df, "key", "ix", "iy", "v", 0.9, keep_null=False).collect():
         parts = [(w.get(x - r.ix, 0) * w.get(y - r.iy, 0), v) for (x, y), v in cells.items() if v is not None]
         assert math.isclose(r.smooth, sum(p * v for p, v in parts) / sum(p for p, _ in parts), rel_tol=1e-9)
+
+
+def test_nearest_values_on_a_grid(spark):
+    rng = np.random.default_rng(9)
+    rows = [(k, float(x), float(y), float(z) if rng.random() > 0.1 else None) for k in (1, 2) for x, y, z in rng.normal(size=(60, 3)) * (1, 5, 1)]
+    rows += [(1, 0.1, 0.1, 4.0), (1, 0.1, 0.1, 6.0), (1, float("nan"), 1.0, 1.0), (1, None, 1.0, 1.0), (2, 30.0, 100.0, 1.0)]
+    df = gridding.with_coordinates(spark.createDataFrame(rows, "key int, x double, y double, z double"), "key", ["x", "y"])
+    assert df.count() == len(rows) - 2
+    got = gridding.nearest_grid(df, "key", "x", "y", "z", (12, 15)).collect()
+    assert len(got) == 2 * 12 * 15
+    for k in (1, 2):
+        places = {}
+        for key, x, y, z in rows:
+            if key == k and z is not None and x is not None and math.isfinite(x):
+                places.setdefault((x, y), []).append(z)
+        p = {xy: sum(z) / len(z) for xy, z in places.items()}
+        hull = gridding._outline(*map(np.array, zip(*p, strict=True)))
+        for r in (r for r in got if r.key == k):
+            turns = [(b[0] - a[0]) * (r.y - a[1]) - (b[1] - a[1]) * (r.x - a[0]) for a, b in zip(hull, np.roll(hull, -1, 0), strict=True)]
+            if min(turns) < -1e-6:
+                assert r.z is None
+            elif min(turns) > 1e-6:
+                assert r.z == p[min(p, key=lambda q: ((q[0] - r.x) ** 2 + (q[1] - r.y) ** 2, q))]
+    assert sum(r.z is not None for r in got) > 100
+    with pytest.raises(AnalysisError, match="TooFewFiniteZ"):
+        gridding.nearest_grid(df.limit(2), "key", "x", "y", "z")
+    with pytest.raises(AnalysisError, match="TooFewPoints"):
+        gridding.with_coordinates(df.limit(2), "key", ["x", "y"])
+    lines = {r.key: r.is_rectangular for r in gridding.rectangular(spark.createDataFrame([(1, 0, 0), (1, 0, 1), (1, 1, 0), (1, 1, 1), (2, 0, 0), (2, 1, 1)], "key int, x int, y int"), "key", "x", "y").collect()}
+    assert lines == {1: True, 2: False}

@@ -165,6 +165,25 @@ def test_chunk_task(spark, folder):
     assert code_of(api.analyze, spark, "network2d", str(folder), dim="1d") == "BadNetworkChunkDim"
 
 
+def test_results_are_made_when_asked_for(spark, folder, tmp_path):
+    out = api.analyze(spark, "chunk", str(folder), dim="1d", variable="Ncount", index=1, cache=str(tmp_path / "index"))
+    assert list(out) == ["selection", "field"] and not out.made
+    out.write(str(tmp_path / "results"), "json")
+    assert spark.read.json(str(tmp_path / "results" / "field")).count() == out["field"].count() == 3
+    assert (tmp_path / "index").exists()
+
+
+def test_volume_from_the_name(spark, tmp_path):
+    text = "#\n#\n# Chunk Coord1 Ncount v_mass v_mvx v_mvy v_mvz c_ke\n100 2 6\n1 0 1 4 0 0 0 1\n2 1 2 6 0 0 0 1\n"
+    (tmp_path / "bin1d_dx_0.5_dy_0.5_Lz_2.txt").write_text(text)
+    pick = dict(dim="1d", variable="density", index=1)
+    named = [r.value for r in api.analyze(spark, "chunk", str(tmp_path), **pick)["field"].orderBy("row_id").collect()]
+    given = [r.value for r in api.analyze(spark, "chunk", str(tmp_path), dv=0.5, **pick)["field"].orderBy("row_id").collect()]
+    assert named == given
+    (tmp_path / "bin1d_dx_0.5_dy_0.5_Lz_2.txt").rename(tmp_path / "bin1d_case.txt")
+    assert code_of(api.analyze, spark, "chunk", str(tmp_path), **pick) == "NeedDV"
+
+
 def test_derived_fields_by_hand(spark):
     cols = ["Ncount", "v_mass", "v_mvx", "v_mvy", "v_mvz", "c_ke", *(f"v_mvv{a}" for a in physics.STRESSES), *(f"c_virial_{k}_" for k in range(1, 7))]
     row = (4.0, 4.0, 0.4, 0.2, 0.0, 2.4, 0.05, 0.02, 0.01, 0.01, 0.02, 0.03, 10.0, 20.0, 30.0, 4.0, 5.0, 6.0)

@@ -3,10 +3,15 @@ task never holds a whole grid."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions.scalars import safe_div
 from ..functions.tables import discard, materialize
@@ -147,37 +152,55 @@ def _least_parabola(at: np.ndarray, height: np.ndarray, x: np.ndarray) -> np.nda
 
 def distances(cells: DataFrame, b: Boundary, phase: str) -> DataFrame:
     """Each cell of the phase with its distance in cells to the nearest place that isn't in the phase: other phase or missing; null if
-    there is none. First along each line in x, then the least over the line in y; both are tasks of one grid line."""
-    mine = cells.where(F.col("phase") == phase).select(F.col(STEP).cast("int").alias(STEP), F.col("ix").cast("int").alias("ix"), F.col("iy").cast("int").alias("iy"), "nx", "ny")
-    far = float("inf")
-
-    def along_x(line: pd.DataFrame) -> pd.DataFrame:
-        n = int(line["nx"].iloc[0])
-        free = np.ones(n, bool)
-        free[line["ix"]] = False
-        places = np.flatnonzero(free)
-        if b.x:
-            places = np.concatenate([places - n, places, places + n])
-        x = line["ix"].to_numpy()
-        if len(places):
-            k = np.searchsorted(places, x)
-            d = np.minimum(np.where(k > 0, x - places[np.maximum(k - 1, 0)], far), np.where(k < len(places), places[np.minimum(k, len(places) - 1)] - x, far))
-        else:
-            d = np.full(len(x), far)
-        return line.assign(g=d)
-
-    def along_y(line: pd.DataFrame) -> pd.DataFrame:
-        n = int(line["ny"].iloc[0])
-        g = np.zeros(n)
-        y = line["iy"].to_numpy()
-        g[y] = line["g"].to_numpy() ** 2
-        all_g, at = (np.concatenate([g] * 3), np.arange(-n, 2 * n)) if b.y else (g, np.arange(n))
-        there = np.isfinite(all_g)
-        return line.assign(d=np.sqrt(_least_parabola(at[there], all_g[there], y))).drop(columns="g")
-
-    first = mine.groupBy(STEP, "iy").applyInPandas(along_x, f"{STEP} int, ix int, iy int, nx int, ny int, g double")
-    second = first.groupBy(STEP, "ix").applyInPandas(along_y, f"{STEP} int, ix int, iy int, nx int, ny int, d double")
-    return second.select(STEP, "ix", "iy", F.when(F.col("d") < far, F.col("d")).alias("distance"))
+    there is none. First along each line in x, by the ends of the run of cells that a cell is in; then the least over the
+    line in y, where a task holds one grid line at a time."""
+    mine = cells.where(F.col("phase") == phase).select(F.col(STEP).cast("int").alias(STEP), F.col("ix").cast("int").alias("ix"), F.col("iy").cast("int").alias("iy"), F.col("nx").cast("int").alias("nx"), F.col("ny").cast("int").alias("ny"))
+    line = W.partitionBy(STEP, "iy")
+    runs = mine.withColumn("run", F.col("ix") - F.row_number().over(line.orderBy("ix")))
+    run = W.partitionBy(STEP, "iy", "run")
+    runs = runs.withColumn("first", F.min("ix").over(run)).withColumn("last", F.max("ix").over(run))
+    before, after = F.when(F.col("first") > 0, F.col("first") - 1), F.when(F.col("last") < F.col("nx") - 1, F.col("last") + 1)
+    if b.x:  # over the seam: past the run that touches the other end
+        far_first = F.min(F.when(F.col("last") == F.col("nx") - 1, F.col("first"))).over(line)
+        far_last = F.max(F.when(F.col("first") == 0, F.col("last"))).over(line)
+        whole = (F.col("first") == 0) & (F.col("last") == F.col("nx") - 1)
+        before = F.when(~whole, F.coalesce(before, F.coalesce(far_first, F.col("nx")) - 1 - F.col("nx")))
+        after = F.when(~whole, F.coalesce(after, F.col("nx") + F.coalesce(far_last, F.lit(-1)) + 1))
+    along = runs.select(STEP, "ix", "iy", "ny", F.least(F.col("ix") - before, after - F.col("ix")).cast("double").alias("g"))
+
+    def lines(step: np.ndarray, x: np.ndarray, y: np.ndarray, ny: np.ndarray, g: np.ndarray) -> Iterator[np.ndarray]:
+        """The distances of whole lines, one after another."""
+        ends = [*(np.flatnonzero((np.diff(step) != 0) | (np.diff(x) != 0)) + 1).tolist(), len(x)]
+        for a, z in zip([0, *ends[:-1]], ends, strict=True):
+            n, at = int(ny[a]), y[a:z]
+            height = np.zeros(n)
+            height[at] = g[a:z] ** 2
+            all_h, places = (np.concatenate([height] * 3), np.arange(-n, 2 * n)) if b.y else (height, np.arange(n))
+            there = np.isfinite(all_h)
+            yield np.sqrt(_least_parabola(places[there], all_h[there], at))
+
+    def down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[np.ndarray] | None = None
+
+        def out(columns: list[np.ndarray]) -> pa.RecordBatch:
+            d = np.concatenate(list(lines(*columns)))
+            return pa.RecordBatch.from_arrays([*(pa.array(c.astype(np.int32)) for c in columns[:3]), pa.array(d, mask=~np.isfinite(d))], names=[STEP, "ix", "iy", "distance"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = [pc.fill_null(c, float("inf") if c.type == pa.float64() else 0).to_numpy(zero_copy_only=False) for c in batch.columns]
+            new = new if kept is None else [np.concatenate(pair) for pair in zip(kept, new, strict=True)]
+            # the last line may go on in the next batch
+            whole = int(np.searchsorted((new[0] == new[0][-1]) & (new[1] == new[1][-1]), True)) if (new[0][-1], new[1][-1]) != (new[0][0], new[1][0]) else 0
+            if whole:
+                yield out([c[:whole] for c in new])
+            kept = [c[whole:] for c in new]
+        if kept is not None:
+            yield out(kept)
+
+    dealt = along.select(STEP, "ix", "iy", "ny", "g").repartition(STEP, "ix").sortWithinPartitions(STEP, "ix")
+    return dealt.mapInArrow(down, f"{STEP} int, ix int, iy int, distance double")
 
 
 def thickness(cells: DataFrame, b: Boundary, dx: float, dy: float, phase: str = "matrix", skel: DataFrame | None = None) -> DataFrame:

@@ -242,6 +242,7 @@ def vx_plotted(spark, d):
 _RAW = {
     "cells": "c0 AS (SELECT 1 AS step_index, (day(ts) - 1)::DOUBLE AS x, hour(ts)::DOUBLE AS y, count(*)::DOUBLE AS ncount, sum(value) AS v FROM events GROUP BY ALL)",
     "cells_step": "c0 AS (SELECT ((day(ts) - 1) // 6 + 1)::INT AS step_index, hour(ts)::DOUBLE AS x, ((day(ts) - 1) % 6)::DOUBLE AS y, count(*)::DOUBLE AS ncount, sum(value) AS v FROM events GROUP BY ALL)",
+    "order_lines": "c0 AS (SELECT (l_orderkey // 32)::INT AS step_index, l_orderkey::DOUBLE AS x, l_linenumber::DOUBLE AS y, sum(l_quantity)::DOUBLE AS ncount, sum(l_extendedprice) AS v FROM lineitem GROUP BY ALL)",
 }
 
 
@@ -542,8 +543,8 @@ _POINTS = "pt AS (SELECT s_nationkey % 3 AS key, s_acctbal / 1000 AS x, sqrt(s_s
 
 @query(f"""WITH {_POINTS}, e AS (SELECT key, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM p GROUP BY ALL),
 g AS (SELECT key, i::INT AS ix, j::INT AS iy, CASE WHEN i = 11 THEN x1 ELSE x0 + i * (x1 - x0) / 11 END AS x, CASE WHEN j = 9 THEN y1 ELSE y0 + j * (y1 - y0) / 9 END AS y FROM e, range(12) a(i), range(10) b(j)),
-h AS (SELECT a.key, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by FROM p a JOIN p b ON a.key = b.key AND (a.x, a.y) <> (b.x, b.y) WHERE NOT EXISTS (SELECT 1 FROM p c WHERE c.key = a.key AND (b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) < 0)),
-i AS (SELECT g.key, ix, iy, g.x, g.y, bool_and((bx - ax) * (g.y - ay) - (by - ay) * (g.x - ax) >= -1e-9) AS inside FROM g JOIN h ON g.key = h.key GROUP BY ALL)
+h AS (SELECT a.key, a.x AS ax, a.y AS ay, b.x AS ux, b.y AS uy FROM p a JOIN p b ON a.key = b.key AND (a.x, a.y) <> (b.x, b.y) WHERE NOT EXISTS (SELECT 1 FROM p c WHERE c.key = a.key AND (b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) < 0)),
+i AS (SELECT g.key, ix, iy, g.x, g.y, bool_and((ux - ax) * (g.y - ay) - (uy - ay) * (g.x - ax) >= -1e-9) AS inside FROM g JOIN h ON g.key = h.key GROUP BY ALL)
 SELECT key::INT AS key, ix, iy, {_r('x')}, {_r('y')}, CASE WHEN inside THEN (SELECT arg_min(p.z, (p.x - i.x) ** 2 + (p.y - i.y) ** 2) FROM p WHERE p.key = i.key) END AS z FROM i""")
 def scattered_nearest(spark, d):
     s = views.table(spark, d, "supplier")
@@ -554,3 +555,71 @@ def scattered_nearest(spark, d):
 @query("SELECT key, nx, ny, n, nx * ny = n AS is_rectangular FROM (SELECT l_partkey % 50 AS key, count(DISTINCT l_suppkey) AS nx, count(DISTINCT l_linenumber) AS ny, count(DISTINCT (l_suppkey, l_linenumber)) AS n FROM lineitem GROUP BY ALL)")
 def rectangular_points(spark, d):
     return gridding.rectangular(views.table(spark, d, "lineitem").withColumn("key", F.col("l_partkey") % 50), "key", "l_suppkey", "l_linenumber")
+
+
+# ---------------------------------------------------------------- grids that grow with their table
+
+
+@query(f"WITH RECURSIVE {_cells('order_lines')}, {_edges(False, False)}, {_COMP}, {_STATS} SELECT {_COMPONENT_COLUMNS} FROM comps")
+def order_component_stats(spark, d):
+    return rounded(_net(spark, d, "order_lines").components.drop("component", "wrap_x", "wrap_y"))
+
+
+@query(_topology_sql("order_lines", False, True))
+def order_topology(spark, d):
+    return _net(spark, d, "order_lines", "periodic-y").topology.drop("note")
+
+
+@query(_global_sql("order_lines", True, False))
+def order_global(spark, d):
+    return rounded(_net(spark, d, "order_lines", "periodic-x").globals)
+
+
+@query(f"""WITH {_cells('order_lines')}, s AS (SELECT step_index, ix, iy, CASE WHEN phase = 'matrix' THEN ncount END AS v FROM c), {_weights_sql(0.8)},
+n AS (SELECT b.step_index, b.ix - p.k AS ix, b.iy - q.k AS iy, sum(b.v * p.w * q.w) AS num, sum(p.w * q.w) AS den FROM s b, w p, w q WHERE b.v IS NOT NULL GROUP BY ALL)
+SELECT s.step_index, s.ix, s.iy, s.v, round(num / den, 6) AS smooth FROM s LEFT JOIN n USING (step_index, ix, iy)""")
+def order_smooth_2d(spark, d):
+    cells = _net(spark, d, "order_lines").cells.select("step_index", "ix", "iy", F.when(F.col("phase") == "matrix", F.col("ncount")).alias("v"))
+    return rounded(smoothing.smooth_2d(cells, "step_index", "ix", "iy", "v", 0.8, keep_null=False))
+
+
+_BACKGROUND = """st AS (SELECT step_index, max(nx) AS nx, max(ny) AS ny FROM c GROUP BY ALL), full_ AS (SELECT step_index, a.i::INT AS jx, b.i::INT AS jy FROM st, range((SELECT max(nx) FROM c)) a(i), range((SELECT max(ny) FROM c)) b(i) WHERE a.i < nx AND b.i < ny),
+bg AS (SELECT f.step_index, jx, jy FROM full_ f LEFT JOIN c ON c.step_index = f.step_index AND ix = jx AND iy = jy AND phase = 'matrix' WHERE k IS NULL)"""
+
+
+@query(f"WITH {_cells('order_lines')}, {_BACKGROUND} SELECT c.step_index, ix, iy, round(sqrt(min((ix - jx) ** 2 + (iy - jy) ** 2)), 6) AS distance FROM c LEFT JOIN bg ON c.step_index = bg.step_index WHERE phase = 'matrix' GROUP BY ALL")
+def order_distance(spark, d):
+    net = _net(spark, d, "order_lines")
+    return rounded(morphology.distances(net.cells, net.b, "matrix"))
+
+
+# ---------------------------------------------------------------- skeletons that are given, and the statistics tree
+
+_GIVEN = "phase = 'matrix' AND (ix + iy) % 3 > 0"
+
+
+@query(f"""WITH {_cells('cells_step')}, {_BACKGROUND},
+t AS (SELECT c.step_index, 2 * sqrt(min((ix - jx) ** 2 + (iy - jy) ** 2)) AS t FROM c JOIN bg ON c.step_index = bg.step_index WHERE {_GIVEN} GROUP BY c.step_index, ix, iy)
+SELECT step_index, round(min(t), 6) AS min, round(avg(t), 6) AS mean, round(quantile_cont(t, 0.01), 6) AS p1, round(quantile_cont(t, 0.05), 6) AS p5, count(*) AS sample_count FROM t GROUP BY ALL""")
+def thickness_given(spark, d):
+    net = _net(spark, d, "cells_step")
+    return rounded(morphology.thickness(net.cells, net.b, 1.0, 1.0, "matrix", net.cells.where(_GIVEN)))
+
+
+@query(f"""WITH {_cells('cells_step')}, s AS (SELECT step_index, ix, iy FROM c WHERE {_GIVEN}), ring AS (SELECT * FROM (VALUES (0, 0, -1), (1, 1, -1), (2, 1, 0), (3, 1, 1), (4, 0, 1), (5, -1, 1), (6, -1, 0), (7, -1, -1)) r(k, dx, dy)),
+n AS (SELECT a.step_index, a.ix, a.iy, list(k) AS ks, sum(sqrt(dx * dx + dy * dy)) / 2 AS len FROM s a JOIN ring ON true JOIN s b ON b.step_index = a.step_index AND b.ix = a.ix + dx AND b.iy = a.iy + dy GROUP BY ALL),
+m AS (SELECT *, len(list_filter(range(8), lambda k: NOT list_contains(ks, k) AND list_contains(ks, (k + 1) % 8))) AS runs FROM n),
+f AS (SELECT step_index, count(*) FILTER (runs >= 3) AS branch_points, count(*) FILTER (len(ks) = 1) AS end_points, sum(len) AS l FROM m GROUP BY ALL), a AS (SELECT step_index, count(*) FILTER (phase = 'matrix') AS area FROM c GROUP BY ALL)
+SELECT step_index, round(coalesce(l, 0), 6) AS skeleton_length, coalesce(branch_points, 0) AS branch_points, coalesce(end_points, 0) AS end_points, round(CASE WHEN area = 0 THEN 0 ELSE coalesce(branch_points, 0) / area END, 6) AS branch_density FROM a LEFT JOIN f USING (step_index)""")
+def skeleton_given(spark, d):
+    net = _net(spark, d, "cells_step")
+    return rounded(morphology.skeleton_stats(net.cells, net.cells.where(_GIVEN), net.b, "matrix", 1.0, 1.0))
+
+
+@query(_series_sql(False) + """ JOIN (SELECT step_index, max(nx) AS nx, max(ny) AS ny, max(nx) * max(ny) - count(*) AS missing_cells, count(*)::DOUBLE AS valid_area FROM c GROUP BY ALL) USING (step_index)
+JOIN (SELECT step_index, bool_or(percolates_x) AS pore_percolates_x, bool_or(percolates_y) AS pore_percolates_y, count(*) FILTER (percolates_y) AS pore_connected_y FROM comps WHERE phase = 'pore' GROUP BY ALL) USING (step_index)""")
+def network_stats_flat(spark, d):
+    s = _net(spark, d, "cells_step", skeleton=False).stats
+    per = lambda p: [*(F.col(f"topology.{p}.{c}").alias(f"{p}_{c}") for c in ("beta0", "beta1", "chi")), *(F.col(f"size.{p}.{c}").alias(f"{p}_{c}") for c in ("largest_fraction", "mean_diameter", "max_diameter"))]
+    conn = [F.col("connectivity.pore.x.percolates").alias("pore_percolates_x"), F.col("connectivity.pore.y.percolates").alias("pore_percolates_y"), F.col("connectivity.pore.y.component_count").alias("pore_connected_y")]
+    return rounded(s.select("step_index", "geometry.porosity", "geometry.interface_length", "geometry.specific_interface", *per("pore"), *per("matrix"), "meta.nx", "meta.ny", "meta.missing_cells", "geometry.valid_area", *conn))

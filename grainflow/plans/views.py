@@ -27,6 +27,14 @@ def cells_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy(*keys).agg(F.count("*").cast("double").alias("ncount"), F.sum("value").alias("v"))
 
 
+def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grids that grow in number with the table: one for each 32 order keys, a cell per order and line number, its quantity and price;
+    orders of fewer lines miss cells."""
+    li = table(spark, sf_dir, "lineitem")
+    keys = [F.floor(F.col("l_orderkey") / 32).cast("int").alias("step_index"), F.col("l_orderkey").cast("double").alias("x"), F.col("l_linenumber").cast("double").alias("y")]
+    return li.groupBy(*keys).agg(F.sum("l_quantity").cast("double").alias("ncount"), F.sum("l_extendedprice").alias("v"))
+
+
 def threshold(df: DataFrame) -> float:
     """The median count, so that both phases are there at every scale."""
     return df.agg(F.median("ncount")).first()[0]

@@ -16,18 +16,35 @@ def _one_each(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u", "v").agg(F.min(F.struct("ox", "oy")).alias("o")).select("u", "v", "o.ox", "o.oy")
 
 
-def _stars(edges: DataFrame) -> DataFrame:
-    """edges: u > v. One large-star and one small-star step. Only the least neighbour is gathered by node, so that a hub's edges
-    stay spread; the joins are plain equi-joins, whose skewed side AQE can split."""
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), (-F.col("ox")).alias("ox"), (-F.col("oy")).alias("oy")))
-    low = both.groupBy("u").agg(F.min(F.struct("v", "ox", "oy")).alias("n"))
-    smaller = F.col("n.v") < F.col("u")
-    low = low.select("u", F.when(smaller, F.col("n.v")).otherwise(F.col("u")).alias("low"), *(F.when(smaller, F.col(f"n.{o}")).otherwise(0).alias(f"l{o}") for o in ("ox", "oy")))
+#: Edges from which on a round looks for hubs.
+MANY = 5_000
+
+
+def _matched(rows: DataFrame, table: DataFrame, key: str, edges: int, how: str) -> DataFrame:
+    """rows joined with table, which has a row per key. Rows of hubs, keys of more than a ten-thousandth of all edges (so that there are
+    ten thousand at most), meet their row of the table by a broadcast and aren't gathered by key."""
+    if edges < MANY:
+        return rows.join(table, key, how)
+    hubs = F.broadcast(rows.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") > max(1000, edges // 10_000)).select(key))
+    plain = rows.join(hubs, key, "left_anti").join(table, key, how)
+    return plain.unionByName(rows.join(hubs, key, "left_semi").join(F.broadcast(table.join(hubs, key, "left_semi")), key, how))
+
+
+def _least(edges: DataFrame, key: str) -> DataFrame:
+    """Each node's least smaller neighbour and its offset, for the nodes that have one."""
+    low = edges.groupBy("u").agg(F.min(F.struct("v", "ox", "oy")).alias("n"))
+    return low.select(F.col("u").alias(key), F.col("n.v").alias("low"), F.col("n.ox").alias("lox"), F.col("n.oy").alias("loy"))
+
+
+def _stars(edges: DataFrame, n: int) -> DataFrame:
+    """edges: u > v, n of them. One large-star step (a node's larger neighbours go to its least neighbour, or stay with it where it
+    is least itself) and one small-star step (its smaller neighbours, and itself, go to the least of them)."""
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    large = _matched(edges, _least(edges, "v"), "v", n, "left")
+    large = _one_each(large.select("u", F.coalesce("low", "v").alias("v"), (F.col("ox") + zero("lox")).alias("ox"), (F.col("oy") + zero("loy")).alias("oy")))
+    low = _least(large, "u")
     # v -> low: back from v to u, then on to low
-    large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v"), (F.col("lox") - F.col("ox")).alias("ox"), (F.col("loy") - F.col("oy")).alias("oy"))
-    large = _one_each(large)
-    low = large.groupBy("u").agg(F.min(F.struct("v", "ox", "oy")).alias("n")).select("u", F.col("n.v").alias("low"), F.col("n.ox").alias("lox"), F.col("n.oy").alias("loy"))
-    moved = large.join(low, "u").where("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v"), (F.col("lox") - F.col("ox")).alias("ox"), (F.col("loy") - F.col("oy")).alias("oy"))
+    moved = _matched(large, low, "u", n, "inner").where("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v"), (F.col("lox") - F.col("ox")).alias("ox"), (F.col("loy") - F.col("oy")).alias("oy"))
     return _one_each(moved.unionByName(low.select("u", F.col("low").alias("v"), F.col("lox").alias("ox"), F.col("loy").alias("oy"))))
 
 
@@ -52,7 +69,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     now, before = written(_one_each(now))
     while before[0]:
-        later, after = written(_stars(now))
+        later, after = written(_stars(now, before[0]))
         discard(now)
         now = later
         if after == before:

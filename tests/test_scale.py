@@ -73,3 +73,16 @@ def test_tables_without_a_named_folder(tmp_path):
     lines = out.stdout.strip().splitlines()
     assert out.returncode == 0, out.stderr[-2000:]
     assert lines[0].endswith("/warehouse 3") and "/points/" in lines[1]
+
+
+def test_components_with_hubs(spark, monkeypatch):
+    """Stars whose middle is the least, the greatest and a middling node, joined in a row; hubs meet by a broadcast."""
+    edges = []
+    for base, middle in ((0, 0), (5000, 8999), (10_000, 12_000)):
+        edges += [(base + i, middle) for i in range(4000) if base + i != middle]
+    edges += [(3999, 5000), (20_000, 20_001), (20_001, 20_001)]
+    df = spark.createDataFrame(edges, "u long, v long")
+    monkeypatch.setattr(graph, "MANY", 100)
+    found = {r.node: r.component for r in graph.components(df).collect()}
+    assert set(found) == {x for e in edges for x in e}
+    assert all(c == (0 if n < 10_000 else 10_000 if n < 20_000 else 20_000) for n, c in found.items())

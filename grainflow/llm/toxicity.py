@@ -50,8 +50,8 @@ class Model:
     bias: float = -9.0
     #: log-potentials [from][to]; 0 is other, 1 is toxic.
     moves: tuple[tuple[float, float], tuple[float, float]] = ((0.0, 0.0), (0.0, 0.0))
-    #: Of the bias, the best token's marginal logit and the log of the expected number of toxic tokens.
-    scale: tuple[float, float, float] = (-4.0, 0.0, 0.0)
+    #: Of the bias, and of what Scorer.summary gives.
+    scale: tuple[float, ...] = (-4.0, 0.0, 0.0, 0.0)
 
 
 def features(token: str) -> list[str]:
@@ -175,6 +175,10 @@ def _train(kept: list[tuple[list[str], list[int]]], fit: Fit) -> Model:
     return Model({n: float(w) for n, w in zip(names, theta[:k], strict=True) if abs(w) > 1e-3}, float(theta[k]), tuple(tuple(map(float, r)) for r in moves))
 
 
+#: The log of a share of toxic tokens from which on it doesn't matter how few they are.
+SPARSE = -8.0
+
+
 class Scorer:
     """A model in a worker: per batch, the tokens' emissions (kept in a memo by token, of at most `memo` bytes, about) and the marginals
     of whole texts."""
@@ -203,17 +207,18 @@ class Scorer:
         return np.split(out, np.cumsum(lengths)[:-1]) if len(lengths) else []
 
     @staticmethod
-    def summary(logits: np.ndarray) -> tuple[float, float]:
-        """The best token's logit, and the log of the expected number of tokens that are likelier toxic than not."""
+    def summary(logits: np.ndarray) -> tuple[float, float, float]:
+        """The best token's logit, the log of the expected number of tokens that are likelier toxic than not, and their share: a long
+        text may hold one by chance. Without any such token number and share are those of none."""
         if not len(logits):
-            return -12.0, 0.0
-        hot = logits[logits > 0]
-        return float(np.clip(logits.max(), -12, 12)), float(np.log1p((1 / (1 + np.exp(-hot))).sum()))
+            return -12.0, 0.0, SPARSE
+        hot = float((1 / (1 + np.exp(-logits[logits > 0]))).sum())
+        return float(np.clip(logits.max(), -12, 12)), float(np.log1p(hot)), max(SPARSE, float(np.log(max(hot, 1e-9) / (len(logits) + 20))))
 
     def score(self, logits: np.ndarray) -> float:
-        a, b, c = self.model.scale
-        x, y = self.summary(logits)
-        return float(1 / (1 + math.exp(-max(-500.0, min(500.0, a + b * x + c * y)))))
+        a, *slopes = self.model.scale
+        total = a + sum(b * x for b, x in zip(slopes, self.summary(logits), strict=True))
+        return float(1 / (1 + math.exp(-max(-500.0, min(500.0, total)))))
 
     @staticmethod
     def spans(text: str, logits: np.ndarray) -> list[tuple[int, int]]:
@@ -259,8 +264,8 @@ def train(docs: DataFrame, labels: DataFrame, fit: Fit = Fit(), id_col: str = "d
     """Fits a model on documents joined with labels (id_col, toxic 0 or 1).
 
     Tokens are labelled first: a feature that many toxic documents hold and almost no clean ones marks the tokens of toxic
-    documents that have it. Then the field is trained on sequences of those documents, and last the scale of document
-    scores on their marginals. Only counts of features that pass the bounds, bounded sequences and two numbers per sampled
+    documents that have it; one that many toxic documents hold more than once and almost no clean ones marks those of the former. Then the field is trained on sequences of those documents, and last the scale of document
+    scores on their marginals. Only counts of features that pass the bounds, bounded sequences and three numbers per sampled
     document reach the driver. Without toxic or without clean rows the model gives every text a score below 0.02."""
     spark = docs.sparkSession
     rows = materialize(_labelled(docs, labels, fit, id_col, text_col), "labelled")
@@ -270,13 +275,23 @@ def train(docs: DataFrame, labels: DataFrame, fit: Fit = Fit(), id_col: str = "d
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _parts(batches, 0):
-            each = [sorted({f for w in set(TOKEN.findall(t)) for f in features(w)}) for t in part.column(0).to_pylist()]
+            each = []
+            for t in part.column(0).to_pylist():
+                n = Counter()
+                for w, k in Counter(TOKEN.findall(t)).items():
+                    n.update(dict.fromkeys(features(w), k))
+                each.append(n)
             y = np.repeat(np.array(part.column(1).to_pylist(), np.int32), [len(x) for x in each])
-            yield pa.RecordBatch.from_arrays([pa.array([f for x in each for f in x], pa.string()), pa.array(y)], names=["feature", "toxic"])
+            twice = pa.array([int(k > 1) for x in each for k in x.values()], pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([f for x in each for f in x], pa.string()), pa.array(y), twice], names=["feature", "toxic", "twice"])
 
-    by = rows.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(held, "feature string, toxic int")
-    by = materialize(by.groupBy("feature").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")), "features")
-    marks = significant(by, count[1], count[0], by.count(), fit)
+    by = rows.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(held, "feature string, toxic int, twice int")
+    sums = {"t": F.col("toxic"), "c": 1 - F.col("toxic"), "t2": F.col("toxic") * F.col("twice"), "c2": (1 - F.col("toxic")) * F.col("twice")}
+    by = materialize(by.groupBy("feature").agg(*(F.sum(x).alias(k) for k, x in sums.items())), "features")
+    tried = 2 * by.count()
+    once = significant(by, count[1], count[0], tried, fit)
+    # what clean texts may hold once, toxic ones again and again
+    again = significant(by.select("feature", F.col("t2").alias("t"), F.col("c2").alias("c")), count[1], count[0], tried, fit) - once
 
     window, most = fit.window, fit.max_sequences
 
@@ -285,7 +300,9 @@ def train(docs: DataFrame, labels: DataFrame, fit: Fit = Fit(), id_col: str = "d
             words, hot = [], []
             for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 tokens = TOKEN.findall(t)
-                marked = [int(y == 1 and not marks.isdisjoint(features(w))) for w in tokens]
+                held_ = Counter(f for w in tokens for f in again.intersection(features(w))) if y == 1 else Counter()
+                hot_ = once | {f for f, k in held_.items() if k > 1}
+                marked = [int(y == 1 and not hot_.isdisjoint(features(w))) for w in tokens]
                 for a in range(0, len(tokens), window):
                     words.append(tokens[a : a + window])
                     hot.append(marked[a : a + window])
@@ -303,37 +320,32 @@ def train(docs: DataFrame, labels: DataFrame, fit: Fit = Fit(), id_col: str = "d
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for part in _parts(batches, 0):
-            found = np.array([scorer.summary(x) for x in scorer.logits(part.column(0).to_pylist())]).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1]), part.column(1)], names=["x", "y", "toxic"])
+            found = np.array([scorer.summary(x) for x in scorer.logits(part.column(0).to_pylist())]).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([*(pa.array(found[:, i]) for i in range(3)), part.column(1)], names=["x", "y", "z", "toxic"])
 
     discard(by, cuts)
-    points = rows.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(summed, "x double, y double, toxic int").collect()
+    points = rows.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(summed, "x double, y double, z double, toxic int").collect()
     discard(rows)
-    p = np.array(sorted((r["x"], r["y"], r["toxic"]) for r in points))
-    model.scale = _logistic(p[:, :2], p[:, 2])
+    p = np.array(sorted(map(tuple, points)))
+    model.scale = _logistic(p[:, :3], p[:, 3])
     return model
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
-    """Logistic regression by damped Newton steps with a small ridge; slopes aren't negative."""
-    a = np.column_stack([np.ones(len(x)), x])
-    w = np.zeros(3)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        h = (a * (p * (1 - p))[:, None]).T @ a + np.diag([1e-3, 0.05, 0.05])
-        w += np.clip(np.linalg.solve(h, a.T @ (y - p) - np.array([1e-3, 0.05, 0.05]) * w), -2, 2)
-    if w[2] < 0:  # more toxic tokens never lower a score
-        return (*_slope(x[:, 0], y), 0.0)
-    return float(w[0]), max(0.0, float(w[1])), float(w[2])
-
-
-def _slope(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    a, w = np.column_stack([np.ones(len(x)), x]), np.zeros(2)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        h = (a * (p * (1 - p))[:, None]).T @ a + np.diag([1e-3, 0.05])
-        w += np.clip(np.linalg.solve(h, a.T @ (y - p) - np.array([1e-3, 0.05]) * w), -2, 2)
-    return float(w[0]), max(0.0, float(w[1]))
+def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
+    """Logistic regression by damped Newton steps with a small ridge. Slopes aren't negative: more or clearer toxic tokens never
+    lower a score; a column whose slope would be is left out."""
+    used = list(range(x.shape[1]))
+    while True:
+        a = np.column_stack([np.ones(len(x)), x[:, used]])
+        ridge, w = np.array([1e-3, *[0.05] * len(used)]), np.zeros(len(used) + 1)
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
+            h = (a * (p * (1 - p))[:, None]).T @ a + np.diag(ridge)
+            w += np.clip(np.linalg.solve(h, a.T @ (y - p) - ridge * w), -2, 2)
+        if (w[1:] >= 0).all():
+            slopes = dict(zip(used, w[1:], strict=True))
+            return (float(w[0]), *(float(slopes.get(i, 0.0)) for i in range(x.shape[1])))
+        used.pop(int(np.argmin(w[1:])))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:

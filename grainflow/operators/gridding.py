@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions.errors import require
 from ..functions.scalars import finite
@@ -35,6 +36,19 @@ def rectangular(points: DataFrame, key: str, x: str, y: str) -> DataFrame:
     return lines.select(key, "nx", "ny", "n", (F.col("nx") * F.col("ny") == F.col("n")).alias("is_rectangular"))
 
 
+def as_grid(points: DataFrame, key: str, x: str, y: str, z: str) -> DataFrame:
+    """key, place, ix, iy, x, y, z of the keys whose places fill the grid of their lines: the mean value at each, and the place's number
+    in the order of y and then x. Only distinct lines are ranked."""
+    places = duplicate_mean(points, key, x, y, z).withColumnRenamed("mean", "__z")
+    full = rectangular(points, key, x, y).where("is_rectangular").select(key, F.col("nx").alias("__nx"))
+
+    def line(c: str, i: str) -> DataFrame:
+        return places.select(key, c).distinct().select(key, c, (F.row_number().over(W.partitionBy(key).orderBy(c)) - 1).alias(i))
+
+    out = places.join(full, key).join(line(x, "ix"), [key, x]).join(line(y, "iy"), [key, y])
+    return out.select(key, (F.col("iy") * F.col("__nx") + F.col("ix") + 1).alias("place"), "ix", "iy", F.col(x).alias("x"), F.col(y).alias("y"), F.col("__z").alias("z"))
+
+
 def _outline(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """The corners of the convex hull, counterclockwise; fewer than three where the points are in line."""
     order = np.lexsort((y, x))

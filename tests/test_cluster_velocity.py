@@ -173,3 +173,6 @@ def test_nearest_values_on_a_grid(spark):
         gridding.with_coordinates(df.limit(2), "key", ["x", "y"])
     lines = {r.key: r.is_rectangular for r in gridding.rectangular(spark.createDataFrame([(1, 0, 0), (1, 0, 1), (1, 1, 0), (1, 1, 1), (2, 0, 0), (2, 1, 1)], "key int, x int, y int"), "key", "x", "y").collect()}
     assert lines == {1: True, 2: False}
+    filled = spark.createDataFrame([(1, 5, 0, 1.0), (1, 5, 0, 3.0), (1, 7, 0, 4.0), (1, 5, 2, None), (1, 7, 2, 6.0), (2, 0, 0, 1.0), (2, 1, 1, 1.0)], "key int, a int, b int, c double")
+    got = [tuple(r) for r in gridding.as_grid(filled, "key", "a", "b", "c").orderBy("place").collect()]
+    assert got == [(1, 1, 0, 0, 5, 0, 2.0), (1, 2, 1, 0, 7, 0, 4.0), (1, 3, 0, 1, 5, 2, None), (1, 4, 1, 1, 7, 2, 6.0)]

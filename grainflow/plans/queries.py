@@ -558,10 +558,10 @@ def rectangular_points(spark, d):
 
 
 @query(f"""WITH p AS (SELECT event_type AS key, (hour(ts) // 6)::INT AS x, day(ts)::INT AS y, avg(value) AS z FROM events GROUP BY ALL), r AS (SELECT key FROM p GROUP BY key HAVING count(DISTINCT x) * count(DISTINCT y) = count(*))
-SELECT key, row_number() OVER (PARTITION BY key ORDER BY y, x) AS place, (dense_rank() OVER (PARTITION BY key ORDER BY x) - 1)::INT AS ix, (dense_rank() OVER (PARTITION BY key ORDER BY y) - 1)::INT AS iy, x, y, {_r('z', digits=4)} FROM p JOIN r USING (key)""")
+SELECT key, row_number() OVER (PARTITION BY key ORDER BY y, x) AS place, (dense_rank() OVER (PARTITION BY key ORDER BY x) - 1)::INT AS ix, (dense_rank() OVER (PARTITION BY key ORDER BY y) - 1)::INT AS iy, x, y, {_r('z', digits=8)} FROM p JOIN r USING (key)""")
 def rectangular_grid(spark, d):
     e = views.table(spark, d, "events").select(F.col("event_type").alias("key"), F.floor(F.hour("ts") / 6).cast("int").alias("x"), F.dayofmonth("ts").alias("y"), "value")
-    return rounded(gridding.as_grid(e, "key", "x", "y", "value"), 4)
+    return rounded(gridding.as_grid(e, "key", "x", "y", "value"), 8)
 
 
 # ---------------------------------------------------------------- grids that grow with their table

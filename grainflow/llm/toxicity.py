@@ -7,6 +7,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -60,26 +61,46 @@ def features(token: str) -> list[str]:
     return [f"w:{w}", *(f"p{k}:{w[:k]}" for k in (3, 4, 5, 6) if len(w) >= k), *(f"s{k}:{w[-k:]}" for k in (3,) if len(w) > k)]
 
 
-def marginals(emit: np.ndarray, lengths: np.ndarray, moves: tuple) -> np.ndarray:
+def marginals(emit: np.ndarray, lengths: np.ndarray, moves: tuple, few: int = 8) -> np.ndarray:
     """Logits of the toxic label at each token by forward-backward, for many sequences laid end to end.
 
     With two labels each message is one number, the log-odds of the labels; the sequences advance together, the longest
-    first, so that a step costs the sequences that are still running."""
-    (oo, ot), (to, tt) = np.exp(np.array(moves))
+    first, so that a step costs the sequences that are still running. The last ones go on one by one."""
+    (oo, ot), (to, tt) = np.exp(np.array(moves)).tolist()
     order = np.argsort(-lengths, kind="stable")
     size, start = lengths[order], (np.cumsum(lengths) - lengths)[order]
     longest = int(size[0]) if len(size) else 0
     alive = np.searchsorted(-size, -np.arange(1, longest + 1), side="right")
+    together = int(np.count_nonzero(alive >= few))
     ahead, back = np.empty_like(emit), np.zeros_like(emit)
     odds = np.ones(len(size))
-    for t in range(longest):
+    for t in range(together):
         n = alive[t]
         at = start[:n] + t
         r = emit[at] if t == 0 else emit[at] + np.log((odds[:n] * tt + ot) / (odds[:n] * to + oo))
         ahead[at] = r
         odds = np.exp(np.clip(r, -60, 60))
     beta = np.zeros(len(size))
-    for t in range(longest - 2, -1, -1):
+    for k in range(alive[together] if together < longest else 0):
+        first, last = int(start[k]) + together, int(start[k] + size[k])
+        e, o, found = emit[first:last].tolist(), float(odds[k]), []
+        for i, x in enumerate(e):
+            r = x + math.log((o * tt + ot) / (o * to + oo)) if together or i else x
+            found.append(r)
+            o = math.exp(max(-60.0, min(60.0, r)))
+        ahead[first:last] = found
+        b, found = 0.0, []
+        for x in reversed(e):
+            r = math.exp(max(-60.0, min(60.0, x + b)))
+            b = math.log((r * tt + to) / (r * ot + oo))
+            found.append(b)
+        # the message of a token goes to the one before it
+        if together:
+            back[first - 1 : last - 1] = found[::-1]
+            beta[k] = b
+        else:
+            back[first : last - 1] = found[-2::-1]
+    for t in range(together - 2, -1, -1):
         n = alive[t + 1]
         at = start[:n] + t
         r = np.exp(np.clip(emit[at + 1] + beta[:n], -60, 60))
@@ -186,22 +207,22 @@ class Scorer:
     def __init__(self, model: Model, memo: int = 64 << 20):
         self.model, self.memo, self.most, self.held = model, {}, memo, 0
 
-    def emission(self, token: str) -> float:
-        found = self.memo.get(token)
-        if found is None:
-            self.held += 160 + 4 * len(token)
-            if self.held > self.most:
-                self.memo.clear()
-                self.held = 160 + 4 * len(token)
-            w = self.model.weights
-            found = self.memo[token] = self.model.bias + sum(w.get(f, 0.0) for f in features(token))
-        return found
+    def _learn(self, tokens: list[list[str]]) -> None:
+        """Puts the emissions of new tokens into the memo."""
+        seen = set().union(*tokens)
+        new = seen.difference(self.memo)
+        self.held += sum(map(len, new)) * 4 + 160 * len(new)
+        if self.held > self.most:
+            self.memo.clear()
+            new, self.held = seen, sum(map(len, seen)) * 4 + 160 * len(seen)
+        get, bias = self.model.weights.get, self.model.bias
+        self.memo.update((w, bias + sum(get(f, 0.0) for f in features(w))) for w in new)
 
     def logits(self, texts: list[str]) -> list[np.ndarray]:
         tokens = [TOKEN.findall(t) for t in texts]
+        self._learn(tokens)
         lengths = np.array([len(t) for t in tokens], np.int64)
-        emission = self.emission
-        emit = np.fromiter((emission(w) for t in tokens for w in t), np.float64, int(lengths.sum()))
+        emit = np.fromiter(map(self.memo.__getitem__, chain.from_iterable(tokens)), np.float64, int(lengths.sum()))
         full = lengths > 0
         out = marginals(emit, lengths[full], self.model.moves)
         return np.split(out, np.cumsum(lengths)[:-1]) if len(lengths) else []
@@ -235,7 +256,7 @@ class Scorer:
 
 def _parts(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield from slices(batch, text, 2 << 20)
+        yield from slices(batch, text, 8 << 20, 10_000)
 
 
 def _signature(text: str, shingle: int = 3) -> int:

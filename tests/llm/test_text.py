@@ -346,12 +346,13 @@ def test_masked(spark):
 # ---------------------------------------------------------------- toxicity
 
 
-def test_marginals_equal_enumeration():
+@pytest.mark.parametrize("few", [0, 1, 2, 4, 8])
+def test_marginals_equal_enumeration(few):
     rng = np.random.default_rng(2)
     moves = ((0.3, -0.7), (-0.2, 0.9))
     lengths = np.array([1, 5, 3, 7, 2])
     emit = rng.normal(size=lengths.sum())
-    got = np.split(toxicity.marginals(emit, lengths, moves), np.cumsum(lengths)[:-1])
+    got = np.split(toxicity.marginals(emit, lengths, moves, few), np.cumsum(lengths)[:-1])
     for e, g in zip(np.split(emit, np.cumsum(lengths)[:-1]), got, strict=True):
         n, total = len(e), np.zeros((len(e), 2))
         for y in np.ndindex(*[2] * n):

@@ -9,19 +9,26 @@ from pyspark.sql import Window as W
 from .tables import materialize
 
 
-def running_sum(df: DataFrame, keys: list[str], order: list[Column], value: Column, name: str) -> DataFrame:
-    """Adds name: the sum of value over the rows of a key up to this one in the order, which must tell rows apart.
+def running_sums(df: DataFrame, keys: list[str], order: list[Column], values: dict[str, Column]) -> DataFrame:
+    """Adds a column per value: its sum over the rows of a key up to this one in the order, which must tell rows apart.
 
-    Rows are cut into ranges of key and order and summed within each; what comes before a range is a small table, a row per
+    Keys aren't null. Rows are cut into ranges of key and order and summed within each; what comes before a range is a small table, a row per
     key and range. A group of any size is spread over as many tasks as it has ranges."""
-    dealt = df.withColumn("__value", value).repartitionByRange(*(F.col(k) for k in keys), *order).withColumn("__part", F.spark_partition_id())
+    with_values = df.select("*", *(v.alias(f"__value_{n}") for n, v in values.items()))
+    dealt = with_values.repartitionByRange(*(F.col(k) for k in keys), *order).withColumn("__part", F.spark_partition_id())
     dealt = materialize(dealt, "ranges")  # the ranges are sampled: they must not be dealt twice
-    sums = dealt.groupBy(*keys, "__part").agg(F.sum("__value").alias("__sum"))
-    before = F.coalesce(F.sum("__sum").over(W.partitionBy(*keys).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    starts = sums.select(*keys, "__part", before.alias("__before"))
-    here = F.sum("__value").over(W.partitionBy(*keys, "__part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
-    out = dealt.withColumn("__here", here).join(starts, [*keys, "__part"])
-    return out.withColumn(name, F.col("__before") + F.col("__here")).select(*df.columns, name)
+    sums = dealt.groupBy(*keys, "__part").agg(*(F.sum(f"__value_{n}").alias(f"__sum_{n}") for n in values))
+    earlier = W.partitionBy(*keys).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    starts = sums.select(*keys, "__part", *(F.coalesce(F.sum(f"__sum_{n}").over(earlier), F.lit(0)).alias(f"__before_{n}") for n in values))
+    so_far = W.partitionBy(*keys, "__part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    here = dealt.select("*", *(F.sum(f"__value_{n}").over(so_far).alias(f"__here_{n}") for n in values))
+    out = here.join(starts, [*keys, "__part"])
+    return out.select(*df.columns, *((F.col(f"__before_{n}") + F.col(f"__here_{n}")).alias(n) for n in values))
+
+
+def running_sum(df: DataFrame, keys: list[str], order: list[Column], value: Column, name: str) -> DataFrame:
+    """Adds name: the sum of value over the rows of a key up to this one in the order; see running_sums."""
+    return running_sums(df, keys, order, {name: value})
 
 
 def ranked(df: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from grainflow.functions.tables import discard, materialize, scratch
 
-__all__ = ["WORD", "discard", "materialize", "scratch", "slices", "table", "text_of"]
+__all__ = ["WORD", "discard", "materialize", "scratch", "slices", "spread_join", "table", "text_of"]
 
 #: A word, as several contracts define it: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -36,3 +36,11 @@ def slices(batch: pa.RecordBatch, text: int, size: int = 4 << 20, rows: int = 20
         b = min(max(b, a + 1), a + rows)
         yield batch.slice(a, b - a)
         a = b
+
+
+def spread_join(many: DataFrame, one: DataFrame, keys: list[str], salt: Column, how: str = "inner") -> DataFrame:
+    """many joined with a table of one row per key, without a task that holds all rows of a hot key: rows are dealt by key and salt
+    (a number below some hundreds), and the other side follows to the pairs that exist. many is read twice. No key is null."""
+    salted = many.withColumn("__salt", salt)
+    placed = salted.select(*keys, "__salt").distinct().join(one, keys)
+    return salted.join(placed, [*keys, "__salt"], how).drop("__salt")

@@ -30,10 +30,11 @@ class Search:
     step: int = 256
 
 
-#: A vector of a larger squared length takes no part: scores with it needn't fit a long.
-LONGEST = float(1 << 62)
-#: Products of vectors up to here sum exactly in float64.
-EXACT = float(1 << 53)
+#: Products of vectors up to here sum exactly in float64, and in int64.
+EXACT, LONGEST = float(1 << 53), float(1 << 62)
+MOST = float(np.finfo(np.float64).max)
+#: Stand for scores that don't fit a long.
+LEAST_LONG, MOST_LONG = -(1 << 63), (1 << 63) - 1
 
 
 def distances(z: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -70,7 +71,11 @@ def best(q: Block, x: Block, least: np.ndarray, how: Search) -> Iterator[tuple[n
     |d(q, p) - d(x, p)| is a lower bound of d(q, x), the largest over the pivots counts, and (|q|^2 + |x|^2 - bound^2) / 2 is an
     upper bound of the score. Candidates whose bound is below `least` (a score that k others reach) are eliminated; the rest are
     evaluated in the order of their bounds until the k-th best score is above the next bound: no other can reach it."""
-    exact = float(q.norms.max(initial=0.0)) ** 0.5 * float(x.norms.max(initial=0.0)) ** 0.5 < EXACT
+    most = float(q.norms.max(initial=0.0)) ** 0.5 * float(x.norms.max(initial=0.0)) ** 0.5
+    if not most < LONGEST:
+        yield from best_of_long(q, x, least, how)
+        return
+    exact = most < EXACT
     qe, xe = (q.data.astype(np.float64), x.data.astype(np.float64)) if exact else (q.data.astype(np.int64), x.data.astype(np.int64))
     far = float(max(q.table.max(initial=0), x.table.max(initial=0)))
     give = slack(q.data.shape[1], q.norms, x.norms, far=far)
@@ -81,7 +86,7 @@ def best(q: Block, x: Block, least: np.ndarray, how: Search) -> Iterator[tuple[n
             part = x.table[:, s : s + wide]
             now = gap[:, : part.shape[1]]
             np.abs(np.subtract(part, q.table[:, i, None], out=now), out=now).max(0, out=low[s : s + wide])
-        far_ = np.maximum(0.0, low.astype(np.float64) - give)
+        far_ = np.maximum(0.0, np.nan_to_num(low.astype(np.float64) - give, nan=0.0, posinf=0.0))
         bound = (q.norms[i] + x.norms - far_ * far_) / 2 + 1e-9 * (q.norms[i] + x.norms) + 0.5
         left, take, seen = np.flatnonzero((x.ids != q.ids[i]) & (bound >= least[i])), how.step, 0
         ids, scores = np.empty(0, np.int64), np.empty(0, np.int64)
@@ -106,6 +111,30 @@ def best(q: Block, x: Block, least: np.ndarray, how: Search) -> Iterator[tuple[n
         yield ids[top], scores[top], seen
 
 
+def best_of_long(q: Block, x: Block, least: np.ndarray, how: Search) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """The same where products pass int64: sums in float64 with a bound of their rounding choose what is summed in whole numbers."""
+    qf, xf = q.data.astype(np.float64), x.data.astype(np.float64)
+    d = qf.shape[1]
+    for i in range(len(q.ids)):
+        with np.errstate(over="ignore", invalid="ignore"):
+            sums = xf @ qf[i]
+            off = (d + 2) * 2.3e-16 * (np.abs(xf) @ np.abs(qf[i]))
+            low, high = np.nan_to_num(sums - off, nan=-np.inf), np.nan_to_num(sums + off, nan=np.inf, posinf=np.inf)
+        left = np.flatnonzero((x.ids != q.ids[i]) & (high >= least[i]))
+        seen = len(left)
+        if len(left) > how.k and float(np.abs(high[left]).max()) < LONGEST:  # else ends stand for scores, and ids tell them apart
+            left = left[high[left] >= np.partition(low[left], -how.k)[-how.k]]
+        whole = [int(v) for v in qf[i]]
+        scores = [min(max(sum(int(a) * b for a, b in zip(xf[j], whole, strict=True)), LEAST_LONG), MOST_LONG) for j in left]
+        top = sorted((-s, int(x.ids[j])) for s, j in zip(scores, left, strict=True) if s >= float(least[i]))[: how.k]
+        yield np.array([j for _, j in top], np.int64), np.array([-s for s, _ in top], np.int64), seen
+
+
+def reached(score: int) -> float:
+    """A score as a float that isn't above it."""
+    return float(score) if abs(int(score)) <= EXACT else float(np.nextafter(float(score), -np.inf))
+
+
 FOUND = "d int, qb int, least binary, floor double, q_ids binary, ids binary, scores binary, evaluated bigint, met bigint"
 
 
@@ -113,8 +142,9 @@ def top_k(vectors: DataFrame, is_query: Column, how: Search = Search(), id_col:
     """query_id, rank (from 1), id, score: each query's k candidates of the highest inner product of floor(scale * x), exactly;
     with report instead evaluated and met, the sums of candidates evaluated and of candidates in all, per query block.
 
-    is_query: a condition on the id column. A null id, and a vector that is null, empty, holds a null or non-finite component or
-    has a squared length of 2**62 or more after scaling (its scores might not fit a long), takes no part. All other rows are
+    is_query: a condition on the id column. A null id, and a vector that is null, empty or holds a null or non-finite
+    component, takes no part; all others do, however long. A score that doesn't fit a long is given as the
+    nearest long, and ranks as that (a scaled component that no double holds counts as the largest one). All other rows are
     candidates of every query of another id, rows that repeat an id too; rows that repeat a query's id are one query whose
     candidates count once for each. Vectors of different lengths don't meet; a query with fewer candidates gets all; an empty
     table gives an empty one.
@@ -125,17 +155,22 @@ def top_k(vectors: DataFrame, is_query: Column, how: Search = Search(), id_col:
     are eliminated one by one. A candidate block is sent to one task, past which the query blocks stream."""
     spark = vectors.sparkSession
     kind = vectors.schema[id_col].dataType.simpleString()
-    v = F.transform(F.col(vector_col), lambda x: F.floor(x.cast("double") * scale))
+
+    def whole(x: Column) -> Column:
+        y = F.greatest(F.least(x.cast("double") * scale, F.lit(MOST)), F.lit(-MOST))
+        return F.when(F.abs(y) < EXACT, F.floor(y).cast("double")).otherwise(y)  # larger ones are whole numbers
+
+    v = F.transform(F.col(vector_col), whole)
     rows = vectors.where(usable(F.col(vector_col)) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), v.alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
-    rows = rows.withColumn("norm", F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))).where(F.col("norm") < LONGEST)
+    rows = rows.withColumn("norm", F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x * x))
     rows = materialize(rows.withColumn("d", F.size("v")), "search-rows")
     low, high, n, n_queries = rows.agg(F.min(F.array_min("v")), F.max(F.array_max("v")), F.count("*"), F.count_if("q")).first()
     if not n_queries:
         return spark.createDataFrame([], f"query_id {kind}, rank int, id {kind}, score bigint")
-    dtype = "<i2" if max(-low, high) < 1 << 15 else "<i8"
+    dtype = "<i2" if max(-low, high) < 1 << 15 else "<f8"
     size = min(how.candidates, max(1, -(-n // how.spread)))
     pivots: dict[int, list] = {}
-    for r in rows.orderBy(F.xxhash64(F.lit(3), "id"), "id", "v").limit(how.pivots).select("d", "v").collect():  # bounded
+    for r in rows.where(F.col("norm") < LONGEST).orderBy(F.xxhash64(F.lit(3), "id"), "id", "v").limit(how.pivots).select("d", "v").collect():  # bounded
         pivots.setdefault(r["d"], []).append(r["v"])
     tables = spark.sparkContext.broadcast({d: np.array(p) for d, p in pivots.items()})
     cells = max(1, min(how.pivots, -(-n // size)))
@@ -143,7 +178,7 @@ def top_k(vectors: DataFrame, is_query: Column, how: Search = Search(), id_col:
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = TaskContext.get().partitionId() * 7919
         for batch in batches:
-            vectors_ = arrays(batch.column("v"), "<i8")
+            vectors_ = arrays(batch.column("v"), "<f8")
             d = np.array(batch.column("d").to_pylist())
             for one in np.unique(d):
                 here = np.flatnonzero(d == one)
@@ -188,11 +223,11 @@ def top_k(vectors: DataFrame, is_query: Column, how: Search = Search(), id_col:
             ask = Block.of(r, dtype)
             least = np.full(len(ask.ids), -np.inf) if r["least"] is None else np.frombuffer(r["least"], "<f8")
             found = list(best(ask, here, least, how))
-            reached = np.array([float(s[-1]) if len(s) == how.k else -np.inf for _, s, _ in found])
+            least_now = np.array([reached(s[-1]) if len(s) == how.k else -np.inf for _, s, _ in found])
             ids, scores = np.concatenate([i for i, _, _ in found]), np.concatenate([s for _, s, _ in found])
             owners = np.repeat(ask.ids, [len(i) for i, _, _ in found])
             yield pa.RecordBatch.from_pydict(
-                {"d": pa.array([r["d"]], pa.int32()), "qb": pa.array([r["qb"]], pa.int32()), "least": [np.maximum(least, reached).tobytes()], "floor": [float(np.maximum(least, reached).min())]}
+                {"d": pa.array([r["d"]], pa.int32()), "qb": pa.array([r["qb"]], pa.int32()), "least": [np.maximum(least, least_now).tobytes()], "floor": [float(np.maximum(least, least_now).min())]}
                 | {"q_ids": [owners.astype("<i8").tobytes()], "ids": [ids.astype("<i8").tobytes()], "scores": [scores.astype("<i8").tobytes()]}
                 | {"evaluated": [sum(e for _, _, e in found)], "met": [len(ask.ids) * len(here.ids)]}
             )

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import contextlib
 import hashlib
 import io
 import re
@@ -18,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, scratch, text_of
+from .common import discard, materialize, scratch, spread_join, text_of
 
 # Fixed values of the format.
 VERSION = b"WARC/1.1"
@@ -26,6 +25,8 @@ REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2026-01-01T00:00:00Z"
 ID = "urn:x-page:"
 GZIP = b"\x1f\x8b\x08"
+#: A field of this library's own, the last one of a record: the digest of all its header lines above.
+HEADER_DIGEST = "X-Header-Digest"
 #: A file is ended once it has this many bytes; a larger record gets a file of its own.
 FILE_BYTES = 32 << 20
 
@@ -56,7 +57,8 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
         head.insert(2, ("WARC-Target-URI", _clean(url)))
     if refers_to is not None:
         head[-2:-2] = [("WARC-Profile", REVISIT), ("WARC-Refers-To", f"<{ID}{refers_to}>")]
-    return VERSION + b"\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"\r\n" + block + b"\r\n\r\n"
+    lines = VERSION + b"\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head).encode()
+    return lines + f"{HEADER_DIGEST}: sha1:{digest_of(lines)}\r\n\r\n".encode() + block + b"\r\n\r\n"
 
 
 def packed(data: bytes, level: int = 1) -> bytes:
@@ -82,22 +84,50 @@ class Record:
     block: bytes
 
 
-def _headers(data: bytes) -> tuple[dict[str, str], int]:
-    """A record's headers from its version line on, without the empty line, and its Content-Length; ValueError if they fail."""
-    lines = data.decode("utf-8", "replace").split("\r\n")
-    headers = {}
-    for line in lines[1:]:
-        k, sep, v = line.partition(":")
+#: A version line, and where a record or a gzip member may start.
+FIRST_LINE = re.compile(rb"WARC/\d{1,4}\.\d{1,4}\r\n")
+FIRST_BYTES = 16
+START = re.compile(rb"WARC/\d|\x1f\x8b\x08")
+
+
+class _More(Exception):
+    """More content is needed to tell."""
+
+
+def _head(data: bytes | bytearray, at: int) -> tuple[dict[str, str], int, int, bool]:
+    """The headers of the record at a place, its Content-Length, where its block starts, and whether a digest proves the headers.
+
+    ValueError at the first line that no record has, so that of a false start no more is looked at than up to the next one."""
+    if not FIRST_LINE.match(data, at):
+        if len(data) - at >= FIRST_BYTES or not b"WARC/".startswith(bytes(data[at : at + 5])) or data.find(b"\n", at) >= 0:
+            raise ValueError("no version line")
+        raise _More
+    headers, proven = {}, False
+    p = data.find(b"\r\n", at) + 2
+    while True:
+        end = data.find(b"\r\n", p)
+        if end < 0:
+            raise _More
+        if end == p:
+            break
+        if proven:
+            raise ValueError("a header below the headers' digest")
+        k, sep, v = bytes(data[p:end]).decode("utf-8", "replace").partition(":")
         if not sep:
             raise ValueError("a header line without a colon")
-        headers[k.strip().lower()] = v.strip()
+        key = k.strip().lower()
+        if key == HEADER_DIGEST.lower():
+            proven = v.strip() == f"sha1:{digest_of(bytes(data[at:p]))}"
+            if not proven:
+                raise ValueError("the headers' digest differs")
+        headers[key], p = v.strip(), end + 2
     size = headers.get("content-length", "")
     if not (size.isascii() and size.isdigit()):
         raise ValueError("no Content-Length")
-    return headers, int(size)
+    return headers, int(size), p + 2, proven
 
 
-def _checked(headers: dict[str, str], block: bytes) -> bool:
+def _proven(headers: dict[str, str], block: bytes) -> bool:
     """Whether the headers have a digest of the block; ValueError if it differs."""
     want = headers.get("warc-block-digest", "")
     if not want.startswith("sha1:"):
@@ -107,19 +137,16 @@ def _checked(headers: dict[str, str], block: bytes) -> bool:
     return True
 
 
-#: A version line whose headers go on for longer than this is none.
-HEADER_BYTES = 16 << 20
-#: Where a record or a member may start.
-START = re.compile(rb"WARC/|\x1f\x8b\x08")
+_NO_END = "no end of record where Content-Length puts it"
 
 
 class Content:
-    """Records of uncompressed content that arrives in parts. Of it no more is kept than a record's stated length; `proven` says
-    whether the last record's block has a digest."""
+    """Records of the content of a gzip member, which arrives in parts. Of it no more is kept than a record's stated length;
+    `proven` says whether digests cover all of the last record, its headers and its block."""
 
-    def __init__(self, size: int | None = None):
-        self.size, self.data, self.base, self.at = size, bytearray(), 0, 0
-        self.bad, self.why, self.need, self.proven = -1, "", 0, False
+    def __init__(self):
+        self.data, self.base, self.at, self.need = bytearray(), 0, 0, 0
+        self.bad, self.why, self.proven = -1, "", False
 
     def feed(self, data: bytes, final: bool = False) -> Iterator[Record | Gap]:
         """The records and gaps that are whole with this part; places are those of the content."""
@@ -127,16 +154,22 @@ class Content:
         stop = self.base + len(self.data)
         while self.at < stop and (final or stop >= self.need):
             try:
-                found = self._record(stop, final)
+                found = self._record(stop)
+            except _More:
+                if not final:
+                    # twice as much, so that what is looked at again stays in proportion
+                    self.need = max(self.need, stop + max(1, stop - self.at))
+                    break
+                self._skip(stop, "headers are cut off", final)
+                continue
             except ValueError as e:
-                if self.bad < 0:
-                    self.bad, self.why = self.at, str(e)
-                i = self.data.find(b"WARC/", self.at + 1 - self.base)
-                self.at, self.need = (self.base + i, 0) if i >= 0 else (stop if final else max(self.at + 1, stop - 4), stop + 1)
-                self._drop()
+                self._skip(stop, str(e), final)
                 continue
             if found is None:
-                break
+                if not final:
+                    break
+                self._skip(stop, _NO_END, final)
+                continue
             if self.bad >= 0:
                 yield Gap(self.bad, found.start, self.why)
                 self.bad = -1
@@ -145,182 +178,273 @@ class Content:
             self._drop()
         if final and self.bad >= 0:
             yield Gap(self.bad, stop, self.why)
+            self.bad = -1
+
+    def _skip(self, stop: int, why: str, final: bool) -> None:
+        """Goes on to the next version line after a failed check."""
+        if self.bad < 0:
+            self.bad, self.why = self.at, why
+        i = self.data.find(b"WARC/", self.at + 1 - self.base)
+        self.at, self.need = (self.base + i, 0) if i >= 0 else (stop if final else max(self.at + 1, stop - 4), stop + 1)
+        self._drop()
 
     def _drop(self) -> None:
         if self.at - self.base > 1 << 20:
             del self.data[: self.at - self.base]
             self.base = self.at
 
-    def _record(self, stop: int, final: bool) -> Record | None:
-        """The record here; None if more is needed to tell."""
-        i = self.at - self.base
-        if not final and stop - self.at < 5 and b"WARC/".startswith(self.data[i:]):
-            self.need = self.at + 5
-            return None
-        if self.data[i : i + 5] != b"WARC/":
-            raise ValueError("no version line")
-        head = self.data.find(b"\r\n\r\n", i)
-        if head < 0:
-            if final or stop - self.at > HEADER_BYTES:
-                raise ValueError("headers are cut off")
-            self.need = stop + 1
-            return None
-        headers, size = _headers(bytes(self.data[i:head]))
-        start = head + 4
+    def _record(self, stop: int) -> Record | None:
+        """The record here; None if its end isn't there yet."""
+        headers, size, start, proven = _head(self.data, self.at - self.base)
         end = start + size
-        if self.size is not None and self.base + end + 4 > self.size or final and end + 4 > len(self.data):
-            raise ValueError("no end of record where Content-Length puts it")
-        if end + 4 > len(self.data):
+        if self.base + end + 4 > stop:
             self.need = self.base + end + 4
             return None
         if self.data[end : end + 4] != b"\r\n\r\n":
-            raise ValueError("no end of record where Content-Length puts it")
+            raise ValueError(_NO_END)
         block = bytes(self.data[start:end])
-        self.proven = _checked(headers, block)
+        self.proven = _proven(headers, block) and proven
         return Record(self.at, self.base + end + 4, headers, block)
 
 
-class _Failed(ValueError):
-    """A member that fails its checks; end: where the records that were taken from it end."""
-
-    def __init__(self, why: str, end: int):
-        super().__init__(why)
-        self.end = end
-
-
-def _member(source: BinaryIO, at: int, step: int = 1 << 16) -> Iterator[Record | Gap]:
-    """The records of the gzip member at a place of a file, and gaps of its content that no record covers; returns its end.
-
-    A record is given the member's start, and as its end the member's, or the place up to which the member was read when the next
-    record was whole. Records before a damaged place count if their digests hold and another version line follows them;
-    those without a digest wait for the member's own checks."""
-    z, content, fed = zlib.decompressobj(31), Content(), at
-    waiting: list[tuple[Record | Gap, bool]] = []
-    known, some = at, False  # the end of what is surely good
-
-    def placed(x: Record | Gap) -> Record | Gap:
-        if isinstance(x, Gap):
-            return Gap(at, fed, f"{x.reason} (bytes {x.start} to {x.end} of the member's content)")
-        return Record(at, fed, x.headers, x.block)
-
-    def take(found: Iterator[Record | Gap]) -> Iterator[Record | Gap]:
-        nonlocal known, some
-        for x in found:
-            if waiting and all(proven for _, proven in waiting):
-                known = fed
-                yield from [placed(y) for y, _ in waiting] if some else ()
-                if some:
-                    waiting.clear()
-            waiting.append((x, isinstance(x, Gap) or content.proven))
-            some |= isinstance(x, Record)
-
-    source.seek(at)
-    why = ""
-    while not z.eof and not why:
-        data = source.read(step)
-        before = z.copy()
+class File:
+    """A file that can seek, read in parts of a megabyte; what is asked for round one place is read once."""
+
+    PART = 1 << 20
+
+    def __init__(self, source: BinaryIO):
+        self.source, self.size, self.base, self.data = source, source.seek(0, io.SEEK_END), 0, b""
+
+    def get(self, at: int, n: int) -> bytes:
+        """Up to n bytes from a place on; of a place far off no more is read than these."""
+        i = at - self.base
+        if n < 64 and not 0 <= i <= len(self.data) - n and at < self.size:
+            self.source.seek(at)
+            return self.source.read(n)
+        if n > self.PART:
+            self.source.seek(at)
+            return b"".join(iter(lambda left=[n]: self._part(left), b""))
+        i = self._hold(at, n)
+        return self.data[i : i + n]
+
+    def _hold(self, at: int, n: int) -> int:
+        """Where a place is in data, which holds n bytes from there on, or all that are left."""
+        i = at - self.base
+        if i < 0 or i + n > len(self.data) and self.base + len(self.data) < self.size:
+            self.source.seek(at)
+            self.base, self.data, i = at, self.source.read(self.PART), 0
+        return i
+
+    def _part(self, left: list[int]) -> bytes:
+        data = self.source.read(min(self.PART, left[0]))
+        left[0] -= len(data)
+        return data
+
+    def next(self, at: int) -> int:
+        """The next place from at on where a record or member may start; -1 if there is none."""
+        while at < self.size:
+            i = self._hold(at, 64)
+            if m := START.search(self.data, i):
+                return self.base + m.start()
+            at = max(at + 1, self.base + len(self.data) - 5)
+            if self.base + len(self.data) == self.size:
+                return -1
+        return -1
+
+
+def _plain(file: File, at: int) -> Record:
+    """The uncompressed record at a place of a file; ValueError if it fails its checks."""
+    n = 4096
+    while True:
+        head = file.get(at, n)
+        try:
+            headers, size, start, _ = _head(head, 0)
+            break
+        except _More:
+            if at + n >= file.size:
+                raise ValueError("headers are cut off") from None
+            n *= 4
+    end = at + start + size
+    if end + 4 > file.size or file.get(end, 4) != b"\r\n\r\n":
+        raise ValueError(_NO_END)
+    block = file.get(at + start, size)
+    _proven(headers, block)
+    return Record(at, end + 4, headers, block)
+
+
+def _inflated(file: File, at: int, step: int, fine: bool = True) -> Iterator[tuple[bytes, int, int, str | None, object]]:
+    """Content of the gzip member at a place, with the file's place before and after each part and the state before it; the last
+    part says why the member failed, or is an empty reason if it is sound. fine: up to the very byte of the damage."""
+    z, fed, n = zlib.decompressobj(31), at, min(512, step)
+    while True:
+        data = file.get(fed, n)
+        before, known = fed, z.copy()
+        if not data:
+            yield b"", fed, fed, "gzip: cut off", known
+            return
         try:
-            out, why = z.decompress(data), "" if data else "gzip: cut off"
-            fed += len(data) - len(z.unused_data)
+            out = z.decompress(data)
         except zlib.error as e:
-            # what comes before the damage: the same bytes a few at a time
-            out, why = b"", f"gzip: {e}"
-            with contextlib.suppress(zlib.error):
-                for i in range(0, len(data), 64):
-                    out += before.decompress(data[i : i + 64])
-                    fed += len(data[i : i + 64])
-        yield from take(content.feed(out))
-    if why:
-        good = some and waiting and waiting[-1][1] and content.data[content.at - content.base :][:5] == b"WARC/"
-        if good:
-            known = fed
-            yield from [placed(y) for y, proven in waiting if proven]
-        raise _Failed(why, known if some else at)
-    yield from take(content.feed(b"", final=True))
+            out, why, z = b"", f"gzip: {e}", known.copy()
+            if not fine:
+                yield out, before, before, why, known
+                return
+            for i in range(len(data)):  # what comes before the damage
+                try:
+                    out += z.decompress(data[i : i + 1])
+                except zlib.error:
+                    yield out, before, before + i, why, known
+                    return
+        fed += len(data) - len(z.unused_data)
+        yield out, before, fed, "" if z.eof else None, known
+        if z.eof:
+            return
+        n = min(2 * n, step)
+
+
+#: Content up to here is kept from the check of a member to the reading of its records; longer content is decompressed again.
+KEPT = 4 << 20
+
+
+def _sound(file: File, at: int) -> tuple[str, int, list[bytes] | None]:
+    """Why a member fails its own checks (empty: it doesn't), the place where it ends, and its content if that is short."""
+    kept, held = [], 0
+    for out, _, end, why, _ in _inflated(file, at, 1 << 16, fine=False):
+        held += len(out)
+        if held <= KEPT:
+            kept.append(out)
+        if why is not None:
+            return why, end, kept if held <= KEPT else None
+    raise AssertionError
+
+
+def _records(file: File, at: int, end: int, kept: list[bytes] | None) -> Iterator[Record | Gap]:
+    """What a sound member holds; its own checks cover headers and blocks without a digest."""
+    content = Content()
+    some = False
+    for x in _fed(content, kept if kept is not None else (out for out, *_ in _inflated(file, at, 1 << 16, fine=False))):
+        some = True
+        yield Gap(at, end, f"{x.reason} (bytes {x.start} to {x.end} of the member's content)") if isinstance(x, Gap) else Record(at, end, x.headers, x.block)
     if not some:
-        raise _Failed(waiting[0][0].reason if waiting else "no version line", at)
-    yield from [placed(y) for y, _ in waiting]
-    return fed
-
-
-def _plain(source: BinaryIO, at: int, size: int, step: int = 1 << 16) -> Record:
-    """The uncompressed record at a place of a file; ValueError if it fails its checks."""
-    content = Content(size - at)
-    source.seek(at)
-    while data := source.read(max(step, content.need - content.base - len(content.data))):
-        for x in content.feed(data):
-            if isinstance(x, Gap) or x.start:
-                raise ValueError(content.why)
-            return Record(at, at + x.end, x.headers, x.block)
-        if content.bad >= 0:
-            raise ValueError(content.why)
-    for x in content.feed(b"", final=True):
-        if isinstance(x, Record) and not x.start:
-            return Record(at, at + x.end, x.headers, x.block)
-        break
-    raise ValueError(content.why or "no version line")
-
-
-def _next(source: BinaryIO, at: int, step: int = 1 << 20) -> int:
-    """The next place from at on where a record or member may start; -1 if there is none."""
-    source.seek(at)
-    rest = b""
-    while data := source.read(step):
-        rest += data
-        if m := START.search(rest):
-            return at + m.start()
-        at, rest = at + max(0, len(rest) - 4), rest[-4:]
-    return -1
+        yield Gap(at, end, "a member without content")
+
+
+def _fed(content: Content, parts) -> Iterator[Record | Gap]:
+    for part in parts:
+        yield from content.feed(part)
+    yield from content.feed(b"", final=True)
+
+
+def _member_within(file: File, a: int, b: int) -> bool:
+    """Whether a sound gzip member starts from a on, before b."""
+    while 0 <= (a := file.next(a)) < b:
+        if file.get(a, 3) == GZIP and not _sound(file, a)[0]:
+            return True
+        a += 1
+    return False
+
+
+def _rescued(file: File, at: int, why: str, step: int = 4096) -> Iterator[Record | Gap]:
+    """What of a failed member is proven, record by record: digests cover headers and block, and more content follows.
+
+    Whatever lies between is a gap, from the place where the last one was whole to that at which the next one had begun. Returns the
+    place where the last one was whole, or the member's start: what follows is searched again from there, since the content that
+    was read on for may belong to the next members."""
+    content = Content()
+    last, covered, total = at, 0, 0  # place and content up to which records were given, and content in all
+    held: tuple[list[Record | Gap], int, int] | None = None  # a record that nothing follows yet, with its gap, place and end
+    marks: list[tuple[int, int]] = []  # places by content, since the last record
+    for out, before, after, failed, state in _inflated(file, at, step):
+        seen, total = total, total + len(out)
+        marks.append((total, after))
+        found = [x for x in content.feed(out, final=failed is not None) if isinstance(x, Record) and content.proven]
+        data, n = file.get(before, after - before) if found else b"", seen
+        i = 0
+        for x in found:
+            while n < x.end and i < len(data):
+                n, i = n + len(state.decompress(data[i : i + 1])), i + 1
+            if held is not None:
+                yield from held[0]
+                _, last, covered = held
+            begun = next((place for upto, place in marks if upto > x.start), after)
+            if x.start > covered and _member_within(file, max(at + 1, last), begun):
+                return last  # the stream has run into members that are sound by themselves
+            gap = [Gap(last, begun, why)] if x.start > covered else []
+            held = ([*gap, Record(at, before + i if i else after, x.headers, x.block)], before + i if i else after, x.end)
+        if held is not None and total > held[2]:
+            yield from held[0]
+            _, last, covered = held
+            held = None
+        if found:
+            marks = [m for m in marks if m[0] > found[-1].end]
+    return last
 
 
 def salvage(source: bytes | BinaryIO) -> Iterator[Record | Gap]:
     """The valid records of an archive, a file that can seek, compressed by member or as a whole or plain, and the gaps between them.
 
     After a failed check the next place is searched where a member or a version line starts and is valid; what lies between
-    is one gap. A member may hold any number of records; what of its content no valid record covers is a gap at its place,
-    and one that is valid but holds no valid record is a gap of its own. The file is read in parts: a task holds a record, not a file."""
-    source = io.BytesIO(source) if isinstance(source, bytes) else source
-    n = source.seek(0, io.SEEK_END)
+    is one gap. A member may hold any number of records. One that passes its own checks gives all that are well-formed; what of its
+    content no valid record covers is a gap at its place. Of one that fails only records count whose digests cover headers and
+    block; every other byte of it is in a gap, and the search goes on from the last of them, so that members which the damaged
+    stream ran into are found. The file is read in parts, a member twice if it is long: a task holds a record, not a file."""
+    file = File(io.BytesIO(source) if isinstance(source, bytes) else source)
     at, bad, why = 0, -1, ""
-    while 0 <= at < n:
-        source.seek(at)
-        head = source.read(5)
+
+    def found(start: int) -> Iterator[Gap]:
+        nonlocal bad
+        if bad >= 0:
+            yield Gap(bad, start, why)
+            bad = -1
+
+    while 0 <= at < file.size:
+        head = file.get(at, 5)
         try:
             if head[:3] == GZIP:
-                member = _member(source, at)
+                failed, end, kept = _sound(file, at)
+                if not failed:
+                    yield from found(at)
+                    yield from _records(file, at, end, kept)
+                    at = end
+                    continue
+                if kept is not None and not any(b"WARC/" in x for x in kept) and sum(map(len, kept)) < FIRST_BYTES:
+                    raise ValueError(failed)  # as most false starts
+                rescue, some = _rescued(file, at, failed), False
                 while True:
                     try:
-                        x = next(member)
+                        x = next(rescue)
                     except StopIteration as e:
-                        at = e.value
+                        last = e.value
                         break
-                    if bad >= 0:
-                        yield Gap(bad, at, why)
-                        bad = -1
+                    if not some:
+                        yield from found(at)
+                    some = True
                     yield x
-            elif head == b"WARC/":
-                x = _plain(source, at, n)
-                if bad >= 0:
-                    yield Gap(bad, at, why)
-                    bad = -1
-                yield x
-                at = x.end
-            else:
+                if bad < 0:
+                    bad, why = last, failed
+                at = file.next(max(at + 1, last))
+                continue
+            if head != b"WARC/":
                 raise ValueError("no version line or gzip member")
+            x = _plain(file, at)
         except ValueError as e:
             if bad < 0:
-                bad, why = getattr(e, "end", at), str(e)
-            at = _next(source, max(at + 1, getattr(e, "end", 0)))
-    if bad >= 0:
-        yield Gap(bad, n, why)
+                bad, why = at, str(e)
+            at = file.next(at + 1)
+            continue
+        yield from found(at)
+        yield x
+        at = x.end
+    yield from found(file.size)
 
 
 def payload_of(r: Record) -> bytes:
     return r.block.partition(b"\r\n\r\n")[2]
 
 
-#: Repeated digests up to which their table is broadcast; beyond, pages are joined with it by a shuffle.
+#: Repeated digests up to which their table is broadcast; beyond, pages are dealt by digest and salt, so that a common one is no hot key.
 BROADCAST_ROWS = 200_000
+SALTS = 64
 
 
 def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 0, level: int = 1) -> DataFrame:
@@ -366,7 +490,9 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
     repeated = rows.select(digest.alias("digest"), "id").groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n"))
     repeated = materialize(repeated.where("n > 1").select("digest", "first"), "repeated-digests")
     few = repeated.count() <= BROADCAST_ROWS
-    dealt = rows.withColumn("digest", digest).join(F.broadcast(repeated) if few else repeated, "digest", "left").select("id", "url", "html", "first")
+    dealt = rows.withColumn("digest", digest)
+    dealt = dealt.join(F.broadcast(repeated), "digest", "left") if few else spread_join(dealt, repeated, ["digest"], F.pmod(F.xxhash64("id", "url"), F.lit(SALTS)), "left")
+    dealt = dealt.select("id", "url", "html", "first")
     files = materialize(dealt.mapInArrow(run, "path string, bytes bigint, records bigint"), "archives")
     discard(repeated)
     return files
@@ -395,7 +521,7 @@ def read(spark: SparkSession, files: DataFrame | list[str], payloads: bool = Tru
             for path in batch.column(0).to_pylist():
                 store, place = fs.FileSystem.from_uri(path)
                 with store.open_input_file(place) as raw:
-                    for x in salvage(io.BufferedReader(raw, 1 << 20)):
+                    for x in salvage(raw):
                         if isinstance(x, Gap):
                             rows.append((path, x.start, x.end, x.reason, *[None] * 7))
                             continue

@@ -2,6 +2,9 @@
 
 import gzip
 import math
+import random
+import re
+import time
 
 import numpy as np
 import pytest
@@ -93,8 +96,11 @@ def test_vectors_of_extreme_sizes(spark):
     rows = [(1, [1e300, 1e300], 0), (2, [1e-300, 1e-300], 0), (3, [1.0, -1.0], 0), (4, [1e-308, 0.0], 0), (5, [1e308, 1e-308], 0)]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
     assert {tuple(r) for r in embdedup.near_duplicates(df).collect()} == {(1, 1, 1), (2, 1, 1), (3, 0, 3), (4, 1, 4), (5, 1, 4)}
+    # floor(64 * x) of each; scores that no long holds are its ends
+    whole = {1: (64 * int(1e300),) * 2, 2: (0, 0), 3: (64, -64), 4: (0, 0), 5: (int(topk.MOST), 0)}
+    score = lambda a, b: min(max(sum(x * y for x, y in zip(whole[a], whole[b], strict=True)), topk.LEAST_LONG), topk.MOST_LONG)
     top = {(r.query_id, r.id): r.score for r in topk.top_k(df, F.col("vec_id") > 0).collect()}
-    assert top == {(a, b): 0 for a in (2, 3, 4) for b in (2, 3, 4) if a != b}
+    assert top == {(a, b): score(a, b) for a in whole for b in whole if a != b}
 
 
 @pytest.mark.parametrize("how", [topk.Search(), topk.Search(k=3, pivots=2, queries=4, candidates=16, step=2), topk.Search(k=5, pivots=8, queries=16, spread=40, step=4)])
@@ -124,6 +130,19 @@ def test_top_k_of_groups_passes_blocks_over(spark):
     assert r[1] < 0.6 * r[2] and r[0] < 0.5 * r[2]
 
 
+def test_long_vectors_take_part(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(size=4) * 10.0 ** rng.integers(0, 4)], 0) for i in range(60)]
+    # squared lengths beyond 2^62; one with a component that no long holds, across from zeros
+    rows += [(100 + i, [float(v)] * 4, 0) for i, v in enumerate((2.0**25, -(2.0**25), 2.0**26))] + [(110, [0.0, 0.0, 0.0, 2.0**70], 0)]
+    rows = [(i, [*e[:3], 0.0] if i < 100 else e, g) for i, e, g in rows]
+    got = topk.top_k(spark.createDataFrame(rows, VECTORS), F.col("vec_id").isin(0, 20, 40, 7), topk.Search(k=5, queries=2, candidates=16, pivots=8)).collect()
+    whole = {i: [math.floor(64 * x) for x in e] for i, e, _ in rows}
+    for q in (0, 20, 40, 7):
+        best = sorted((-sum(a * b for a, b in zip(whole[q], v, strict=True)), i) for i, v in whole.items() if i != q)[:5]
+        assert sorted((r["rank"], r["id"], r["score"]) for r in got if r["query_id"] == q) == [(n + 1, i, -s) for n, (s, i) in enumerate(best)]
+
+
 PAGES = [(3, "http://a/é b", "<p>x</p>"), (1, None, "<p>x</p>"), (2, "u", None), (5, "u", ""), (4, "v", "y" * 100_000), (6, "w", "WARC/1.1\r\n\r\n \x1f\x8b\x08"), (None, "n", "null id"), (7, "z", "<p>x</p>")]
 COLUMNS = "page_id bigint, url string, html string"
 
@@ -200,6 +219,75 @@ def test_salvage_of_a_whole_file_in_one_member():
     assert [x for x in cut if isinstance(x, str)] == ids[:4] and cut[-1][1] == place
 
 
+def some_record(r, i):
+    n = r.randrange(50, 4000)
+    body = r.randbytes(n) if r.random() < 0.3 else bytes(r.choice(b"abcdefgh <p>\n") for _ in range(n))
+    return warc.record(i, f"http://e/{i}", body, warc.digest_of(body))
+
+
+def read_back(data):
+    """The records by id, each once, and the gaps."""
+    found = list(warc.salvage(data))
+    records, gaps = [x for x in found if isinstance(x, warc.Record)], [x for x in found if isinstance(x, warc.Gap)]
+    by_id = {x.headers["warc-record-id"]: x for x in records}
+    assert len(by_id) == len(records)
+    return by_id, gaps
+
+
+def test_members_cut_off_lose_nothing_that_follows():
+    r = random.Random(7)
+    for _ in range(400):
+        level = r.choice([0, 1, 6])
+        first = warc.packed(b"".join(some_record(r, i) for i in range(5)), level)
+        rest = [warc.packed(b"".join(some_record(r, 10 * j + k) for k in range(2)), level) for j in range(1, 4)]
+        cut = r.randrange(1, len(first))
+        got, gaps = read_back(first[:cut] + b"".join(rest))
+        assert all(f"<{warc.ID}{10 * j + k}>" in got for j in range(1, 4) for k in range(2))
+        if any(f"<{warc.ID}{i}>" not in got for i in range(5)):
+            assert any(g.start < cut <= g.end for g in gaps)
+
+
+def test_flipped_bits_give_no_wrong_record():
+    r = random.Random(8)
+    for _ in range(300):
+        parts = [some_record(r, i) for i in range(4)]
+        member = bytearray(warc.packed(b"".join(parts), r.choice([0, 1, 6])))
+        member[r.randrange(len(member))] ^= 1 << r.randrange(8)
+        got, gaps = read_back(bytes(member) + warc.packed(some_record(r, 9)))
+        assert f"<{warc.ID}9>" in got
+        for name, x in got.items():
+            if name != f"<{warc.ID}9>":
+                lines = {f"{k}: {v}" for k, v in x.headers.items()}
+                part = parts[int(name.removesuffix(">").rpartition(":")[2])]
+                written = {(k.lower(), v) for k, _, v in (y.partition(": ") for y in part.partition(b"\r\n\r\n")[0].decode().split("\r\n")[1:])}
+                assert {f"{k}: {v}" for k, v in written} == lines and part.endswith(x.block + b"\r\n\r\n")
+        if len(got) < 5:
+            assert any(g.end > g.start for g in gaps)
+
+
+def test_records_of_a_failed_member_need_digests_of_their_headers():
+    parts = [re.sub(rb"X-Header-Digest: [^\r]*\r\n", b"", p) for p in archive(False)]
+    member = warc.packed(b"".join(parts))
+    assert len(kinds(member)) == 6  # the member's own checks cover them
+    broken = bytearray(member)
+    broken[-5] ^= 1
+    assert kinds(bytes(broken)) == [(0, len(member))]
+
+
+@pytest.mark.parametrize("start", [b"WARC/1.1\r\nContent-Length: 99999999\r\n\r\n", b"WARC/1.1\r\n", b"WARC/1.1 "])
+def test_false_starts_take_one_pass(start):
+    data = start * ((1 << 20) // len(start)) + archive(False)[0]
+    began = time.process_time()
+    assert f"<{warc.ID}0>" in kinds(data) and f"<{warc.ID}0>" in kinds(warc.packed(data))
+    assert time.process_time() - began < 6  # about one second
+
+
+def test_headers_of_any_length():
+    long = warc.record(1, "u" * (17 << 20), b"x", warc.digest_of(b"x"))
+    for data in (long, warc.packed(long)):
+        assert kinds(data + warc.packed(archive(False)[2])) == [f"<{warc.ID}1>", f"<{warc.ID}2>"]
+
+
 def test_salvage_reads_in_parts():
     class Counting(__import__("io").BytesIO):
         most = 0

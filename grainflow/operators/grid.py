@@ -23,8 +23,6 @@ from . import graph
 STEP = "step_index"
 #: Side of the square tiles that are labelled on their own: a task holds one tile, however large the grid.
 TILE = 128
-#: Nodes of all steps have one number: the step's share, and the cell's place in it.
-PER_STEP = 1 << 40
 
 
 @dataclass(frozen=True)
@@ -163,8 +161,11 @@ def label(cells: DataFrame, b: Boundary, tile: int = TILE) -> tuple[DataFrame, D
     Tiles are labelled each in a task of its own; components of neighbouring tiles, and those that meet over a seam, are then
     joined as a graph whose edges over a seam carry an offset of one period. A component wraps an axis if one of these edges
     doesn't fit the places that the others give its ends. Labels count components by their first cell, y fastest within x."""
-    key = (F.col(STEP).cast("long") * PER_STEP + F.col("ix").cast("long") * F.col("ny") + F.col("iy")).alias("key")
-    rows = cells.select(STEP, "ix", "iy", "x", "y", "phase", "nx", "ny", key, F.floor(F.col("ix") / tile).cast("int").alias("tx"), F.floor(F.col("iy") / tile).cast("int").alias("ty"))
+    # nodes of all steps are numbered on: what comes before a step is a row per step
+    places = F.max(F.col("nx").cast("long") * F.col("ny"))
+    bases = cells.groupBy(STEP).agg(places.alias("places")).select(STEP, (F.sum("places").over(W.orderBy(STEP)) - F.col("places")).alias("base"))
+    key = (F.col("base") + F.col("ix").cast("long") * F.col("ny") + F.col("iy")).alias("key")
+    rows = cells.join(bases, STEP).select(STEP, "ix", "iy", "x", "y", "phase", "nx", "ny", key, F.floor(F.col("ix") / tile).cast("int").alias("tx"), F.floor(F.col("iy") / tile).cast("int").alias("ty"))
     schema = "step_index int, ix int, iy int, x double, y double, phase string, nx int, ny int, key bigint, tx int, ty int, node bigint"
     rows = rows.select(F.col(STEP).cast("int").alias(STEP), *rows.columns[1:])
     local = materialize(rows.groupBy(STEP, "tx", "ty").applyInPandas(_label_tile, schema), "tiles")

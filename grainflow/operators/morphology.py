@@ -15,38 +15,68 @@ from pyspark.sql import Window as W
 
 from ..functions.scalars import safe_div
 from ..functions.tables import discard, materialize
+from . import graph
 from .grid import STEP, Boundary
 
 #: The eight neighbours in a ring, starting above and going round.
 RING = ((0, -1), (1, -1), (1, 0), (1, 1), (0, 1), (-1, 1), (-1, 0), (-1, -1))
 
 
-def _ring(mask: np.ndarray) -> np.ndarray:
-    """Each cell's eight neighbours as a stack; outside is empty."""
-    p = np.pad(mask, 1)
-    n, m = mask.shape
-    return np.stack([p[1 + dx : 1 + dx + n, 1 + dy : 1 + dy + m] for dx, dy in RING])
+def _removable() -> np.ndarray:
+    """By the eight neighbours as bits in the ring's order: whether a cell can go without a change of topology, and ends no line.
 
+    A cell is simple if its neighbours hang together without it in one piece and it has an empty side: of the four sides, one and only
+    one is empty and not led on by two empty places going round (components of eight neighbours, holes of four)."""
+    out = np.zeros(256, bool)
+    for code in range(256):
+        empty = [not code >> k & 1 for k in range(8)]
+        pieces = sum(empty[k] and not (empty[k + 1] and empty[(k + 2) % 8]) for k in range(0, 8, 2))
+        out[code] = pieces == 1 and code.bit_count() > 1
+    return out
+
+
+REMOVABLE = _removable()
 
-def thin(mask: np.ndarray, rounds: int) -> np.ndarray:
-    """Rounds of parallel thinning in two half steps: a border cell goes if its neighbours are two to six in one run and one of the
-    three on the half step's side is empty. A half step reads the cells around only, so a rim of 2 * rounds keeps the rest exact."""
-    mask = mask.copy()
-    for _ in range(rounds):
-        for up, right, down, left in ((0, 2, 4, 6), (4, 6, 0, 2)):
-            r = _ring(mask)
-            count, runs = r.sum(0), (~r & np.roll(r, -1, axis=0)).sum(0)
-            go = mask & (count >= 2) & (count <= 6) & (runs == 1) & ~(r[up] & r[right] & r[down]) & ~(r[right] & r[down] & r[left])
-            mask &= ~go
-    return mask
 
+def fields(i: np.ndarray, n: int, periodic: bool) -> np.ndarray:
+    """The field of each line of an axis: even or odd, and on a periodic axis of odd length the last one alone, so that
+    no two neighbours are in one field."""
+    at = i % n if periodic else i
+    return np.where(periodic & (n % 2 == 1) & (at == n - 1), 2, at % 2)
 
-def skeleton(cells: DataFrame, b: Boundary, phase: str, tile: int = 96, rounds: int = 12) -> DataFrame:
-    """The cells (step_index, ix, iy, nx, ny) of a phase that thinning leaves, on the wrapped grid along periodic axes.
 
-    Each pass hands every open tile its cells with a rim, and thins it by `rounds`; passes go on until none removes a cell. A tile is
-    open as long as the last pass changed it or one whose cells it sees; settled ones are carried on as they are."""
-    rim = 2 * rounds
+def thin(mask: np.ndarray, rounds: int, fx: np.ndarray, fy: np.ndarray) -> np.ndarray:
+    """Rounds of thinning that keep components and holes: of the cells with an empty side at the start of a round, those that are
+    simple and end no line go, field by field. Cells of one field aren't neighbours, so that they can go together."""
+    p = np.pad(mask, 1)
+    now = p[1:-1, 1:-1]
+    for _ in range(rounds):
+        border = now & ~(p[1:-1, :-2] & p[1:-1, 2:] & p[:-2, 1:-1] & p[2:, 1:-1])
+        gone = False
+        for u in range(3):
+            for v in range(3):
+                x, y = np.nonzero(border & ((fx == u)[:, None] & (fy == v)[None, :]))
+                code = np.zeros(len(x), np.int64)
+                for k, (dx, dy) in enumerate(RING):
+                    code |= p[x + 1 + dx, y + 1 + dy].astype(np.int64) << k
+                go = REMOVABLE[code]
+                now[x[go], y[go]] = False
+                gone |= bool(go.any())
+        if not gone:
+            break
+    return now.copy()
+
+
+def skeleton(cells: DataFrame, b: Boundary, phase: str, tile: int = 256, rounds: int = 0) -> DataFrame:
+    """The cells (step_index, ix, iy, nx, ny) of a phase that thinning leaves, on the wrapped grid along periodic axes. They have the
+    components (of eight neighbours) and holes of the phase.
+
+    Each pass hands every open tile its cells with a rim, and thins it by `rounds` (0: as many as a rim of 60 cells allows; a round
+    sees one cell further for the border and for each field); passes go on until none removes a cell. A tile is open as long as the
+    last pass changed it or one whose cells it sees; settled ones are carried on as they are."""
+    sees = 1 + (3 if b.x else 2) * (3 if b.y else 2)
+    rounds = rounds or 60 // sees
+    rim = sees * rounds
     now = cells.where(F.col("phase") == phase).select(F.col(STEP).cast("int").alias(STEP), F.col("ix").cast("int").alias("ix"), F.col("iy").cast("int").alias("iy"), "nx", "ny")
     now = materialize(now, "skeleton")
     schema = f"{STEP} int, ix int, iy int, nx int, ny int"
@@ -72,7 +102,8 @@ def skeleton(cells: DataFrame, b: Boundary, phase: str, tile: int = 96, rounds:
         x0, y0 = tx * tile - rim, ty * tile - rim
         mask = np.zeros((tile + 2 * rim, tile + 2 * rim), bool)
         mask[part["vx"] - x0, part["vy"] - y0] = True
-        left = thin(mask, rounds)[rim : rim + tile, rim : rim + tile]
+        fx, fy = (fields(np.arange(len(mask)) + o, n, wraps) for o, n, wraps in ((x0, nx, b.x), (y0, ny, b.y)))
+        left = thin(mask, rounds, fx, fy)[rim : rim + tile, rim : rim + tile]
         i, j = np.nonzero(left)
         i, j = i + tx * tile, j + ty * tile
         own = (i >= 0) & (i < nx) & (j >= 0) & (j < ny)
@@ -99,6 +130,32 @@ def skeleton(cells: DataFrame, b: Boundary, phase: str, tile: int = 96, rounds:
         now = later
 
 
+def closed_topology(cells: DataFrame, b: Boundary) -> DataFrame:
+    """Per step, of cells as closed squares, which hang together over corners too: cells, components, and holes (independent loops; the
+    components less the Euler number, sides and corners counted once each; on a torus that is wholly covered one more)."""
+    near = _neighbours(cells, b)
+    key = (F.lit(1).cast("long") * F.col("ix") * F.col("ny") + F.col("iy"), F.lit(1).cast("long") * F.col("jx") * F.col("ny") + F.col("jy"))
+    steps = cells.groupBy(STEP).agg(F.count("*").alias("cells"), F.max("nx").alias("nx"), F.max("ny").alias("ny"))
+    steps = steps.withColumn("base", F.sum(F.col("nx").cast("long") * F.col("ny")).over(W.orderBy(STEP)) - F.col("nx").cast("long") * F.col("ny"))
+    base = steps.select(STEP, "base")
+    links = near.join(base, STEP).select((F.col("base") + key[0]).alias("u"), (F.col("base") + key[1]).alias("v"))
+    found = graph.components(links)
+    of = cells.join(base, STEP).select(STEP, (F.col("base") + F.col("ix").cast("long") * F.col("ny") + F.col("iy")).alias("node"))
+    comps = of.join(found, "node", "left").groupBy(STEP).agg(F.count_distinct(F.coalesce("component", "node")).alias("components"))
+    # a line between cells along a periodic axis is the same at both ends
+    at = lambda c, n, wraps: F.pmod(c, F.col(n)) if wraps else c
+    x, y = F.col("ix"), F.col("iy")
+    ends = {"x": (x, at(x + 1, "nx", b.x)), "y": (y, at(y + 1, "ny", b.y))}
+    upright = F.array(*(F.struct(F.lit("v").alias("kind"), i.alias("i"), y.alias("j")) for i in ends["x"]))
+    flat = F.array(*(F.struct(F.lit("h").alias("kind"), x.alias("i"), j.alias("j")) for j in ends["y"]))
+    corners = F.array(*(F.struct(F.lit("c").alias("kind"), i.alias("i"), j.alias("j")) for i in ends["x"] for j in ends["y"]))
+    parts = cells.select(STEP, F.explode(F.concat(upright, flat, corners)).alias("p")).distinct()
+    parts = parts.groupBy(STEP).agg(F.count_if(F.col("p.kind") == "c").alias("corners"), F.count_if(F.col("p.kind") != "c").alias("sides"))
+    full = F.when(F.lit(b.x and b.y) & (F.col("cells") == F.col("nx").cast("long") * F.col("ny")), 1).otherwise(0)
+    out = steps.join(comps, STEP).join(parts, STEP)
+    return out.select(STEP, "cells", "components", (F.col("components") + full - F.col("cells") + F.col("sides") - F.col("corners")).alias("holes"))
+
+
 def _neighbours(skel: DataFrame, b: Boundary) -> DataFrame:
     """Pairs of a skeleton cell and each of its eight neighbours that are in the skeleton too: place in the ring, over a seam or not."""
     steps = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for k, (dx, dy) in enumerate(RING)))).alias("s")

@@ -514,6 +514,30 @@ def skeleton(spark, d):
     return _net(spark, d).skeleton("matrix").select("step_index", "ix", "iy")
 
 
+def _closed_sql(view: str) -> str:
+    """Components of the matrix over eight neighbours, and its holes: what its skeleton must have too."""
+    return f"""WITH RECURSIVE {_cells(view)}, m AS MATERIALIZED (SELECT step_index, ix, iy, ix * 100000 + iy AS a FROM c WHERE phase = 'matrix'),
+nb AS MATERIALIZED (SELECT m.step_index, m.a, n.a AS b FROM m JOIN (VALUES (-1), (0), (1)) i(i) ON true JOIN (VALUES (-1), (0), (1)) j(j) ON true JOIN m n ON n.step_index = m.step_index AND n.ix = m.ix + i AND n.iy = m.iy + j),
+r AS (SELECT step_index, a, a AS root FROM m UNION SELECT r.step_index, nb.b, r.root FROM r JOIN nb USING (step_index, a)), k AS (SELECT step_index, count(DISTINCT root) AS components FROM (SELECT step_index, a, min(root) AS root FROM r GROUP BY ALL) GROUP BY ALL),
+v AS (SELECT step_index, count(DISTINCT (ix + i, iy + j)) AS corners FROM m, range(2) i(i), range(2) j(j) GROUP BY ALL), e AS (SELECT step_index, count(DISTINCT (i, ix + i * o, iy + (1 - i) * o)) AS sides FROM m, range(2) i(i), range(2) o(o) GROUP BY ALL), n AS (SELECT step_index, count(*) AS n FROM m GROUP BY ALL)
+SELECT step_index, components, components - n + sides - corners AS holes FROM k JOIN v USING (step_index) JOIN e USING (step_index) JOIN n USING (step_index)"""
+
+
+def _skeleton_topology(spark, d, view):
+    net = _net(spark, d, view)
+    return morphology.closed_topology(net.skeleton("matrix"), net.b).drop("cells")
+
+
+@query(_closed_sql("cells_step"))
+def skeleton_topology(spark, d):
+    return _skeleton_topology(spark, d, "cells_step")
+
+
+@query(_closed_sql("order_lines"))
+def order_skeleton_topology(spark, d):
+    return _skeleton_topology(spark, d, "order_lines")
+
+
 @query()
 def skeleton_stats(spark, d):
     return rounded(_net(spark, d, "cells_step").skeleton_stats("matrix"))

@@ -1,8 +1,8 @@
 """Block files: three header lines (the third names the columns), then blocks of "timestep rows total" and that many rows.
 
-A file is read in two jobs. The first scans each file once, skipping a block's rows by counting line ends in large buffers, and
-finds the byte range of each block and of the pieces that a large one falls into: a small table, which can be filtered by
-step before anything is parsed and kept as Parquet for later reads. The second parses the pieces that are left column by
+A file is read in two jobs. The first scans each file once, a large one by many tasks (ranges), skipping a block's rows by
+counting line ends in large buffers, and finds the byte range of each block and of the pieces that a large one falls into: a small
+table, which can be filtered by step before anything is parsed and kept as Parquet for later reads. The second parses the pieces that are left column by
 column, a task per few pieces, wherever they are."""
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from pyspark.sql import Window as W
 
 from ..functions.errors import AnalysisError, require
 from ..functions.names import header_names
+from . import ranges
 
 INDEX = "path string, step_index int, timestep double, num_chunks int, total_count double, data_start bigint, data_end bigint, pieces array<struct<start:bigint,end:bigint,before:int,n:int>>"
 #: Bytes of a block that one task parses at once, about.
@@ -148,8 +149,36 @@ def scan_blocks(path: str, strict: bool = False, piece: int = PIECE) -> Iterator
             yield path, number, head[0], n, head[2], start, end, pieces
 
 
-def block_index(spark: SparkSession, paths: list[str], strict: bool = False) -> DataFrame:
-    """One row per block of the files: path, step_index (from 1 in file order), timestep, num_chunks, total_count and its bytes."""
+def _size(path: str) -> int:
+    store, place = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+    info = store.get_file_info(place)
+    require(info.type == fs.FileType.File, "FileNotFound", path)
+    return info.size
+
+
+def _head(path: str) -> tuple[str, int, int, int]:
+    """A file's path, the byte after its header lines, its bytes and columns."""
+    with _open(path) as source:
+        lines = _Lines(source, step=1 << 16)
+        head = [lines.next() for _ in range(3)]
+        require(head[2] is not None, "HeaderTooShort", path)
+        return path, lines.at, source.size(), len(header_names(head[2][1].decode()))
+
+
+def block_index(spark: SparkSession, paths: list[str], strict: bool = False, size: int = ranges.RANGE) -> DataFrame:
+    """One row per block of the files: path, step_index (from 1 in file order), timestep, num_chunks, total_count and its bytes.
+
+    A file of more than `size` bytes, and every file if strict, is scanned by a task per `size` bytes when this is called."""
+    large = [p for p in paths if strict or _size(p) > size]
+    small = _whole(spark, [p for p in paths if p not in set(large)], strict)
+    if not large:
+        return small
+    found = ranges.index(spark, [_head(p) for p in large], strict, _open, lambda alone: _whole(spark, alone, strict), size)
+    return found.unionByName(small) if len(large) < len(paths) else found
+
+
+def _whole(spark: SparkSession, paths: list[str], strict: bool) -> DataFrame:
+    """The index of files that a task each scans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("path", pa.string()), ("step_index", pa.int32()), ("timestep", pa.float64()), ("num_chunks", pa.int32()), ("total_count", pa.float64()), ("data_start", pa.int64()), ("data_end", pa.int64()), ("pieces", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("before", pa.int32()), ("n", pa.int32())])))])

@@ -6,15 +6,19 @@ import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions.errors import require
 from ..functions.names import sanitize
-from .blocks import _lines, _open
+from . import ranges
+from .blocks import _open, _size
 
 ROWS = "path string, module_index int, row_id int, names array<string>, values array<double>, accepted boolean"
+SCHEMA = pa.schema([("path", pa.string()), ("part", pa.int64()), ("module_index", pa.int32()), ("row_id", pa.int32()), ("names", pa.list_(pa.string())), ("values", pa.list_(pa.float64())), ("accepted", pa.bool_())])
 
 
 def header(line: str) -> list[str] | None:
@@ -35,37 +39,74 @@ def numbers(line: str, n: int) -> list[float] | None:
     return found if all(map(math.isfinite, found)) else None
 
 
-def read(spark: SparkSession, paths: list[str] | str) -> DataFrame:
+#: A line that may start a table.
+TABLE = re.compile(rb"(?i)step\s+cpu\b")
+
+
+def _modules(lines: ranges.Lines) -> Iterator[tuple[int, list[str]]]:
+    """The lines of a range that start a table, and its columns."""
+    for m in TABLE.finditer(lines.data):
+        k = int(np.searchsorted(lines.ends, m.start(), side="right"))
+        text = lines.data[lines.starts[k] : lines.ends[k]].decode("utf-8", "replace") if k < len(lines) else ""
+        if (found := header(text)) is not None:
+            yield k, found
+
+
+def read(spark: SparkSession, paths: list[str] | str, size: int = ranges.RANGE) -> DataFrame:
     """One row per line that follows a table's header, until the next: accepted ones with their values and a row_id from 1, the
-    others without. A file without a table is an error."""
-
-    def scan(path: str) -> Iterator[tuple]:
-        module, row, names = 0, 0, None
-        with _open(path) as source:
-            for _, raw in _lines(source):
-                line = raw.decode("utf-8", "replace")
-                if (found := header(line)) is not None:
-                    module, row, names = module + 1, 0, found
-                elif names and line.strip():
-                    values = numbers(line, len(names))
-                    row += values is not None
-                    yield path, module, row if values else None, names, values, values is not None
-        require(module > 0, "NoStepCpuBlock", path)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("path", pa.string()), ("module_index", pa.int32()), ("row_id", pa.int32()), ("names", pa.list_(pa.string())), ("values", pa.list_(pa.float64())), ("accepted", pa.bool_())])
+    others without. A file without a table is an error.
+
+    A task reads `size` bytes: one pass finds where tables start, from which each range knows the table that it begins in; the
+    other parses. row_id is counted on over ranges. The driver holds a row per range."""
+    paths = [paths] if isinstance(paths, str) else paths
+    parts = [(p, i, a, a == 0) for p in paths for i, a in enumerate(range(0, max(1, _size(p)), size))]
+    jobs = spark.createDataFrame(parts, "path string, part bigint, a bigint, first boolean").repartition(len(parts), "path", "part")
+
+    def lines_of(r: dict) -> ranges.Lines:
+        with _open(r["path"]) as source:
+            return ranges.Lines.of(source, r["a"], min(r["a"] + size, source.size()), r["first"], True)
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                found = [names for _, names in _modules(lines_of(r))]
+                yield pa.RecordBatch.from_pydict({"path": [r["path"]], "part": [r["part"]], "tables": [len(found)], "last": pa.array([found[-1] if found else None], pa.list_(pa.string()))})
+
+    entries, module, names, path = [], 0, None, None
+    for r in sorted(jobs.mapInArrow(look, "path string, part bigint, tables bigint, last array<string>").collect(), key=lambda r: (r["path"], r["part"])):
+        if r["path"] != path:
+            require(path is None or module > 0, "NoStepCpuBlock", path)
+            path, module, names = r["path"], 0, None
+        entries.append((path, r["part"], module, names))
+        module, names = module + r["tables"], r["last"] or names
+    require(module > 0, "NoStepCpuBlock", path)
+    known = spark.createDataFrame(entries, "path string, part bigint, module int, names array<string>")
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path in batch.column(0).to_pylist():
-                rows = []
-                for r in scan(path):
-                    rows.append(r)
+            for r in batch.to_pylist():
+                lines, module, names, row = lines_of(r), r["module"], r["names"], 0
+                tables, rows = dict(_modules(lines)), []
+                for k in range(len(lines)):
+                    if k in tables:
+                        module, names, row = module + 1, tables[k], 0
+                    elif names:
+                        values = numbers(lines.data[lines.starts[k] : lines.ends[k]].decode("utf-8", "replace"), len(names))
+                        row += values is not None
+                        rows.append((r["path"], r["part"], module, row if values else None, names, values, values is not None))
                     if len(rows) == 10_000:
-                        yield pa.RecordBatch.from_pylist([dict(zip(schema.names, x, strict=True)) for x in rows], schema)
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), SCHEMA, strict=True)], schema=SCHEMA)
                         rows = []
-                yield pa.RecordBatch.from_pylist([dict(zip(schema.names, x, strict=True)) for x in rows], schema)
-
-    paths = [paths] if isinstance(paths, str) else paths
-    return spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths)), "path").mapInArrow(run, ROWS)
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), SCHEMA, strict=True)], schema=SCHEMA)
+
+    found = jobs.join(known, ["path", "part"]).repartition(len(parts), "path", "part").mapInArrow(parse, ROWS.replace("path string,", "path string, part bigint,"))
+    if len(parts) == len(paths):
+        return found.drop("part")
+    counts_ = found.groupBy("path", "part", "module_index").agg(F.max("row_id").alias("n"))  # few rows per range
+    before = F.coalesce(F.sum("n").over(W.partitionBy("path", "module_index").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    found = found.join(counts_.select("path", "part", "module_index", before.cast("int").alias("before")), ["path", "part", "module_index"])
+    return found.withColumn("row_id", F.col("row_id") + F.col("before")).select(*(x.split()[0] for x in ROWS.split(", ")))
 
 
 def value(name: str) -> Column:

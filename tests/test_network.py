@@ -95,6 +95,13 @@ def test_sizes(spark):
     assert by_phase(f.topology, "matrix").beta0 == 4 and by_phase(f.sizes, "matrix").largest_fraction == 0.25
 
 
+def test_steps_of_any_number(spark):
+    rows = rows_of("022/000", 8_388_608) + rows_of("00/20", 2_000_000_000)
+    n = Network(frame(spark, rows), Options(1.0, "open", dx=1, dy=1))
+    got = sorted((r.step_index, r.phase, r.label, r.cell_count) for r in n.components.collect())
+    assert got == [(8_388_608, "matrix", 1, 2), (8_388_608, "pore", 1, 4), (2_000_000_000, "matrix", 1, 1), (2_000_000_000, "pore", 1, 3)]
+
+
 def test_skeleton_and_thickness(spark):
     n = net(spark, "branch")
     s = n.skeleton_stats("pore").first()
@@ -217,13 +224,61 @@ def test_distances_and_tiled_thinning(spark, boundary):
         if boundary != "open":
             d = np.minimum(d, np.array(mask.shape) - d)
         assert math.isclose(got[x, y], math.sqrt((d**2).sum(1).min()))
-    whole = np.tile(mask, (3, 3)) if boundary != "open" else mask
-    want = morphology.thin(whole, 40)
-    want = want[23:46, 19:38] if boundary != "open" else want
+    # the same as on the whole grid at once: where it wraps, on one that is repeated often enough for its ends not to matter
+    times = 7 if boundary != "open" else 1
+    whole = np.tile(mask, (times, times))
+    fx, fy = (morphology.fields(np.arange(n * times), n, boundary != "open") for n in mask.shape)
+    want = morphology.thin(whole, 8, fx, fy)[23 * (times // 2) :][:23, 19 * (times // 2) :][:, :19]
     tiled = morphology.skeleton(n.cells, n.b, "matrix", tile=8, rounds=2)
     assert {(r.ix, r.iy) for r in tiled.collect()} == {tuple(map(int, p)) for p in np.argwhere(want)}
 
 
+def pieces(mask, wraps, steps):
+    """The number of connected pieces."""
+    left, n = {tuple(map(int, p)) for p in np.argwhere(mask)}, 0
+    while left:
+        n, todo = n + 1, [left.pop()]
+        while todo:
+            x, y = todo.pop()
+            for dx, dy in steps:
+                q = (x + dx, y + dy)
+                q = (q[0] % mask.shape[0] if wraps[0] else q[0], q[1] % mask.shape[1] if wraps[1] else q[1])
+                if q in left:
+                    left.remove(q)
+                    todo.append(q)
+    return n
+
+
+FOUR = ((0, 1), (1, 0), (0, -1), (-1, 0))
+
+
+@pytest.mark.parametrize("boundary", ["open", "periodic-x", "periodic-y", "periodic-xy"])
+def test_skeletons_keep_components_and_holes(spark, boundary):
+    rng = np.random.default_rng(5)
+    wraps = (boundary in ("periodic-x", "periodic-xy"), boundary in ("periodic-y", "periodic-xy"))
+    masks = [rng.random((rng.integers(3, 14), rng.integers(3, 14))) < rng.choice([0.5, 0.7, 0.9]) for _ in range(12)]
+    masks += [np.ones((2, 2), bool), np.ones((5, 6), bool), np.abs(np.subtract.outer(range(10), range(10))) < 2]
+    rows = [r for k, m in enumerate(masks) for r in rows_of("/".join("".join("2" if c else "0" for c in m[:, y]) for y in range(m.shape[1])), k)]
+    n = Network(frame(spark, rows), Options(1.0, boundary, dx=1, dy=1))
+    left = [np.zeros_like(m) for m in masks]
+    for r in n.skeleton("matrix").collect():
+        left[r.step_index][r.ix, r.iy] = True
+    counts = {r.step_index: (r.components, r.holes) for r in morphology.closed_topology(n.cells.where("phase = 'matrix'"), n.b).collect()}
+    after = {r.step_index: (r.components, r.holes) for r in morphology.closed_topology(n.skeleton("matrix"), n.b).collect()}
+    holes = lambda m: pieces(np.pad(~m, [(0 if w else 1,) * 2 for w in wraps], constant_values=True), wraps, FOUR)
+    for k, (m, s) in enumerate(zip(masks, left, strict=True)):
+        assert not (s & ~m).any()
+        eight = pieces(m, wraps, morphology.RING)
+        assert pieces(s, wraps, morphology.RING) == eight
+        if m.any() and min(m.shape) > 2:
+            assert holes(s) == holes(m)
+            assert counts[k] == after[k] and counts[k][0] == eight
+            assert boundary != "open" or counts[k][1] == holes(m) - 1
+    assert boundary != "open" or left[12].sum() == 2 and left[14].sum() >= 8  # a square keeps a piece, a diagonal band its length
+    # nothing that could go is left
+    assert all((morphology.thin(s, 3, *(morphology.fields(np.arange(i), i, False) for i in s.shape)) == s).all() for s in left if boundary == "open")
+
+
 def test_periodic_field(spark):
     a, b = (sorted(map(tuple, smoothing.periodic_field(spark, 28, 24).collect())) for _ in range(2))
     assert a == b and len(a) == 28 * 24 and {r[3] for r in a} == {0.0, 2.0}

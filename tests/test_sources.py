@@ -1,6 +1,7 @@
 """Readers, selection and fields on the bundled fixtures' values, written anew here."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from grainflow.functions import names, physics
 from grainflow.functions.errors import AnalysisError
 from grainflow.operators import fields, select
 from grainflow.plans import api
-from grainflow.sources import blocks, resolve, runlog
+from grainflow.sources import blocks, ranges, resolve, runlog
 
 BIN1D = """# one
 # two
@@ -104,6 +105,76 @@ def test_pieces_of_a_large_block(spark, tmp_path):
         blocks.read(spark, str(tmp_path / "bad.txt")).collect()
 
 
+def chain(seed, columns, blocks_, junk, rows=40):
+    """A file of blocks of uneven sizes, with lines between them that start none."""
+    r = random.Random(seed)
+    out = ["#", "#", "# " + " ".join(["Chunk", "Coord1", "Ncount", "v_mass", "c_rho"][:columns])]
+    for t in range(blocks_):
+        n = r.choice([0, 1, rows, 3 * rows])
+        out.append(f"{t * 100} {n} {n * 2}")
+        out += [" ".join(str(r.choice([i, 0, 1, 0.5, 2.25])) for i in range(k, k + columns)) for k in range(n)]
+        if junk and r.random() < 0.4:
+            out += r.choice([["junk"], ["", "  "], ["a 1 2", "# 4 5 6"], ["7 8"]])
+    return "\n".join(out) + r.choice(["", "\n"])
+
+
+@pytest.mark.parametrize("columns, junk, strict", [(5, True, False), (5, False, True), (3, True, False), (3, False, True), (4, True, False)])
+def test_a_file_in_many_ranges(spark, tmp_path, columns, junk, strict):
+    for seed, rows, size in ((1, 40, 500), (2, 400, 900), (3, 3, 150)):
+        text = chain(seed, columns, 15, junk, rows)
+        if strict:
+            text = text.replace("00 ", "00  ").replace("\n1 ", "\n \n1 ")  # blank lines anywhere
+        path = tmp_path / f"bin1d_{seed}_{columns}{junk}{strict}.txt"
+        path.write_text(text)
+        want = [r[1:7] for r in blocks.scan_blocks(str(path), strict)]
+        index = blocks.block_index(spark, [str(path)], strict, size)
+        got = index.orderBy("step_index").collect()
+        assert [tuple(r)[1:7] for r in got] == want
+        for r in got:
+            assert sum(p["n"] for p in r.pieces) == r.num_chunks and all(a["end"] == b["start"] and a["before"] + a["n"] == b["before"] for a, b in zip(r.pieces, r.pieces[1:], strict=False))
+            assert not r.pieces or (r.pieces[0]["start"], r.pieces[-1]["end"]) == (r.data_start, r.data_end)
+        names_ = blocks.columns_of(str(path))
+        key = lambda x: tuple(x)[1:]
+        whole = blocks.read_blocks(blocks.block_index(spark, [str(path)], strict, 1 << 30), names_)
+        assert sorted(map(key, blocks.read_blocks(index, names_).collect()), key=str) == sorted(map(key, whole.collect()), key=str)
+
+
+def test_ranges_are_tasks(spark, tmp_path):
+    path = tmp_path / "bin1d_a.txt"
+    path.write_text(chain(5, 5, 200, True))
+    size = path.stat().st_size // 12
+    heads = [blocks._head(str(path))]
+    calls = []
+
+    def counting(files):
+        calls.append(files)
+        return blocks._whole(spark, files, False)
+
+    found = ranges.index(spark, heads, False, blocks._open, counting, size)
+    assert found.count() == 200 and calls == []  # no file was left to one task
+    assert blocks.block_index(spark, [str(path)], size=size).count() == 200
+
+
+def test_errors_in_ranges(spark, tmp_path):
+    for text, code in (("#\n#\n# A B C\n1 2 0\n1 2 3\n", "UnexpectedEOF"), ("#\n#\n# A B C\n" + "1 1 0\n1 2 3\n" * 20 + "1 1.5 0\n1 2 3\n", "BadChunkCount"), ("#\n#\n# A B C D\n" + "1 1 0\n1 2 3 4\n" * 20 + "junk\n", "BadBlockHeader")):
+        (tmp_path / "x.txt").write_text(text)
+        with pytest.raises(Exception, match=code):
+            blocks.block_index(spark, [str(tmp_path / "x.txt")], True, 32).collect()
+
+
+def test_a_log_in_many_ranges(spark, tmp_path):
+    r = random.Random(3)
+    text = "words\n"
+    for m in range(4):
+        text += "# Step CPU Time\n" + "".join(f"{i} {i / 10} {m}\n" if r.random() < 0.8 else r.choice(["\n", "bad row\n", "1 2\n", "1 nan 3\n"]) for i in range(60))
+    (tmp_path / "slurm_a.log").write_text(text)
+    path = str(tmp_path / "slurm_a.log")
+    want = sorted(map(tuple, runlog.read(spark, path).collect()), key=str)
+    for size in (37, 200, 1000):
+        assert sorted(map(tuple, runlog.read(spark, path, size).collect()), key=str) == want
+    assert len(want) > 150
+
+
 def test_short_row(spark, tmp_path):
     (tmp_path / "e.txt").write_text("#\n#\n# A B C\n1 1 0\n1 2\n")
     with pytest.raises(Exception, match="BadDataRow"):

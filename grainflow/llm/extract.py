@@ -22,6 +22,8 @@ BLOCK = frozenset(
 JUNK = frozenset("nav footer aside form search select button dialog menu head option fieldset datalist template object svg canvas audio video annotation annotation-xml".split())
 JUNK_ROLES = frozenset("navigation banner complementary contentinfo search dialog alert alertdialog form menu menubar toolbar".split())
 COMMENT_WORDS = frozenset("comment comments commentlist commentlists commenter disqus".split())
+#: A word that says so by its beginning or end.
+COMMENT_PART = re.compile(r"comments?$|^comment(?!ar|at)")
 JUNK_WORDS = frozenset(
     "ad ads advert adverts advertisement advertisements advertising adsense banner banners breadcrumb breadcrumbs consent cookie cookies disclaimer "
     "footer gdpr header login masthead menu menus modal nav navbar navigation newsletter notice notices pager pagination paywall popup promo "
@@ -30,6 +32,10 @@ JUNK_WORDS = frozenset(
 )
 #: Of these, the words by which a part of a line is left out.
 LINE_WORDS = JUNK_WORDS - frozenset("disclaimer header login notice notices recommended related replies respond search widget widgets".split())
+#: Words of what stands beside a text, however much of it there is: left out wherever any other text is left.
+BESIDE = frozenset("related recommended newsletter promo promos share sharing social sponsor sponsored sponsors discussion discussions thread threads reactions guestbook".split())
+#: Words of an entry that a reader wrote; entries that look alike and hold one are a list of comments.
+ENTRY_WORDS = frozenset("avatar reply replies vote votes upvote upvotes downvote username commenter".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var".split())
 #: A class name that starts with one of these says how a page looks, not what an element is.
 STATES = frozenset("with has no show hide is without".split())
@@ -63,31 +69,37 @@ NAME = re.compile("/?[a-zA-Z]")
 ATTRIBUTE = re.compile(r"([^\s=\"'<>/]++)(?:\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s\"'>]++))?")
 CLOSING = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*+(?:>|\Z)|</{t}\Z", re.I) for t in RAW}
 
+CLASS = re.compile(r"""(?i)\bclass\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++)""")
+#: Characters of a link in a menu, on average, at most.
+MENU_LINK = 40
+
 #: Part of the points of text in an element whose name is one of the junk words.
 DISCOUNT = 0.2
 
 
 class Node:
-    """An element. junk: never text of the page. named: by its name it may be junk, so that its points are discounted."""
+    """An element. junk: never text of the page. named: by its name it may be junk (2: stand beside the text), so that its points are
+    discounted. look: its classes. entry: it, or what it holds, has a name of readers' entries."""
 
-    __slots__ = ("tag", "parent", "parts", "junk", "named", "line", "same", "score", "points", "chars", "linked", "links", "hidden")
+    __slots__ = ("tag", "parent", "parts", "junk", "named", "line", "look", "entry", "same", "score", "points", "chars", "linked", "links", "hidden")
 
-    def __init__(self, tag: str, parent: Node | None, junk: bool = False, named: bool = False, line: bool = False):
-        self.tag, self.parent, self.junk, self.named, self.line = tag, parent, junk, named, line
+    def __init__(self, tag: str, parent: Node | None, junk: bool = False, named: int = 0, line: bool = False, look: str = ""):
+        self.tag, self.parent, self.junk, self.named, self.line, self.look = tag, parent, junk, named, line, look
+        self.entry = bool(look) and not ENTRY_WORDS.isdisjoint(re.split(r"[^a-z]+", look))
         self.parts: list[str | Node] = []
         self.same = 0
         self.score, self.points, self.chars, self.linked, self.links = PRIOR.get(tag, 0.0), 0.0, 0, 0, 0
         self.hidden: dict[str, int] = {}
 
 
-def _kind(tag: str, attributes: str, inside_article: bool, words_of: frozenset = JUNK_WORDS) -> tuple[bool, bool]:
+def _kind(tag: str, attributes: str, inside_article: bool, words_of: frozenset = JUNK_WORDS) -> tuple[bool, int]:
     """Whether an element is junk by its tag, role, being hidden or holding readers' comments, and whether its name says that it
-    may be: a menu, footer, advert, notice or the like."""
+    may be: a menu, footer, advert, notice or the like (1), or what stands beside a text (2)."""
     if tag in JUNK or (tag == "header" and not inside_article):
-        return True, False
+        return True, 0
     if tag in ("html", "body") or not attributes and "-" not in tag:
-        return False, False
-    named = "-" in tag and not words_of.isdisjoint(tag.split("-"))
+        return False, 0
+    named = int("-" in tag and not words_of.isdisjoint(tag.split("-")))
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or "").strip("\"'")
         if name in ("class", "id"):
@@ -95,14 +107,19 @@ def _kind(tag: str, attributes: str, inside_article: bool, words_of: frozenset =
                 words = re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", one).lower())
                 if words[0] in STATES:
                     continue
-                if not COMMENT_WORDS.isdisjoint(words):
-                    return True, False
+                if not COMMENT_WORDS.isdisjoint(words) or any(map(COMMENT_PART.search, words)):
+                    return True, 0
+                if tag in HEADINGS:
+                    continue
                 found = words_of.intersection(words)
-                named |= bool(found) and tag not in HEADINGS and not (found == {"header"} and not OWN.isdisjoint(words))
+                if not BESIDE.isdisjoint(words) and words_of is JUNK_WORDS:
+                    named = 2
+                elif found and not (found == {"header"} and not OWN.isdisjoint(words)):
+                    named = max(named, 1)
         elif name == "role" and value.lower() in JUNK_ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True, False
+            return True, 0
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value.lower()):
-            return True, False
+            return True, 0
     return False, named
 
 
@@ -191,7 +208,7 @@ def parse(page: str) -> Node:
                 if node.line and node.tag == tag:
                     node.same += 1
                 elif not node.junk and (tag in JUNK or tag in INLINE and m[3] and not every["pre"] and any(_kind(tag, m[3], True, LINE_WORDS))):
-                    put(Node(tag, node, True, False, True))
+                    put(Node(tag, node, True, 0, True))
         elif closing:
             if tag == "p" and not every["p"]:
                 continue
@@ -209,8 +226,9 @@ def parse(page: str) -> Node:
                 while node.tag not in ended:
                     close()
                 close()
-            junk, named = (True, False) if node.junk else _kind(tag, m[3], articles > 0)
-            put(Node(tag, node, junk, named))
+            junk, named = (True, 0) if node.junk else _kind(tag, m[3], articles > 0)
+            look = "" if junk or not (look := CLASS.search(m[3])) else " ".join(look[1].strip("\"'").lower().split())
+            put(Node(tag, node, junk, named, look=look))
     return root
 
 
@@ -257,29 +275,51 @@ def weight(text: str) -> float:
     return 1.0 + min(len(COMMAS.findall(text)), size / 15.0) + min(size / 100.0, 3.0)
 
 
-def _left_out(kept: list[Node], inner: bool) -> set[int]:
-    """Elements inside the kept ones that stay out: those named like junk, unless a fifth of their points is more than all that would be
-    left; and, outside of an article, menus: lists of links and nothing else."""
+def _comments(x: Node) -> bool:
+    """Whether an element is a list of readers' entries: two or more parts of one look, most of them with names of entries."""
+    parts = [y for y in x.parts if not isinstance(y, str) and not y.junk and y.chars]
+    if len(parts) < 2:
+        return False
+    (_, n), entries = Counter((y.tag, y.look) for y in parts).most_common(1)[0], sum(y.entry for y in parts)
+    return n > 1 and entries > 1 and 3 * entries >= 2 * len(parts)
+
+
+def _left_out(kept: list[Node]) -> set[int]:
+    """Elements inside the kept ones that stay out: menus, lists of short links and nothing else; and, while there is other text, those
+    named as standing beside a text and lists of readers' entries; others named like junk unless a fifth of their points is
+    more than all that would be left."""
     found: set[int] = set()
     for top in kept:
-        todo = [(y, top) for y in top.parts if not isinstance(y, str) and not y.junk]
+        todo = [y for y in reversed(top.parts) if not isinstance(y, str) and not y.junk]
         left = top.points
         while todo:
-            x, _ = todo.pop()
-            menu = not inner and x.links > 1 and x.linked == x.chars and x.tag not in ("p", *HEADINGS)
-            if menu or x.named and DISCOUNT * x.points <= left - x.points:
+            x = todo.pop()
+            menu = x.links > 1 and x.linked == x.chars < MENU_LINK * x.links and x.tag not in ("p", *HEADINGS)
+            beside = (x.named == 2 or _comments(x)) and x.points < left
+            if menu or beside or x.named and DISCOUNT * x.points <= left - x.points:
                 found.add(id(x))
                 left -= x.points
             else:
-                todo += [(y, x) for y in reversed(x.parts) if not isinstance(y, str) and not y.junk]
+                todo += [y for y in reversed(x.parts) if not isinstance(y, str) and not y.junk]
     return found
 
 
+def _head(parts: list[Node], at: int) -> int:
+    """Where the head of the text begins: a title among the siblings before it, with nothing but short lines in between; else at."""
+    for i in range(at - 1, -1, -1):
+        x = parts[i]
+        if x.tag in ("h1", "h2"):
+            return i
+        if x.tag in ("ul", "ol", "table") or x.named or x.chars > 300 or x.links and 2 * x.linked > x.chars:
+            break
+    return at
+
+
 def main_text(page: str | None) -> str:
     """The main text of a page. Paragraphs pass points for their length and commas to the element around them, half to the
     next and less to those further up, a fifth of them in an element that is named like junk; an element's points are discounted by
     its link density. The best container is kept (the article around it, where the page marks one), with its siblings that score
-    well or read like its text."""
+    well, look like it or read like its text, and the title before it."""
     if not page:
         return ""
     nodes = _walk(root := parse(page))
@@ -301,6 +341,7 @@ def main_text(page: str | None) -> str:
             x.parent.linked += x.linked
             x.parent.links += x.links
             x.parent.points += x.points
+            x.parent.entry |= x.entry
     density = lambda x: x.linked / x.chars if x.chars else 0.0
     value = {id(x): x.score * (1.0 - density(x)) for x in nodes}
     boxes = [x for x in nodes if x.chars and x.tag not in ("p", "li", "dt", "dd", "tr", *HEADINGS)]
@@ -315,13 +356,20 @@ def main_text(page: str | None) -> str:
     kept = [best]
     if best is not root and best.parent is not None:
         bar, kept = max(10.0, 0.2 * value[id(best)]), []
-        for x in best.parent.parts:
-            if isinstance(x, str) or x.junk or x.tag == "hr" or x.named and x is not best:
+        siblings = [x for x in best.parent.parts if not isinstance(x, str) and not x.junk and x.tag != "hr"]
+        at = next(i for i, x in enumerate(siblings) if x is best)
+        head = _head(siblings, at)
+        alike = best.tag in ("section", "article") or best.tag in HOLDERS and best.parent.tag not in ("body", "html")
+        for i, x in enumerate(siblings):
+            if x.named and x is not best:
+                continue
+            if head <= i < at or alike and x is not best and (x.tag, x.look) == (best.tag, best.look) and x.points and density(x) < 0.25:
+                kept.append(x)
                 continue
             reads = x.tag == "p" and density(x) < 0.25 and (x.chars > 80 or x.chars and density(x) == 0 and re.search(r"[.!?。！？۔؟।።]\s*$", (blocks([x]) or [""])[-1]))
             if x is best or value[id(x)] >= bar and x.tag not in ("ul", "ol") or reads:
                 kept.append(x)
-    return "\n\n".join(blocks(kept, _left_out(kept, "article" in around or "main" in around)))
+    return "\n\n".join(blocks(kept, _left_out(kept)))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

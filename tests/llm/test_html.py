@@ -106,3 +106,26 @@ def test_time_is_linear(name):
     began = time.thread_time()
     main_text(HOSTILE[name])
     assert time.thread_time() - began < 3
+
+
+LONG = "A long paragraph, with commas, and words, that goes on for a while, so that it scores well enough. " * 6
+SHAPES = {
+    "sections alike": (f"<div class=content><section><h2>One</h2><p>{LONG}</p></section><section><h2>Two</h2><p>Short.</p></section></div>", ["One", LONG, "Two", "Short."]),
+    "a short part at the end": (f"<div><div><p>{LONG}</p></div><div><p>Brief closing words</p></div></div>", [LONG, "Brief closing words"]),
+    "title and byline beside the text": (f"<body><h1>Head</h1><p class=byline>By Ann, today</p><div class=body><p>{LONG}</p></div></body>", ["Head", "By Ann, today", LONG]),
+    "a menu in an article": (f"<article><ul><li><a href=/>Home</a></li><li><a href=/a>About</a></li></ul><p>{LONG}</p></article>", [LONG]),
+    "sources are no menu": (f"<article><p>{LONG}</p><ul>" + "".join(f"<li><a href=/{i}>A study of many things that was published in the year {i}</a></li>" for i in (1, 2)) + "</ul></article>", [LONG, *(f"A study of many things that was published in the year {i}" for i in (1, 2))]),
+    "related posts": (f"<article><p>{LONG}</p><div class=related-posts>" + f"<p>{LONG}</p>" * 6 + "</div></article>", [LONG]),
+    "nothing but related posts": (f"<div class=related-posts><p>{LONG}</p></div>", [LONG]),
+    "comments by a longer word": (f"<article><p>{LONG}</p><div class=usercomments><p>{LONG}</p></div></article>", [LONG]),
+    "a commentary is a text": (f"<article class=commentary><p>{LONG}</p></article>", [LONG]),
+    "a thread under a text": (f"<article><p>{LONG}</p><div class=discussion-thread><p>{LONG}</p><p>{LONG}</p></div></article>", [LONG]),
+    "entries that look alike": (f"<article><p>{LONG}</p><div>" + f"<div class=e><div class=avatar>x</div><p>{LONG}</p></div>" * 3 + "</div></article>", [LONG]),
+    "parts that look alike": (f"<article><div class=e><p>{LONG}</p></div><div class=e><p>Two, in short.</p></div></article>", [LONG, "Two, in short."]),
+}
+
+
+@pytest.mark.parametrize("shape", SHAPES)
+def test_shapes(shape):
+    page, want = SHAPES[shape]
+    assert main_text(page) == "\n\n".join(x.strip() for x in want)

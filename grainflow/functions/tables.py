@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,9 +11,13 @@ from .errors import require
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where none is named, the context's checkpoint folder, or else the warehouse."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir", None)
-    require(bool(found), "NoSharedFolder", "name one in spark.checkpoint.dir")
+    """The folder named in spark.checkpoint.dir; where none is named, the context's checkpoint folder, or else the warehouse, if all tasks
+    reach it: Spark runs on one machine, or the warehouse isn't on a machine's own disk."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        found = spark.conf.get("spark.sql.warehouse.dir", None) or ""
+        alone = re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master)
+        require(bool(found) and (bool(alone) or "://" in found and not found.startswith("file:")), "NoSharedFolder", "name one in spark.checkpoint.dir")
     return found.rstrip("/")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 
 from ..functions import binning
 from ..functions.errors import positive, require
-from ..functions.ranks import running_sum
+from ..functions.ranks import quantiles, running_sum
 from ..functions.scalars import equivalent_diameter, gamma_pdf, lognormal_pdf, moment_mean, safe_div, sample_std
 
 KEY = "step_index"
@@ -61,19 +61,19 @@ def basic(x: Column, m: float = 1.0, n: float = 0.0) -> list[Column]:
         F.max(x).alias("max"),
         moment_mean(x, m, n).alias("mean"),
         sample_std(x).alias("std"),
-        F.median(x).alias("median"),
     ]
 
 
 def stats(d: DataFrame, o: Options = Options()) -> DataFrame:
-    return d.groupBy(KEY).agg(*basic(F.col("diameter"), o.mean_m, o.mean_n))
+    out = d.groupBy(KEY).agg(*basic(F.col("diameter"), o.mean_m, o.mean_n)).join(quantiles(d, [KEY], "diameter", (0.5,)), KEY, "left")
+    return out.withColumn("median", F.element_at("q", 1)).drop("q")
 
 
 def summary(df: DataFrame, keys: list[str], column: str, m: float = 1.0, n: float = 0.0) -> DataFrame:
     """Basic statistics with the quantiles q05 ... q95, linearly interpolated."""
-    q = F.percentile(column, F.array(*map(F.lit, QUANTILES)))
-    out = df.groupBy(*keys).agg(*basic(F.col(column), m, n), q.alias("q"))
-    return out.select(*(c for c in out.columns if c != "q"), *(F.element_at("q", i + 1).alias(f"q{round(p * 100):02d}") for i, p in enumerate(QUANTILES)))
+    out = df.groupBy(*keys).agg(*basic(F.col(column), m, n)).join(quantiles(df, keys, column, (0.5, *QUANTILES)), keys, "left")
+    out = out.withColumn("median", F.element_at("q", 1))
+    return out.select(*(c for c in out.columns if c != "q"), *(F.element_at("q", i + 2).alias(f"q{round(p * 100):02d}") for i, p in enumerate(QUANTILES)))
 
 
 def fits(d: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.ranks import quantiles
 from ..functions.scalars import safe_div
 from ..functions.tables import discard, materialize
 from . import graph
@@ -267,7 +268,7 @@ def thickness(cells: DataFrame, b: Boundary, dx: float, dy: float, phase: str =
     d = distances(cells, b, phase).join(skel.select(STEP, "ix", "iy", F.lit(True).alias("on")), [STEP, "ix", "iy"], "left")
     any_ = skel.select(STEP).distinct().withColumn("has", F.lit(True))
     d = d.join(any_, STEP, "left").where("(on or has is null) and distance > 0").select(STEP, (2 * F.col("distance") * F.lit(float(np.sqrt(dx * dy)))).alias("t"))
-    q = F.percentile("t", F.array(F.lit(0.01), F.lit(0.05)))
-    out = d.groupBy(STEP).agg(F.min("t").alias("min"), F.avg("t").alias("mean"), q.alias("q"), F.count("*").alias("sample_count"))
+    d = materialize(d, "thickness")
+    out = d.groupBy(STEP).agg(F.min("t").alias("min"), F.avg("t").alias("mean"), F.count("*").alias("sample_count")).join(quantiles(d, [STEP], "t", (0.01, 0.05)), STEP, "left")
     out = cells.select(F.col(STEP).cast("int").alias(STEP)).distinct().join(out, STEP, "left").na.fill(0, ["sample_count"])
     return out.select(STEP, "min", "mean", F.element_at("q", 1).alias("p1"), F.element_at("q", 2).alias("p5"), "sample_count")

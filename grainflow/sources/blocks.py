@@ -228,48 +228,88 @@ def spacing(index: DataFrame) -> DataFrame:
     return gaps.select("path", "dt", F.coalesce((F.abs(F.col("a") - F.col("dt")) <= slack) & (F.abs(F.col("b") - F.col("dt")) <= slack), F.lit(False)).alias("is_uniform"))
 
 
+def _row_by_row(data: bytes, n: int, columns: int, path: str) -> list[pa.Array]:
+    rows = [line.split()[:columns] for line in data.split(b"\n") if line.strip()]
+    require(len(rows) >= n, "UnexpectedEOF", path)
+    bad = next((r for r in rows[:n] if len(r) < columns), None)
+    require(bad is None, "BadDataRow", f"{path}: {bad}")
+    try:
+        values = np.array(rows[:n], dtype="S").astype(np.float64).reshape(n, columns)
+    except ValueError:
+        raise AnalysisError("BadDataRow", path) from None
+    return [pa.array(values[:, i], mask=np.isnan(values[:, i])) for i in range(columns)]
+
+
+def parse_rows(data: bytes, n: int, columns: int, path: str) -> list[pa.Array]:
+    """The columns of a piece; rows of uneven lengths are read one by one."""
+    even = re.sub(rb"(?m)^ +| +$", b"", re.sub(rb"[ \t\r\f\v]+", b" ", data))
+    first = even.lstrip(b"\n").split(b"\n", 1)[0].split(b" ")
+    names = [str(i) for i in range(len(first))]
+    how = csv.ConvertOptions(column_types=dict.fromkeys(names, pa.float64()), include_columns=names[:columns], null_values=["nan", "NaN", "NAN", "-nan", "-NaN"])
+    try:
+        require(len(first) >= columns, "BadDataRow")
+        found = csv.read_csv(io.BytesIO(even), csv.ReadOptions(column_names=names, use_threads=False), csv.ParseOptions(delimiter=" ", quote_char=False), how).combine_chunks()
+        require(found.num_rows >= n, "UnexpectedEOF")
+        return [pc.if_else(pc.is_nan(c), None, c) for c in (found.column(i).slice(0, n).combine_chunks() for i in range(columns))]
+    except (pa.ArrowInvalid, AnalysisError):
+        return _row_by_row(data, n, columns, path)
+
+
+def row_schema(columns: list[str]) -> T.StructType:
+    return T.StructType([*META.fields, *(T.StructField(c, T.DoubleType()) for c in columns)])
+
+
+def read_piece(piece: dict, columns: list[str]) -> pa.RecordBatch:
+    """The rows of a piece (path, step_index, timestep, num_chunks, total_count, start, end, before, n); only its bytes are read."""
+    kinds = pa.schema([("path", pa.string()), ("step_index", pa.int32()), ("timestep", pa.float64()), ("num_chunks", pa.int32()), ("total_count", pa.float64()), ("row_id", pa.int32()), *((c, pa.float64()) for c in columns)])
+    with _open(piece["path"]) as source:
+        source.seek(piece["start"])
+        cells, n = parse_rows(source.read(piece["end"] - piece["start"]), piece["n"], len(columns), piece["path"]), piece["n"]
+    meta = [pa.repeat(pa.scalar(piece[f.name], f.type), n) for f in list(kinds)[:5]]
+    ids = pa.array(np.arange(piece["before"] + 1, piece["before"] + n + 1), pa.int32())
+    return pa.RecordBatch.from_arrays([*meta, ids, *(c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in cells)], schema=kinds)
+
+
 def read_blocks(index: DataFrame, columns: list[str]) -> DataFrame:
     """Rows of the blocks of an index: its columns but the bytes, row_id from 1 in file order, and the named columns as doubles
     (more values in a row than columns are dropped, fewer are an error). Empty cells aren't masked here."""
-    schema = T.StructType([*META.fields, *(T.StructField(c, T.DoubleType()) for c in columns)])
-    kinds = pa.schema([("path", pa.string()), ("step_index", pa.int32()), ("timestep", pa.float64()), ("num_chunks", pa.int32()), ("total_count", pa.float64()), ("row_id", pa.int32()), *((c, pa.float64()) for c in columns)])
-
-    def row_by_row(data: bytes, n: int, path: str) -> list[pa.Array]:
-        rows = [line.split()[: len(columns)] for line in data.split(b"\n") if line.strip()]
-        require(len(rows) >= n, "UnexpectedEOF", path)
-        bad = next((r for r in rows[:n] if len(r) < len(columns)), None)
-        require(bad is None, "BadDataRow", f"{path}: {bad}")
-        try:
-            values = np.array(rows[:n], dtype="S").astype(np.float64).reshape(n, len(columns))
-        except ValueError:
-            raise AnalysisError("BadDataRow", path) from None
-        return [pa.array(values[:, i], mask=np.isnan(values[:, i])) for i in range(len(columns))]
-
-    def parse(data: bytes, n: int, path: str) -> list[pa.Array]:
-        """The columns of a piece; rows of uneven lengths are read one by one."""
-        even = re.sub(rb"(?m)^ +| +$", b"", re.sub(rb"[ \t\r\f\v]+", b" ", data))
-        first = even.lstrip(b"\n").split(b"\n", 1)[0].split(b" ")
-        names = [str(i) for i in range(len(first))]
-        how = csv.ConvertOptions(column_types=dict.fromkeys(names, pa.float64()), include_columns=names[: len(columns)], null_values=["nan", "NaN", "NAN", "-nan", "-NaN"])
-        try:
-            require(len(first) >= len(columns), "BadDataRow")
-            found = csv.read_csv(io.BytesIO(even), csv.ReadOptions(column_names=names, use_threads=False), csv.ParseOptions(delimiter=" ", quote_char=False), how).combine_chunks()
-            require(found.num_rows >= n, "UnexpectedEOF")
-            return [pc.if_else(pc.is_nan(c), None, c) for c in (found.column(i).slice(0, n).combine_chunks() for i in range(len(columns)))]
-        except (pa.ArrowInvalid, AnalysisError):
-            return row_by_row(data, n, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                with _open(r["path"]) as source:
-                    source.seek(r["start"])
-                    cells, n = parse(source.read(r["end"] - r["start"]), r["n"], r["path"]), r["n"]
-                meta = [pa.repeat(pa.scalar(r[f.name], f.type), n) for f in list(kinds)[:5]]
-                yield pa.RecordBatch.from_arrays([*meta, pa.array(np.arange(r["before"] + 1, r["before"] + n + 1), pa.int32()), *(c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in cells)], schema=kinds)
+                yield read_piece(r, columns)
 
     pieces = index.select(*(f.name for f in META.fields if f.name != "row_id"), F.explode("pieces").alias("piece")).select("*", "piece.*").drop("piece").where("n > 0")
-    return pieces.repartition("path", "step_index", "before").mapInArrow(run, schema)
+    return pieces.repartition("path", "step_index", "before").mapInArrow(run, row_schema(columns))
+
+
+def whole_blocks(path: str, at: int = 0, number: int = 0) -> Iterator[tuple]:
+    """Rows of the index, each with the byte behind its block, of the blocks of a growing file from byte `at` on (0: from its head on),
+    after `number` others: only those that are whole, down to the last row's line end."""
+    with _open(path) as source:
+        size, lines = source.size(), _Lines(source, at)
+        if at == 0:
+            head = [lines.next() for _ in range(3)]
+            if head[2] is None or lines.at >= size:
+                return
+        while (found := lines.next()) is not None and lines.at < size:
+            head = _numbers(found[1])
+            if not head or len(head) < 3:
+                continue
+            require(head[1] >= 0, "BadChunkCount", path)
+            n, start, end, done = int(head[1]), lines.at, lines.at, 0
+            for end, done in lines.skip(n):
+                pass
+            if done < n or end == size and n and not _ends_line(path, end):
+                return
+            number += 1
+            yield (path, number, head[0], n, head[2], start, end, [{"start": start, "end": end, "before": 0, "n": n}] if n else []), end
+
+
+def _ends_line(path: str, end: int) -> bool:
+    with _open(path) as source:
+        source.seek(end - 1)
+        return source.read(1) == b"\n"
 
 
 def mask_empty(df: DataFrame) -> DataFrame:

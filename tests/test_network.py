@@ -294,3 +294,21 @@ def test_stream_of_cells(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((r.step_index, r.valid_cells, r.pore_cells) for r in spark.table("phase_counts").collect()) == [(1, 3, 2), (2, 2, 0)]
+
+
+def test_evolution_of_a_stream(spark, tmp_path):
+    from grainflow.streaming import evolution as streamed
+
+    steps = [rows_of(text, k) for k, text in enumerate(EVOLUTION, 1)]
+    # steps in another order, some in two parts
+    parts = [steps[2][:4], steps[0] + steps[2][4:], steps[3][:1], steps[1] + steps[3][1:]]
+    o, schema = Options(1.0, dx=1, dy=1), "step_index int, x double, y double, ncount double, num_chunks int"
+    for i, rows in enumerate(parts):
+        spark.createDataFrame([(*r, 9) for r in rows], schema).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in/*")
+        q = streamed.follow(stream, f"{tmp_path}/out", o).option("checkpointLocation", f"{tmp_path}/ckpt").trigger(availableNow=True).start()
+        q.awaitTermination()  # each time it starts anew
+        if i == 1:
+            assert [r.step_index for r in streamed.series(spark, f"{tmp_path}/out").orderBy("step_index").collect()] == [1, 3]
+    want = evolution(frame(spark, [r for s in steps for r in s]), o)
+    assert sorted(map(tuple, streamed.series(spark, f"{tmp_path}/out").select(want.columns).collect())) == sorted(map(tuple, want.collect()))

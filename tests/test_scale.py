@@ -86,3 +86,16 @@ def test_components_with_hubs(spark, monkeypatch):
     found = {r.node: r.component for r in graph.components(df).collect()}
     assert set(found) == {x for e in edges for x in e}
     assert all(c == (0 if n < 10_000 else 10_000 if n < 20_000 else 20_000) for n, c in found.items())
+
+
+def test_quantiles_over_ranges(spark):
+    from grainflow.functions.ranks import quantiles
+
+    df = spark.range(20_000).select((F.col("id") % 3).alias("k"), F.when(F.col("id") % 11 > 0, F.floor(F.rand(1) * 500) / 7).alias("v"))
+    shares = (0.0, 0.05, 0.5, 0.77, 1.0)
+    want = {r.k: r.q for r in df.groupBy("k").agg(F.percentile("v", F.array(*map(F.lit, shares))).alias("q")).collect()}
+    got = {r.k: r.q for r in quantiles(df, ["k"], "v", shares).collect()}
+    assert got.keys() == want.keys() and all(abs(a - b) < 1e-9 for k in want for a, b in zip(got[k], want[k], strict=True))
+    few = spark.createDataFrame([(7, 1.5), (8, None), (9, 2.0), (9, 3.0)], "k long, v double")
+    assert {r.k: r.q for r in quantiles(few, ["k"], "v", (0.5, 0.25)).collect()} == {7: [1.5, 1.5], 9: [2.5, 2.25]}
+    assert quantiles(few, [], "v", (0.5,)).first().q == [2.0]

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.errors import require
+from ..functions.ranks import ranked as in_order
+from ..functions.tables import materialize
 
 TINY = 2.220446049250313e-16
 
@@ -24,11 +26,11 @@ def smooth_1d(df: DataFrame, key: str, x: str, value: str, sigma: float, keep_nu
     """Adds smooth: the Gaussian mean of the values that aren't null, over rows in the order of x within a key. sigma (in rows) of 0
     or less changes nothing; keep_null: rows without a value stay without.
 
-    Rows give their value to the places around them, which are summed by place: a shuffle on (key, place), whatever the length
-    of a series."""
-    ranked = df.withColumn("__at", F.row_number().over(W.partitionBy(key).orderBy(x)))
+    Places are counted over ranges of the order (no key is null, and x tells the rows of a key apart). Rows give their value to the
+    places around them, which are summed by place: a shuffle on (key, place), whatever the length of a series."""
     if sigma <= 0:
-        return ranked.withColumn("smooth", F.col(value)).drop("__at")
+        return df.withColumn("smooth", F.col(value))
+    ranked = in_order(df, [key], [F.col(x)], "__at")
     table = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(w).alias("w")) for k, w in weights(sigma)))).alias("t")
     given = ranked.where(F.col(value).isNotNull()).select(key, "__at", F.col(value).alias("__v"), table)
     sums = given.groupBy(key, (F.col("__at") + F.col("t.k")).alias("__at")).agg(F.sum(F.col("__v") * F.col("t.w")).alias("__num"), F.sum("t.w").alias("__den"))
@@ -54,20 +56,36 @@ def smooth_2d(df: DataFrame, key: str, ix: str, iy: str, value: str, sigma: floa
 
 def fill(df: DataFrame, key: str, x: str, value: str, mode: str = "interp") -> DataFrame:
     """Adds filled. break and omit keep nulls; interp puts the straight line through the nearest values on both sides there, and
-    carries the line of the two nearest on past the ends, where a series has two values or more."""
+    carries the line of the two nearest on past the ends, where a series has two values or more. A series is cut into ranges, which
+    hand on their first and last two points. No key is null."""
     require(mode in ("break", "omit", "interp"), "BadNaNMode", mode)
     if mode != "interp":
         return df.withColumn("filled", F.col(value))
     p = F.when(F.col(value).isNotNull(), F.struct(F.col(x).alias("x"), F.col(value).alias("v")))
-    # frames only grow: what comes after is found in descending order
-    back, ahead = (W.partitionBy(key).orderBy(o).rowsBetween(W.unboundedPreceding, -1) for o in (F.asc(x), F.desc(x)))
+    dealt = materialize(df.repartitionByRange(key, x).withColumn("__part", F.spark_partition_id()), "ranges")
+    # within a range, in frames that only grow: what comes after is found in descending order
+    back, ahead = (W.partitionBy(key, "__part").orderBy(o).rowsBetween(W.unboundedPreceding, -1) for o in (F.asc(x), F.desc(x)))
     # of every row, the known points before and after; then the second ones, found at the first
-    first = df.withColumn("__p", p).withColumn("__b", F.last("__p", ignorenulls=True).over(back)).withColumn("__a", F.last("__p", ignorenulls=True).over(ahead))
-    known = F.when(F.col("__p").isNotNull(), F.struct("__b", "__a"))
-    two = first.withColumn("__bb", F.last(known, ignorenulls=True).over(back)["__b"]).withColumn("__aa", F.last(known, ignorenulls=True).over(ahead)["__a"])
+    first = dealt.withColumn("__p", p).withColumn("__lb", F.last("__p", ignorenulls=True).over(back)).withColumn("__la", F.last("__p", ignorenulls=True).over(ahead))
+    known = F.when(F.col("__p").isNotNull(), F.struct("__lb", "__la"))
+    near = first.withColumn("__lbb", F.last(known, ignorenulls=True).over(back)["__lb"]).withColumn("__laa", F.last(known, ignorenulls=True).over(ahead)["__la"])
+    # what earlier and later ranges hand on: their two points next to this one, from a row per key and range
+    ends = first.groupBy(key, "__part").agg(
+        F.max("__p").alias("l1"), F.max(F.when(F.col("__la").isNotNull(), F.col("__p"))).alias("l2"), F.min("__p").alias("f1"), F.min(F.when(F.col("__lb").isNotNull(), F.col("__p"))).alias("f2")
+    )
+    sides = {}
+    for name, one, two, order in (("b", "l1", "l2", F.asc), ("a", "f1", "f2", F.desc)):
+        over = W.partitionBy(key).orderBy(order("__part")).rowsBetween(W.unboundedPreceding, -1)
+        sides[name] = (over, F.when(F.col(one).isNotNull(), F.struct(F.col(one).alias("one"), F.coalesce(F.col(two), F.last(one, ignorenulls=True).over(over)).alias("two"))))
+    ends = ends.withColumns({f"__h{n}": h for n, (_, h) in sides.items()})
+    ends = ends.select(key, "__part", *(F.last(f"__h{n}", ignorenulls=True).over(over).alias(f"__c{n}") for n, (over, _) in sides.items()))
+    two = near.join(ends, [key, "__part"])
+    for n in "ba":
+        two = two.withColumn(f"__{n}", F.coalesce(f"__l{n}", F.col(f"__c{n}.one")))
+        two = two.withColumn(f"__{n}{n}", F.when(F.col(f"__l{n}").isNull(), F.col(f"__c{n}.two")).otherwise(F.coalesce(f"__l{n}{n}", F.col(f"__c{n}.one"))))
     through = lambda p, q: F.col(f"{p}.v") + (F.col(x) - F.col(f"{p}.x")) * F.try_divide(F.col(f"{q}.v") - F.col(f"{p}.v"), F.col(f"{q}.x") - F.col(f"{p}.x"))
     filled = F.coalesce(F.col(value), through("__b", "__a"), through("__b", "__bb"), through("__a", "__aa"))
-    return two.withColumn("filled", filled).drop("__p", "__b", "__a", "__bb", "__aa")
+    return two.select(*df.columns, filled.alias("filled"))
 
 
 def duplicate_mean(df: DataFrame, key: str, x: str, y: str, z: str) -> DataFrame:

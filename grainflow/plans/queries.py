@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions import binning, physics
 from ..functions.scalars import moment_mean
+from ..functions.tables import scratch
 from ..operators import cluster, fields, grid, gridding, morphology, profiles, select, smoothing, velocity
 from ..operators.grid import Boundary
 from ..sources import blocks as block_files
+from ..sources import datasource
 from . import views
 from .network import Network, Options, changes, evolution
 from .views import SUMS, rounded
@@ -624,6 +627,24 @@ def order_distance(spark, d):
     return rounded(morphology.distances(net.cells, net.b, "matrix"))
 
 
+# ---------------------------------------------------------------- block files, through the data source
+
+
+@query("""WITH g AS (SELECT (l_orderkey // 32)::INT AS step, l_orderkey::DOUBLE AS x, l_linenumber::DOUBLE AS y, sum(l_quantity)::DOUBLE AS n FROM lineitem GROUP BY ALL), top AS (SELECT max(step) AS top FROM g),
+r AS (SELECT dense_rank() OVER (ORDER BY step)::INT AS step_index, step * 10.0::DOUBLE AS timestep, (count(*) OVER (PARTITION BY step))::INT AS num_chunks, sum(n) OVER (PARTITION BY step) AS total_count, (row_number() OVER (PARTITION BY step ORDER BY x, y))::INT AS row_id, x AS "Coord1", y AS "Coord2", n AS "Ncount" FROM g)
+SELECT r.* FROM r, top WHERE timestep >= 5.0 * top""")
+def block_format(spark, d):
+    """Grids as block files, written and read through the format; of the blocks only those of the upper half are parsed."""
+    cells = views.order_lines(spark, d)
+    row_id = F.row_number().over(W.partitionBy("step_index").orderBy("x", "y"))  # of one grid
+    rows = cells.select("step_index", (F.col("step_index") * 10.0).alias("timestep"), row_id.alias("row_id"), F.col("x").alias("Coord1"), F.col("y").alias("Coord2"), F.col("ncount").alias("Ncount"))
+    folder = scratch(spark, "block-files")
+    datasource.register(spark)
+    datasource.save(rows, folder)
+    top = cells.agg(F.max("step_index")).first()[0] or 0
+    return datasource.load(spark, folder, scratch(spark, "block-index")).where(F.col("timestep") >= 5.0 * top).drop("path")
+
+
 # ---------------------------------------------------------------- skeletons that are given, and the statistics tree
 
 _GIVEN = "phase = 'matrix' AND (ix + iy) % 3 > 0"

@@ -34,8 +34,13 @@ META = T.StructType().add("path", "string").add("step_index", "integer").add("ti
 KEPT = ("Chunk", "Ncount")
 
 
+def store_of(path: str) -> tuple[fs.FileSystem, str]:
+    """The store of a path or URI, and the place in it."""
+    return fs.FileSystem.from_uri(path if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:/", path) else f"file://{path}")
+
+
 def _open(path: str) -> pa.NativeFile:
-    store, place = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+    store, place = store_of(path)
     return store.open_input_file(place)
 
 
@@ -150,7 +155,7 @@ def scan_blocks(path: str, strict: bool = False, piece: int = PIECE) -> Iterator
 
 
 def _size(path: str) -> int:
-    store, place = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+    store, place = store_of(path)
     info = store.get_file_info(place)
     require(info.type == fs.FileType.File, "FileNotFound", path)
     return info.size
@@ -199,7 +204,7 @@ def _whole(spark: SparkSession, paths: list[str], strict: bool) -> DataFrame:
 
 def signature(path: str) -> str:
     """Changes when a file's size, its time of change, or its first or last kilobyte does."""
-    store, place = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+    store, place = store_of(path)
     info = store.get_file_info(place)
     require(info.type == fs.FileType.File, "FileNotFound", path)
     with store.open_input_file(place) as source:

@@ -21,6 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 from pyspark.sql.datasource import (
     DataSource,
     DataSourceArrowWriter,
@@ -54,13 +55,9 @@ TESTS: dict[type, tuple[Callable, Callable]] = {
 }
 
 
-def _store(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
-
-
 def files_of(path: str) -> list[str]:
     """A file, or the .txt files of a folder by name."""
-    store, place = _store(path)
+    store, place = blocks.store_of(path)
     info = store.get_file_info(place)
     require(info.type != fs.FileType.NotFound, "FileNotFound", path)
     if info.type == fs.FileType.File:
@@ -101,7 +98,7 @@ class Reader(DataSourceReader):
 
     def _rows(self) -> Iterator[dict]:
         if self.index:
-            store, place = _store(self.index)
+            store, place = blocks.store_of(self.index)
             wanted = None
             for f in self.filters:
                 test = TESTS[type(f)][1](ds.field(f.attribute[0]), f.value)
@@ -184,7 +181,7 @@ class Writer(DataSourceArrowWriter):
         require(not missing, "MissingColumns", ", ".join(sorted(missing)))
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Part:
-        store, place = _store(self.path)
+        store, place = blocks.store_of(self.path)
         task, out, part, left = TaskContext.get(), None, Part(None), 0
         step = row_id = None
         for batch in iterator:
@@ -213,19 +210,19 @@ class Writer(DataSourceArrowWriter):
         return part
 
     def commit(self, messages: list[Part | None]) -> None:
-        store, place = _store(self.path)
+        store, place = blocks.store_of(self.path)
         parts = sorted((m for m in messages if m and m.aside), key=lambda m: m.first)
         require(all(a.last < b.first for a, b in zip(parts, parts[1:], strict=False)), "UnorderedRows", "a step in two tasks")
         old = [] if not parts else files_of(self.path)
         if self.overwrite:
             for path in old:
-                store.delete_file(_store(path)[1])
+                store.delete_file(blocks.store_of(path)[1])
             old = []
         for i, part in enumerate(parts, len(old)):
             store.move(part.aside, f"{place}/part-{i:06d}.txt")
 
     def abort(self, messages: list[Part | None]) -> None:
-        store, place = _store(self.path)
+        store, place = blocks.store_of(self.path)
         if store.get_file_info(place).type != fs.FileType.Directory:
             return
         for f in store.get_file_info(fs.FileSelector(place)):
@@ -263,10 +260,18 @@ def register(spark: SparkSession) -> None:
 
 
 def load(spark: SparkSession, path: str, cache: str, strict: bool = False) -> DataFrame:
-    """A block file through the format, its index made by Spark's tasks and kept below cache."""
+    """A block file, or a folder of such as one, through the format, its index made by Spark's tasks and kept below cache."""
     register(spark)
-    index = blocks.cached_index(spark, [path], cache, strict)
-    return spark.read.format(FORMAT).option("index", index.inputFiles()[0].rpartition("/")[0]).load(path)
+    files = files_of(path)
+    index = blocks.cached_index(spark, files, cache, strict)
+    place = index.inputFiles()[0].rpartition("/")[0]
+    if len(files) > 1:
+        sizes = index.groupBy("path").agg(F.max("step_index").alias("n"))  # a row per file
+        before = F.coalesce(F.sum("n").over(W.orderBy("path").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        place = f"{place}-chain"
+        chain = index.join(sizes.select("path", before.cast("int").alias("before")), "path").withColumn("step_index", F.col("step_index") + F.col("before"))
+        chain.select(NAMES).write.mode("overwrite").parquet(place)
+    return spark.read.format(FORMAT).option("index", place).load(path)
 
 
 def save(df: DataFrame, folder: str, mode: str = "append") -> None:

@@ -1,5 +1,6 @@
 """What must not grow with the square of a partition, and the folder for tables."""
 
+import random
 import subprocess
 import sys
 import time
@@ -99,3 +100,44 @@ def test_quantiles_over_ranges(spark):
     few = spark.createDataFrame([(7, 1.5), (8, None), (9, 2.0), (9, 3.0)], "k long, v double")
     assert {r.k: r.q for r in quantiles(few, ["k"], "v", (0.5, 0.25)).collect()} == {7: [1.5, 1.5], 9: [2.5, 2.25]}
     assert quantiles(few, [], "v", (0.5,)).first().q == [2.0]
+
+
+def test_smoothing_of_one_long_series(spark):
+    from grainflow.operators.smoothing import smooth_1d, weights
+
+    n = 200_000
+    df = spark.range(n).select(F.lit(1).alias("key"), (F.col("id") * 0.5).alias("x"), F.when(F.col("id") % 10 > 0, (F.col("id") % 97).cast("double")).alias("v"))
+    out = smooth_1d(df, "key", "x", "v", 1.5)
+    some = {r.x: r.smooth for r in out.where("x in (0.0, 5.5, 49999.5, 99999.5)").collect()}
+    v = [None if i % 10 == 0 else float(i % 97) for i in range(n)]
+    for x, got in some.items():
+        near = [(w, v[int(2 * x) + k]) for k, w in weights(1.5) if 0 <= int(2 * x) + k < n and v[int(2 * x) + k] is not None]
+        want = sum(w * y for w, y in near) / sum(w for w, _ in near) if v[int(2 * x)] is not None else None
+        assert got == want or abs(got - want) < 1e-9
+    assert len(some) == 4 and out.count() == n
+
+
+def test_gaps_over_ranges(spark):
+    from grainflow.operators.smoothing import fill
+
+    r = random.Random(4)
+    rows = [(k, float(i), r.random() if r.random() < share else None) for k, share in ((1, 0.3), (2, 0.02), (3, 0.0)) for i in range(150)] + [(4, 1.0, None), (4, 2.0, 5.0)]
+    df = spark.createDataFrame(rows, "key int, x double, v double")
+    kept = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for parts in ("1", "23"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            got = {(t.key, t.x): t.filled for t in fill(df, "key", "x", "v").collect()}
+            for k in (1, 2, 3, 4):
+                points = [(x, v) for j, x, v in rows if j == k and v is not None]
+                for j, x, v in rows:
+                    if j != k:
+                        continue
+                    before, after = [p for p in points if p[0] < x], [p for p in points if p[0] > x]
+                    pair = (before[-1], after[0]) if before and after else before[-2:] if len(before) > 1 else after[:2] if len(after) > 1 else None
+                    want = v if v is not None else pair and pair[0][1] + (x - pair[0][0]) * (pair[1][1] - pair[0][1]) / (pair[1][0] - pair[0][0])
+                    assert want is None and got[k, x] is None or abs(got[k, x] - want) < 1e-9
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", kept)

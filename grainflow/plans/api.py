@@ -5,8 +5,9 @@ from __future__ import annotations
 import contextlib
 from collections.abc import Callable, Iterator, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.errors import AnalysisError, require
 from ..functions.names import cell_volume, metadata
@@ -34,6 +35,28 @@ def load(spark: SparkSession, path: str, select_by=None, index=None, timestep=No
     return blocks.mask_empty(blocks.read_blocks(table.where(F.col("step_index") == one), blocks.columns_of(path))), choice
 
 
+def _leaves(kind: T.StructType, above: str = "") -> Iterator[str]:
+    """The names of a row's plain values, with dots."""
+    for f in kind.fields:
+        name = f"{above}.{f.name}" if above else f.name
+        if isinstance(f.dataType, T.StructType):
+            yield from _leaves(f.dataType, name)
+        else:
+            yield name
+
+
+def as_text(df: DataFrame) -> DataFrame:
+    """A summary for reading: a row of text per row, with a line "name = value" for each of its plain values, whatever the depth; lists
+    as JSON, nulls as none."""
+
+    def said(name: str) -> Column:
+        kind = df.select(name).schema[0].dataType
+        value = F.to_json(name) if isinstance(kind, T.ArrayType | T.MapType) else F.col(name).cast("string")
+        return F.concat(F.lit(f"{name} = "), F.coalesce(value, F.lit("none")))
+
+    return df.select(F.concat_ws("\n", *map(said, _leaves(df.schema)), F.lit("")).alias("value"))
+
+
 class Results(Mapping):
     """Tables by name, each made when it is first asked for."""
 
@@ -52,11 +75,11 @@ class Results(Mapping):
         return len(self.makers)
 
     def write(self, folder: str, form: str = "parquet") -> None:
-        """Writes every table below the folder, under its name; parquet or json."""
-        require(form in ("parquet", "json"), "BadForm", form)
+        """Writes every table below the folder, under its name; parquet, json or, for reading, text."""
+        require(form in ("parquet", "json", "text"), "BadForm", form)
         for name, t in self.items():
             if isinstance(t, DataFrame):
-                t.write.format(form).save(f"{folder.rstrip('/')}/{name}")
+                (as_text(t) if form == "text" else t).write.format(form).save(f"{folder.rstrip('/')}/{name}")
 
 
 def analyze(spark: SparkSession, task: str, folder: str, file: str | None = None, dim: str = "2d", coord_scale: float = 1.0, progress: str = "auto", log: str | None = None, cache: str | None = None, **options) -> Results:

@@ -129,6 +129,9 @@ def test_facade_on_files(spark, tmp_path):
     out = api.analyze(spark, "network2d", str(tmp_path), threshold=1, timestep=300)
     s = out["stats"].first()
     assert (s.topology.pore.beta1, s.meta.nx, s.meta.missing_cells, s.size.pore.component_count) == (1, 3, 0, 1) and s.network.pore is not None
+    out["stats"].transform(api.as_text).write.text(f"{tmp_path}/text")
+    said = [r.value for r in spark.read.text(f"{tmp_path}/text").collect()]
+    assert {"step_index = 3", "topology.pore.beta1 = 1", "meta.boundary = open"} <= set(said) and all(" = " in x for x in said if x)
     path = str(tmp_path / "bin2d_dx_1_dy_1_Lz_1.txt")
     assert [r.timestep for r in api.evolve(spark, path, "timestep", (100, 400), 2, threshold=1).orderBy("step_index").collect()] == [100, 300]
     with pytest.raises(AnalysisError, match="MissingThresholdN"):

@@ -35,7 +35,8 @@ def smooth_1d(df: DataFrame, key: str, x: str, value: str, sigma: float, keep_nu
     given = ranked.where(F.col(value).isNotNull()).select(key, "__at", F.col(value).alias("__v"), table)
     sums = given.groupBy(key, (F.col("__at") + F.col("t.k")).alias("__at")).agg(F.sum(F.col("__v") * F.col("t.w")).alias("__num"), F.sum("t.w").alias("__den"))
     mean = F.when(F.col("__den") > TINY, F.col("__num") / F.col("__den"))
-    out = ranked.join(sums, [key, "__at"], "left").withColumn("smooth", F.when(F.col(value).isNotNull(), mean) if keep_null else mean)
+    # as sorted rows: after an explode Spark takes a table for as small as its file, and would send millions of rows through the driver
+    out = ranked.join(sums.hint("merge"), [key, "__at"], "left").withColumn("smooth", F.when(F.col(value).isNotNull(), mean) if keep_null else mean)
     return out.drop("__at", "__num", "__den")
 
 
@@ -50,7 +51,7 @@ def smooth_2d(df: DataFrame, key: str, ix: str, iy: str, value: str, sigma: floa
         at = {axis: (F.col(axis) + F.col("t.k")).alias(axis)}
         sums = spread.groupBy(key, *(at.get(c, F.col(c)) for c in (ix, iy))).agg(F.sum(F.col("__num") * F.col("t.w")).alias("__num"), F.sum(F.col("__den") * F.col("t.w")).alias("__den"))
     mean = F.when(F.col("__den") > TINY, F.col("__num") / F.col("__den"))
-    out = df.join(sums, [key, ix, iy], "left").withColumn("smooth", F.when(F.col(value).isNotNull(), mean) if keep_null else mean)
+    out = df.join(sums.hint("merge"), [key, ix, iy], "left").withColumn("smooth", F.when(F.col(value).isNotNull(), mean) if keep_null else mean)
     return out.drop("__num", "__den")
 
 

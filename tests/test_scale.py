@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from grainflow.functions.ranks import ranked, running_sum
 from grainflow.functions.tables import discard, materialize
-from grainflow.operators import graph, select
+from grainflow.operators import graph, select, smoothing
 
 
 def test_many_requests_in_one_partition(spark):
@@ -141,3 +141,13 @@ def test_gaps_over_ranges(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", kept)
+
+
+def test_smoothing_sends_no_table_through_the_driver(spark):
+    """Spreading a cell over its kernel multiplies rows behind Spark's estimate, so that the planner would broadcast them all."""
+    df = materialize(spark.range(60).select(F.lit(1).alias("k"), (F.col("id") % 8).alias("x"), F.floor(F.col("id") / 8).alias("y"), F.col("id").cast("double").alias("v")), "test")
+    for out in (smoothing.smooth_2d(df, "k", "x", "y", "v", 0.8), smoothing.smooth_1d(df, "k", "v", "v", 0.8)):
+        plan = out._jdf.queryExecution().sparkPlan().toString()
+        last = next(line for line in plan.splitlines() if "Join" in line)
+        assert "SortMergeJoin" in last
+        assert out.count() == 60

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 
 from ..functions import binning, physics
 from ..functions.scalars import moment_mean
-from ..functions.tables import scratch
+from ..functions.tables import materialize, scratch
 from ..operators import cluster, fields, grid, gridding, morphology, profiles, select, smoothing, velocity
 from ..operators.grid import Boundary
 from ..sources import blocks as block_files
@@ -635,7 +635,7 @@ r AS (SELECT dense_rank() OVER (ORDER BY step)::INT AS step_index, step * 10.0::
 SELECT r.* FROM r, top WHERE timestep >= 5.0 * top""")
 def block_format(spark, d):
     """Grids as block files, written and read through the format; of the blocks only those of the upper half are parsed."""
-    cells = views.order_lines(spark, d)
+    cells = materialize(views.order_lines(spark, d), "block-cells")
     row_id = F.row_number().over(W.partitionBy("step_index").orderBy("x", "y"))  # of one grid
     rows = cells.select("step_index", (F.col("step_index") * 10.0).alias("timestep"), row_id.alias("row_id"), F.col("x").alias("Coord1"), F.col("y").alias("Coord2"), F.col("ncount").alias("Ncount"))
     folder = scratch(spark, "block-files")

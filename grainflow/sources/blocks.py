@@ -11,6 +11,7 @@ import hashlib
 import io
 import re
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,11 @@ from ..functions.names import header_names
 from . import ranges
 
 INDEX = "path string, step_index int, timestep double, num_chunks int, total_count double, data_start bigint, data_end bigint, pieces array<struct<start:bigint,end:bigint,before:int,n:int>>"
+INDEX_SCHEMA = pa.schema([("path", pa.string()), ("step_index", pa.int32()), ("timestep", pa.float64()), ("num_chunks", pa.int32()), ("total_count", pa.float64()), ("data_start", pa.int64()), ("data_end", pa.int64()), ("pieces", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("before", pa.int32()), ("n", pa.int32())])))])
 #: Bytes of a block that one task parses at once, about.
 PIECE = 32 << 20
+#: Bytes of small pieces that one task parses, and the gap up to which two are read at once.
+BATCH, NEAR = 4 << 20, 1 << 16
 META = T.StructType().add("path", "string").add("step_index", "integer").add("timestep", "double").add("num_chunks", "integer").add("total_count", "double").add("row_id", "integer")
 #: Columns that an empty cell keeps.
 KEPT = ("Chunk", "Ncount")
@@ -186,7 +190,7 @@ def _whole(spark: SparkSession, paths: list[str], strict: bool) -> DataFrame:
     """The index of files that a task each scans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("path", pa.string()), ("step_index", pa.int32()), ("timestep", pa.float64()), ("num_chunks", pa.int32()), ("total_count", pa.float64()), ("data_start", pa.int64()), ("data_end", pa.int64()), ("pieces", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("before", pa.int32()), ("n", pa.int32())])))])
+        schema = INDEX_SCHEMA
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 rows = []
@@ -245,17 +249,35 @@ def _row_by_row(data: bytes, n: int, columns: int, path: str) -> list[pa.Array]:
     return [pa.array(values[:, i], mask=np.isnan(values[:, i])) for i in range(columns)]
 
 
-def parse_rows(data: bytes, n: int, columns: int, path: str) -> list[pa.Array]:
-    """The columns of a piece; rows of uneven lengths are read one by one."""
+def _read_even(data: bytes, columns: int) -> pa.Table:
+    """A table of at least so many columns from lines of one length."""
     even = re.sub(rb"(?m)^ +| +$", b"", re.sub(rb"[ \t\r\f\v]+", b" ", data))
     first = even.lstrip(b"\n").split(b"\n", 1)[0].split(b" ")
+    require(len(first) >= columns, "BadDataRow")
     names = [str(i) for i in range(len(first))]
     how = csv.ConvertOptions(column_types=dict.fromkeys(names, pa.float64()), include_columns=names[:columns], null_values=["nan", "NaN", "NAN", "-nan", "-NaN"])
+    return csv.read_csv(io.BytesIO(even), csv.ReadOptions(column_names=names, use_threads=False), csv.ParseOptions(delimiter=" ", quote_char=False), how).combine_chunks()
+
+
+def _columns_of(found: pa.Table, n: int, columns: int) -> list[pa.Array]:
+    return [pc.if_else(pc.is_nan(c), None, c) for c in (found.column(i).slice(0, n).combine_chunks() for i in range(columns))]
+
+
+def _parse_even(pieces: list[bytes], n: int, columns: int) -> list[pa.Array] | None:
+    """The columns of several pieces, n rows together; None unless each gives all its rows: no piece has more lines than rows."""
+    try:
+        found = _read_even(b"".join(pieces), columns)
+    except (pa.ArrowInvalid, AnalysisError):
+        return None
+    return [x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in _columns_of(found, n, columns)] if found.num_rows == n else None
+
+
+def parse_rows(data: bytes, n: int, columns: int, path: str) -> list[pa.Array]:
+    """The columns of a piece; rows of uneven lengths are read one by one."""
     try:
-        require(len(first) >= columns, "BadDataRow")
-        found = csv.read_csv(io.BytesIO(even), csv.ReadOptions(column_names=names, use_threads=False), csv.ParseOptions(delimiter=" ", quote_char=False), how).combine_chunks()
+        found = _read_even(data, columns)
         require(found.num_rows >= n, "UnexpectedEOF")
-        return [pc.if_else(pc.is_nan(c), None, c) for c in (found.column(i).slice(0, n).combine_chunks() for i in range(columns))]
+        return _columns_of(found, n, columns)
     except (pa.ArrowInvalid, AnalysisError):
         return _row_by_row(data, n, columns, path)
 
@@ -264,15 +286,60 @@ def row_schema(columns: list[str]) -> T.StructType:
     return T.StructType([*META.fields, *(T.StructField(c, T.DoubleType()) for c in columns)])
 
 
+def _kinds(columns: list[str]) -> pa.Schema:
+    return pa.schema([("path", pa.string()), ("step_index", pa.int32()), ("timestep", pa.float64()), ("num_chunks", pa.int32()), ("total_count", pa.float64()), ("row_id", pa.int32()), *((c, pa.float64()) for c in columns)])
+
+
+def _bytes_of(source: pa.NativeFile, pieces: list[dict]) -> list[bytes]:
+    """The bytes of pieces in file order; those that lie close are read at once, others between them aren't read."""
+    out, k = [], 0
+    while k < len(pieces):
+        start, z = pieces[k]["start"], k + 1
+        while z < len(pieces) and 0 <= pieces[z]["start"] - pieces[z - 1]["end"] <= NEAR:
+            z += 1
+        source.seek(start)
+        data = source.read(pieces[z - 1]["end"] - start)
+        out += [data[p["start"] - start : p["end"] - start] for p in pieces[k:z]]
+        k = z
+    return out
+
+
+def read_pieces(pieces: list[dict], columns: list[str]) -> Iterator[pa.RecordBatch]:
+    """The rows of pieces (path, step_index, timestep, num_chunks, total_count, start, end, before, n), a file opened once for those that follow
+    one another. Pieces whose rows are even are parsed together, others one by one."""
+    kinds = _kinds(columns)
+    for path, of in groupby(pieces, lambda p: p["path"]):
+        part = list(of)
+        with _open(path) as source:
+            data = _bytes_of(source, part)
+        sizes = np.array([p["n"] for p in part])
+        cells = _parse_even([d if d.endswith(b"\n") else d + b"\n" for d in data], int(sizes.sum()), len(columns)) if len(part) > 1 else None
+        if cells is None:
+            each = [parse_rows(d, p["n"], len(columns), path) for d, p in zip(data, part, strict=True)]
+            cells = [pa.concat_arrays([y for x in c for y in (x.chunks if isinstance(x, pa.ChunkedArray) else [x])]) for c in zip(*each, strict=True)]
+        which = pa.array(np.repeat(np.arange(len(part)), sizes))
+        meta = [pa.array([p[f.name] for p in part], f.type).take(which) for f in list(kinds)[:5]]
+        first = np.repeat(np.array([p["before"] + 1 for p in part]) - (np.cumsum(sizes) - sizes), sizes)
+        ids = pa.array(first + np.arange(len(which)), pa.int32())
+        yield pa.RecordBatch.from_arrays([*meta, ids, *cells], schema=kinds)
+
+
+def small_batches(pieces: list[dict]) -> Iterator[list[dict]]:
+    """Pieces in order, so many together as have BATCH bytes, about."""
+    out, held = [], 0
+    for p in pieces:
+        out.append(p)
+        held += p["end"] - p["start"]
+        if held >= BATCH:
+            yield out
+            out, held = [], 0
+    if out:
+        yield out
+
+
 def read_piece(piece: dict, columns: list[str]) -> pa.RecordBatch:
-    """The rows of a piece (path, step_index, timestep, num_chunks, total_count, start, end, before, n); only its bytes are read."""
-    kinds = pa.schema([("path", pa.string()), ("step_index", pa.int32()), ("timestep", pa.float64()), ("num_chunks", pa.int32()), ("total_count", pa.float64()), ("row_id", pa.int32()), *((c, pa.float64()) for c in columns)])
-    with _open(piece["path"]) as source:
-        source.seek(piece["start"])
-        cells, n = parse_rows(source.read(piece["end"] - piece["start"]), piece["n"], len(columns), piece["path"]), piece["n"]
-    meta = [pa.repeat(pa.scalar(piece[f.name], f.type), n) for f in list(kinds)[:5]]
-    ids = pa.array(np.arange(piece["before"] + 1, piece["before"] + n + 1), pa.int32())
-    return pa.RecordBatch.from_arrays([*meta, ids, *(c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in cells)], schema=kinds)
+    """The rows of one piece; only its bytes are read."""
+    return next(read_pieces([piece], columns))
 
 
 def read_blocks(index: DataFrame, columns: list[str]) -> DataFrame:
@@ -281,8 +348,8 @@ def read_blocks(index: DataFrame, columns: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
-                yield read_piece(r, columns)
+            for part in small_batches(batch.to_pylist()):
+                yield from read_pieces(part, columns)
 
     pieces = index.select(*(f.name for f in META.fields if f.name != "row_id"), F.explode("pieces").alias("piece")).select("*", "piece.*").drop("piece").where("n > 0")
     return pieces.repartition("path", "step_index", "before").mapInArrow(run, row_schema(columns))

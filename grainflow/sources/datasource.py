@@ -14,7 +14,9 @@ import uuid
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.dataset as ds
 from pyarrow import fs
 from pyspark import TaskContext
@@ -44,14 +46,14 @@ from . import blocks
 FORMAT = "blocks"
 #: Columns that a block has as a whole: filters on them choose blocks.
 OF_BLOCK = ("step_index", "timestep", "num_chunks", "total_count")
-#: Tests of a value by a pushed filter, and the same for a table of the index.
-TESTS: dict[type, tuple[Callable, Callable]] = {
-    EqualTo: (lambda x, v: x == v, lambda c, v: c == v),
-    GreaterThan: (lambda x, v: x > v, lambda c, v: c > v),
-    GreaterThanOrEqual: (lambda x, v: x >= v, lambda c, v: c >= v),
-    LessThan: (lambda x, v: x < v, lambda c, v: c < v),
-    LessThanOrEqual: (lambda x, v: x <= v, lambda c, v: c <= v),
-    In: (lambda x, v: x in v, lambda c, v: c.isin(list(v))),
+#: Pushed filters as tests of the index.
+TESTS: dict[type, Callable] = {
+    EqualTo: lambda c, v: c == v,
+    GreaterThan: lambda c, v: c > v,
+    GreaterThanOrEqual: lambda c, v: c >= v,
+    LessThan: lambda c, v: c < v,
+    LessThanOrEqual: lambda c, v: c <= v,
+    In: lambda c, v: c.isin(list(v)),
 }
 
 
@@ -67,17 +69,41 @@ def files_of(path: str) -> list[str]:
 
 
 @dataclass
-class Piece(InputPartition):
-    """What one task parses: some rows of one block, or nothing."""
-
-    row: dict | None
-
-
-def _pieces(row: dict) -> Iterator[Piece]:
-    same = {c: row[c] for c in ("path", *OF_BLOCK)}
-    for p in row["pieces"]:
-        if p["n"]:
-            yield Piece(same | p)
+class Pieces(InputPartition):
+    """What one task parses: pieces of blocks, as an Arrow table in bytes, or nothing."""
+
+    table: bytes | None
+
+    def rows(self) -> list[dict]:
+        return pa.ipc.open_stream(self.table).read_all().to_pylist() if self.table else []
+
+
+def _partitions(index: pa.Table) -> list[Pieces]:
+    """The pieces of an index's blocks in file order, so many in a partition as have blocks.BATCH bytes: the number of tasks follows the
+    bytes, not the number of blocks."""
+    index = index.sort_by([("path", "ascending"), ("step_index", "ascending")]).combine_chunks()
+    pieces = pc.list_flatten(index["pieces"]).combine_chunks()
+    if isinstance(pieces, pa.ChunkedArray):
+        pieces = pa.concat_arrays(pieces.chunks) if pieces.num_chunks else pa.array([], index.schema.field("pieces").type.value_type)
+    flat = index.select(["path", *OF_BLOCK]).take(pc.list_parent_indices(index["pieces"]))
+    for i, f in enumerate(pieces.type):
+        flat = flat.append_column(f.name, pieces.field(i))
+    flat = flat.filter(pc.field("n") > 0).combine_chunks()
+    sizes = np.asarray(pc.subtract(flat["end"], flat["start"]).to_numpy())
+    group = (np.cumsum(sizes) - sizes) // blocks.BATCH
+    ends = [*(np.flatnonzero(np.diff(group)) + 1).tolist(), len(sizes)] if len(sizes) else []
+    out = []
+    for a, z in zip([0, *ends[:-1]], ends, strict=False):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, flat.schema) as to:
+            to.write_table(flat.slice(a, z - a))
+        out.append(Pieces(sink.getvalue().to_pybytes()))
+    return out or [Pieces(None)]
+
+
+def _read(partition: Pieces, columns: list[str]) -> Iterator[pa.RecordBatch]:
+    for part in blocks.small_batches(partition.rows()):
+        yield from blocks.read_pieces(part, columns)
 
 
 NAMES = [x.split()[0] for x in blocks.INDEX.split(", ")]
@@ -96,31 +122,27 @@ class Reader(DataSourceReader):
             else:
                 yield f
 
-    def _rows(self) -> Iterator[dict]:
+    def _index(self, wanted: ds.Expression | None) -> pa.Table:
         if self.index:
             store, place = blocks.store_of(self.index)
-            wanted = None
-            for f in self.filters:
-                test = TESTS[type(f)][1](ds.field(f.attribute[0]), f.value)
-                wanted = test if wanted is None else wanted & test
-            for batch in ds.dataset(place, filesystem=store, format="parquet").to_batches(columns=NAMES, filter=wanted):
-                yield from batch.to_pylist()
-            return
-        before = 0
+            return ds.dataset(place, filesystem=store, format="parquet", schema=blocks.INDEX_SCHEMA).to_table(columns=NAMES, filter=wanted)
+        rows, before = [], 0
         for path in files_of(self.path):
-            n = 0
-            for row in blocks.scan_blocks(path, self.strict):
-                n += 1
-                yield dict(zip(NAMES, row, strict=True)) | {"step_index": before + n}
-            before += n
+            found = [dict(zip(NAMES, row, strict=True)) for row in blocks.scan_blocks(path, self.strict)]
+            rows += [r | {"step_index": before + n} for n, r in enumerate(found, 1)]
+            before += len(found)
+        table = pa.Table.from_pylist(rows, blocks.INDEX_SCHEMA)
+        return table if wanted is None else table.filter(wanted)
 
-    def partitions(self) -> Sequence[Piece]:
-        keep = lambda r: all(TESTS[type(f)][0](r[f.attribute[0]], f.value) for f in self.filters)
-        return [p for r in self._rows() if keep(r) for p in _pieces(r)] or [Piece(None)]
+    def partitions(self) -> Sequence[Pieces]:
+        wanted = None
+        for f in self.filters:
+            test = TESTS[type(f)](ds.field(f.attribute[0]), f.value)
+            wanted = test if wanted is None else wanted & test
+        return _partitions(self._index(wanted))
 
-    def read(self, partition: Piece) -> Iterator[pa.RecordBatch]:
-        if partition.row:
-            yield blocks.read_piece(partition.row, self.columns)
+    def read(self, partition: Pieces) -> Iterator[pa.RecordBatch]:
+        yield from _read(partition, self.columns)
 
 
 class Follower(DataSourceStreamReader):
@@ -143,23 +165,22 @@ class Follower(DataSourceStreamReader):
             self.known[path] = (at, number)
         return {p: list(x) for p, x in self.known.items() if x[1]}
 
-    def partitions(self, start: dict, end: dict) -> Sequence[Piece]:
+    def partitions(self, start: dict, end: dict) -> Sequence[Pieces]:
         out = []
         for path, (stop, last) in end.items():
             at, number = start.get(path, (0, 0))
             rows = [r for r in self.found.get(path, []) if number < r[1] <= last]
             if len(rows) < last - number:  # a batch of an earlier run
                 rows = [r for r, e in blocks.whole_blocks(path, at, number) if e <= stop and r[1] <= last]
-            out += [p for r in rows for p in _pieces(dict(zip(NAMES, r, strict=True)))]
-        return out or [Piece(None)]
+            out += [dict(zip(NAMES, r, strict=True)) for r in rows]
+        return _partitions(pa.Table.from_pylist(out, blocks.INDEX_SCHEMA))
 
     def commit(self, end: dict) -> None:
         for path, (_, last) in end.items():
             self.found[path] = [r for r in self.found.get(path, []) if r[1] > last]
 
-    def read(self, partition: Piece) -> Iterator[pa.RecordBatch]:
-        if partition.row:
-            yield blocks.read_piece(partition.row, self.columns)
+    def read(self, partition: Pieces) -> Iterator[pa.RecordBatch]:
+        yield from _read(partition, self.columns)
 
 
 @dataclass

@@ -357,3 +357,16 @@ def test_format_follows_a_growing_file(spark, tmp_path):
     assert sorted(seen) == want[:21]
     upto(len(text))
     assert sorted(seen) == want
+
+
+def test_small_blocks_share_a_task(spark, tmp_path):
+    """The number of tasks follows the bytes that are read, not the number of blocks."""
+    lines = ["# blocks", "# timestep rows total", "# Coord1 Ncount"]
+    for step in range(1, 401):
+        lines += [f"{step * 10} {step % 3} 1", *(f"{step} {r}" if step % 7 else f" {step}   NaN" for r in range(step % 3))]
+    path = tmp_path / "many.txt"
+    path.write_text("\n".join(lines))
+    df = datasource.load(spark, str(path), str(tmp_path / "index")).where("timestep > 2000")
+    assert df.rdd.getNumPartitions() < 5
+    got = [(r.step_index, r.timestep, r.num_chunks, r.row_id, r.Coord1, r.Ncount) for r in df.orderBy("step_index", "row_id").collect()]
+    assert got == [(s, s * 10.0, s % 3, r + 1, float(s), float(r) if s % 7 else None) for s in range(201, 401) for r in range(s % 3)]

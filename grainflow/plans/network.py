@@ -65,19 +65,28 @@ class Network:
     def cells(self) -> DataFrame:
         return materialize(grid.gridify(self.df, self.o.threshold), "cells")
 
+    @cached_property
+    def pieces(self) -> DataFrame:
+        """What one pass over tiles tells: components, topology and the phases' sums come from it."""
+        return grid.pieces(self.cells, self.b, self.o.tile)
+
+    @cached_property
+    def joined(self) -> tuple[DataFrame, DataFrame]:
+        return grid.joined(self.pieces, self.b, self.o.tile)
+
     @cached_property
     def components(self) -> DataFrame:
-        return materialize(grid.component_stats(self.cells, self.b, self.o.dx, self.o.dy, self.o.tile), "component-stats")
+        return materialize(grid.component_stats(self.pieces, *self.joined, self.o.dx, self.o.dy), "component-stats")
 
     @cached_property
     def globals(self) -> DataFrame:
-        return grid.global_stats(self.cells, self.b, self.o.dx, self.o.dy)
+        return grid.global_stats(self.pieces, self.o.dx, self.o.dy)
 
     @cached_property
     def topology(self) -> DataFrame:
         missing = self.cells.groupBy(STEP).agg((F.max("nx") * F.max("ny") > F.count("*")).alias("missing"))
         note = F.concat(F.lit(NOTE_PERIODIC if self.b.x or self.b.y else NOTE_OPEN), F.when(F.col("missing"), NOTE_MISSING).otherwise(""))
-        return grid.topology(self.cells, self.b, self.components).join(missing, STEP).withColumn("note", note).drop("missing")
+        return grid.topology(self.pieces, self.joined[0], self.b).join(missing, STEP).withColumn("note", note).drop("missing")
 
     @cached_property
     def connectivity(self) -> DataFrame:

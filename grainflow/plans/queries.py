@@ -282,7 +282,7 @@ wrap AS (SELECT step_index, root AS comp, bool_or(k = root AND ox <> 0) AS wrap_
 
 
 def _net(spark, d, view: str = "cells", boundary: str = "open", factor: float = 1.0, **more) -> Network:
-    df = getattr(views, view)(spark, d)
+    df = materialize(getattr(views, view)(spark, d).select("step_index", "x", "y", "ncount"), "view")  # read for the threshold, both axes and the cells
     return Network(df, Options(views.threshold(df) * factor, boundary, **more))
 
 

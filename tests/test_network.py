@@ -315,3 +315,25 @@ def test_evolution_of_a_stream(spark, tmp_path):
             assert [r.step_index for r in streamed.series(spark, f"{tmp_path}/out").orderBy("step_index").collect()] == [1, 3]
     want = evolution(frame(spark, [r for s in steps for r in s]), o)
     assert sorted(map(tuple, streamed.series(spark, f"{tmp_path}/out").select(want.columns).collect())) == sorted(map(tuple, want.collect()))
+
+
+def random_steps(spark, seed=3):
+    rng = np.random.default_rng(seed)
+    return frame(spark, [(s, float(x), float(y), float(rng.integers(0, 3))) for s in range(1, 4) for x in range(11) for y in range(5) if rng.random() < 0.9])
+
+
+@pytest.fixture
+def joined_rows(monkeypatch):
+    """The rows that are exploded to lattice ends, and the edges that a graph is made of."""
+    seen = {"lattice": 0, "graph": 0}
+    lattice, components = grid.lattice, grid.graph.components
+    monkeypatch.setattr(grid, "lattice", lambda df, *a: (seen.update(lattice=seen["lattice"] + df.count()), lattice(df, *a))[1])
+    monkeypatch.setattr(grid.graph, "components", lambda df: (seen.update(graph=seen["graph"] + df.count()), components(df))[1])
+    return seen
+
+
+def test_components_inside_a_tile_are_not_joined(spark, joined_rows):
+    got = Network(random_steps(spark), Options(1.0)).components
+    assert joined_rows == {"lattice": 0, "graph": 0}
+    same = Network(random_steps(spark), Options(1.0, tile=3)).components.drop("component")
+    assert joined_rows["graph"] > 0 and got.drop("component").exceptAll(same).count() == 0 == same.exceptAll(got.drop("component")).count()

@@ -337,3 +337,12 @@ def test_components_inside_a_tile_are_not_joined(spark, joined_rows):
     assert joined_rows == {"lattice": 0, "graph": 0}
     same = Network(random_steps(spark), Options(1.0, tile=3)).components.drop("component")
     assert joined_rows["graph"] > 0 and got.drop("component").exceptAll(same).count() == 0 == same.exceptAll(got.drop("component")).count()
+
+
+def test_topology_is_counted_in_tiles(spark, joined_rows):
+    n = Network(random_steps(spark), Options(1.0, "periodic-y"))
+    got = n.topology.collect()
+    # only cells at the seam, two lines of eleven in each step, may be sent on
+    assert joined_rows["lattice"] <= 3 * 2 * 11
+    want = Network(random_steps(spark), Options(1.0, "periodic-y", tile=2)).topology.collect()
+    assert sorted(got) == sorted(want) and len(got) == 6

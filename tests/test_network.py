@@ -346,3 +346,10 @@ def test_topology_is_counted_in_tiles(spark, joined_rows):
     assert joined_rows["lattice"] <= 3 * 2 * 11
     want = Network(random_steps(spark), Options(1.0, "periodic-y", tile=2)).topology.collect()
     assert sorted(got) == sorted(want) and len(got) == 6
+
+
+def test_interfaces_are_counted_in_tiles(spark, joined_rows):
+    n = Network(random_steps(spark), Options(1.0, "periodic-x"))
+    got = {r.step_index: r.interface_length for r in n.globals.collect()}
+    assert joined_rows["lattice"] == 0
+    assert got == {r.step_index: r.n for r in grid.edges(n.cells, n.b).where("n_pore = 1").groupBy("step_index").agg(F.count("*").alias("n")).collect()}

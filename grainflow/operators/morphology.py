@@ -6,7 +6,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -17,7 +16,7 @@ from ..functions.ranks import quantiles
 from ..functions.scalars import safe_div
 from ..functions.tables import discard, materialize
 from . import graph
-from .grid import STEP, Boundary
+from .grid import STEP, TILE, Boundary, neighbours, numbered, roots, whole_tiles, with_rim
 
 #: The eight neighbours in a ring, starting above and going round.
 RING = ((0, -1), (1, -1), (1, 0), (1, 1), (0, 1), (-1, 1), (-1, 0), (-1, -1))
@@ -47,22 +46,27 @@ def fields(i: np.ndarray, n: int, periodic: bool) -> np.ndarray:
 
 
 def thin(mask: np.ndarray, rounds: int, fx: np.ndarray, fy: np.ndarray) -> np.ndarray:
+    """thin_fields of one grid, by the fields of its lines."""
+    return thin_fields(mask, rounds, 3 * fx[:, None] + fy[None, :])
+
+
+def thin_fields(mask: np.ndarray, rounds: int, field: np.ndarray) -> np.ndarray:
     """Rounds of thinning that keep components and holes: of the cells with an empty side at the start of a round, those that are
     simple and end no line go, field by field. Cells of one field aren't neighbours, so that they can go together."""
     p = np.pad(mask, 1)
     now = p[1:-1, 1:-1]
     for _ in range(rounds):
-        border = now & ~(p[1:-1, :-2] & p[1:-1, 2:] & p[:-2, 1:-1] & p[2:, 1:-1])
+        x, y = np.nonzero(now & ~(p[1:-1, :-2] & p[1:-1, 2:] & p[:-2, 1:-1] & p[2:, 1:-1]))
+        of = field[x, y]
         gone = False
-        for u in range(3):
-            for v in range(3):
-                x, y = np.nonzero(border & ((fx == u)[:, None] & (fy == v)[None, :]))
-                code = np.zeros(len(x), np.int64)
-                for k, (dx, dy) in enumerate(RING):
-                    code |= p[x + 1 + dx, y + 1 + dy].astype(np.int64) << k
-                go = REMOVABLE[code]
-                now[x[go], y[go]] = False
-                gone |= bool(go.any())
+        for f in range(9):
+            fx, fy = x[of == f], y[of == f]
+            code = np.zeros(len(fx), np.int64)
+            for k, (dx, dy) in enumerate(RING):
+                code |= p[fx + 1 + dx, fy + 1 + dy].astype(np.int64) << k
+            go = REMOVABLE[code]
+            now[fx[go], fy[go]] = False
+            gone |= bool(go.any())
         if not gone:
             break
     return now.copy()
@@ -98,17 +102,20 @@ def skeleton(cells: DataFrame, b: Boundary, phase: str, tile: int = 256, rounds:
         dealt = placed.withColumn("tx", F.explode(tiles("vx"))).withColumn("ty", F.explode(tiles("vy")))
         return dealt.where((F.col("tx") >= 0) & (F.col("ty") >= 0) & (F.col("tx") * tile < F.col("nx")) & (F.col("ty") * tile < F.col("ny")))
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        tx, ty, nx, ny = (int(part[c].iloc[0]) for c in ("tx", "ty", "nx", "ny"))
-        x0, y0 = tx * tile - rim, ty * tile - rim
-        mask = np.zeros((tile + 2 * rim, tile + 2 * rim), bool)
-        mask[part["vx"] - x0, part["vy"] - y0] = True
-        fx, fy = (fields(np.arange(len(mask)) + o, n, wraps) for o, n, wraps in ((x0, nx, b.x), (y0, ny, b.y)))
-        left = thin(mask, rounds, fx, fy)[rim : rim + tile, rim : rim + tile]
-        i, j = np.nonzero(left)
-        i, j = i + tx * tile, j + ty * tile
-        own = (i >= 0) & (i < nx) & (j >= 0) & (j < ny)
-        return pd.DataFrame({STEP: part[STEP].iloc[0], "ix": i[own], "iy": j[own], "nx": nx, "ny": ny}).astype("int32")
+    def run(t: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """Thins tiles next to one another, each no larger than its cells reach, with an empty line between."""
+        vx, vy, nx, ny = (t[c].astype(np.int64) for c in ("vx", "vy", "nx", "ny"))
+        number = numbered([t[STEP], t["tx"], t["ty"]])
+        starts = np.flatnonzero(np.diff(number, prepend=-1))
+        x0, x1, y0 = (f.reduceat(v, starts) for f, v in ((np.minimum, vx), (np.maximum, vx), (np.minimum, vy)))
+        width = x1 - x0 + 2
+        x, y = (np.cumsum(width) - width - x0)[number] + vx, vy - y0[number]
+        mask, field = np.zeros((int(width.sum()), int(y.max()) + 1), bool), np.zeros((int(width.sum()), int(y.max()) + 1), np.int8)
+        mask[x, y] = True
+        field[x, y] = 3 * fields(vx, nx, b.x) + fields(vy, ny, b.y)
+        left = thin_fields(mask, rounds, field)[x, y]
+        own = left & (vx // tile == t["tx"]) & (vy // tile == t["ty"]) & (vx >= 0) & (vx < nx) & (vy >= 0) & (vy < ny)
+        yield pa.RecordBatch.from_arrays([pa.array(v[own].astype(np.int32)) for v in (t[STEP], vx, vy, nx, ny)], names=[STEP, "ix", "iy", "nx", "ny"])
 
     place = [STEP, "tx", "ty"]
     own = {"tx": F.floor(F.col("ix") / tile).cast("int"), "ty": F.floor(F.col("iy") / tile).cast("int")}
@@ -118,7 +125,7 @@ def skeleton(cells: DataFrame, b: Boundary, phase: str, tile: int = 256, rounds:
         if open_ is not None:
             dealt = dealt.join(open_, place, "left_semi")
             rest = now.withColumns(own).join(open_, place, "left_anti").select(*now.columns)
-        later = dealt.select(STEP, "vx", "vy", "tx", "ty", "nx", "ny").groupBy(*place).applyInPandas(run, schema)
+        later = whole_tiles(dealt.select(STEP, "vx", "vy", "tx", "ty", "nx", "ny"), place, ["vx", "vy"], run, schema)
         later = materialize(later if rest is None else later.unionByName(rest), "skeleton")
         gone = materialize(now.join(later, [STEP, "ix", "iy"], "left_anti"), "thinned")
         if open_ is not None:
@@ -131,29 +138,48 @@ def skeleton(cells: DataFrame, b: Boundary, phase: str, tile: int = 256, rounds:
         now = later
 
 
-def closed_topology(cells: DataFrame, b: Boundary) -> DataFrame:
+def closed_topology(cells: DataFrame, b: Boundary, tile: int = TILE) -> DataFrame:
     """Per step, of cells as closed squares, which hang together over corners too: cells, components, and holes (independent loops; the
-    components less the Euler number, sides and corners counted once each; on a torus that is wholly covered one more)."""
-    near = _neighbours(cells, b)
-    key = (F.lit(1).cast("long") * F.col("ix") * F.col("ny") + F.col("iy"), F.lit(1).cast("long") * F.col("jx") * F.col("ny") + F.col("jy"))
-    steps = cells.groupBy(STEP).agg(F.count("*").alias("cells"), F.max("nx").alias("nx"), F.max("ny").alias("ny"))
-    steps = steps.withColumn("base", F.sum(F.col("nx").cast("long") * F.col("ny")).over(W.orderBy(STEP)) - F.col("nx").cast("long") * F.col("ny"))
-    base = steps.select(STEP, "base")
-    links = near.join(base, STEP).select((F.col("base") + key[0]).alias("u"), (F.col("base") + key[1]).alias("v"))
-    found = graph.components(links)
-    of = cells.join(base, STEP).select(STEP, (F.col("base") + F.col("ix").cast("long") * F.col("ny") + F.col("iy")).alias("node"))
-    comps = of.join(found, "node", "left").groupBy(STEP).agg(F.count_distinct(F.coalesce("component", "node")).alias("components"))
-    # a line between cells along a periodic axis is the same at both ends
-    at = lambda c, n, wraps: F.pmod(c, F.col(n)) if wraps else c
-    x, y = F.col("ix"), F.col("iy")
-    ends = {"x": (x, at(x + 1, "nx", b.x)), "y": (y, at(y + 1, "ny", b.y))}
-    upright = F.array(*(F.struct(F.lit("v").alias("kind"), i.alias("i"), y.alias("j")) for i in ends["x"]))
-    flat = F.array(*(F.struct(F.lit("h").alias("kind"), x.alias("i"), j.alias("j")) for j in ends["y"]))
-    corners = F.array(*(F.struct(F.lit("c").alias("kind"), i.alias("i"), j.alias("j")) for i in ends["x"] for j in ends["y"]))
-    parts = cells.select(STEP, F.explode(F.concat(upright, flat, corners)).alias("p")).distinct()
-    parts = parts.groupBy(STEP).agg(F.count_if(F.col("p.kind") == "c").alias("corners"), F.count_if(F.col("p.kind") != "c").alias("sides"))
-    full = F.when(F.lit(b.x and b.y) & (F.col("cells") == F.col("nx").cast("long") * F.col("ny")), 1).otherwise(0)
-    out = steps.join(comps, STEP).join(parts, STEP)
+    components less the Euler number, sides and corners counted once each; on a torus that is wholly covered one more).
+
+    One pass over tiles, each with the cells round it, counts; only cells with a neighbour in another tile or over a seam are joined as a graph."""
+
+    def run(t: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        step, own, vx, vy = (t[c] for c in (STEP, "own", "vx", "vy"))
+        code, there, at = neighbours(t, tile, RING)
+        forward = [d for d in RING if d > (0, 0)]
+        pairs = [(np.flatnonzero(k), at[d][k]) for d in forward for k in [there[d] & own & own[at[d]]]]
+        top = roots(len(code), *(np.concatenate(c) for c in zip(*pairs, strict=True)))
+        no = {d: ~there[d] for d in RING}
+        # a side or corner belongs to the first cell at it: right of or above it, then left of it, then below
+        sides = 2 + no[1, 0].astype(int) + no[0, 1]
+        corners = 1 + no[1, 0].astype(int) + (no[0, 1] & no[-1, 1]) + (no[1, 1] & no[0, 1] & no[1, 0])
+        mine = np.flatnonzero(own)
+        steps, of = np.unique(step[mine], return_inverse=True)
+        total = lambda v: np.bincount(of, v[mine], len(steps)).astype(np.int64)
+        counts = [np.zeros(len(steps)), steps, total(np.ones(len(code))), total(top == np.arange(len(code))), total(sides), total(corners)]
+        yield rows(counts, 0)
+        k = np.flatnonzero(own & np.logical_or.reduce([there[d] & ~own[at[d]] for d in RING]))
+        yield rows([np.ones(len(k)), step[k], vx[top[k]].astype(np.int64) * t["ny"][k] + vy[top[k]], vx[k], vy[k], t["nx"][k], t["ny"][k]], 1)
+
+    def rows(values: list[np.ndarray], kind: int) -> pa.RecordBatch:
+        given = dict(zip(((*names[:2], *names[2:6]), (*names[:2], "node", "ix", "iy", "nx", "ny"))[kind], values, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(given[c].astype(np.int64)).cast(k) if c in given else pa.nulls(len(values[0]), k) for c, k in zip(names, [pa.int32()] * 2 + [pa.int64()] * 5 + [pa.int32()] * 4, strict=True)], names=names)
+
+    names = ["kind", STEP, "cells", "pieces", "sides", "corners", "node", "ix", "iy", "nx", "ny"]
+    schema = f"kind int, {STEP} int, cells bigint, pieces bigint, sides bigint, corners bigint, node bigint, ix int, iy int, nx int, ny int"
+    found = materialize(whole_tiles(with_rim(cells, b, tile), [STEP, "tx", "ty"], ["vx", "vy"], run, schema), "closed-pieces")
+    steps = cells.groupBy(F.col(STEP).cast("int").alias(STEP)).agg(F.max("nx").alias("nx"), F.max("ny").alias("ny"), F.max(F.col("nx").cast("long") * F.col("ny")).alias("places"))
+    base = steps.select(STEP, (F.sum("places").over(W.orderBy(STEP)) - F.col("places")).alias("base"))
+    rim = found.where("kind = 1").join(base, STEP).select(STEP, "ix", "iy", "nx", "ny", (F.col("node") + F.col("base")).alias("node"))
+    rim = materialize(rim, "closed-rim")
+    of = lambda x, y, n: rim.select(STEP, F.col("ix").alias(x), F.col("iy").alias(y), F.col("node").alias(n))
+    links = _neighbours(rim, b).select(STEP, "ix", "iy", "jx", "jy").join(of("ix", "iy", "u"), [STEP, "ix", "iy"]).join(of("jx", "jy", "v"), [STEP, "jx", "jy"])
+    moved = graph.components(links.where("u <> v").select("u", "v")).where("node <> component")
+    fewer = rim.select(STEP, "node").distinct().join(moved, "node", "left_semi").groupBy(STEP).agg(F.count("*").alias("fewer"))
+    out = found.where("kind = 0").groupBy(STEP).agg(*(F.sum(c).alias(c) for c in ("cells", "pieces", "sides", "corners"))).join(fewer, STEP, "left").join(steps, STEP)
+    out = out.withColumn("components", F.col("pieces") - F.coalesce("fewer", F.lit(0)))
+    full = F.when(F.lit(b.x and b.y) & (F.col("cells") == F.col("places")), 1).otherwise(0)
     return out.select(STEP, "cells", "components", (F.col("components") + full - F.col("cells") + F.col("sides") - F.col("corners")).alias("holes"))
 
 

@@ -353,3 +353,11 @@ def test_interfaces_are_counted_in_tiles(spark, joined_rows):
     got = {r.step_index: r.interface_length for r in n.globals.collect()}
     assert joined_rows["lattice"] == 0
     assert got == {r.step_index: r.n for r in grid.edges(n.cells, n.b).where("n_pore = 1").groupBy("step_index").agg(F.count("*").alias("n")).collect()}
+
+
+def test_closed_topology_inside_a_tile_makes_no_graph(spark, joined_rows):
+    n = Network(random_steps(spark), Options(1.0))
+    cells = n.cells.where("phase = 'matrix'")
+    got = sorted(map(tuple, morphology.closed_topology(cells, n.b).collect()))
+    assert joined_rows["graph"] == 0
+    assert got == sorted(map(tuple, morphology.closed_topology(cells, n.b, tile=3).collect())) and joined_rows["graph"] > 0

@@ -20,9 +20,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each class of texts that share 0.8 of their five-word shingles or more; rows
-    that repeat it are one. Without any id the rows of a class that differ all go on."""
-    found = simhash.near_duplicates(docs, shingle=5, share=0.8)
+    """Keeps the document with the smallest id of each class of texts that op10 links by their fingerprints, or that share 0.8 of their
+    five-word shingles or more; rows that repeat it are one. Without any id the rows of a class that differ all go on."""
+    found = simhash.near_duplicates(docs, share=0.8, words=5)
     first = found.where(F.col("doc_id").eqNullSafe(F.col("component"))).groupBy("doc_id").agg(F.count("*").alias("rows"))
     once, repeated = (materialize(first.where(c).select("doc_id"), "kept-ids") for c in ("rows = 1", "rows > 1"))
     of = lambda ids: docs.join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")

@@ -1,7 +1,7 @@
 """Near-duplicates by the Jaccard similarity of shingle sets: MinHash bands give candidates, the sets decide exactly.
 
-simhash.near_duplicates turns to this for a similarity: at 0.8 two fingerprints differ in some ten of 64 bits, at which blocks that
-a close pair must share hold a few bits each and part nothing."""
+simhash.near_duplicates adds these links to its own for a similarity: at 0.8 two fingerprints differ in some ten of 64 bits, at which
+blocks that a close pair must share hold a few bits each and part nothing."""
 
 from __future__ import annotations
 
@@ -56,17 +56,19 @@ def _sid(hashes: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(hashes.tobytes(), 1) - (1 << 63) if len(hashes) else 0
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int, how: Bands) -> DataFrame:
-    """(id_col, sid, n, keys): sid is a digest of the set, 0 for the empty one, and n its size."""
+def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int, how: Bands, mark: Callable[[str | None], int] = lambda _: 0) -> DataFrame:
+    """(id_col, sid, n, keys, mark): sid is a digest of the set, 0 for the empty one, and n its size; mark is what the function of that
+    name gives for the text, a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole, 1)):
-            rows = [(_sid(s), len(s), band_keys(s, how)) for s in (shingle_set(t, shingle, how.seed) for t in batch.column(1).to_pylist())]
-            columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int32(), pa.list_(pa.int64())))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["id", "sid", "n", "keys"])
+            texts = batch.column(1).to_pylist()
+            rows = [(_sid(s), len(s), band_keys(s, how), mark(t)) for t, s in ((t, shingle_set(t, shingle, how.seed)) for t in texts)]
+            columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["id", "sid", "n", "keys", "mark"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, sid bigint, n int, keys array<bigint>").withColumnRenamed("id", id_col)
+    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, sid bigint, n int, keys array<bigint>, mark bigint").withColumnRenamed("id", id_col)
 
 
 def sets_of(texts: DataFrame, shingle: int, how: Bands) -> DataFrame:
@@ -183,6 +185,17 @@ def _within(members: DataFrame, sets: Callable[[DataFrame], DataFrame], share: f
             return reduce(DataFrame.unionByName, stars), reduce(DataFrame.unionByName, candidates)
 
 
+def found_links(docs: DataFrame, every: DataFrame, classes: DataFrame, id_col: str, text_col: str, share: float, shingle: int, how: Bands) -> DataFrame:
+    """links() of the sets of docs. every: their signatures; classes: (sid, first), an id by which a set's text is found again."""
+
+    def sets(sids: DataFrame) -> DataFrame:
+        ids = classes.join(sids, "sid", "left_semi").select(F.col("first").alias("_id")).distinct()
+        texts = docs.join(ids, docs[id_col].eqNullSafe(ids["_id"]), "left_semi").select(text_col)
+        return sets_of(texts, shingle, how).join(sids, "sid", "left_semi").dropDuplicates(["sid"])
+
+    return links(every.select("sid", "n", "keys").dropDuplicates(["sid"]), sets, share, how)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = 0.8, shingle: int = 5, how: Bands = Bands()) -> DataFrame:
     """One row per document: id_col, sid (a digest of its shingle set), component (the smallest id reachable by links).
 
@@ -190,15 +203,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members' ids are null; other columns of docs are not read. An empty table gives an empty one."""
     every = materialize(signatures(docs, id_col, text_col, shingle, how), "signatures")
     classes = materialize(every.groupBy("sid").agg(F.min(id_col).alias("first")), "classes")
+    return named(every, classes, "sid", found_links(docs, every, classes, id_col, text_col, share, shingle, how)).select(id_col, "sid", "component")
 
-    def sets(sids: DataFrame) -> DataFrame:
-        ids = classes.join(sids, "sid", "left_semi").select(F.col("first").alias("_id")).distinct()
-        texts = docs.join(ids, docs[id_col].eqNullSafe(ids["_id"]), "left_semi").select(text_col)
-        return sets_of(texts, shingle, how).join(sids, "sid", "left_semi").dropDuplicates(["sid"])
 
-    found = connected_components(links(every.select("sid", "n", "keys").dropDuplicates(["sid"]), sets, share, how))
-    rooted = classes.join(found.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "first", F.coalesce("component", "sid").alias("root"))
+def named(every: DataFrame, classes: DataFrame, node: str, edges: DataFrame) -> DataFrame:
+    """every with the component of its node: the smallest id reachable by edges. classes: (node, first), the smallest id of each node."""
+    found = connected_components(edges)
+    rooted = classes.join(found.withColumnRenamed("node", node), node, "left").select(node, "first", F.coalesce("component", node).alias("root"))
     rooted = materialize(rooted, "rooted")
     least = rooted.groupBy("root").agg(F.min("first").alias("component"))
-    named = rooted.join(least, "root").select("sid", "component")
-    return every.select(id_col, "sid").join(named, "sid").select(id_col, "sid", "component")
+    return every.join(rooted.join(least, "root").select(node, "component"), node)

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from . import minhash
 from .common import materialize, slices
-from .components import connected_components
 
 BITS = 64
 
@@ -89,25 +88,31 @@ def links(fps: DataFrame, distance: int = 2, parts: int = 4, most: int = 24) ->
     return pairs.unionByName(stars)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 2, shingle: int = 3, seed: int = 42, share: float | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 2, shingle: int = 3, seed: int = 42, share: float | None = None, words: int = 5) -> DataFrame:
     """One row per document: id_col, fp (signed long), component (the smallest id reachable by links).
 
-    With share, texts are linked by the Jaccard similarity of their shingle sets, which fingerprints can't decide: fp is a digest of
-    the set then, and candidates come from minhash.
+    Fingerprints at most `distance` bits apart are linked. With share, texts whose sets of shingles of that many words have this Jaccard
+    similarity are linked too (minhash), most of which are more bits apart.
 
     Null or empty texts have fingerprint 0 and are linked like others; repeated rows stay, each with its class; a null id
     never names a class unless all its members' ids are null; other columns of docs are not read. An empty table gives an
     empty one."""
-    if share is not None:
-        return minhash.near_duplicates(docs, id_col, text_col, share, shingle, minhash.Bands(seed=seed)).withColumnRenamed("sid", "fp")
-    every = materialize(fingerprints(docs, id_col, text_col, shingle, seed), "fingerprints")
-    classes = materialize(every.groupBy("fp").agg(F.min(id_col).alias("first")), "classes")
-    found = connected_components(links(classes.select("fp"), distance))
-    rooted = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
-    rooted = materialize(rooted, "rooted")
-    least = rooted.groupBy("root").agg(F.min("first").alias("component"))
-    named = rooted.join(least, "root").select("fp", "component")
-    return every.join(named, "fp").select(id_col, "fp", "component")
+    if share is None:
+        every = materialize(fingerprints(docs, id_col, text_col, shingle, seed), "fingerprints")
+        classes = materialize(every.groupBy("fp").agg(F.min(id_col).alias("first")), "classes")
+        return minhash.named(every, classes, "fp", links(classes.select("fp"), distance)).select(id_col, "fp", "component")
+    how = minhash.Bands(seed=seed)
+    signed = minhash.signatures(docs, id_col, text_col, words, how, lambda t: _signed(fingerprint(t, shingle, seed)))
+    every = materialize(signed.withColumnRenamed("mark", "fp"), "fingerprints")
+    classes = materialize(every.groupBy("sid").agg(F.min(id_col).alias("first")), "classes")
+    # the sets of a fingerprint are one class, which its smallest set stands for
+    held = materialize(every.select("fp", "sid").distinct(), "sets-of-fingerprints")
+    stands = materialize(held.groupBy("fp").agg(F.min("sid").alias("u")), "stands")
+    same = held.join(stands, "fp").where("sid <> u").select("u", F.col("sid").alias("v"))
+    near = links(stands.select("fp"), distance).join(stands.withColumnRenamed("fp", "a"), "a")
+    near = near.join(stands.select(F.col("fp").alias("b"), F.col("u").alias("v")), "b").select("u", "v")
+    alike = minhash.found_links(docs, every, classes, id_col, text_col, share, words, how).toDF("u", "v")
+    return minhash.named(every, classes, "sid", same.unionByName(near).unionByName(alike)).select(id_col, "fp", "component")
 
 
 def as_hex(fp: Column) -> Column:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from grainflow.llm import minhash
+from grainflow.llm import minhash, simhash
 
 
 def shingles(text, n=5):
@@ -79,3 +79,22 @@ def test_pipeline_drops_near_copies(spark):
     texts = [" ".join(base), " ".join([*base[:100], "other", *base[101:]]), " ".join([*base[:100], *(f"y{i}" for i in range(100))])]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, df, "").collect()) == [0, 2]
+
+
+def test_pipeline_links_by_fingerprints_and_by_sets(spark):
+    """Texts whose repeated passage makes their fingerprints near, though their sets share little; near copies whose fingerprints aren't."""
+    passage, texts = " ".join(f"p{i}" for i in range(40)), copies(bases=6, each=5)
+    texts += [f"{passage} " * 100 + " ".join(f"{c}{i}" for i in range(60)) for c in "xyz"]
+    fps, sets = [simhash.fingerprint(t) for t in texts], [shingles(t) for t in texts]
+    ids = range(len(texts))
+    near = [(b, a) for a in ids for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= 2]
+    alike = [(b, a) for a in ids for b in range(a) if sets[a] == sets[b] or len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8]
+    assert set(near) - set(alike) and set(alike) - set(near)
+    top = list(ids)
+    for a, b in near + alike:
+        top = [min(top[a], top[b]) if x in (top[a], top[b]) else x for x in top]
+    df = spark.createDataFrame([*enumerate(texts), (3, texts[3])], "doc_id bigint, text string")
+    got = {r.doc_id: r for r in simhash.near_duplicates(df, share=0.8).collect()}
+    assert [(got[i].fp % 2**64, got[i].component) for i in ids] == [(fps[i], top[i]) for i in ids]
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, df, "").collect()) == sorted(set(top))
+    assert simhash.near_duplicates(df.where("false"), share=0.8).count() == 0

@@ -9,7 +9,7 @@ from __future__ import annotations
 import json
 import struct
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import BinaryIO
 
 import numpy as np
@@ -27,6 +27,7 @@ from .common import materialize, scratch, slices
 MAGIC = b"GFIDS001"
 #: ASCII marks that part from a letter before them (an apostrophe may not).
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+MARK_BYTES = bytes(MARKS, "ascii")
 
 
 def to_planes(ids: np.ndarray, kind: str = "byte") -> list[bytes]:
@@ -128,12 +129,13 @@ class WordIds:
     """Ids of a tokenizers file whose tokens hold no white space: a text's ids are those of its words, one after another.
 
     Words are split at ASCII white space, which the file's pre-tokenizer drops; each new word is encoded by the library,
-    and a word's ids stay in a memo of at most `memo` bytes, about."""
+    and a word's ids stay in a memo of at most `memo` bytes, about. It has two halves: a full one takes the place of the older one, whose
+    words are dropped unless they have come again since, so that frequent words stay."""
 
     def __init__(self, path: str, memo: int = 96 << 20):
         from tokenizers import Tokenizer
 
-        self.lib, self.memo, self.cores, self.most, self.held = Tokenizer.from_file(path), {}, {}, memo, 0
+        self.lib, self.memo, self.older, self.most, self.held = Tokenizer.from_file(path), {}, {}, memo, 0
         ids = lambda t: self.lib.encode(t, add_special_tokens=False).ids
         probe = ["Ab", "c,", "d's", "É9"]
         self.by_word = ids(" \n".join(probe)) == [i for w in probe for i in ids(w)] and ids(" \t\n\x0b\x0c\r") == []
@@ -144,51 +146,66 @@ class WordIds:
         #: Whether capital ASCII letters count as small ones, and marks after a letter at a word's end are tokens of their own.
         self.fold = self.by_word and ids("ABC") == ids("abc") and all(ids(f"é{m}") == ids("é") + ids(m) for m in (*MARKS, MARKS, "$$$"))
 
-    def _encode(self, words: list[str]) -> None:
-        """Puts the ids of words into the memo of cores."""
-        plain, rest = ([w for w in words if w.isalpha()], [w for w in words if not w.isalpha()]) if self.by_word else ([], words)
+    def _put(self, words: Iterable[bytes], ids: Iterable[bytes]) -> None:
+        """Puts words with their ids into the memo."""
+        words, ids = list(words), list(ids)
+        self.memo.update(zip(words, ids, strict=True))
+        # two objects of bytes and a place in a table
+        self.held += sum(map(len, words)) + sum(map(len, ids)) + 180 * len(words)
+
+    def _encode(self, words: list[bytes]) -> None:
+        """Puts the ids of words that the library encodes into the memo."""
+        texts = b"\n".join(words).decode().split("\n")
+        plain, rest = ([t for t in texts if t.isalpha()], [t for t in texts if not t.isalpha()]) if self.by_word else ([], texts)
         for a in range(0, len(plain), 1000):
             # words of letters only: one call for many, cut where a token ends a word
             part = plain[a : a + 1000]
-            ids = np.array(self.lib.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            joined = " ".join(part)
+            ids = np.array(self.lib.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
             stops = (np.flatnonzero(self.ends[ids]) * 4 + 4).tolist()
             if len(stops) == len(part):
                 data = ids.tobytes()
-                self.cores.update((w, data[i:j]) for w, i, j in zip(part, [0, *stops], stops, strict=False))
+                self._put(joined.encode().split(b" "), (data[i:j] for i, j in zip([0, *stops[:-1]], stops, strict=True)))
             else:
                 rest += part
         for a in range(0, len(rest), 10_000):
             part = rest[a : a + 10_000]
-            self.cores.update((w, struct.pack(f"<{len(e)}I", *e.ids)) for w, e in zip(part, self.lib.encode_batch_fast(part, add_special_tokens=False), strict=True))
-
-    def _learn(self, new: list[bytes]) -> None:
-        """Puts new words into the memo: by their cores, and what ends them, where the pre-tokenizer parts the two."""
-        joined = b"\n".join(new)
-        if self.fold and b"<|" not in joined:
-            texts = joined.lower().decode().split("\n")
-            stems = [t if (t := s.rstrip(MARKS)) and t[-1].isalpha() else s for s in texts]
-        else:
-            texts = stems = joined.decode().split("\n")
-        ends = {s[len(t) :] for s, t in zip(texts, stems, strict=True) if len(t) < len(s)}
-        self._encode([w for w in {*stems, *ends} if w not in self.cores])
-        cores = self.cores
-        self.memo.update((w, cores[t] if len(t) == len(s) else cores[t] + cores[s[len(t) :]]) for w, s, t in zip(new, texts, stems, strict=True))
+            self._put((t.encode() for t in part), (struct.pack(f"<{len(e)}I", *e.ids) for e in self.lib.encode_batch_fast(part, add_special_tokens=False)))
+
+    def _learn(self, new: set[bytes]) -> None:
+        """Puts new words into the memo: from its older half, or by what ends them and the word before that, where the pre-tokenizer parts
+        the two."""
+        known = new & self.older.keys()
+        self._put(known, map(self.older.__getitem__, known))
+        fresh = list(new - known)
+        marked = []
+        for w in [w for w in fresh if w[-1] in MARK_BYTES and b"<|" not in w] if self.fold else []:
+            stem = w.rstrip(MARK_BYTES)
+            if stem[-1:].isalpha() or stem and stem[-1] > 127 and stem.decode()[-1].isalpha():
+                marked.append((w, stem, w[len(stem) :]))
+        if marked:
+            parted = {w for w, _, _ in marked}
+            lone = {x for _, *parts in marked for x in parts}.difference(self.memo, new)
+            again = lone & self.older.keys()
+            self._put(again, map(self.older.__getitem__, again))
+            fresh = [*(w for w in fresh if w not in parted), *(lone - again)]
+        if fresh:
+            self._encode(fresh)
+        look = self.memo.__getitem__
+        self._put((w for w, _, _ in marked), (look(s) + look(e) for _, s, e in marked))
 
     def encode_batch(self, texts: list[str], end: int | None = 1) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers, with the end id."""
         tail = np.array([] if end is None else [end], "<u4").tobytes()
         if not self.by_word:
             return [struct.pack(f"<{len(e)}I", *e.ids) + tail for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
-        words = [t.encode().split() for t in texts]
-        new = {w for ws in words for w in ws}.difference(self.memo)
-        # a word, its core and the ids of both
-        self.held += sum(map(len, new)) * 8 + 260 * len(new)
-        if self.held > self.most:
-            self.memo.clear(), self.cores.clear()
-            new = {w for ws in words for w in ws}
-            self.held = sum(map(len, new)) * 8 + 260 * len(new)
-        if new:
-            self._learn(list(new))
+        # capital letters count in names of special tokens
+        words = [(t.lower() if self.fold and b"<|" not in t else t).split() for t in map(str.encode, texts)]
+        distinct = {w for ws in words for w in ws}
+        if self.held > self.most // 2:
+            self.memo, self.older, self.held = {}, self.memo, 0
+        if new := distinct.difference(self.memo):
+            self._learn(new)
         look = self.memo.__getitem__
         return [b"".join(map(look, ws)) + tail for ws in words]
 

@@ -425,6 +425,19 @@ def test_memos_are_bounded_by_bytes():
         assert sum(map(len, p.memo)) < 20_000 and sum(map(len, w.memo)) < 20_000
 
 
+def test_a_full_memo_keeps_what_comes_again():
+    """Frequent words are encoded once, however many rare ones pass through the memo; ids stay those of the library."""
+    w = idfiles.WordIds(queries.vocabulary("word_bpe_49k.json"), memo=40_000)
+    often, asked, encode = ["stays", "Stays,", "été.", "12.5", "été", "..."], [], w._encode
+    w._encode = lambda words: (asked.extend(words), encode(words))
+    for i in range(60):
+        text = " ".join([*often, *(f"r{chr(97 + i % 26)}{chr(97 + j % 26)}{'xyz'[i // 26]}{'pqr'[j // 26]}" for j in range(40)), *(["<|endoftext|>", "STAYS"] if i % 7 == 0 else [])])
+        assert np.frombuffer(w.encode_batch([text])[0], "<u4").tolist() == [*w.lib.encode(text, add_special_tokens=False).ids, 1]
+        assert w.held <= 40_000
+    assert w.older and len(w.memo) + len(w.older) < 60 * 40
+    assert all(asked.count(x.encode()) == 1 for x in ("stays", "été", "12.5", "..."))
+
+
 def test_toxic_documents_are_told_apart(spark):
     rng = np.random.default_rng(4)
     vocabulary = ["".join(rng.choice(list("aeiorstln"), 5)) for _ in range(400)]

@@ -7,6 +7,7 @@ documents, an Arrow stream of ids and token counts in a zstandard frame); the fo
 from __future__ import annotations
 
 import json
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterable, Iterator
@@ -28,6 +29,8 @@ MAGIC = b"GFIDS001"
 #: ASCII marks that part from a letter before them (an apostrophe may not).
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 MARK_BYTES = bytes(MARKS, "ascii")
+#: Such marks at a word's end, after a small ASCII letter.
+AFTER = re.compile(rb"[%b](?<=[a-z].)[%b]*(?!\S)" % (2 * (re.escape(MARK_BYTES),)))
 
 
 def to_planes(ids: np.ndarray, kind: str = "byte") -> list[bytes]:
@@ -136,6 +139,8 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.lib, self.memo, self.older, self.most, self.held = Tokenizer.from_file(path), {}, {}, memo, 0
+        #: Letters beyond ASCII, by whether they part marks.
+        self.parting: dict[str, bool] = {}
         ids = lambda t: self.lib.encode(t, add_special_tokens=False).ids
         probe = ["Ab", "c,", "d's", "É9"]
         self.by_word = ids(" \n".join(probe)) == [i for w in probe for i in ids(w)] and ids(" \t\n\x0b\x0c\r") == []
@@ -172,6 +177,13 @@ class WordIds:
             part = rest[a : a + 10_000]
             self._put((t.encode() for t in part), (struct.pack(f"<{len(e)}I", *e.ids) for e in self.lib.encode_batch_fast(part, add_special_tokens=False)))
 
+    def _parts(self, c: str) -> bool:
+        """Whether c is a letter after which marks are tokens of their own; not so after one whose small form ends in a combining mark."""
+        if c not in self.parting:
+            ids = lambda t: self.lib.encode(t, add_special_tokens=False).ids
+            self.parting[c] = c.isalpha() and all(ids(c + m) == ids(c) + ids(m) for m in MARKS)
+        return self.parting[c]
+
     def _learn(self, new: set[bytes]) -> None:
         """Puts new words into the memo: from its older half, or by what ends them and the word before that, where the pre-tokenizer parts
         the two."""
@@ -181,7 +193,7 @@ class WordIds:
         marked = []
         for w in [w for w in fresh if w[-1] in MARK_BYTES and b"<|" not in w] if self.fold else []:
             stem = w.rstrip(MARK_BYTES)
-            if stem[-1:].isalpha() or stem and stem[-1] > 127 and stem.decode()[-1].isalpha():
+            if stem[-1:].isalpha() or stem and stem[-1] > 127 and self._parts(stem.decode()[-1]):
                 marked.append((w, stem, w[len(stem) :]))
         if marked:
             parted = {w for w, _, _ in marked}
@@ -200,14 +212,16 @@ class WordIds:
         if not self.by_word:
             return [struct.pack(f"<{len(e)}I", *e.ids) + tail for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
         # capital letters count in names of special tokens
-        words = [(t.lower() if self.fold and b"<|" not in t else t).split() for t in map(str.encode, texts)]
-        distinct = {w for ws in words for w in ws}
+        words = [(AFTER.sub(rb" \g<0>", t.lower()) if self.fold and b"<|" not in t else t).split() for t in map(str.encode, texts)]
         if self.held > self.most // 2:
             self.memo, self.older, self.held = {}, self.memo, 0
-        if new := distinct.difference(self.memo):
+        # a word is looked up once, and again only where its text has new ones
+        found = [list(map(self.memo.get, ws)) for ws in words]
+        if new := {w for ws, ids in zip(words, found, strict=True) for w, i in zip(ws, ids, strict=True) if i is None}:
             self._learn(new)
-        look = self.memo.__getitem__
-        return [b"".join(map(look, ws)) + tail for ws in words]
+            look = self.memo.__getitem__
+            found = [[look(w) if i is None else i for w, i in zip(ws, ids, strict=True)] for ws, ids in zip(words, found, strict=True)]
+        return [b"".join(ids) + tail for ids in found]
 
 
 _open: dict[str, WordIds] = {}

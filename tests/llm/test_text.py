@@ -438,6 +438,15 @@ def test_a_full_memo_keeps_what_comes_again():
     assert all(asked.count(x.encode()) == 1 for x in ("stays", "été", "12.5", "..."))
 
 
+def test_marks_after_a_word_take_no_entry_with_it():
+    """A word is one entry whatever marks follow it, and its ids stay those of the library, after letters that part no marks too."""
+    w = idfiles.WordIds(queries.vocabulary("word_bpe_49k.json"))
+    texts = ["House, house. (house) house!! house", "ALİ. été, 12, a.b, don't. x', -- .,", "<|endoftext|> House, end.", "a.\u3000b,\x85c!\x1cd?"]
+    for t, x in zip(texts, w.encode_batch(texts), strict=True):
+        assert np.frombuffer(x, "<u4").tolist() == [*w.lib.encode(t, add_special_tokens=False).ids, 1]
+    assert {b"house", b",", b".", b"!!"} < w.memo.keys() and not {b"house,", b"house.", b"house!!"} & w.memo.keys()
+
+
 def test_toxic_documents_are_told_apart(spark):
     rng = np.random.default_rng(4)
     vocabulary = ["".join(rng.choice(list("aeiorstln"), 5)) for _ in range(400)]

@@ -111,8 +111,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     same = held.join(stands, "fp").where("sid <> u").select("u", F.col("sid").alias("v"))
     near = links(stands.select("fp"), distance).join(stands.withColumnRenamed("fp", "a"), "a")
     near = near.join(stands.select(F.col("fp").alias("b"), F.col("u").alias("v")), "b").select("u", "v")
+    near = materialize(same.unionByName(near), "fingerprint-links")
     alike = minhash.found_links(docs, every, classes, id_col, text_col, share, words, how).toDF("u", "v")
-    return minhash.named(every, classes, "sid", same.unionByName(near).unionByName(alike)).select(id_col, "fp", "component")
+    return minhash.named(every, classes, "sid", near.unionByName(alike)).select(id_col, "fp", "component")
 
 
 def as_hex(fp: Column) -> Column:

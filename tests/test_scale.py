@@ -89,6 +89,25 @@ def test_components_with_hubs(spark, monkeypatch):
     assert all(c == (0 if n < 10_000 else 10_000 if n < 20_000 else 20_000) for n, c in found.items())
 
 
+def test_rounds_of_components_have_small_plans(spark, monkeypatch):
+    """What a plan holds costs the driver memory: no round holds a step twice, and none without hubs broadcasts."""
+    plans, write = [], graph.materialize
+    monkeypatch.setattr(graph, "MANY", 100)
+    monkeypatch.setattr(graph, "materialize", lambda df, *a: (plans.append(df._jdf.queryExecution().executedPlan().toString()), write(df, *a))[1])
+    path = spark.range(600).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
+    auto = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert {r.component for r in graph.components(path).collect()} == {0}
+        assert len(plans) > 4 and not any("Broadcast" in p for p in plans) and max(p.count("Exchange") for p in plans) <= 6
+        plans.clear()
+        star = path.unionByName(spark.range(2000, 4000).select(F.lit(7).cast("long").alias("u"), F.col("id").alias("v")))
+        assert {r.component for r in graph.components(star).collect()} == {0}
+        assert any("Broadcast" in p for p in plans) and max(p.count("Exchange") for p in plans) <= 20
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", auto)
+
+
 def test_quantiles_over_ranges(spark):
     from grainflow.functions.ranks import quantiles
 

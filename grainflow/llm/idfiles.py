@@ -6,8 +6,8 @@ documents, an Arrow stream of ids and token counts in a zstandard frame); the fo
 
 from __future__ import annotations
 
+import itertools
 import json
-import re
 import struct
 import zlib
 from collections.abc import Callable, Iterable, Iterator
@@ -15,6 +15,7 @@ from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
@@ -29,8 +30,6 @@ MAGIC = b"GFIDS001"
 #: ASCII marks that part from a letter before them (an apostrophe may not).
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 MARK_BYTES = bytes(MARKS, "ascii")
-#: Such marks at a word's end, after a small ASCII letter.
-AFTER = re.compile(rb"[%b](?<=[a-z].)[%b]*(?!\S)" % (2 * (re.escape(MARK_BYTES),)))
 
 
 def to_planes(ids: np.ndarray, kind: str = "byte") -> list[bytes]:
@@ -128,17 +127,36 @@ class Reader:
         return np.concatenate(out) if out else np.empty(0, "<u4")
 
 
+def strung(codes: np.ndarray, ids: np.ndarray, sizes: np.ndarray, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of items one after another, given by their numbers, and the place where each ends; ids and sizes: those of the items in
+    order of their numbers. Places are made for `most` items at a time."""
+    first, stops, out = np.cumsum(sizes) - sizes, np.cumsum(sizes[codes]), [np.empty(0, "<u4")]
+    for a in range(0, len(codes), most):
+        part = codes[a : a + most]
+        n = sizes[part]
+        out.append(ids[np.repeat(first[part] - (np.cumsum(n) - n), n) + np.arange(n.sum())])
+    return np.concatenate(out), stops
+
+
+def byte_strings(array: pa.Array) -> list[bytes]:
+    """The values of a large string or binary array, without nulls."""
+    offsets, data = np.frombuffer(array.buffers()[1], np.int64)[array.offset : array.offset + len(array) + 1].tolist(), array.buffers()[2]
+    values = data.to_pybytes() if data else b""
+    return [values[i:j] for i, j in itertools.pairwise(offsets)]
+
+
 class WordIds:
     """Ids of a tokenizers file whose tokens hold no white space: a text's ids are those of its words, one after another.
 
-    Words are split at ASCII white space, which the file's pre-tokenizer drops; each new word is encoded by the library,
-    and a word's ids stay in a memo of at most `memo` bytes, about. It has two halves: a full one takes the place of the older one, whose
-    words are dropped unless they have come again since, so that frequent words stay."""
+    Words are split at ASCII white space, which the file's pre-tokenizer drops, and numbered by Arrow, so that what is done in Python is
+    done once for each word of a batch. A new word is encoded by the library, and a word's ids stay in a memo of at most `memo` bytes,
+    about. It has two halves: a full one takes the place of the older one, whose words are dropped unless they have come again since, so
+    that frequent words stay."""
 
     def __init__(self, path: str, memo: int = 96 << 20):
         from tokenizers import Tokenizer
 
-        self.lib, self.memo, self.older, self.most, self.held = Tokenizer.from_file(path), {}, {}, memo, 0
+        self.lib, self.memo, self.older, self.most, self.held = Tokenizer.from_file(path), {b"": b""}, {}, memo, 0
         #: Letters beyond ASCII, by whether they part marks.
         self.parting: dict[str, bool] = {}
         ids = lambda t: self.lib.encode(t, add_special_tokens=False).ids
@@ -150,6 +168,20 @@ class WordIds:
         self.ends[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
         #: Whether capital ASCII letters count as small ones, and marks after a letter at a word's end are tokens of their own.
         self.fold = self.by_word and ids("ABC") == ids("abc") and all(ids(f"é{m}") == ids("é") + ids(m) for m in (*MARKS, MARKS, "$$$"))
+        self.small = self._small(vocabulary, suffix) if self.fold else None
+
+    def _small(self, vocabulary: dict[str, int], suffix: str):
+        """The file's model behind a split at white space, for words of small ASCII letters, where the file's normalizer and pre-tokenizer
+        leave these as they are, tried on every three letters and some words of the vocabulary; else none."""
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        lib, letters = Tokenizer(self.lib.model), "abcdefghijklmnopqrstuvwxyz"
+        lib.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        words = [w for w in sorted(t.removesuffix(suffix) for t in vocabulary) if w.isascii() and w.isalpha() and w.islower()]
+        text = " ".join([letters, *map("".join, itertools.product(letters, repeat=3)), *words[:: max(1, len(words) // 2000)]])
+        norm, parts = self.lib.normalizer, self.lib.pre_tokenizer
+        same = (norm is None or norm.normalize_str(text) == text) and (parts is None or parts.pre_tokenize_str(letters) == [(letters, (0, len(letters)))])
+        return lib if same and lib.encode(text).ids == self.lib.encode(text, add_special_tokens=False).ids else None
 
     def _put(self, words: Iterable[bytes], ids: Iterable[bytes]) -> None:
         """Puts words with their ids into the memo."""
@@ -158,24 +190,30 @@ class WordIds:
         # two objects of bytes and a place in a table
         self.held += sum(map(len, words)) + sum(map(len, ids)) + 180 * len(words)
 
-    def _encode(self, words: list[bytes]) -> None:
-        """Puts the ids of words that the library encodes into the memo."""
-        texts = b"\n".join(words).decode().split("\n")
-        plain, rest = ([t for t in texts if t.isalpha()], [t for t in texts if not t.isalpha()]) if self.by_word else ([], texts)
-        for a in range(0, len(plain), 1000):
-            # words of letters only: one call for many, cut where a token ends a word
-            part = plain[a : a + 1000]
-            joined = " ".join(part)
-            ids = np.array(self.lib.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+    def _joined(self, lib, words: list[bytes]) -> list[bytes]:
+        """Puts the ids of words of letters only into the memo: one call for many, cut where a token ends a word. Returns the words for
+        which that fails."""
+        failed = []
+        for a in range(0, len(words), 200):
+            part = words[a : a + 200]
+            ids = np.array(lib.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
             stops = (np.flatnonzero(self.ends[ids]) * 4 + 4).tolist()
             if len(stops) == len(part):
                 data = ids.tobytes()
-                self._put(joined.encode().split(b" "), (data[i:j] for i, j in zip([0, *stops[:-1]], stops, strict=True)))
+                self._put(part, [data[i:j] for i, j in zip([0, *stops[:-1]], stops, strict=True)])
             else:
-                rest += part
-        for a in range(0, len(rest), 10_000):
-            part = rest[a : a + 10_000]
-            self._put((t.encode() for t in part), (struct.pack(f"<{len(e)}I", *e.ids) for e in self.lib.encode_batch_fast(part, add_special_tokens=False)))
+                failed += part
+        return failed
+
+    def _encode(self, words: list[bytes]) -> None:
+        """Puts the ids of words that the library encodes into the memo."""
+        small, plain, rest = [], [], []
+        for w in words:
+            (small if self.small and w.isalpha() and w.islower() else plain if self.by_word and w.decode().isalpha() else rest).append(w)
+        words = [*rest, *self._joined(self.small, small), *self._joined(self.lib, plain)]
+        for a in range(0, len(words), 10_000):
+            part = words[a : a + 10_000]
+            self._put(part, (struct.pack(f"<{len(e)}I", *e.ids) for e in self.lib.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)))
 
     def _parts(self, c: str) -> bool:
         """Whether c is a letter after which marks are tokens of their own; not so after one whose small form ends in a combining mark."""
@@ -184,44 +222,71 @@ class WordIds:
             self.parting[c] = c.isalpha() and all(ids(c + m) == ids(c) + ids(m) for m in MARKS)
         return self.parting[c]
 
-    def _learn(self, new: set[bytes]) -> None:
-        """Puts new words into the memo: from its older half, or by what ends them and the word before that, where the pre-tokenizer parts
-        the two."""
-        known = new & self.older.keys()
-        self._put(known, map(self.older.__getitem__, known))
-        fresh = list(new - known)
+    def _learn(self, new: list[bytes]) -> None:
+        """Puts new words into the memo: from its older half, or by what ends them and the word before that, where a letter beyond ASCII
+        parts the two."""
+        older = self.older
+        known = [w for w in new if w in older]
+        self._put(known, map(older.__getitem__, known))
+        fresh = [w for w in new if w not in older] if known else new
         marked = []
         for w in [w for w in fresh if w[-1] in MARK_BYTES and b"<|" not in w] if self.fold else []:
             stem = w.rstrip(MARK_BYTES)
-            if stem[-1:].isalpha() or stem and stem[-1] > 127 and self._parts(stem.decode()[-1]):
+            if stem and stem[-1] > 127 and self._parts(stem.decode()[-1]):
                 marked.append((w, stem, w[len(stem) :]))
         if marked:
             parted = {w for w, _, _ in marked}
             lone = {x for _, *parts in marked for x in parts}.difference(self.memo, new)
-            again = lone & self.older.keys()
-            self._put(again, map(self.older.__getitem__, again))
+            again = lone & older.keys()
+            self._put(again, map(older.__getitem__, again))
             fresh = [*(w for w in fresh if w not in parted), *(lone - again)]
         if fresh:
             self._encode(fresh)
         look = self.memo.__getitem__
         self._put((w for w, _, _ in marked), (look(s) + look(e) for _, s, e in marked))
 
+    def _pieces(self, words: pa.Array) -> pa.Array:
+        """Two for each word: what stands before marks at its end that are tokens of their own, after an ASCII letter, and these marks; or
+        the word and nothing."""
+        bounds = np.repeat(np.frombuffer(words.buffers()[1], np.int64)[: len(words) + 1], 2)[1:]
+        data = words.buffers()[2]
+        if self.fold and data and data.size:
+            stems = pc.binary_length(pc.ascii_rtrim(words, MARKS)).to_numpy()
+            cuts = bounds[:-1:2] + stems
+            last = np.frombuffer(data, np.uint8)[np.maximum(cuts - 1, 0)] | 32
+            special = pc.match_substring(words, "<|").to_numpy(zero_copy_only=False)
+            bounds[1::2] = np.where((stems > 0) & (last >= ord("a")) & (last <= ord("z")) & ~special, cuts, bounds[2::2])
+        return pa.Array.from_buffers(pa.large_binary(), 2 * len(words), [None, pa.py_buffer(bounds), data])
+
     def encode_batch(self, texts: list[str], end: int | None = 1) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers, with the end id."""
-        tail = np.array([] if end is None else [end], "<u4").tobytes()
         if not self.by_word:
+            tail = np.array([] if end is None else [end], "<u4").tobytes()
             return [struct.pack(f"<{len(e)}I", *e.ids) + tail for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
-        # capital letters count in names of special tokens
-        words = [(AFTER.sub(rb" \g<0>", t.lower()) if self.fold and b"<|" not in t else t).split() for t in map(str.encode, texts)]
+        whole = pa.array(texts, pa.large_string())
+        if self.fold:
+            # capital letters count in names of special tokens
+            whole = pc.if_else(pc.match_substring(whole, "<|"), whole, pc.ascii_lower(whole))
         if self.held > self.most // 2:
-            self.memo, self.older, self.held = {}, self.memo, 0
-        # a word is looked up once, and again only where its text has new ones
-        found = [list(map(self.memo.get, ws)) for ws in words]
-        if new := {w for ws, ids in zip(words, found, strict=True) for w, i in zip(ws, ids, strict=True) if i is None}:
+            self.memo, self.older, self.held = {b"": b""}, self.memo, 0
+        split = pc.ascii_split_whitespace(whole)
+        words = split.flatten().dictionary_encode()
+        pieces = self._pieces(words.dictionary).dictionary_encode()
+        keys = byte_strings(pieces.dictionary)
+        found = list(map(self.memo.get, keys))
+        if new := [w for w, i in zip(keys, found, strict=True) if i is None]:
             self._learn(new)
             look = self.memo.__getitem__
-            found = [[look(w) if i is None else i for w, i in zip(ws, ids, strict=True)] for ws, ids in zip(words, found, strict=True)]
-        return [b"".join(ids) + tail for ids in found]
+            found = [look(w) if i is None else i for w, i in zip(keys, found, strict=True)]
+        # ids of pieces, then of words, the last of which is the end, then of texts
+        ids, stops = strung(pieces.indices.to_numpy(), np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4)
+        tail = [] if end is None else [end]
+        ids, sizes = np.append(ids, np.array(tail, "<u4")), np.append(np.diff(stops[1::2], prepend=0), len(tail))
+        counts = pc.list_value_length(split).to_numpy()
+        codes = np.insert(words.indices.to_numpy(), np.cumsum(counts), len(sizes) - 1)
+        ids, stops = strung(codes, ids, sizes)
+        data, cuts = ids.tobytes(), [0, *(stops[np.cumsum(counts + 1) - 1] * 4).tolist()]
+        return [data[i:j] for i, j in itertools.pairwise(cuts)]
 
 
 _open: dict[str, WordIds] = {}
@@ -252,7 +317,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end: int | None = 1, pla
             if writer is None:
                 out = store.open_output_stream(aside)
                 writer = Writer(out, planes, block)
-            for part in slices(batch, 1, rows=500):
+            for part in slices(batch, 1, 8 << 20, rows=10_000):
                 writer.add(part.column(0), word_ids(tokenizer).encode_batch([t or "" for t in part.column(1).to_pylist()], end))
                 n += part.num_rows
         if writer is not None:

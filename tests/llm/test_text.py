@@ -447,6 +447,37 @@ def test_marks_after_a_word_take_no_entry_with_it():
     assert {b"house", b",", b".", b"!!"} < w.memo.keys() and not {b"house,", b"house.", b"house!!"} & w.memo.keys()
 
 
+def test_a_word_is_looked_up_once_for_a_batch():
+    """However often words come in a batch, and with whatever marks, the memo is asked once for each; words of small ASCII letters go to
+    the library's model without its normalizer. Ids stay those of the library."""
+
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *key):
+            self.asked += 1
+            return super().get(*key)
+
+    w = idfiles.WordIds(queries.vocabulary("word_bpe_49k.json"))
+    w.memo = Counted(w.memo)
+    texts = ["house, House. (house) été, ÉTÉ 12% of,, " * 300, "", " \x0b", "house", "of the\u0338 e\u0301. <|endoftext|> House, ab<|c, of"] * 3
+    for end in (1, None):
+        for t, x in zip(texts, w.encode_batch(texts, end), strict=True):
+            assert np.frombuffer(x, "<u4").tolist() == [*w.lib.encode(t, add_special_tokens=False).ids, *([] if end is None else [end])]
+    assert w.small is not None and w.memo.asked < 100
+    assert w.encode_batch([]) == []
+
+
+def test_ids_are_strung_in_bounded_parts():
+    rng = np.random.default_rng(5)
+    sizes, codes = np.array([2, 0, 3, 1, 0]), rng.integers(0, 5, 100)
+    items = np.split(np.arange(6, dtype="<u4"), np.cumsum(sizes)[:-1])
+    for most in (1, 7, 100, 1000):
+        ids, stops = idfiles.strung(codes, np.arange(6, dtype="<u4"), sizes, most)
+        assert ids.tolist() == [i for c in codes for i in items[c].tolist()] and stops.tolist() == np.cumsum(sizes[codes]).tolist()
+    assert [len(x) for x in idfiles.strung(codes[:0], np.arange(6, dtype="<u4"), sizes)] == [0, 0]
+
+
 def test_toxic_documents_are_told_apart(spark):
     rng = np.random.default_rng(4)
     vocabulary = ["".join(rng.choice(list("aeiorstln"), 5)) for _ in range(400)]

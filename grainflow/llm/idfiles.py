@@ -317,7 +317,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end: int | None = 1, pla
             if writer is None:
                 out = store.open_output_stream(aside)
                 writer = Writer(out, planes, block)
-            for part in slices(batch, 1, 8 << 20, rows=10_000):
+            for part in slices(batch, 1, rows=10_000):
                 writer.add(part.column(0), word_ids(tokenizer).encode_batch([t or "" for t in part.column(1).to_pylist()], end))
                 n += part.num_rows
         if writer is not None:

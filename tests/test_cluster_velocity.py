@@ -1,8 +1,11 @@
 """Clusters, velocity and scalar functions on small tables."""
 
 import math
+import os
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -176,3 +179,32 @@ def test_nearest_values_on_a_grid(spark):
     filled = spark.createDataFrame([(1, 5, 0, 1.0), (1, 5, 0, 3.0), (1, 7, 0, 4.0), (1, 5, 2, None), (1, 7, 2, 6.0), (2, 0, 0, 1.0), (2, 1, 1, 1.0)], "key int, a int, b int, c double")
     got = [tuple(r) for r in gridding.as_grid(filled, "key", "a", "b", "c").orderBy("place").collect()]
     assert got == [(1, 1, 0, 0, 5, 0, 2.0), (1, 2, 1, 0, 7, 0, 4.0), (1, 3, 0, 1, 5, 2, None), (1, 4, 1, 1, 7, 2, 6.0)]
+
+
+def test_means_of_clusters_dont_depend_on_how_the_table_is_split(spark, tmp_path):
+    """Of values that average 0.03, sums in another order fall on the other side of the bound."""
+    from grainflow.plans import views
+
+    rng = np.random.default_rng(2)
+    parts = [[float(v) for v in rng.permutation([0.02, 0.04, 0.01, 0.08, 0.0] * 6)] for _ in range(50)]
+    rows = [(k, 25.0, v, v) for row in zip(*parts, strict=True) for k, v in enumerate(row)]
+    names = ["l_partkey", "l_quantity", "l_discount", "l_tax"]
+    os.makedirs(tmp_path / "lineitem.parquet")
+    for i, some in enumerate((rows[:900], rows[900:])):  # two files of many row groups
+        pq.write_table(pa.table(dict(zip(names, zip(*some, strict=True), strict=True))), tmp_path / f"lineitem.parquet/part-{i}.parquet", row_group_size=50)
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    want = {}
+    for k, values in enumerate(parts):
+        total = 0.0
+        for v in values:
+            total += v
+        want[k] = total / len(values)
+    assert len({x >= 0.03 for x in want.values()}) == 2
+    try:
+        for size in ("4k", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            c = views.clusters(spark, str(tmp_path)).collect()
+            assert {r.row_id: r.vx for r in c} == {r.row_id: r.c_y for r in c} == want
+            assert {(r.Ncount, r.c_x) for r in c} == {(30.0, 25.0)}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)

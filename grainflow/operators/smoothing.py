@@ -3,16 +3,23 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.errors import require
 from ..functions.ranks import ranked as in_order
 from ..functions.tables import materialize
+from .grid import TILE, numbered, whole_tiles
 
 TINY = 2.220446049250313e-16
+#: Places of tiles' boxes that are worked on together (a tile that alone has more is worked on by itself).
+PLACES = 1 << 20
 
 
 def weights(sigma: float) -> list[tuple[int, float]]:
@@ -40,19 +47,65 @@ def smooth_1d(df: DataFrame, key: str, x: str, value: str, sigma: float, keep_nu
     return out.drop("__at", "__num", "__den")
 
 
+def _smoothed(t: dict[str, np.ndarray], w: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of rows of whole tiles, those that are their tile's own (one for each place) and the Gaussian means there; w: of an odd number of places.
+
+    The boxes of tiles lie line after line in one array, with so many empty places behind each line that a kernel reaches no other
+    line; then once more with the axes swapped."""
+    r = len(w) // 2
+    of = numbered([t["__key"], t["__tx"], t["__ty"]])
+    starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+    x, y = (v - np.minimum.reduceat(v, starts)[of] for v in (t["__x"], t["__y"]))
+    wide, high = (np.maximum.reduceat(v, starts) + 1 + r for v in (x, y))
+    area = wide * high
+    cuts = np.flatnonzero(np.diff(np.cumsum(area) // PLACES)) + 1
+    for a, b in zip(np.r_[0, cuts], np.r_[cuts, len(starts)], strict=True):
+        rows = slice(starts[a], starts[b] if b < len(starts) else len(of))
+        known, own = t["__known"][rows], t["__own"][rows]
+        tile = of[rows] - a
+        base, width, height = np.cumsum(area[a:b]) - area[a:b], wide[a:b], high[a:b]
+        along_y = base[tile] + x[rows] * height[tile] + y[rows]
+        along_x = base[tile] + y[rows] * width[tile] + x[rows]
+        box = np.repeat(np.arange(b - a), area[a:b])  # of each place
+        line, place = np.divmod(np.arange(len(box)) - base[box], width[box])
+        swapped, inside = base[box] + place * height[box] + line, line < height[box] - r  # the rest is what the first kernel put behind lines
+        first = (np.convolve(np.bincount(along_y[known], v, len(box)), w, "same") for v in (t["__v"][rows][known], None))
+        at, row = np.unique(along_x[own], return_index=True)
+        num, den = (np.convolve(np.where(inside, v[swapped], 0.0), w, "same")[at] for v in first)
+        some = den > TINY
+        yield rows.start + np.flatnonzero(own)[row[some]], num[some] / den[some]
+
+
 def smooth_2d(df: DataFrame, key: str, ix: str, iy: str, value: str, sigma: float, keep_null: bool = True) -> DataFrame:
-    """As smooth_1d, on grid indices; absent cells count as null and get no row. A cell gives 2 (2r + 1) rows, not (2r + 1)^2."""
+    """As smooth_1d, on grid indices; absent cells count as null and get no row.
+
+    Square tiles, each with the known cells that a kernel reaches beyond it, are smoothed on their own, first along one axis and then along
+    the other: a cell goes to its tile once and its mean back to its row once, whatever the kernel. A task holds one tile, of 128 cells'
+    side or twice the kernel's reach."""
     if sigma <= 0:
         return df.withColumn("smooth", F.col(value))
-    table = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(w).alias("w")) for k, w in weights(sigma)))).alias("t")
-    sums = df.where(F.col(value).isNotNull()).select(key, ix, iy, F.col(value).alias("__num"), F.lit(1.0).alias("__den"))
-    for axis in (ix, iy):  # the kernel is a product: first along one axis, then along the other
-        spread = sums.select(key, ix, iy, "__num", "__den", table)
-        at = {axis: (F.col(axis) + F.col("t.k")).alias(axis)}
-        sums = spread.groupBy(key, *(at.get(c, F.col(c)) for c in (ix, iy))).agg(F.sum(F.col("__num") * F.col("t.w")).alias("__num"), F.sum(F.col("__den") * F.col("t.w")).alias("__den"))
-    mean = F.when(F.col("__den") > TINY, F.col("__num") / F.col("__den"))
-    out = df.join(sums.hint("merge"), [key, ix, iy], "left").withColumn("smooth", F.when(F.col(value).isNotNull(), mean) if keep_null else mean)
-    return out.drop("__num", "__den")
+    w = np.array([x for _, x in weights(sigma)])
+    r = len(w) // 2
+    side = max(TILE, 2 * r)
+    known = F.col(value).isNotNull()
+    cells = df.where(F.col(key).isNotNull() & F.col(ix).isNotNull() & F.col(iy).isNotNull() & (known if keep_null else F.lit(True)))
+    cells = cells.select(F.col(key).alias("__key"), F.col(ix).cast("long").alias("__x"), F.col(iy).cast("long").alias("__y"), known.alias("__known"), F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("__v"))
+    # the first tile begins r places before 0, so that small grids lie in one tile and are seen from no other
+    tile = lambda c, k=0: F.floor((F.col(c) + r + k) / side)
+    seen = lambda c: F.explode(F.when(F.col("__known"), F.array_distinct(F.array(tile(c, -r), tile(c), tile(c, r)))).otherwise(F.array(tile(c))))
+    dealt = cells.select("*", seen("__x").alias("__tx")).select("*", seen("__y").alias("__ty"))
+    dealt = dealt.withColumn("__own", (F.col("__tx") == tile("__x")) & (F.col("__ty") == tile("__y")))
+    kind = to_arrow_type(df.schema[key].dataType)
+
+    def run(t: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for rows, mean in _smoothed(t, w):
+            yield pa.RecordBatch.from_arrays([pa.array(t["__key"][rows], kind), pa.array(t["__x"][rows]), pa.array(t["__y"][rows]), pa.array(mean)], ["__key", "__x", "__y", "__mean"])
+
+    means = whole_tiles(dealt, ["__key", "__tx", "__ty"], [], run, f"__key {df.schema[key].dataType.simpleString()}, __x bigint, __y bigint, __mean double")
+    means = means.select(F.col("__key").alias(key), *(F.col(a).cast(df.schema[c].dataType).alias(c) for a, c in (("__x", ix), ("__y", iy))), "__mean")
+    # as sorted rows: Spark can't tell how many means there are, and would send millions of rows through the driver
+    out = df.join(means.hint("merge"), [key, ix, iy], "left").withColumn("smooth", F.when(known, F.col("__mean")) if keep_null else F.col("__mean"))
+    return out.drop("__mean")
 
 
 def fill(df: DataFrame, key: str, x: str, value: str, mode: str = "interp") -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from grainflow.functions import binning, scalars
 from grainflow.functions.errors import AnalysisError
+from grainflow.functions.tables import materialize
 from grainflow.operators import cluster, gridding, smoothing, velocity
 
 
@@ -208,3 +209,44 @@ def test_means_of_clusters_dont_depend_on_how_the_table_is_split(spark, tmp_path
             assert {(r.Ncount, r.c_x) for r in c} == {(30.0, 25.0)}
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+
+
+def test_smoothing_of_grids_over_many_tiles(spark, monkeypatch):
+    """Grids of any place and size, cells that are given twice, keys that are texts, and values that aren't finite."""
+    monkeypatch.setattr(smoothing, "TILE", 8)
+    rng = np.random.default_rng(6)
+    rows = []
+    for key, (x0, x1), (y0, y1), share in (("a", (-9, 30), (0, 21), 0.7), ("b", (0, 7), (0, 3), 0.9), ("c", (100, 101), (5, 60), 0.5), ("d", (0, 60), (0, 60), 0.02), ("e", (3, 4), (3, 4), 1)):
+        rows += [(key, x, y, None if rng.random() < 0.3 else float(rng.normal())) for x in range(x0, x1) for y in range(y0, y1) if rng.random() < share]
+    rows += [("f", i, 0, v) for i, v in enumerate([1.0, math.nan, *[2.0] * 20, math.inf, 3.0])] + [("g", 1, 1, 2.0), ("g", 1, 1, 4.0), ("g", 1, 2, None), (None, 1, 1, 5.0)]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "key string, ix int, iy bigint, v double, i int").repartition(5)
+    for sigma in (0.9, 3.0):
+        w = dict(smoothing.weights(sigma))
+        for keep_null in (False, True):
+            got = smoothing.smooth_2d(df, "key", "ix", "iy", "v", sigma, keep_null)
+            assert got.columns == [*df.columns, "smooth"]
+            found = {r.i: r for r in got.collect()}
+            assert len(found) == len(rows) == got.count()
+            for i, (key, x, y, v) in enumerate(rows):
+                near = [(w.get(a - x, 0) * w.get(b - y, 0), z) for k, a, b, z in rows if k == key and z is not None and abs(a - x) in w and abs(b - y) in w]
+                want = None if key is None or not near or keep_null and v is None else sum(p * z for p, z in near) / sum(p for p, _ in near)
+                r = found[i]
+                assert (r.key, r.ix, r.iy) == (key, x, y)
+                assert r.smooth is None if want is None else r.smooth == want or math.isnan(want) and math.isnan(r.smooth) or math.isclose(r.smooth, want, rel_tol=1e-9, abs_tol=1e-12)
+
+
+def test_smoothing_of_a_grid_shuffles_a_cell_but_a_few_times(spark):
+    n = 40_000
+    cells = spark.range(n).select(F.lit(1).alias("key"), (F.col("id") % 200).cast("int").alias("ix"), F.floor(F.col("id") / 200).cast("int").alias("iy"), F.rand(3).alias("v")).repartition(4, F.rand(5))
+    cells = materialize(cells, "test")
+    sc = spark.sparkContext
+    sc.setJobGroup("smooth", "smooth")
+    try:
+        smoothing.smooth_2d(cells, "key", "ix", "iy", "v", 0.8).write.format("noop").mode("overwrite").save()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    tracker = sc.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup("smooth") for s in tracker.getJobInfo(j).stageIds}
+    shuffled = sum(sc._jsc.sc().statusStore().lastStageAttempt(s).shuffleWriteRecords() for s in stages)
+    assert 2 * n < shuffled < 4 * n
